@@ -52,5 +52,12 @@ def safe_div(num: Column, den: Column) -> Column:
 
 
 def r6(c: Column) -> Column:
-    """Result presentation of a double: 6 decimal places; -0.0 -> 0.0."""
-    return F.round(c.cast("double"), 6) + F.lit(0.0)
+    """Result presentation of a double: round half up to 6 decimal places.
+
+    Written as floor(x * 1e6 + 0.5) / 1e6 so every step is one IEEE
+    operation and any engine gives the same bits; |x| >= 1e9 (where the
+    scaled value would pass 2^53) and NaN are returned unchanged; -0.0 -> 0.0.
+    """
+    x = c.cast("double")
+    scaled = F.floor(x * F.lit(1000000.0) + F.lit(0.5)).cast("double") / F.lit(1000000.0)
+    return F.when(F.isnan(x) | (F.abs(x) >= F.lit(1e9)), x + F.lit(0.0)).otherwise(scaled + F.lit(0.0))

@@ -47,11 +47,38 @@ def var_std_columns(w, col: str, rows: int = 5, integral: bool = False) -> list[
             _z(F.sqrt(v)).alias(f"{col}_std")]
 
 
+EXACT_MOMENT_BOUND = 10_000_000   # |x| bound for exact 4th-power sums in 38 digits
+
+
+def exact_moments(x: Column, f) -> tuple[Column, Column, Column]:
+    """Population skewness g1 and excess kurtosis g2 of an integral column
+    from exact power sums (decimal(38,0)); NULL when any value in the frame
+    exceeds ``EXACT_MOMENT_BOUND`` (the caller then uses Spark's moments).
+
+    With s_k = sum(x^k): n^2 m2 = n s2 - s1^2, n^3 m3 = n^2 s3 - 3 n s1 s2 +
+    2 s1^3, n^4 m4 = n^3 s4 - 4 n^2 s1 s3 + 6 n s1^2 s2 - 3 s1^4.
+    """
+    small = F.when(F.abs(x) <= EXACT_MOMENT_BOUND, x).cast("decimal(38,0)")
+    n = F.count(x).over(f).cast("decimal(38,0)")
+    ok = F.count(small).over(f) == F.count(x).over(f)
+    s1 = F.sum(small).over(f)
+    s2 = F.sum(small * small).over(f)
+    s3 = F.sum(small * small * small).over(f)
+    s4 = F.sum(small * small * small * small).over(f)
+    m2 = (n * s2 - s1 * s1).cast("double")
+    m3 = (n * n * s3 - 3 * n * s1 * s2 + 2 * s1 * s1 * s1).cast("double")
+    m4 = (n * n * n * s4 - 4 * n * n * s1 * s3 + 6 * n * s1 * s1 * s2
+          - 3 * s1 * s1 * s1 * s1).cast("double")
+    g1 = m3 / (m2 * F.sqrt(m2))
+    g2 = m4 / (m2 * m2) - 3.0
+    return ok, g1, g2
+
+
 def skew_kurt_columns(w, col: str, rows: int = 10, integral: bool = False) -> list[Column]:
     """Bias-corrected skewness (G1) and excess kurtosis (G2).
 
     Frames shorter than 3 (skewness) / 4 (kurtosis) rows give 0; a constant
-    frame gives 0 and -3.
+    frame gives 0 and -3. Integral columns use exact power sums.
     """
     x = F.col(f"`{col}`").cast("double")
     f = trailing(w, rows)
@@ -59,6 +86,10 @@ def skew_kurt_columns(w, col: str, rows: int = 10, integral: bool = False) -> li
     const = F.max(x).over(f) == F.min(x).over(f)
     g1 = F.skewness(x).over(f)
     g2 = F.kurtosis(x).over(f)
+    if integral:
+        ok, eg1, eg2 = exact_moments(F.col(f"`{col}`"), f)
+        g1 = F.when(ok, eg1).otherwise(g1)
+        g2 = F.when(ok, eg2).otherwise(g2)
     skew = (F.when(n < 3, 0.0).when(const, 0.0)
             .otherwise(g1 * F.sqrt(n * (n - 1)) / (n - 2)))
     kurt = (F.when(n < 4, 0.0).when(const, -3.0)

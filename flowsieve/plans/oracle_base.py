@@ -47,7 +47,7 @@ def with_scored(extra_ctes: str, body: str) -> str:
 
 def present_sql(sql: str) -> str:
     """Rewrite every ``round(<expr>, 6)`` into the presentation form used by
-    the Spark side (6 places, -0.0 folded to 0.0)."""
+    the Spark side (``functions.columns.r6``)."""
     out, i = [], 0
     token = "round("
     while True:
@@ -64,7 +64,9 @@ def present_sql(sql: str) -> str:
         out.append(sql[i:j])
         if inner.rstrip().endswith(", 6"):
             expr = present_sql(inner.rstrip()[:-3])
-            out.append(f"(round({expr}, 6) + 0.0)")
+            x = f"CAST({expr} AS DOUBLE)"
+            out.append(f"(CASE WHEN isnan({x}) OR abs({x}) >= 1e9 THEN {x} + 0.0 "
+                       f"ELSE floor({x} * 1000000.0 + 0.5) / 1000000.0 + 0.0 END)")
         else:
             out.append(token + present_sql(inner) + ")")
         i = k

@@ -119,9 +119,9 @@ def _frame(n, part):
 
 
 def _exact_var(c, w):
-    x = f"CAST({c} AS DECIMAL(38,0))"
+    x = f"CAST({c} AS HUGEINT)"
     n = f"count({c}) {w}"
-    m2 = f"CAST(CAST({n} AS DECIMAL(38,0)) * sum({x} * {x}) {w} - sum({x}) {w} * sum({x}) {w} AS DOUBLE)"
+    m2 = f"CAST(CAST({n} AS HUGEINT) * sum({x} * {x}) {w} - sum({x}) {w} * sum({x}) {w} AS DOUBLE)"
     return f"(CASE WHEN {n} > 1 THEN {m2} / CAST({n} * ({n} - 1) AS DOUBLE) END)"
 
 
@@ -133,12 +133,25 @@ def _var_std(c, part):
 
 
 def _skew_kurt(c, part):
+    """Exact power-sum moments (values here are below 1e7), bias corrected."""
     w = _frame(10, part)
     x = f"CAST({c} AS DOUBLE)"
-    n = f"count({x}) {w}"
+    h = f"CAST({c} AS HUGEINT)"
+    n = f"CAST(count({c}) {w} AS HUGEINT)"
+    nd = f"CAST(count({c}) {w} AS DOUBLE)"
+    s1, s2, s3, s4 = (f"sum({h}) {w}", f"sum({h} * {h}) {w}", f"sum({h} * {h} * {h}) {w}",
+                      f"sum({h} * {h} * {h} * {h}) {w}")
+    m2 = f"CAST({n} * {s2} - {s1} * {s1} AS DOUBLE)"
+    m3 = f"CAST({n} * {n} * {s3} - 3 * {n} * {s1} * {s2} + 2 * {s1} * {s1} * {s1} AS DOUBLE)"
+    m4 = (f"CAST({n} * {n} * {n} * {s4} - 4 * {n} * {n} * {s1} * {s3} + 6 * {n} * {s1} * {s1} * {s2}"
+          f" - 3 * {s1} * {s1} * {s1} * {s1} AS DOUBLE)")
+    g1 = f"({m3} / ({m2} * sqrt({m2})))"
+    g2 = f"({m4} / ({m2} * {m2}) - 3.0)"
+    skew = f"{g1} * sqrt({nd} * ({nd} - 1)) / ({nd} - 2)"
+    kurt = f"({nd} - 1) / (({nd} - 2) * ({nd} - 3)) * (({nd} + 1) * {g2} + 6)"
     const = f"max({x}) {w} = min({x}) {w}"
-    return [f"round(CASE WHEN {n} < 3 THEN 0 WHEN {const} THEN 0 ELSE coalesce(skewness({x}) {w}, 0) END, 6) AS {c}_skewness",
-            f"round(CASE WHEN {n} < 4 THEN 0 WHEN {const} THEN -3 ELSE coalesce(kurtosis({x}) {w}, 0) END, 6) AS {c}_kurtosis"]
+    return [f"round(CASE WHEN {nd} < 3 THEN 0 WHEN {const} THEN 0 ELSE coalesce({skew}, 0) END, 6) AS {c}_skewness",
+            f"round(CASE WHEN {nd} < 4 THEN 0 WHEN {const} THEN -3 ELSE coalesce({kurt}, 0) END, 6) AS {c}_kurtosis"]
 
 
 def _quantiles(c, part):
@@ -182,7 +195,7 @@ def _stat_features_sql():
     for c in cols:
         exprs += _var_std(c, False) + _skew_kurt(c, False) + _quantiles(c, False)
     return _w(DIRTY_CTE + """
-, fin AS (SELECT DISTINCT flow_seq, CASE WHEN isfinite(flow_duration) THEN flow_duration END AS flow_duration,
+, fin AS (SELECT DISTINCT flow_seq, TRY_CAST(flow_duration AS BIGINT) AS flow_duration,
                  total_fwd_packets FROM dirty)
 , med AS (SELECT median(flow_duration) AS m FROM fin)
 , filled AS (SELECT flow_seq, coalesce(flow_duration, m) AS flow_duration, total_fwd_packets FROM fin, med)

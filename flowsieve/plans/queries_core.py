@@ -106,7 +106,8 @@ def q_rolling_by_source(spark, sf_dir):
 def q_statistical_features(spark, sf_dir):
     """C3 on dirty input: Inf to missing, median fill, windows, zero fill."""
     fl = (dirty_flows(spark, sf_dir)
-          .select("flow_seq", "flow_duration", "total_fwd_packets").dropDuplicates())
+          .select("flow_seq", F.col("flow_duration").try_cast("bigint").alias("flow_duration"),
+                  "total_fwd_packets").dropDuplicates())
     out = extract_statistical_features(fl, ["flow_duration", "total_fwd_packets"], "flow_seq")
     return _round_all(out)
 
