@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from flowsieve.plans import queries_core as qc
+from flowsieve.plans import queries_sources as qs
 from flowsieve.plans.oracle_base import present_sql
 from flowsieve.plans.oracle_core import ORACLE_CORE
+from flowsieve.plans.oracle_sources import ORACLE_SOURCES
 
 
 def spark_queries() -> dict:
@@ -23,10 +25,17 @@ def spark_queries() -> dict:
         "label_encode": qc.q_label_encode,
         "label_distribution": qc.q_label_distribution,
         "stratified_split": qc.q_stratified_split,
+        "conn_parse": qs.q_conn_parse,
+        "dns_parse": qs.q_dns_parse,
+        "http_parse": qs.q_http_parse,
+        "ssl_parse": qs.q_ssl_parse,
+        "weird_parse": qs.q_weird_parse,
+        "zeek_union": qs.q_zeek_union,
     }
 
 
 def oracle_statements() -> dict:
     out = {}
     out.update(ORACLE_CORE)
+    out.update(ORACLE_SOURCES)
     return {k: present_sql(v) for k, v in out.items()}
