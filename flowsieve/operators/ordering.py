@@ -102,3 +102,28 @@ def ordered_window(df: DataFrame, order_col: str, partition_cols: list[str] | No
 
 def col_or(name_or_col) -> Column:
     return F.col(name_or_col) if isinstance(name_or_col, str) else name_or_col
+
+
+def running_totals(df: DataFrame, order_cols: list, sum_cols: dict, bucket_rows: int = 1_000_000,
+                   num_partitions: int | None = None) -> DataFrame:
+    """Cumulative sums in ``order_cols`` order without a single-task window.
+
+    ``sum_cols`` maps output name -> Column to accumulate. Rows are dense
+    indexed, summed cumulatively inside buckets of ``bucket_rows``, and each
+    bucket adds the total of all earlier buckets (a table of n / bucket_rows
+    rows, broadcast back).
+    """
+    indexed = dense_index(df, order_cols, num_partitions)
+    spread = indexed.withColumn("_bucket", F.floor(F.col(IDX) / bucket_rows).cast("long"))
+    spread = spread.select("*", *[c.alias(f"_v_{n}") for n, c in sum_cols.items()])
+    w = (Window.partitionBy("_bucket").orderBy(IDX)
+         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    local = spread.select("*", *[F.sum(f"_v_{n}").over(w).alias(f"_l_{n}") for n in sum_cols])
+    totals = spread.groupBy("_bucket").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sum_cols])
+    wb = (Window.orderBy("_bucket")
+          .rowsBetween(Window.unboundedPreceding, -1))        # one row per bucket
+    offsets = totals.select("_bucket", *[F.coalesce(F.sum(f"_t_{n}").over(wb), F.lit(0)).alias(f"_o_{n}")
+                                         for n in sum_cols])
+    out = local.join(F.broadcast(offsets), "_bucket")
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], F.col(IDX),
+                      *[(F.col(f"_o_{n}") + F.col(f"_l_{n}")).alias(n) for n in sum_cols])

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from flowsieve.plans import queries_core as qc
+from flowsieve.plans import queries_alerts as qa
 from flowsieve.plans import queries_sources as qs
 from flowsieve.plans.oracle_base import present_sql
+from flowsieve.plans.oracle_alerts import ORACLE_ALERTS
 from flowsieve.plans.oracle_core import ORACLE_CORE
 from flowsieve.plans.oracle_sources import ORACLE_SOURCES
 
@@ -31,6 +33,17 @@ def spark_queries() -> dict:
         "ssl_parse": qs.q_ssl_parse,
         "weird_parse": qs.q_weird_parse,
         "zeek_union": qs.q_zeek_union,
+        "score_to_alerts": qa.q_score_to_alerts,
+        "alert_rate_limited": qa.q_alert_rate_limited,
+        "severity_counts": qa.q_severity_counts,
+        "alerts_per_minute": qa.q_alerts_per_minute,
+        "alert_summary": qa.q_alert_summary,
+        "alert_filter_top": qa.q_alert_filter_top,
+        "recent_alerts": qa.q_recent_alerts,
+        "running_counters": qa.q_running_counters,
+        "pipeline_stats": qa.q_pipeline_stats,
+        "history_range_summary": qa.q_history_range_summary,
+        "detection_rate_histogram": qa.q_detection_rate_histogram,
     }
 
 
@@ -38,4 +51,5 @@ def oracle_statements() -> dict:
     out = {}
     out.update(ORACLE_CORE)
     out.update(ORACLE_SOURCES)
+    out.update(ORACLE_ALERTS)
     return {k: present_sql(v) for k, v in out.items()}
