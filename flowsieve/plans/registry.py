@@ -5,10 +5,12 @@ from __future__ import annotations
 from flowsieve.plans import queries_core as qc
 from flowsieve.plans import queries_alerts as qa
 from flowsieve.plans import queries_sources as qs
+from flowsieve.plans import queries_stats as qt
 from flowsieve.plans.oracle_base import present_sql
 from flowsieve.plans.oracle_alerts import ORACLE_ALERTS
 from flowsieve.plans.oracle_core import ORACLE_CORE
 from flowsieve.plans.oracle_sources import ORACLE_SOURCES
+from flowsieve.plans.oracle_stats import ORACLE_STATS
 
 
 def spark_queries() -> dict:
@@ -44,6 +46,17 @@ def spark_queries() -> dict:
         "pipeline_stats": qa.q_pipeline_stats,
         "history_range_summary": qa.q_history_range_summary,
         "detection_rate_histogram": qa.q_detection_rate_histogram,
+        "standardize": qt.q_standardize,
+        "interaction_features": qt.q_interaction_features,
+        "anova_f_scores": qt.q_anova_f_scores,
+        "mutual_info_scores": qt.q_mutual_info_scores,
+        "missing_report": qt.q_missing_report,
+        "confusion_matrix": qt.q_confusion_matrix,
+        "classification_report": qt.q_classification_report,
+        "roc_auc": qt.q_roc_auc,
+        "log_loss": qt.q_log_loss,
+        "flow_validate": qt.q_flow_validate,
+        "feature_width_fit": qt.q_feature_width_fit,
     }
 
 
@@ -52,4 +65,5 @@ def oracle_statements() -> dict:
     out.update(ORACLE_CORE)
     out.update(ORACLE_SOURCES)
     out.update(ORACLE_ALERTS)
+    out.update(ORACLE_STATS)
     return {k: present_sql(v) for k, v in out.items()}
