@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from flowsieve.plans import queries_core as qc
 from flowsieve.plans import queries_alerts as qa
+from flowsieve.plans import queries_csv as qv
 from flowsieve.plans import queries_sources as qs
 from flowsieve.plans import queries_stats as qt
 from flowsieve.plans.oracle_base import present_sql
 from flowsieve.plans.oracle_alerts import ORACLE_ALERTS
 from flowsieve.plans.oracle_core import ORACLE_CORE
+from flowsieve.plans.oracle_csv import ORACLE_CSV
 from flowsieve.plans.oracle_sources import ORACLE_SOURCES
 from flowsieve.plans.oracle_stats import ORACLE_STATS
 
@@ -57,6 +59,8 @@ def spark_queries() -> dict:
         "log_loss": qt.q_log_loss,
         "flow_validate": qt.q_flow_validate,
         "feature_width_fit": qt.q_feature_width_fit,
+        "csv_sniff": qv.q_csv_sniff,
+        "cic_csv_flows": qv.q_cic_csv_flows,
     }
 
 
@@ -66,4 +70,5 @@ def oracle_statements() -> dict:
     out.update(ORACLE_SOURCES)
     out.update(ORACLE_ALERTS)
     out.update(ORACLE_STATS)
+    out.update(ORACLE_CSV)
     return {k: present_sql(v) for k, v in out.items()}
