@@ -5,6 +5,7 @@ from __future__ import annotations
 from flowsieve.plans import queries_core as qc
 from flowsieve.plans import queries_alerts as qa
 from flowsieve.plans import queries_csv as qv
+from flowsieve.plans import queries_ml as qm
 from flowsieve.plans import queries_sources as qs
 from flowsieve.plans import queries_stats as qt
 from flowsieve.plans.oracle_base import present_sql
@@ -61,6 +62,11 @@ def spark_queries() -> dict:
         "feature_width_fit": qt.q_feature_width_fit,
         "csv_sniff": qv.q_csv_sniff,
         "cic_csv_flows": qv.q_cic_csv_flows,
+        "rf_importance": qm.q_rf_importance,
+        "pca_components": qm.q_pca_components,
+        "anomaly_scores": qm.q_anomaly_scores,
+        "feature_report": qm.q_feature_report,
+        "train_score_eval": qm.q_train_score_eval,
     }
 
 
