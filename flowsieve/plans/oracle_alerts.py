@@ -101,3 +101,19 @@ SELECT bin, round(lo + bin * (hi - lo) / 10, 6) AS bin_start, round(lo + (bin +
        count(*) AS n
 FROM b GROUP BY bin, lo, hi"""),
 }
+
+ORACLE_ALERTS["stream_alerts"] = _w("""
+, rl AS (SELECT flow_seq, timestamp,
+                count(*) OVER (ORDER BY epoch_us(timestamp) RANGE BETWEEN 21599999999 PRECEDING AND CURRENT ROW)
+                  AS window_count
+         FROM al)
+SELECT flow_seq, timestamp, least(window_count, 21) AS window_count, window_count <= 20 AS passed FROM rl""")
+ORACLE_ALERTS["stream_alert_minutes"] = ORACLE_ALERTS["alerts_per_minute"]
+ORACLE_ALERTS["stream_counters"] = _w("""
+, s AS (SELECT count(*) AS total_flows_processed, count(*) FILTER (WHERE prediction = 'MALICIOUS') AS malicious_flows,
+               count(*) FILTER (WHERE alert) AS alerts_generated FROM pred)
+SELECT total_flows_processed, malicious_flows, total_flows_processed - malicious_flows AS benign_flows,
+       alerts_generated,
+       round(100.0::DOUBLE * malicious_flows / greatest(total_flows_processed, 1), 6) AS detection_rate,
+       round(100.0::DOUBLE * alerts_generated / greatest(total_flows_processed, 1), 6) AS alert_rate
+FROM s""")

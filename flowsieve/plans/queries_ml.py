@@ -14,6 +14,7 @@ from flowsieve.operators import ml
 from flowsieve.plans.queries_stats import _features
 from flowsieve.session import work_dir
 from flowsieve.operators.labels import stratified_split
+from flowsieve.operators.scale import normalize_features
 
 
 def q_rf_importance(spark, sf_dir):
@@ -23,8 +24,10 @@ def q_rf_importance(spark, sf_dir):
 
 
 def q_pca_components(spark, sf_dir):
+    """PCA of the standardised features (as the training path feeds it)."""
     df, feats = _features(spark, sf_dir)
-    out = ml.pca_explained(df, feats, 0.95)
+    scaled, _ = normalize_features(df, feats)
+    out = ml.pca_explained(scaled, feats, 0.95)
     return out.select("component", r6(F.col("explained_variance")).alias("explained_variance"),
                       r6(F.col("cumulative")).alias("cumulative"), "selected")
 

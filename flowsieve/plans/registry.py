@@ -8,6 +8,7 @@ from flowsieve.plans import queries_csv as qv
 from flowsieve.plans import queries_ml as qm
 from flowsieve.plans import queries_sources as qs
 from flowsieve.plans import queries_stats as qt
+from flowsieve.plans import queries_stream as qr
 from flowsieve.plans.oracle_base import present_sql
 from flowsieve.plans.oracle_alerts import ORACLE_ALERTS
 from flowsieve.plans.oracle_core import ORACLE_CORE
@@ -67,6 +68,9 @@ def spark_queries() -> dict:
         "anomaly_scores": qm.q_anomaly_scores,
         "feature_report": qm.q_feature_report,
         "train_score_eval": qm.q_train_score_eval,
+        "stream_alerts": qr.q_stream_alerts,
+        "stream_counters": qr.q_stream_counters,
+        "stream_alert_minutes": qr.q_stream_alert_minutes,
     }
 
 
