@@ -8,11 +8,13 @@ from flowsieve.plans import queries_csv as qv
 from flowsieve.plans import queries_ml as qm
 from flowsieve.plans import queries_sources as qs
 from flowsieve.plans import queries_stats as qt
+from flowsieve.plans import queries_pipelines as qp
 from flowsieve.plans import queries_stream as qr
 from flowsieve.plans.oracle_base import present_sql
 from flowsieve.plans.oracle_alerts import ORACLE_ALERTS
 from flowsieve.plans.oracle_core import ORACLE_CORE
 from flowsieve.plans.oracle_csv import ORACLE_CSV
+from flowsieve.plans.oracle_pipelines import ORACLE_PIPELINES
 from flowsieve.plans.oracle_sources import ORACLE_SOURCES
 from flowsieve.plans.oracle_stats import ORACLE_STATS
 
@@ -71,6 +73,10 @@ def spark_queries() -> dict:
         "stream_alerts": qr.q_stream_alerts,
         "stream_counters": qr.q_stream_counters,
         "stream_alert_minutes": qr.q_stream_alert_minutes,
+        "adhoc_process": qp.q_adhoc_process,
+        "process_pipeline": qp.q_process_pipeline,
+        "engineer_all": qp.q_engineer_all,
+        "stream_scoring": qp.q_stream_scoring,
     }
 
 
@@ -81,4 +87,5 @@ def oracle_statements() -> dict:
     out.update(ORACLE_ALERTS)
     out.update(ORACLE_STATS)
     out.update(ORACLE_CSV)
+    out.update(ORACLE_PIPELINES)
     return {k: present_sql(v) for k, v in out.items()}
