@@ -17,7 +17,7 @@ from flowsieve.operators.clean import standardize_columns
 from flowsieve.schema import CIC_HEADER_MAP, DATASET_HEADER_MAP
 
 SEPARATORS = [",", ";", "\t"]
-ENCODINGS = ["utf-8", "latin-1"]
+ENCODINGS = ["utf-8", "iso-8859-1"]   # latin-1 is iso-8859-1
 CIC_NUMERIC = ["flow_duration", "total_fwd_packets", "total_backward_packets",
                "total_length_fwd_packets", "total_length_bwd_packets", "fwd_packet_length_max",
                "fwd_packet_length_min", "fwd_packet_length_mean", "flow_bytes_s", "flow_packets_s",
@@ -28,14 +28,18 @@ def snake(name: str) -> str:
     return re.sub(r"[^0-9a-zA-Z]+", "_", name.strip()).strip("_").lower()
 
 
+SNIFF_LINES = 1000
+
+
 def sniff_csv(spark: SparkSession, path: str) -> tuple[str, str]:
-    """(separator, encoding) from the first line: the first separator that
-    splits it into more than one field; latin-1 when it is not valid UTF-8."""
-    first = spark.read.text(path).limit(1).collect()
-    if not first:
+    """(separator, encoding): the first separator that splits the header
+    into more than one field; latin-1 when the first ``SNIFF_LINES`` lines
+    are not valid UTF-8. Only that bounded prefix is read."""
+    head = spark.read.text(path).limit(SNIFF_LINES).collect()
+    if not head:
         return ",", "utf-8"
-    line = first[0][0]
-    enc = "latin-1" if "�" in line else "utf-8"
+    line = head[0][0]
+    enc = "iso-8859-1" if any("�" in (r[0] or "") for r in head) else "utf-8"
     for sep in SEPARATORS:
         if len(line.split(sep)) > 1:
             return sep, enc
