@@ -15,7 +15,7 @@ from flowsieve.functions import formulas as fx
 from flowsieve.functions.columns import (finite_or_null, float_columns, integral_columns,
                                          numeric_columns)
 from flowsieve.operators.ordering import ordered_window
-from flowsieve.operators.rolling import mean_std_columns
+from flowsieve.operators.rolling import integral_magnitudes, mean_std_columns
 
 MAX_ONE_HOT_VALUES = 1024
 
@@ -96,12 +96,13 @@ def extract_temporal_features(df: DataFrame, timestamp_col: str | None, order_co
         rolling_cols = numeric_columns(df, exclude=["label", "binary_label", "original_label",
                                                     order_col])[:5]
     if rolling_cols:
-        integral = set(integral_columns(out))
+        integral = [c for c in integral_columns(out) if c in rolling_cols]
+        maxabs = integral_magnitudes(out, integral)
 
         def build(w):
             cols = []
             for c in rolling_cols:
-                cols += mean_std_columns(w, c, integral=c in integral)
+                cols += mean_std_columns(w, c, integral=c in integral, maxabs=maxabs.get(c))
             return cols
         out = ordered_window(out, order_col, partition_cols, 19, build, bucket_rows)
         new += [f"{c}_rolling_{s}_{k}" for c in rolling_cols for k in (5, 10, 20) for s in ("mean", "std")]

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowsieve.functions.columns import finite_or_null, float_columns, integral_columns
-from flowsieve.operators.ordering import ordered_window, trailing
+from flowsieve.operators.ordering import IDX, dense_index, halo_window, trailing
 from flowsieve.operators.stats import exact_medians
 
 MAX_HALO = 19   # the widest frame is 20 rows
@@ -21,36 +21,47 @@ def _z(c: Column) -> Column:
     return F.coalesce(c, F.lit(0.0))
 
 
-def exact_var_samp(x: Column, f) -> Column:
+VAR_LONG_BOUND = 600_000_000      # |x| bound for squared sums of 20 rows in bigint
+
+
+def exact_var_samp(x: Column, f, long_sums: bool = False) -> Column:
     """Sample variance of an integral column from exact power sums.
 
-    n*sum(x^2) - sum(x)^2 is computed in decimal(38,0) (no rounding), so the
-    only rounding is the final division; NULL for a single-row frame.
+    n*sum(x^2) - sum(x)^2 is computed without rounding (bigint sums when the
+    column's values are small enough, else decimal(38,0)), so the only
+    rounding is the final division; NULL for a single-row frame.
     """
-    xd = x.cast("decimal(38,0)")
+    dec = "decimal(38,0)"
     n = F.count(x).over(f)
-    s1 = F.sum(xd).over(f)
-    s2 = F.sum(xd * xd).over(f)
-    m2 = (n.cast("decimal(38,0)") * s2 - s1 * s1).cast("double")
+    if long_sums:
+        xl = x.cast("bigint")
+        s1, s2 = F.sum(xl).over(f).cast(dec), F.sum(xl * xl).over(f).cast(dec)
+    else:
+        xd = x.cast(dec)
+        s1, s2 = F.sum(xd).over(f), F.sum(xd * xd).over(f)
+    m2 = (n.cast(dec) * s2 - s1 * s1).cast("double")
     return F.when(n > 1, m2 / (n * (n - 1)).cast("double"))
 
 
-def _var(x: Column, f, integral: bool) -> Column:
-    return exact_var_samp(x, f) if integral else F.var_samp(x).over(f)
+def _var(x: Column, f, integral: bool, maxabs=None) -> Column:
+    if not integral:
+        return F.var_samp(x).over(f)
+    return exact_var_samp(x, f, maxabs is not None and maxabs <= VAR_LONG_BOUND)
 
 
-def var_std_columns(w, col: str, rows: int = 5, integral: bool = False) -> list[Column]:
+def var_std_columns(w, col: str, rows: int = 5, integral: bool = False, maxabs=None) -> list[Column]:
     x = F.col(f"`{col}`")
     f = trailing(w, rows)
-    v = _var(x, f, integral)
+    v = _var(x, f, integral, maxabs)
     return [_z(v).alias(f"{col}_variance"),
             _z(F.sqrt(v)).alias(f"{col}_std")]
 
 
 EXACT_MOMENT_BOUND = 10_000_000   # |x| bound for exact 4th-power sums in 38 digits
+LONG_MOMENT_BOUND = 30_000        # |x| bound for 4th-power sums of 10 rows in bigint
 
 
-def exact_moments(x: Column, f) -> tuple[Column, Column, Column]:
+def exact_moments(x: Column, f, long_sums: bool = False) -> tuple[Column, Column, Column]:
     """Population skewness g1 and excess kurtosis g2 of an integral column
     from exact power sums (decimal(38,0)); NULL when any value in the frame
     exceeds ``EXACT_MOMENT_BOUND`` (the caller then uses Spark's moments).
@@ -58,13 +69,23 @@ def exact_moments(x: Column, f) -> tuple[Column, Column, Column]:
     With s_k = sum(x^k): n^2 m2 = n s2 - s1^2, n^3 m3 = n^2 s3 - 3 n s1 s2 +
     2 s1^3, n^4 m4 = n^3 s4 - 4 n^2 s1 s3 + 6 n s1^2 s2 - 3 s1^4.
     """
-    small = F.when(F.abs(x) <= EXACT_MOMENT_BOUND, x).cast("decimal(38,0)")
-    n = F.count(x).over(f).cast("decimal(38,0)")
-    ok = F.count(small).over(f) == F.count(x).over(f)
-    s1 = F.sum(small).over(f)
-    s2 = F.sum(small * small).over(f)
-    s3 = F.sum(small * small * small).over(f)
-    s4 = F.sum(small * small * small * small).over(f)
+    dec = "decimal(38,0)"
+    n = F.count(x).over(f).cast(dec)
+    if long_sums:
+        # every |x| in the column is below LONG_MOMENT_BOUND: power sums are
+        # exact in bigint; only the per-row combination needs 38 digits
+        xl = x.cast("bigint")
+        ok = F.lit(True)
+        s1, s2, s3, s4 = (F.sum(xl).over(f).cast(dec), F.sum(xl * xl).over(f).cast(dec),
+                          F.sum(xl * xl * xl).over(f).cast(dec),
+                          F.sum(xl * xl * xl * xl).over(f).cast(dec))
+    else:
+        small = F.when(F.abs(x) <= EXACT_MOMENT_BOUND, x).cast(dec)
+        ok = F.count(small).over(f) == F.count(x).over(f)
+        s1 = F.sum(small).over(f)
+        s2 = F.sum(small * small).over(f)
+        s3 = F.sum(small * small * small).over(f)
+        s4 = F.sum(small * small * small * small).over(f)
     m2 = (n * s2 - s1 * s1).cast("double")
     m3 = (n * n * s3 - 3 * n * s1 * s2 + 2 * s1 * s1 * s1).cast("double")
     m4 = (n * n * n * s4 - 4 * n * n * s1 * s3 + 6 * n * s1 * s1 * s2
@@ -74,7 +95,8 @@ def exact_moments(x: Column, f) -> tuple[Column, Column, Column]:
     return ok, g1, g2
 
 
-def skew_kurt_columns(w, col: str, rows: int = 10, integral: bool = False) -> list[Column]:
+def skew_kurt_columns(w, col: str, rows: int = 10, integral: bool = False,
+                      maxabs=None) -> list[Column]:
     """Bias-corrected skewness (G1) and excess kurtosis (G2).
 
     Frames shorter than 3 (skewness) / 4 (kurtosis) rows give 0; a constant
@@ -87,7 +109,8 @@ def skew_kurt_columns(w, col: str, rows: int = 10, integral: bool = False) -> li
     g1 = F.skewness(x).over(f)
     g2 = F.kurtosis(x).over(f)
     if integral:
-        ok, eg1, eg2 = exact_moments(F.col(f"`{col}`"), f)
+        small = maxabs is not None and maxabs <= LONG_MOMENT_BOUND
+        ok, eg1, eg2 = exact_moments(F.col(f"`{col}`"), f, long_sums=small)
         g1 = F.when(ok, eg1).otherwise(g1)
         g2 = F.when(ok, eg2).otherwise(g2)
     skew = (F.when(n < 3, 0.0).when(const, 0.0)
@@ -97,7 +120,8 @@ def skew_kurt_columns(w, col: str, rows: int = 10, integral: bool = False) -> li
     return [_z(skew).alias(f"{col}_skewness"), _z(kurt).alias(f"{col}_kurtosis")]
 
 
-def quantile_columns(w, col: str, rows: int = 10, integral: bool = False) -> list[Column]:
+def quantile_columns(w, col: str, rows: int = 10, integral: bool = False,
+                     maxabs=None) -> list[Column]:
     x = F.col(f"`{col}`").cast("double")
     f = trailing(w, rows)
     q25 = F.percentile(x, 0.25).over(f)
@@ -106,16 +130,26 @@ def quantile_columns(w, col: str, rows: int = 10, integral: bool = False) -> lis
             _z(q75 - q25).alias(f"{col}_iqr")]
 
 
-def mean_std_columns(w, col: str, sizes=(5, 10, 20), integral: bool = False) -> list[Column]:
+def mean_std_columns(w, col: str, sizes=(5, 10, 20), integral: bool = False,
+                     maxabs=None) -> list[Column]:
     x = F.col(f"`{col}`")
     out = []
     for k in sizes:
         f = trailing(w, k)
         out += [_z(F.avg(x).over(f)).alias(f"{col}_rolling_mean_{k}"),
-                _z(F.sqrt(_var(x, f, integral))).alias(f"{col}_rolling_std_{k}")]
+                _z(F.sqrt(_var(x, f, integral, maxabs))).alias(f"{col}_rolling_std_{k}")]
     return out
 
 
+def integral_magnitudes(df: DataFrame, cols: list[str]) -> dict:
+    """Largest |x| per integral column (one small aggregate), which decides
+    whether exact window power sums fit in bigint."""
+    if not cols:
+        return {}
+    row = df.agg(*[F.max(F.abs(F.col(f"`{c}`"))).alias(f"m{i}") for i, c in enumerate(cols)]).collect()[0]
+    return {c: row[f"m{i}"] for i, c in enumerate(cols)}
+
+
 STAT_KINDS = {
     "var_std": var_std_columns,
     "skew_kurt": skew_kurt_columns,
@@ -124,36 +158,49 @@ STAT_KINDS = {
 }
 
 
-def rolling_features(df: DataFrame, cols: list[str], order_col: str,
-                     kinds=("var_std", "skew_kurt", "quantiles"),
-                     partition_cols: list[str] | None = None,
-                     bucket_rows: int = 1_000_000) -> DataFrame:
-    """Add the chosen trailing-window statistics for each column in ``cols``."""
-
-    integral = set(integral_columns(df))
-
+def _build_stats(cols, kinds, integral, maxabs):
     def build(w):
         out = []
         for c in cols:
             for k in kinds:
-                out += STAT_KINDS[k](w, c, integral=c in integral)
+                out += STAT_KINDS[k](w, c, integral=c in integral, maxabs=maxabs.get(c))
         return out
+    return build
 
-    return ordered_window(df, order_col, partition_cols, MAX_HALO, build, bucket_rows)
+
+def rolling_features(df: DataFrame, cols: list[str], order_col: str,
+                     kinds=("var_std", "skew_kurt", "quantiles"),
+                     partition_cols: list[str] | None = None,
+                     bucket_rows: int = 1_000_000) -> DataFrame:
+    """Add the chosen trailing-window statistics for each column in ``cols``."""
+    part = list(partition_cols or [])
+    indexed = dense_index(df, part + [order_col])          # checkpointed once
+    integral = [c for c in integral_columns(df) if c in cols]
+    maxabs = integral_magnitudes(indexed, integral)
+    out = halo_window(indexed, part, MAX_HALO, _build_stats(cols, kinds, integral, maxabs), bucket_rows)
+    return out.drop(IDX)
 
 
 def extract_statistical_features(df: DataFrame, cols: list[str], order_col: str,
                                  partition_cols: list[str] | None = None,
                                  bucket_rows: int = 1_000_000) -> DataFrame:
     """Per listed column: +-Inf to missing, exact median fill, then variance,
-    std (5 rows), skewness, kurtosis, q25, q75, IQR (10 rows); missing -> 0."""
+    std (5 rows), skewness, kurtosis, q25, q75, IQR (10 rows); missing -> 0.
+
+    The input is indexed (and checkpointed) first, so the median and
+    magnitude passes read the materialised copy instead of recomputing it.
+    """
     floats = set(float_columns(df))
     cleaned = df.select(*[finite_or_null(F.col(f"`{c}`")).alias(c) if (c in cols and c in floats)
                           else F.col(f"`{c}`") for c in df.columns])
-    fit = exact_medians(cleaned, cols, only_with_missing=True)
+    part = list(partition_cols or [])
+    indexed = dense_index(cleaned, part + [order_col])
+    fit = exact_medians(indexed, cols, only_with_missing=True)
     fills = {c: m for c, m in fit.medians.items() if m is not None and fit.missing[c] > 0}
     if fills:
-        cleaned = cleaned.fillna(fills)
-    out = rolling_features(cleaned, cols, order_col, partition_cols=partition_cols,
-                           bucket_rows=bucket_rows)
-    return out.fillna(0)
+        indexed = indexed.fillna(fills)
+    integral = [c for c in integral_columns(indexed) if c in cols]
+    maxabs = integral_magnitudes(indexed, integral)
+    out = halo_window(indexed, part, MAX_HALO, _build_stats(cols, ("var_std", "skew_kurt", "quantiles"),
+                                                            integral, maxabs), bucket_rows)
+    return out.drop(IDX).fillna(0)

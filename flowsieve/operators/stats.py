@@ -45,16 +45,30 @@ def exact_medians(df: DataFrame, cols: list[str], only_with_missing: bool = Fals
     clean = _as_double_clean(df, cols)
     eps = 1.0 / accuracy
     probs = [max(0.0, 0.5 - 3 * eps), min(1.0, 0.5 + 3 * eps)]
-    aggs = []
-    for i, c in enumerate(cols):
-        aggs += [F.count(F.col(c)).alias(f"n{i}"),
-                 F.count_if(F.col(c).isNull()).alias(f"m{i}"),
-                 F.percentile_approx(F.col(c), probs, accuracy).alias(f"b{i}")]
-    row = clean.agg(*aggs).collect()[0]           # one row: counts and brackets
-    n = {c: row[f"n{i}"] for i, c in enumerate(cols)}
-    miss = {c: row[f"m{i}"] for i, c in enumerate(cols)}
-    bracket = {c: row[f"b{i}"] for i, c in enumerate(cols)}
-    todo = [c for c in cols if n[c] > 0 and (miss[c] > 0 or not only_with_missing)]
+    if only_with_missing:
+        # cheap counting pass first; sketch only the columns to impute
+        row = clean.agg(*[F.count(F.col(c)).alias(f"n{i}") for i, c in enumerate(cols)],
+                        *[F.count_if(F.col(c).isNull()).alias(f"m{i}") for i, c in enumerate(cols)]
+                        ).collect()[0]
+        n = {c: row[f"n{i}"] for i, c in enumerate(cols)}
+        miss = {c: row[f"m{i}"] for i, c in enumerate(cols)}
+        sketch = [c for c in cols if miss[c] > 0 and n[c] > 0]
+        bracket = {}
+        if sketch:
+            row = clean.agg(*[F.percentile_approx(F.col(c), probs, accuracy).alias(f"b{i}")
+                              for i, c in enumerate(sketch)]).collect()[0]
+            bracket = {c: row[f"b{i}"] for i, c in enumerate(sketch)}
+    else:
+        aggs = []
+        for i, c in enumerate(cols):
+            aggs += [F.count(F.col(c)).alias(f"n{i}"),
+                     F.count_if(F.col(c).isNull()).alias(f"m{i}"),
+                     F.percentile_approx(F.col(c), probs, accuracy).alias(f"b{i}")]
+        row = clean.agg(*aggs).collect()[0]           # one row: counts and brackets
+        n = {c: row[f"n{i}"] for i, c in enumerate(cols)}
+        miss = {c: row[f"m{i}"] for i, c in enumerate(cols)}
+        bracket = {c: row[f"b{i}"] for i, c in enumerate(cols)}
+    todo = [c for c in cols if n[c] > 0 and c in bracket]
     medians = {c: None for c in cols}
     if not todo:
         return MedianFit(medians, miss)
@@ -100,9 +114,10 @@ def exact_medians(df: DataFrame, cols: list[str], only_with_missing: bool = Fals
             continue
         medians[c] = (r["v1"] + r["v2"]) / 2.0
     if fallback:
-        # Bracket missed (cannot happen within the sketch's error bound);
-        # use Spark's exact percentile for those columns.
-        row = clean.agg(*[F.median(c).alias(c) for c in fallback]).collect()[0]
-        for c in fallback:
-            medians[c] = row[c]
+        # The bracket missed the middle ranks (outside the sketch's error
+        # bound): retry those columns with a 10x wider bracket.
+        if accuracy <= 10:
+            raise RuntimeError(f"median bracket failed for {fallback}")
+        retry = exact_medians(df, fallback, False, max(10, accuracy // 10))
+        medians.update(retry.medians)
     return MedianFit(medians, miss)

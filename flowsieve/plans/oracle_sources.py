@@ -227,6 +227,20 @@ def union_sql():
     return "WITH " + FLOWS_CTE + ctes + f"\n, u AS ({body})\n" + _present("u")
 
 
+TSV_FIELDS = ["ts", "uid", "id.orig_h", "id.orig_p", "id.resp_h", "id.resp_p", "proto", "service",
+              "duration", "orig_pkts", "resp_pkts", "orig_bytes", "resp_bytes", "conn_state", "local_orig"]
+
+
+def tsv_sql():
+    cols = ", ".join(f'{f(i)} AS "{n}"' for i, n in enumerate(TSV_FIELDS))
+    return ("WITH " + FLOWS_CTE + f"""
+, conn_raw AS ({render_sql("conn")})
+, t AS (SELECT string_split(line, {TAB}) AS f
+        FROM (SELECT regexp_replace(value, '^\\s+|\\s+$', '', 'g') AS line FROM conn_raw)
+        WHERE length(line) > 0 AND NOT starts_with(line, '#'))
+SELECT {cols} FROM t""")
+
+
 ORACLE_SOURCES = {
     "conn_parse": parse_sql("conn"),
     "dns_parse": parse_sql("dns"),
@@ -234,4 +248,5 @@ ORACLE_SOURCES = {
     "ssl_parse": parse_sql("ssl"),
     "weird_parse": parse_sql("weird"),
     "zeek_union": union_sql(),
+    "zeek_tsv_scan": tsv_sql(),
 }

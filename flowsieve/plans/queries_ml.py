@@ -68,3 +68,12 @@ def q_train_score_eval(spark, sf_dir, kind: str = "mlp", max_iter: int = 50):
     ).select("m.*")
     b = auc.select(F.lit("roc_auc").alias("metric"), r6(F.col("roc_auc")).alias("value"))
     return a.unionByName(b)
+
+
+def q_loss_curve(spark, sf_dir, max_iter: int = 30):
+    """Objective value per training iteration of the perceptron detector."""
+    df, feats = _features(spark, sf_dir)
+    model = ml.train_detector(df, feats, "binary_label", kind="mlp", max_iter=max_iter)
+    hist = ml.training_history(model)
+    return spark.createDataFrame([(i + 1, float(v)) for i, v in enumerate(hist)],
+                                 "iteration int, loss double")

@@ -48,3 +48,18 @@ def write_zeek_folder(spark, sf_dir) -> str:
 def q_zeek_union(spark, sf_dir):
     path = write_zeek_folder(spark, sf_dir)
     return _present(zeek.read_zeek_dir(spark, path))
+
+
+def q_zeek_tsv_scan(spark, sf_dir):
+    """Header-driven scan: conn lines under a ``#fields`` header naming the
+    first 15 columns; every value stays text."""
+    path = work_dir(spark, "zeek-tsv")
+    lines = RENDERERS["conn"](flow_view(spark, sf_dir)).select("value")
+    header = spark.createDataFrame([("#fields\t" + "\t".join(TSV_FIELDS),)], "value string")
+    header.unionByName(lines).coalesce(1).write.mode("overwrite").text(path)
+    return zeek.read_zeek_tsv(spark, path).drop("source_file")
+
+
+# Column names of the conn layout (fixed values).
+TSV_FIELDS = ["ts", "uid", "id.orig_h", "id.orig_p", "id.resp_h", "id.resp_p", "proto", "service",
+              "duration", "orig_pkts", "resp_pkts", "orig_bytes", "resp_bytes", "conn_state", "local_orig"]

@@ -41,6 +41,7 @@ def spark_queries() -> dict:
         "ssl_parse": qs.q_ssl_parse,
         "weird_parse": qs.q_weird_parse,
         "zeek_union": qs.q_zeek_union,
+        "zeek_tsv_scan": qs.q_zeek_tsv_scan,
         "score_to_alerts": qa.q_score_to_alerts,
         "alert_rate_limited": qa.q_alert_rate_limited,
         "severity_counts": qa.q_severity_counts,
@@ -70,6 +71,7 @@ def spark_queries() -> dict:
         "anomaly_scores": qm.q_anomaly_scores,
         "feature_report": qm.q_feature_report,
         "train_score_eval": qm.q_train_score_eval,
+        "loss_curve": qm.q_loss_curve,
         "stream_alerts": qr.q_stream_alerts,
         "stream_counters": qr.q_stream_counters,
         "stream_alert_minutes": qr.q_stream_alert_minutes,

@@ -49,3 +49,10 @@ def drain(spark: SparkSession, path: str, after=None, max_rows: int = 100, ts_co
         ts, seq = after
         df = df.where((F.col(ts_col) > F.lit(ts)) | ((F.col(ts_col) == F.lit(ts)) & (F.col(seq_col) > seq)))
     return df.orderBy(ts_col, seq_col).limit(max_rows)
+
+
+def export_csv(df: DataFrame, path: str) -> None:
+    """Batch export with a header row (alerts, history, processed tables);
+    text is written as is (no whitespace trimming)."""
+    (df.write.mode("overwrite").option("header", True)
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))

@@ -42,6 +42,11 @@ def test_model_queries_shape(spark, key, rows):
     assert QUERIES[key](spark, SF_SMALL).count() == rows
 
 
+def test_loss_curve_decreases(spark):
+    pdf = QUERIES["loss_curve"](spark, SF_SMALL).toPandas()
+    assert len(pdf) > 1 and pdf["loss"].iloc[-1] < pdf["loss"].iloc[0]
+
+
 def test_row_preserving_model_queries(spark):
     n = QUERIES["flow_ratios"](spark, SF_SMALL).count()
     assert QUERIES["anomaly_scores"](spark, SF_SMALL).count() == n
