@@ -63,15 +63,19 @@ def port_columns(df: DataFrame) -> list[str]:
     return [c for c in numeric_columns(df, exclude=[]) if "port" in c.lower()]
 
 
-def extract_flow_features(df: DataFrame, protocols: list[str] | None = None) -> FeatureResult:
+def extract_flow_features(df: DataFrame, protocols: list[str] | None = None,
+                          flags: list[str] | None = None, ports: list[str] | None = None) -> FeatureResult:
     """Packet/byte/time/IAT features, flag totals, protocol one-hot, port classes.
 
-    Non-finite numbers become missing and every missing number becomes 0.
+    Flag and port columns are found by name unless given. Non-finite numbers
+    become missing and every missing number becomes 0.
     """
     cols = set(df.columns)
     if protocols is None and "protocol" in cols:
         protocols = protocol_values(df)
-    new = fx.flow_features(cols, flag_columns(df), port_columns(df), protocols)
+    flags = flag_columns(df) if flags is None else flags
+    ports = port_columns(df) if ports is None else ports
+    new = fx.flow_features(cols, flags, ports, protocols)
     out = _add(df, new)
     floats = set(float_columns(out))
     out = out.select(*[finite_or_null(F.col(f"`{c}`")).alias(c) if c in floats else F.col(f"`{c}`")

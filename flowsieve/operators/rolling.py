@@ -21,71 +21,87 @@ def _z(c: Column) -> Column:
     return F.coalesce(c, F.lit(0.0))
 
 
-VAR_LONG_BOUND = 600_000_000      # |x| bound for squared sums of 20 rows in bigint
+LONG_MAX = 9_000_000_000_000_000_000     # below 2^63, margin for sums
 
 
-def exact_var_samp(x: Column, f, long_sums: bool = False) -> Column:
-    """Sample variance of an integral column from exact power sums.
+def _power_sums(x: Column, f, center, dmax, rows: int, powers: int):
+    """Exact sums of (x - center)^k over the frame for k = 1..powers.
 
-    n*sum(x^2) - sum(x)^2 is computed without rounding (bigint sums when the
-    column's values are small enough, else decimal(38,0)), so the only
-    rounding is the final division; NULL for a single-row frame.
+    Centring changes none of the central moments (the integer combinations
+    below are shift-invariant exactly); each power is summed in bigint when
+    ``rows * dmax^k`` fits, else in decimal(38,0).
     """
     dec = "decimal(38,0)"
+    xl = x.cast("bigint") - F.lit(int(center))
+    sums = []
+    for k in range(1, powers + 1):
+        term = xl
+        if dmax is not None and rows * float(dmax) ** k < LONG_MAX:
+            for _ in range(k - 1):
+                term = term * xl
+            sums.append(F.sum(term).over(f).cast(dec))
+        else:
+            xd = xl.cast(dec)
+            term = xd
+            for _ in range(k - 1):
+                term = term * xd
+            sums.append(F.sum(term).over(f))
+    return sums
+
+
+def exact_var_samp(x: Column, f, rng=None, rows: int = 20) -> Column:
+    """Sample variance of an integral column from exact power sums:
+    n*sum(x^2) - sum(x)^2 without rounding, so the only rounding is the
+    final division; NULL for a single-row frame. ``rng`` = (min, max) of the
+    column (centring and the bigint-or-decimal choice)."""
+    dec = "decimal(38,0)"
+    center, dmax = _center(rng)
     n = F.count(x).over(f)
-    if long_sums:
-        xl = x.cast("bigint")
-        s1, s2 = F.sum(xl).over(f).cast(dec), F.sum(xl * xl).over(f).cast(dec)
-    else:
-        xd = x.cast(dec)
-        s1, s2 = F.sum(xd).over(f), F.sum(xd * xd).over(f)
+    s1, s2 = _power_sums(x, f, center, dmax, rows, 2)
     m2 = (n.cast(dec) * s2 - s1 * s1).cast("double")
     return F.when(n > 1, m2 / (n * (n - 1)).cast("double"))
 
 
-def _var(x: Column, f, integral: bool, maxabs=None) -> Column:
+def _center(rng):
+    if not rng or rng[0] is None:
+        return 0, None
+    lo, hi = int(rng[0]), int(rng[1])
+    c = (lo + hi) // 2
+    return c, max(hi - c, c - lo)
+
+
+def _var(x: Column, f, integral: bool, maxabs=None, rows: int = 20) -> Column:
     if not integral:
         return F.var_samp(x).over(f)
-    return exact_var_samp(x, f, maxabs is not None and maxabs <= VAR_LONG_BOUND)
+    return exact_var_samp(x, f, maxabs, rows)
 
 
 def var_std_columns(w, col: str, rows: int = 5, integral: bool = False, maxabs=None) -> list[Column]:
     x = F.col(f"`{col}`")
     f = trailing(w, rows)
-    v = _var(x, f, integral, maxabs)
+    v = _var(x, f, integral, maxabs, rows)
     return [_z(v).alias(f"{col}_variance"),
             _z(F.sqrt(v)).alias(f"{col}_std")]
 
 
-EXACT_MOMENT_BOUND = 10_000_000   # |x| bound for exact 4th-power sums in 38 digits
-LONG_MOMENT_BOUND = 30_000        # |x| bound for 4th-power sums of 10 rows in bigint
+EXACT_MOMENT_BOUND = 10_000_000   # |x - centre| bound for 4th-power sums in 38 digits
 
 
-def exact_moments(x: Column, f, long_sums: bool = False) -> tuple[Column, Column, Column]:
+def exact_moments(x: Column, f, rng=None, rows: int = 10) -> tuple[Column, Column, Column]:
     """Population skewness g1 and excess kurtosis g2 of an integral column
-    from exact power sums (decimal(38,0)); NULL when any value in the frame
-    exceeds ``EXACT_MOMENT_BOUND`` (the caller then uses Spark's moments).
+    from exact power sums of centred values; ``ok`` is false (the caller
+    then uses Spark's moments) when the column is too wide for 38 digits.
 
     With s_k = sum(x^k): n^2 m2 = n s2 - s1^2, n^3 m3 = n^2 s3 - 3 n s1 s2 +
     2 s1^3, n^4 m4 = n^3 s4 - 4 n^2 s1 s3 + 6 n s1^2 s2 - 3 s1^4.
     """
-    dec = "decimal(38,0)"
-    n = F.count(x).over(f).cast(dec)
-    if long_sums:
-        # every |x| in the column is below LONG_MOMENT_BOUND: power sums are
-        # exact in bigint; only the per-row combination needs 38 digits
-        xl = x.cast("bigint")
-        ok = F.lit(True)
-        s1, s2, s3, s4 = (F.sum(xl).over(f).cast(dec), F.sum(xl * xl).over(f).cast(dec),
-                          F.sum(xl * xl * xl).over(f).cast(dec),
-                          F.sum(xl * xl * xl * xl).over(f).cast(dec))
-    else:
-        small = F.when(F.abs(x) <= EXACT_MOMENT_BOUND, x).cast(dec)
-        ok = F.count(small).over(f) == F.count(x).over(f)
-        s1 = F.sum(small).over(f)
-        s2 = F.sum(small * small).over(f)
-        s3 = F.sum(small * small * small).over(f)
-        s4 = F.sum(small * small * small * small).over(f)
+    center, dmax = _center(rng)
+    ok = F.lit(dmax is not None and dmax <= EXACT_MOMENT_BOUND)
+    if dmax is None or dmax > EXACT_MOMENT_BOUND:
+        zero = F.lit(0.0)
+        return F.lit(False), zero, zero
+    n = F.count(x).over(f).cast("decimal(38,0)")
+    s1, s2, s3, s4 = _power_sums(x, f, center, dmax, rows, 4)
     m2 = (n * s2 - s1 * s1).cast("double")
     m3 = (n * n * s3 - 3 * n * s1 * s2 + 2 * s1 * s1 * s1).cast("double")
     m4 = (n * n * n * s4 - 4 * n * n * s1 * s3 + 6 * n * s1 * s1 * s2
@@ -106,13 +122,13 @@ def skew_kurt_columns(w, col: str, rows: int = 10, integral: bool = False,
     f = trailing(w, rows)
     n = F.count(x).over(f).cast("double")
     const = F.max(x).over(f) == F.min(x).over(f)
-    g1 = F.skewness(x).over(f)
-    g2 = F.kurtosis(x).over(f)
-    if integral:
-        small = maxabs is not None and maxabs <= LONG_MOMENT_BOUND
-        ok, eg1, eg2 = exact_moments(F.col(f"`{col}`"), f, long_sums=small)
-        g1 = F.when(ok, eg1).otherwise(g1)
-        g2 = F.when(ok, eg2).otherwise(g2)
+    center, dmax = _center(maxabs) if integral else (0, None)
+    if integral and dmax is not None and dmax <= EXACT_MOMENT_BOUND:
+        # exact power sums only (decided at plan time from the column range)
+        _, g1, g2 = exact_moments(F.col(f"`{col}`"), f, maxabs, rows)
+    else:
+        g1 = F.skewness(x).over(f)
+        g2 = F.kurtosis(x).over(f)
     skew = (F.when(n < 3, 0.0).when(const, 0.0)
             .otherwise(g1 * F.sqrt(n * (n - 1)) / (n - 2)))
     kurt = (F.when(n < 4, 0.0).when(const, -3.0)
@@ -137,17 +153,20 @@ def mean_std_columns(w, col: str, sizes=(5, 10, 20), integral: bool = False,
     for k in sizes:
         f = trailing(w, k)
         out += [_z(F.avg(x).over(f)).alias(f"{col}_rolling_mean_{k}"),
-                _z(F.sqrt(_var(x, f, integral, maxabs))).alias(f"{col}_rolling_std_{k}")]
+                _z(F.sqrt(_var(x, f, integral, maxabs, k))).alias(f"{col}_rolling_std_{k}")]
     return out
 
 
 def integral_magnitudes(df: DataFrame, cols: list[str]) -> dict:
-    """Largest |x| per integral column (one small aggregate), which decides
-    whether exact window power sums fit in bigint."""
+    """(min, max) per integral column (one aggregate row): the centre and
+    width that decide whether exact window power sums fit in bigint."""
     if not cols:
         return {}
-    row = df.agg(*[F.max(F.abs(F.col(f"`{c}`"))).alias(f"m{i}") for i, c in enumerate(cols)]).collect()[0]
-    return {c: row[f"m{i}"] for i, c in enumerate(cols)}
+    aggs = []
+    for i, c in enumerate(cols):
+        aggs += [F.min(F.col(f"`{c}`")).alias(f"lo{i}"), F.max(F.col(f"`{c}`")).alias(f"hi{i}")]
+    row = df.agg(*aggs).collect()[0]
+    return {c: (row[f"lo{i}"], row[f"hi{i}"]) for i, c in enumerate(cols)}
 
 
 STAT_KINDS = {

@@ -9,12 +9,15 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowsieve.functions.columns import numeric_columns
+from flowsieve.functions.columns import finite_or_null, float_columns, integral_columns, numeric_columns
 from flowsieve.operators.clean import clean_dataset
-from flowsieve.operators.features import (extract_features, extract_flow_features,
-                                          extract_temporal_features)
+from flowsieve.operators.features import (extract_features, extract_flow_features, flag_columns,
+                                          port_columns)
 from flowsieve.operators.labels import encode_labels, stratified_split
-from flowsieve.operators.rolling import extract_statistical_features
+from flowsieve.operators.ordering import IDX, dense_index, halo_window
+from flowsieve.operators.rolling import (MAX_HALO, integral_magnitudes, mean_std_columns,
+                                         quantile_columns, skew_kurt_columns, var_std_columns)
+from flowsieve.operators.stats import exact_medians
 from flowsieve.operators.scale import normalize_features
 from flowsieve.operators.selection import anova_f_scores, create_interaction_features, mutual_info_scores
 from flowsieve.schema import TARGET_COLUMNS
@@ -30,13 +33,39 @@ class Prepared:
 def engineer_all_features(df: DataFrame, order_col: str, target: str = "label",
                           bucket_rows: int = 1_000_000) -> Prepared:
     """Statistical windows on the first ten numeric columns, flow features,
-    rolling means/stds, then interaction terms (original columns only feed
-    the flag and port rules)."""
+    rolling means/stds of the first five, then interaction terms.
+
+    One dense index and one window pass serve both window families (the
+    rolling step reads the median-filled columns, as in sequence); the flag
+    and port rules look at the original columns only.
+    """
     numeric = numeric_columns(df, exclude=[target, *TARGET_COLUMNS, order_col])
-    out = extract_statistical_features(df, numeric[:10], order_col, bucket_rows=bucket_rows)
-    out = extract_flow_features(out).frame
-    out = extract_temporal_features(out, None, order_col, rolling_cols=numeric[:5],
-                                    bucket_rows=bucket_rows).frame
+    stat_cols, roll_cols = numeric[:10], numeric[:5]
+    floats = set(float_columns(df))
+    cleaned = df.select(*[finite_or_null(F.col(f"`{c}`")).alias(c) if (c in stat_cols and c in floats)
+                          else F.col(f"`{c}`") for c in df.columns])
+    indexed = dense_index(cleaned, [order_col])
+    fit = exact_medians(indexed, stat_cols, only_with_missing=True)
+    fills = {c: m for c, m in fit.medians.items() if m is not None and fit.missing[c] > 0}
+    if fills:
+        indexed = indexed.fillna(fills)
+    integral = [c for c in integral_columns(indexed) if c in stat_cols]
+    maxabs = integral_magnitudes(indexed, integral)
+
+    def build(w):
+        out = []
+        for c in stat_cols:
+            for fn in (var_std_columns, skew_kurt_columns, quantile_columns):
+                out += fn(w, c, integral=c in integral, maxabs=maxabs.get(c))
+        for c in roll_cols:
+            out += mean_std_columns(w, c, integral=c in integral, maxabs=maxabs.get(c))
+        return out
+
+    out = halo_window(indexed, [], MAX_HALO, build, bucket_rows).drop(IDX).fillna(0)
+    out = extract_flow_features(out, flags=flag_columns(df), ports=port_columns(df)).frame
+    # the variance ranking and the final projection both need every window
+    # column: materialise them once in the shared checkpoint folder
+    out = out.checkpoint(eager=True)
     feats = numeric_columns(out, exclude=[target, *TARGET_COLUMNS, order_col])
     out, pairs = create_interaction_features(out, feats)
     new = [c for c in out.columns if c not in df.columns]
