@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from flowsieve.functions.columns import missing, numeric_columns, r6
+from flowsieve.functions.columns import missing, r6
 from flowsieve.functions.validate import canonical_flows, fit_width
 from flowsieve.operators import evaluate as ev
 from flowsieve.operators.features import extract_features
@@ -129,5 +129,3 @@ def q_feature_width_fit(spark, sf_dir):
     return fl.select("flow_seq", *[padded[i].alias(f"p{i}") for i in range(8)],
                      *[cut[i].alias(f"t{i}") for i in range(3)])
 
-
-__all__ = ["numeric_columns"]

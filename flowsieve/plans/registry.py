@@ -19,7 +19,22 @@ from flowsieve.plans.oracle_sources import ORACLE_SOURCES
 from flowsieve.plans.oracle_stats import ORACLE_STATS
 
 
+def _utc(fn):
+    """Queries read naive (wall-clock) timestamps as UTC; pin the session
+    zone so epoch conversions do not depend on the caller's setting."""
+    def run(spark, sf_dir):
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        return fn(spark, sf_dir)
+    run.__name__ = getattr(fn, "__name__", "query")
+    run.__doc__ = fn.__doc__
+    return run
+
+
 def spark_queries() -> dict:
+    return {k: _utc(v) for k, v in _queries().items()}
+
+
+def _queries() -> dict:
     return {
         "flow_profile": qc.q_flow_profile,
         "clean_dataset": qc.q_clean_dataset,

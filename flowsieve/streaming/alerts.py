@@ -13,7 +13,6 @@ order across triggers.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -108,4 +107,4 @@ def clean_stream(flows: DataFrame, medians: dict, key_cols: list[str], ts_col: s
     return out.dropDuplicatesWithinWatermark(key_cols).drop("_event_time")
 
 
-__all__ = ["rate_limit_stream", "counters_stream", "minute_windows_stream", "clean_stream", "pd"]
+__all__ = ["rate_limit_stream", "counters_stream", "minute_windows_stream", "clean_stream"]
