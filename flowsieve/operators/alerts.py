@@ -135,7 +135,7 @@ def recent_alerts(alerts: DataFrame, n: int = 10, order_cols=("timestamp", "flow
 
 
 def running_counters(scored: DataFrame, ts_col: str = "flow_ts", key: str = "flow_seq",
-                     bucket_rows: int = 1_000_000) -> DataFrame:
+                     bucket_rows: int | None = None) -> DataFrame:
     """Cumulative pipeline counters after each flow in time order, with
     detection and alert rates in percent (denominators at least 1)."""
     mal = F.when(F.col("prediction") == "MALICIOUS", 1).otherwise(0).cast("long")

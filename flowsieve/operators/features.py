@@ -87,7 +87,7 @@ def extract_flow_features(df: DataFrame, protocols: list[str] | None = None,
 def extract_temporal_features(df: DataFrame, timestamp_col: str | None, order_col: str,
                               rolling_cols: list[str] | None = None,
                               partition_cols: list[str] | None = None,
-                              bucket_rows: int = 1_000_000) -> FeatureResult:
+                              bucket_rows: int | None = None) -> FeatureResult:
     """Calendar features of ``timestamp_col`` plus rolling mean/std (5, 10, 20
     rows) of the first five numeric columns, ordered by ``order_col``."""
     out = df

@@ -42,6 +42,12 @@ def dense_index(df: DataFrame, order_cols: list, num_partitions: int | None = No
 
     ``order_cols`` must define a total order (include a unique key).
     """
+    return dense_index_with_total(df, order_cols, num_partitions, idx_col)[0]
+
+
+def dense_index_with_total(df: DataFrame, order_cols: list, num_partitions: int | None = None,
+                           idx_col: str = IDX) -> tuple[DataFrame, int]:
+    """``dense_index`` plus the row count (known from the partition counts)."""
     n_parts = _num_partitions(df, num_partitions)
     cols = [F.col(c) if isinstance(c, str) else c for c in order_cols]
     ranged = df.repartitionByRange(n_parts, *cols).sortWithinPartitions(*cols)
@@ -60,17 +66,32 @@ def dense_index(df: DataFrame, order_cols: list, num_partitions: int | None = No
     local = F.col("_mono").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))
     joined = tagged.join(F.broadcast(off), pid == F.col("_pid"))  # size = partition count
     return joined.select(*[F.col(f"`{c}`") for c in df.columns],
-                         (F.col("_off") + local).alias(idx_col))
+                         (F.col("_off") + local).alias(idx_col)), running
+
+
+MAX_BUCKET_ROWS = 1_000_000
+
+
+def bucket_size(spark, total_rows: int, halo: int, max_rows: int = MAX_BUCKET_ROWS) -> int:
+    """Rows per halo bucket: about four buckets per core of the cluster,
+    at most ``max_rows`` (bounded task memory), at least ``8 * (halo + 1)``
+    (halo copies stay a small fraction)."""
+    cores = max(1, spark.sparkContext.defaultParallelism)
+    target = -(-max(total_rows, 1) // (4 * cores))
+    return int(max(8 * (halo + 1), min(max_rows, target)))
 
 
 def halo_window(indexed: DataFrame, partition_cols: list[str], halo: int,
-                build, bucket_rows: int = 1_000_000, idx_col: str = IDX) -> DataFrame:
+                build, bucket_rows: int | None = None, idx_col: str = IDX,
+                total_rows: int | None = None) -> DataFrame:
     """Evaluate trailing-frame window columns per bucket of the dense index.
 
     ``build(w)`` receives a ``Window`` spec (partitioned by bucket and
     ``partition_cols``, ordered by the index) and returns a list of named
     Columns. Frames must not reach further back than ``halo`` rows.
     """
+    if bucket_rows is None:
+        bucket_rows = bucket_size(indexed.sparkSession, total_rows or MAX_BUCKET_ROWS, halo)
     if bucket_rows <= halo:
         raise ValueError("bucket_rows must exceed the halo size")
     idx = F.col(idx_col)
@@ -91,17 +112,17 @@ def trailing(w: Window, rows: int) -> Window:
 
 
 def ordered_window(df: DataFrame, order_col: str, partition_cols: list[str] | None,
-                   halo: int, build, bucket_rows: int = 1_000_000,
+                   halo: int, build, bucket_rows: int | None = None,
                    num_partitions: int | None = None) -> DataFrame:
     """Dense-index ``df`` by ``(partition_cols, order_col)`` and apply ``build``."""
     part = list(partition_cols or [])
-    indexed = dense_index(df, part + [order_col], num_partitions)
-    out = halo_window(indexed, part, halo, build, bucket_rows)
+    indexed, total = dense_index_with_total(df, part + [order_col], num_partitions)
+    out = halo_window(indexed, part, halo, build, bucket_rows, total_rows=total)
     return out.drop(IDX)
 
 
 
-def running_totals(df: DataFrame, order_cols: list, sum_cols: dict, bucket_rows: int = 1_000_000,
+def running_totals(df: DataFrame, order_cols: list, sum_cols: dict, bucket_rows: int | None = None,
                    num_partitions: int | None = None) -> DataFrame:
     """Cumulative sums in ``order_cols`` order without a single-task window.
 
@@ -110,7 +131,8 @@ def running_totals(df: DataFrame, order_cols: list, sum_cols: dict, bucket_rows:
     bucket adds the total of all earlier buckets (a table of n / bucket_rows
     rows, broadcast back).
     """
-    indexed = dense_index(df, order_cols, num_partitions)
+    indexed, total = dense_index_with_total(df, order_cols, num_partitions)
+    bucket_rows = bucket_rows or bucket_size(df.sparkSession, total, 0)
     spread = indexed.withColumn("_bucket", F.floor(F.col(IDX) / bucket_rows).cast("long"))
     spread = spread.select("*", *[c.alias(f"_v_{n}") for n, c in sum_cols.items()])
     w = (Window.partitionBy("_bucket").orderBy(IDX)

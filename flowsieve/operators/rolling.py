@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowsieve.functions.columns import finite_or_null, float_columns, integral_columns
-from flowsieve.operators.ordering import IDX, dense_index, halo_window, trailing
+from flowsieve.operators.ordering import IDX, dense_index_with_total, halo_window, trailing
 from flowsieve.operators.stats import exact_medians
 
 MAX_HALO = 19   # the widest frame is 20 rows
@@ -190,19 +190,20 @@ def _build_stats(cols, kinds, integral, maxabs):
 def rolling_features(df: DataFrame, cols: list[str], order_col: str,
                      kinds=("var_std", "skew_kurt", "quantiles"),
                      partition_cols: list[str] | None = None,
-                     bucket_rows: int = 1_000_000) -> DataFrame:
+                     bucket_rows: int | None = None) -> DataFrame:
     """Add the chosen trailing-window statistics for each column in ``cols``."""
     part = list(partition_cols or [])
-    indexed = dense_index(df, part + [order_col])          # checkpointed once
+    indexed, total = dense_index_with_total(df, part + [order_col])   # checkpointed once
     integral = [c for c in integral_columns(df) if c in cols]
     maxabs = integral_magnitudes(indexed, integral)
-    out = halo_window(indexed, part, MAX_HALO, _build_stats(cols, kinds, integral, maxabs), bucket_rows)
+    out = halo_window(indexed, part, MAX_HALO, _build_stats(cols, kinds, integral, maxabs), bucket_rows,
+                      total_rows=total)
     return out.drop(IDX)
 
 
 def extract_statistical_features(df: DataFrame, cols: list[str], order_col: str,
                                  partition_cols: list[str] | None = None,
-                                 bucket_rows: int = 1_000_000) -> DataFrame:
+                                 bucket_rows: int | None = None) -> DataFrame:
     """Per listed column: +-Inf to missing, exact median fill, then variance,
     std (5 rows), skewness, kurtosis, q25, q75, IQR (10 rows); missing -> 0.
 
@@ -213,7 +214,7 @@ def extract_statistical_features(df: DataFrame, cols: list[str], order_col: str,
     cleaned = df.select(*[finite_or_null(F.col(f"`{c}`")).alias(c) if (c in cols and c in floats)
                           else F.col(f"`{c}`") for c in df.columns])
     part = list(partition_cols or [])
-    indexed = dense_index(cleaned, part + [order_col])
+    indexed, total = dense_index_with_total(cleaned, part + [order_col])
     fit = exact_medians(indexed, cols, only_with_missing=True)
     fills = {c: m for c, m in fit.medians.items() if m is not None and fit.missing[c] > 0}
     if fills:
@@ -221,5 +222,5 @@ def extract_statistical_features(df: DataFrame, cols: list[str], order_col: str,
     integral = [c for c in integral_columns(indexed) if c in cols]
     maxabs = integral_magnitudes(indexed, integral)
     out = halo_window(indexed, part, MAX_HALO, _build_stats(cols, ("var_std", "skew_kurt", "quantiles"),
-                                                            integral, maxabs), bucket_rows)
+                                                            integral, maxabs), bucket_rows, total_rows=total)
     return out.drop(IDX).fillna(0)

@@ -14,7 +14,7 @@ from flowsieve.operators.clean import clean_dataset
 from flowsieve.operators.features import (extract_features, extract_flow_features, flag_columns,
                                           port_columns)
 from flowsieve.operators.labels import encode_labels, stratified_split
-from flowsieve.operators.ordering import IDX, dense_index, halo_window
+from flowsieve.operators.ordering import IDX, dense_index_with_total, halo_window
 from flowsieve.operators.rolling import (MAX_HALO, integral_magnitudes, mean_std_columns,
                                          quantile_columns, skew_kurt_columns, var_std_columns)
 from flowsieve.operators.stats import exact_medians
@@ -31,7 +31,7 @@ class Prepared:
 
 
 def engineer_all_features(df: DataFrame, order_col: str, target: str = "label",
-                          bucket_rows: int = 1_000_000) -> Prepared:
+                          bucket_rows: int | None = None) -> Prepared:
     """Statistical windows on the first ten numeric columns, flow features,
     rolling means/stds of the first five, then interaction terms.
 
@@ -44,7 +44,7 @@ def engineer_all_features(df: DataFrame, order_col: str, target: str = "label",
     floats = set(float_columns(df))
     cleaned = df.select(*[finite_or_null(F.col(f"`{c}`")).alias(c) if (c in stat_cols and c in floats)
                           else F.col(f"`{c}`") for c in df.columns])
-    indexed = dense_index(cleaned, [order_col])
+    indexed, total = dense_index_with_total(cleaned, [order_col])
     fit = exact_medians(indexed, stat_cols, only_with_missing=True)
     fills = {c: m for c, m in fit.medians.items() if m is not None and fit.missing[c] > 0}
     if fills:
@@ -61,7 +61,7 @@ def engineer_all_features(df: DataFrame, order_col: str, target: str = "label",
             out += mean_std_columns(w, c, integral=c in integral, maxabs=maxabs.get(c))
         return out
 
-    out = halo_window(indexed, [], MAX_HALO, build, bucket_rows).drop(IDX).fillna(0)
+    out = halo_window(indexed, [], MAX_HALO, build, bucket_rows, total_rows=total).drop(IDX).fillna(0)
     out = extract_flow_features(out, flags=flag_columns(df), ports=port_columns(df)).frame
     # the variance ranking and the final projection both need every window
     # column: materialise them once in the shared checkpoint folder
