@@ -209,16 +209,22 @@ PARSERS = {"conn": parse_conn, "dns": parse_dns, "http": parse_http, "ssl": pars
 
 
 def read_zeek_dir(spark, path: str) -> DataFrame:
-    """Scan ``<path>/*.log``; parse the five known kinds by name (a file
-    ``conn.log`` or a folder ``conn.log/`` of part files), ignore other
-    kinds, union by name.
+    """Parse the five known kinds of a log folder (a file ``conn.log`` or a
+    folder ``conn.log/`` of part files, ...), ignore other kinds, union by
+    name. Each kind reads only its own path; absent kinds are skipped.
     """
-    lines = spark.read.text(f"{path.rstrip('/')}/*.log")
-    kind_of = F.regexp_extract(F.col("_metadata.file_path"), r"([A-Za-z0-9_]+)\.log(/[^/]+)?$", 1)
+    from pyspark.errors import AnalysisException
+
     out = None
     for kind in ZEEK_LOG_KINDS:
-        parsed = PARSERS[kind](lines.where(kind_of == kind))
+        try:
+            lines = spark.read.text(f"{path.rstrip('/')}/{kind}.log")
+        except AnalysisException:            # no log of this kind
+            continue
+        parsed = PARSERS[kind](lines)
         out = parsed if out is None else out.unionByName(parsed, allowMissingColumns=True)
+    if out is None:
+        raise ValueError(f"no known log kind under {path}")
     return out
 
 
