@@ -88,12 +88,15 @@ def halo_window(indexed: DataFrame, partition_cols: list[str], halo: int,
 
     ``build(w)`` receives a ``Window`` spec (partitioned by bucket and
     ``partition_cols``, ordered by the index) and returns a list of named
-    Columns. Frames must not reach further back than ``halo`` rows.
+    Columns, or ``(pre, cols)`` when ``cols`` read window columns computed
+    first by ``pre`` (same spec: no extra shuffle or sort). Frames must not
+    reach further back than ``halo`` rows; buckets hold at most
+    ``MAX_BUCKET_ROWS`` rows.
     """
     if bucket_rows is None:
         bucket_rows = bucket_size(indexed.sparkSession, total_rows or MAX_BUCKET_ROWS, halo)
-    if bucket_rows <= halo:
-        raise ValueError("bucket_rows must exceed the halo size")
+    if bucket_rows <= halo or bucket_rows > MAX_BUCKET_ROWS:
+        raise ValueError("bucket_rows must exceed the halo size and stay within MAX_BUCKET_ROWS")
     idx = F.col(idx_col)
     own = F.floor(idx / bucket_rows).cast("long")
     is_tail = (idx % bucket_rows) >= (bucket_rows - halo)
@@ -101,9 +104,12 @@ def halo_window(indexed: DataFrame, partition_cols: list[str], halo: int,
     spread = (indexed.withColumn("_own", own)
               .withColumn("_bucket", F.explode(copies)))
     w = Window.partitionBy("_bucket", *partition_cols).orderBy(idx_col)
-    cols = build(w)
-    out = spread.select("*", *cols).where(F.col("_bucket") == F.col("_own"))
-    return out.drop("_bucket", "_own")
+    built = build(w)
+    pre, cols = built if isinstance(built, tuple) else ([], built)
+    staged = spread.select("*", *pre) if pre else spread
+    out = staged.select("*", *cols).where(F.col("_bucket") == F.col("_own"))
+    out = out.drop("_bucket", "_own")
+    return out.select(*[c for c in out.columns if not c.startswith("_run_")])
 
 
 def trailing(w: Window, rows: int) -> Window:

@@ -7,11 +7,12 @@ All frames share one window spec, so Spark sorts once per bucket.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowsieve.functions.columns import finite_or_null, float_columns, integral_columns
-from flowsieve.operators.ordering import IDX, dense_index_with_total, halo_window, trailing
+from flowsieve.operators.ordering import (IDX, MAX_BUCKET_ROWS, dense_index_with_total, halo_window,
+                                          trailing)
 from flowsieve.operators.stats import exact_medians
 
 MAX_HALO = 19   # the widest frame is 20 rows
@@ -22,42 +23,63 @@ def _z(c: Column) -> Column:
 
 
 LONG_MAX = 9_000_000_000_000_000_000     # below 2^63, margin for sums
+SPAN = 2 * MAX_BUCKET_ROWS               # rows a running sum can cover (bucket + halo)
 
 
-def _power_sums(x: Column, f, center, dmax, rows: int, powers: int):
-    """Exact sums of (x - center)^k over the frame for k = 1..powers.
+def _safe(name: str) -> str:
+    return "".join(ch if ch.isalnum() else "_" for ch in name)
 
-    Centring changes none of the central moments (the integer combinations
-    below are shift-invariant exactly); each power is summed in bigint when
-    ``rows * dmax^k`` fits, else in decimal(38,0).
+
+def _power_sums(x: Column, w, name: str, center, dmax, rows: int, powers: int, pre: dict):
+    """Exact sums of (x - center)^k over the trailing ``rows``-row frame,
+    k = 1..powers, plus the non-null count; returns (n, [s1, ...]).
+
+    Each frame sum is a difference of running sums, running[i] -
+    running[i - rows], so every row costs a constant number of additions
+    (the running sums are registered in ``pre`` and computed in an earlier
+    projection; frames of any size share them). Centring changes none of the
+    central moments (the integer combinations are shift-invariant exactly);
+    a power runs in bigint when ``SPAN * dmax^k`` fits, else in decimal(38,0).
     """
     dec = "decimal(38,0)"
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    base = f"_run_{_safe(name)}"
+    cnt_name = f"{base}_n"
+    pre.setdefault(cnt_name, F.count(x).over(run).alias(cnt_name))
+
+    def frame(col_name):
+        c = F.col(col_name)
+        return c - F.coalesce(F.lag(c, rows).over(w), F.lit(0).cast(c_type[col_name]))
+
+    c_type = {cnt_name: "bigint"}
     xl = x.cast("bigint") - F.lit(int(center))
     sums = []
     for k in range(1, powers + 1):
-        term = xl
-        if dmax is not None and rows * float(dmax) ** k < LONG_MAX:
+        cname = f"{base}_c{int(center)}_p{k}".replace("-", "m")
+        if dmax is not None and SPAN * float(dmax) ** k < LONG_MAX:
+            term = xl
             for _ in range(k - 1):
                 term = term * xl
-            sums.append(F.sum(term).over(f).cast(dec))
+            c_type[cname] = "bigint"
         else:
             xd = xl.cast(dec)
             term = xd
             for _ in range(k - 1):
                 term = term * xd
-            sums.append(F.sum(term).over(f))
-    return sums
+            c_type[cname] = dec
+        pre.setdefault(cname, F.sum(term).over(run).alias(cname))
+        sums.append(frame(cname).cast(dec))
+    return frame(cnt_name), sums
 
 
-def exact_var_samp(x: Column, f, rng=None, rows: int = 20) -> Column:
+def exact_var_samp(x: Column, w, name: str, pre: dict, rng=None, rows: int = 20) -> Column:
     """Sample variance of an integral column from exact power sums:
     n*sum(x^2) - sum(x)^2 without rounding, so the only rounding is the
     final division; NULL for a single-row frame. ``rng`` = (min, max) of the
     column (centring and the bigint-or-decimal choice)."""
     dec = "decimal(38,0)"
     center, dmax = _center(rng)
-    n = F.count(x).over(f)
-    s1, s2 = _power_sums(x, f, center, dmax, rows, 2)
+    n, (s1, s2) = _power_sums(x, w, name, center, dmax, rows, 2, pre)
     m2 = (n.cast(dec) * s2 - s1 * s1).cast("double")
     return F.when(n > 1, m2 / (n * (n - 1)).cast("double"))
 
@@ -70,16 +92,16 @@ def _center(rng):
     return c, max(hi - c, c - lo)
 
 
-def _var(x: Column, f, integral: bool, maxabs=None, rows: int = 20) -> Column:
-    if not integral:
-        return F.var_samp(x).over(f)
-    return exact_var_samp(x, f, maxabs, rows)
+def _var(x: Column, w, rows: int, integral: bool, maxabs=None, name: str = "", pre=None) -> Column:
+    if not integral or pre is None:
+        return F.var_samp(x).over(trailing(w, rows))
+    return exact_var_samp(x, w, name, pre, maxabs, rows)
 
 
-def var_std_columns(w, col: str, rows: int = 5, integral: bool = False, maxabs=None) -> list[Column]:
+def var_std_columns(w, col: str, rows: int = 5, integral: bool = False, maxabs=None,
+                    pre: dict | None = None) -> list[Column]:
     x = F.col(f"`{col}`")
-    f = trailing(w, rows)
-    v = _var(x, f, integral, maxabs, rows)
+    v = _var(x, w, rows, integral, maxabs, col, pre)
     return [_z(v).alias(f"{col}_variance"),
             _z(F.sqrt(v)).alias(f"{col}_std")]
 
@@ -87,7 +109,8 @@ def var_std_columns(w, col: str, rows: int = 5, integral: bool = False, maxabs=N
 EXACT_MOMENT_BOUND = 10_000_000   # |x - centre| bound for 4th-power sums in 38 digits
 
 
-def exact_moments(x: Column, f, rng=None, rows: int = 10) -> tuple[Column, Column, Column]:
+def exact_moments(x: Column, w, name: str, pre: dict, rng=None,
+                  rows: int = 10) -> tuple[Column, Column, Column]:
     """Population skewness g1 and excess kurtosis g2 of an integral column
     from exact power sums of centred values; ``ok`` is false (the caller
     then uses Spark's moments) when the column is too wide for 38 digits.
@@ -100,8 +123,8 @@ def exact_moments(x: Column, f, rng=None, rows: int = 10) -> tuple[Column, Colum
     if dmax is None or dmax > EXACT_MOMENT_BOUND:
         zero = F.lit(0.0)
         return F.lit(False), zero, zero
-    n = F.count(x).over(f).cast("decimal(38,0)")
-    s1, s2, s3, s4 = _power_sums(x, f, center, dmax, rows, 4)
+    n, (s1, s2, s3, s4) = _power_sums(x, w, name, center, dmax, rows, 4, pre)
+    n = n.cast("decimal(38,0)")
     m2 = (n * s2 - s1 * s1).cast("double")
     m3 = (n * n * s3 - 3 * n * s1 * s2 + 2 * s1 * s1 * s1).cast("double")
     m4 = (n * n * n * s4 - 4 * n * n * s1 * s3 + 6 * n * s1 * s1 * s2
@@ -112,7 +135,7 @@ def exact_moments(x: Column, f, rng=None, rows: int = 10) -> tuple[Column, Colum
 
 
 def skew_kurt_columns(w, col: str, rows: int = 10, integral: bool = False,
-                      maxabs=None) -> list[Column]:
+                      maxabs=None, pre: dict | None = None) -> list[Column]:
     """Bias-corrected skewness (G1) and excess kurtosis (G2).
 
     Frames shorter than 3 (skewness) / 4 (kurtosis) rows give 0; a constant
@@ -123,9 +146,9 @@ def skew_kurt_columns(w, col: str, rows: int = 10, integral: bool = False,
     n = F.count(x).over(f).cast("double")
     const = F.max(x).over(f) == F.min(x).over(f)
     center, dmax = _center(maxabs) if integral else (0, None)
-    if integral and dmax is not None and dmax <= EXACT_MOMENT_BOUND:
+    if integral and pre is not None and dmax is not None and dmax <= EXACT_MOMENT_BOUND:
         # exact power sums only (decided at plan time from the column range)
-        _, g1, g2 = exact_moments(F.col(f"`{col}`"), f, maxabs, rows)
+        _, g1, g2 = exact_moments(F.col(f"`{col}`"), w, col, pre, maxabs, rows)
     else:
         g1 = F.skewness(x).over(f)
         g2 = F.kurtosis(x).over(f)
@@ -137,7 +160,7 @@ def skew_kurt_columns(w, col: str, rows: int = 10, integral: bool = False,
 
 
 def quantile_columns(w, col: str, rows: int = 10, integral: bool = False,
-                     maxabs=None) -> list[Column]:
+                     maxabs=None, pre: dict | None = None) -> list[Column]:
     x = F.col(f"`{col}`").cast("double")
     f = trailing(w, rows)
     q25 = F.percentile(x, 0.25).over(f)
@@ -147,13 +170,13 @@ def quantile_columns(w, col: str, rows: int = 10, integral: bool = False,
 
 
 def mean_std_columns(w, col: str, sizes=(5, 10, 20), integral: bool = False,
-                     maxabs=None) -> list[Column]:
+                     maxabs=None, pre: dict | None = None) -> list[Column]:
     x = F.col(f"`{col}`")
     out = []
     for k in sizes:
         f = trailing(w, k)
         out += [_z(F.avg(x).over(f)).alias(f"{col}_rolling_mean_{k}"),
-                _z(F.sqrt(_var(x, f, integral, maxabs, k))).alias(f"{col}_rolling_std_{k}")]
+                _z(F.sqrt(_var(x, w, k, integral, maxabs, col, pre))).alias(f"{col}_rolling_std_{k}")]
     return out
 
 
@@ -179,11 +202,11 @@ STAT_KINDS = {
 
 def _build_stats(cols, kinds, integral, maxabs):
     def build(w):
-        out = []
+        pre, out = {}, []
         for c in cols:
             for k in kinds:
-                out += STAT_KINDS[k](w, c, integral=c in integral, maxabs=maxabs.get(c))
-        return out
+                out += STAT_KINDS[k](w, c, integral=c in integral, maxabs=maxabs.get(c), pre=pre)
+        return list(pre.values()), out
     return build
 
 

@@ -53,13 +53,13 @@ def engineer_all_features(df: DataFrame, order_col: str, target: str = "label",
     maxabs = integral_magnitudes(indexed, integral)
 
     def build(w):
-        out = []
+        pre, out = {}, []
         for c in stat_cols:
             for fn in (var_std_columns, skew_kurt_columns, quantile_columns):
-                out += fn(w, c, integral=c in integral, maxabs=maxabs.get(c))
+                out += fn(w, c, integral=c in integral, maxabs=maxabs.get(c), pre=pre)
         for c in roll_cols:
-            out += mean_std_columns(w, c, integral=c in integral, maxabs=maxabs.get(c))
-        return out
+            out += mean_std_columns(w, c, integral=c in integral, maxabs=maxabs.get(c), pre=pre)
+        return list(pre.values()), out
 
     out = halo_window(indexed, [], MAX_HALO, build, bucket_rows, total_rows=total).drop(IDX).fillna(0)
     out = extract_flow_features(out, flags=flag_columns(df), ports=port_columns(df)).frame
