@@ -117,3 +117,16 @@ SELECT total_flows_processed, malicious_flows, total_flows_processed - malicious
        round(100.0::DOUBLE * malicious_flows / greatest(total_flows_processed, 1), 6) AS detection_rate,
        round(100.0::DOUBLE * alerts_generated / greatest(total_flows_processed, 1), 6) AS alert_rate
 FROM s""")
+
+ORACLE_ALERTS["alert_rate_limited_by_source"] = _w("""
+, rl AS (SELECT flow_seq, src_ip, timestamp,
+                count(*) OVER (PARTITION BY src_ip ORDER BY epoch_us(timestamp)
+                               RANGE BETWEEN 604799999999 PRECEDING AND CURRENT ROW) AS window_count
+         FROM al)
+SELECT flow_seq, src_ip, timestamp, window_count, window_count <= 2 AS passed FROM rl""")
+ORACLE_ALERTS["stream_alerts_by_source"] = _w("""
+, rl AS (SELECT flow_seq, src_ip, timestamp,
+                count(*) OVER (PARTITION BY src_ip ORDER BY epoch_us(timestamp)
+                               RANGE BETWEEN 604799999999 PRECEDING AND CURRENT ROW) AS window_count
+         FROM al)
+SELECT flow_seq, src_ip, timestamp, least(window_count, 3) AS window_count, window_count <= 2 AS passed FROM rl""")

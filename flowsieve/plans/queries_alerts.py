@@ -81,3 +81,10 @@ def q_detection_rate_histogram(spark, sf_dir):
     out = al.value_histogram(hist, "detection_rate", 10)
     return out.select("bin", r6(F.col("bin_start")).alias("bin_start"),
                       r6(F.col("bin_end")).alias("bin_end"), "n")
+
+
+def q_alert_rate_limited_by_source(spark, sf_dir):
+    """One limiter per source address: cap 2 attempts per trailing 7 days."""
+    limited = al.rate_limit(_alerts(spark, sf_dir), "timestamp", cap=2, window_seconds=7 * 86400,
+                            key_cols=["src_ip"])
+    return limited.select("flow_seq", "src_ip", "timestamp", "window_count", "passed")

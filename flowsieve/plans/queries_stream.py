@@ -73,3 +73,13 @@ def q_stream_alert_minutes(spark, sf_dir):
     out, ck = work_dir(spark, "stream-minutes"), work_dir(spark, "stream-minutes-ckpt")
     _run(sinks.snapshot_per_batch(windows, out, ck))
     return sinks.latest_snapshot(spark, out, ["minute"]).select("minute", "n_alerts")
+
+
+def q_stream_alerts_by_source(spark, sf_dir):
+    """Streaming limiter keyed by source address (state per key)."""
+    scored = _stream(spark, sf_dir)
+    limited = sa.rate_limit_stream(al.make_alerts(scored), "timestamp", "flow_seq", cap=2,
+                                   window_seconds=7 * 86400, key_cols=["src_ip"])
+    out, ck = work_dir(spark, "stream-alerts-src"), work_dir(spark, "stream-alerts-src-ckpt")
+    _run(sinks.append_table(limited, out, ck))
+    return spark.read.parquet(out).select("flow_seq", "src_ip", "timestamp", "window_count", "passed")

@@ -59,6 +59,7 @@ def _queries() -> dict:
         "zeek_tsv_scan": qs.q_zeek_tsv_scan,
         "score_to_alerts": qa.q_score_to_alerts,
         "alert_rate_limited": qa.q_alert_rate_limited,
+        "alert_rate_limited_by_source": qa.q_alert_rate_limited_by_source,
         "severity_counts": qa.q_severity_counts,
         "alerts_per_minute": qa.q_alerts_per_minute,
         "alert_summary": qa.q_alert_summary,
@@ -88,6 +89,7 @@ def _queries() -> dict:
         "train_score_eval": qm.q_train_score_eval,
         "loss_curve": qm.q_loss_curve,
         "stream_alerts": qr.q_stream_alerts,
+        "stream_alerts_by_source": qr.q_stream_alerts_by_source,
         "stream_counters": qr.q_stream_counters,
         "stream_alert_minutes": qr.q_stream_alert_minutes,
         "adhoc_process": qp.q_adhoc_process,
