@@ -79,14 +79,49 @@ def make_alerts(scored: DataFrame, ts_col: str = "flow_ts", keep=("flow_seq",))
 
 def rate_limit(alerts: DataFrame, ts_col: str = "timestamp", cap: int = 100,
                window_seconds: int = 60, key_cols: list[str] | None = None,
-               bucket_seconds: int | None = None) -> DataFrame:
+               bucket_seconds: int | None = None, seq_col: str = "flow_seq",
+               method: str = "prefix") -> DataFrame:
     """Add ``window_count`` (attempts in the trailing window, itself and
     same-instant attempts included) and ``passed`` = window_count <= cap.
 
-    Rows are cut into time buckets; the last ``window`` of each bucket is
-    copied into the next so a RANGE frame is evaluated per (key, bucket)
-    and no single task holds the whole timeline.
+    ``method='prefix'`` (default) never needs a key's timeline in one task:
+    with C(x) = attempts of the key at or before time x, the count is
+    C(t) - C(t - window). Two probe rows per attempt (at t and t - window,
+    ordered after attempts at the same instant) are interleaved with the
+    attempts in (key, time) order, and a distributed prefix count
+    (``running_totals``) gives C at every probe; the difference within a key
+    cancels the key's offset. ``seq_col`` must identify attempts uniquely.
+    ``method='halo'`` evaluates a RANGE frame per (key, time bucket) with a
+    one-window halo: cheaper, but one hot key-and-bucket is one task.
     """
+    if method == "halo":
+        return _rate_limit_halo(alerts, ts_col, cap, window_seconds, key_cols, bucket_seconds)
+    keys = list(key_cols or [])
+    win_us = window_seconds * MICROS
+    t = F.unix_micros(F.col(ts_col).cast("timestamp"))
+    rid = F.col(seq_col)
+
+    def part(time_col, kind, side, weight):
+        return alerts.select(*keys, time_col.alias("_t"), F.lit(kind).alias("_kind"), rid.alias("_rid"),
+                             F.lit(side).alias("_side"), F.lit(weight).cast("long").alias("_w"))
+
+    events = part(t, 0, 0, 1)
+    upper = part(t, 1, 1, 0)                       # C(t): attempts at or before t
+    lower = part(t - F.lit(win_us), 1, 0, 0)       # C(t - W): attempts outside the window
+    timeline = events.unionByName(upper).unionByName(lower)
+    counted = running_totals(timeline, [*keys, "_t", "_kind", "_rid", "_side"], {"_c": F.col("_w")})
+    probes = counted.where(F.col("_kind") == 1)
+    per = probes.groupBy("_rid").agg(
+        (F.max(F.when(F.col("_side") == 1, F.col("_c"))) - F.max(F.when(F.col("_side") == 0, F.col("_c"))))
+        .alias("window_count"))
+    out = alerts.join(per, rid == F.col("_rid")).drop("_rid")
+    return out.withColumn("passed", F.col("window_count") <= cap)
+
+
+def _rate_limit_halo(alerts: DataFrame, ts_col: str, cap: int, window_seconds: int,
+                     key_cols: list[str] | None, bucket_seconds: int | None) -> DataFrame:
+    """RANGE-frame limiter per (key, time bucket); the last window of each
+    bucket is copied into the next."""
     keys = list(key_cols or [])
     win_us = window_seconds * MICROS
     bucket_us = max(bucket_seconds or 10 * window_seconds, window_seconds) * MICROS

@@ -93,3 +93,19 @@ def test_scaler_mean_zero_pop_std_one(spark):
     out, fit = normalize_features(df, ["a", "c"])
     r = out.agg(F.avg("a"), F.stddev_pop("a"), F.max(F.abs("c"))).collect()[0]
     assert abs(r[0]) < 1e-9 and abs(r[1] - 1) < 1e-9 and r[2] == 0.0
+
+
+def test_prefix_and_halo_limiters_agree_with_hot_key(spark):
+    rng = np.random.default_rng(11)
+    n = 600
+    keys = np.where(rng.random(n) < 0.7, "hot", rng.choice(["a", "b", "c"], n))
+    offs = np.sort(rng.uniform(0, 7200, n)).round(3)
+    offs[10] = offs[9]                                   # same-instant pair
+    rows = [(i, str(k), T0 + dt.timedelta(seconds=float(s))) for i, (k, s) in enumerate(zip(keys, offs))]
+    df = spark.createDataFrame(rows, "flow_seq long, src_ip string, timestamp timestamp_ntz")
+    a = {r.flow_seq: (r.window_count, r.passed)
+         for r in rate_limit(df, cap=8, window_seconds=300, key_cols=["src_ip"]).collect()}
+    b = {r.flow_seq: (r.window_count, r.passed)
+         for r in rate_limit(df, cap=8, window_seconds=300, key_cols=["src_ip"], method="halo").collect()}
+    assert a == b and len(a) == n
+    assert 0 < sum(p for _, p in a.values()) < n
