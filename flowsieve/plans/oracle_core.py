@@ -198,8 +198,8 @@ def _stat_features_sql():
 , fin AS (SELECT DISTINCT flow_seq, TRY_CAST(flow_duration AS BIGINT) AS flow_duration,
                  total_fwd_packets FROM dirty)
 , med AS (SELECT median(flow_duration) AS m FROM fin)
-, filled AS (SELECT flow_seq, coalesce(flow_duration, m) AS flow_duration, total_fwd_packets FROM fin, med)
-SELECT flow_seq, round(flow_duration, 6) AS flow_duration, total_fwd_packets,
+, filled AS (SELECT flow_seq, CAST(coalesce(flow_duration, m) AS BIGINT) AS flow_duration, total_fwd_packets FROM fin, med)
+SELECT flow_seq, flow_duration, total_fwd_packets,
        """ + ",\n       ".join(exprs).replace("FROM flows", "") + "\nFROM filled\n")
 
 
