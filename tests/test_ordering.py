@@ -76,3 +76,22 @@ def test_exact_medians_bracket_path(spark):
     df = spark.createDataFrame([(float(v),) for v in x], "a double")
     fit = exact_medians(df, ["a"], accuracy=50)   # coarse sketch: wide bracket
     assert fit.medians["a"] == float(np.median(x))
+
+
+def test_exact_median_with_a_dominant_value(spark):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([np.full(800, 5.0), rng.normal(0, 10, 1201)])
+    df = spark.createDataFrame([(float(v),) for v in x], "a double")
+    assert exact_medians(df, ["a"], accuracy=100).medians["a"] == float(np.median(x))
+
+
+def test_dense_index_with_hot_key_over_many_partitions(spark):
+    rng = np.random.default_rng(9)
+    n = 900
+    keys = np.where(rng.random(n) < 0.6, 0, rng.integers(1, 5, n)).astype("int64")
+    pdf = pd.DataFrame({"k": keys, "seq": rng.permutation(n).astype("int64")})
+    got = dense_index(spark.createDataFrame(pdf), ["k", "seq"], num_partitions=7).toPandas()
+    want = pdf.sort_values(["k", "seq"]).reset_index(drop=True)
+    got = got.sort_values("_idx").reset_index(drop=True)
+    assert list(got["_idx"]) == list(range(n))
+    assert (got[["k", "seq"]].to_numpy() == want[["k", "seq"]].to_numpy()).all()
