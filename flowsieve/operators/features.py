@@ -103,10 +103,10 @@ def extract_temporal_features(df: DataFrame, timestamp_col: str | None, order_co
         integral = [c for c in integral_columns(out) if c in rolling_cols]
         maxabs = integral_magnitudes(out, integral)
 
-        def build(w):
+        def build(w, span):
             pre, cols = {}, []
             for c in rolling_cols:
-                cols += mean_std_columns(w, c, integral=c in integral, maxabs=maxabs.get(c), pre=pre)
+                cols += mean_std_columns(w, c, integral=c in integral, maxabs=maxabs.get(c), pre=pre, span=span)
             return list(pre.values()), cols
         out = ordered_window(out, order_col, partition_cols, 19, build, bucket_rows)
         new += [f"{c}_rolling_{s}_{k}" for c in rolling_cols for k in (5, 10, 20) for s in ("mean", "std")]

@@ -21,6 +21,8 @@ here keep order-dependent work parallel at any size:
 
 from __future__ import annotations
 
+import inspect
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,7 +106,10 @@ def halo_window(indexed: DataFrame, partition_cols: list[str], halo: int,
     spread = (indexed.withColumn("_own", own)
               .withColumn("_bucket", F.explode(copies)))
     w = Window.partitionBy("_bucket", *partition_cols).orderBy(idx_col)
-    built = build(w)
+    # builders that take a second argument learn the most rows a partition
+    # holds (bucket plus halo), e.g. to size exact running sums
+    takes_span = len(inspect.signature(build).parameters) > 1
+    built = build(w, bucket_rows + halo) if takes_span else build(w)
     pre, cols = built if isinstance(built, tuple) else ([], built)
     staged = spread.select("*", *pre) if pre else spread
     out = staged.select("*", *cols).where(F.col("_bucket") == F.col("_own"))

@@ -30,7 +30,8 @@ def _safe(name: str) -> str:
     return "".join(ch if ch.isalnum() else "_" for ch in name)
 
 
-def _power_sums(x: Column, w, name: str, center, dmax, rows: int, powers: int, pre: dict):
+def _power_sums(x: Column, w, name: str, center, dmax, rows: int, powers: int, pre: dict,
+                span: int = SPAN):
     """Exact sums of (x - center)^k over the trailing ``rows``-row frame,
     k = 1..powers, plus the non-null count; returns (n, [s1, ...]).
 
@@ -39,7 +40,8 @@ def _power_sums(x: Column, w, name: str, center, dmax, rows: int, powers: int, p
     (the running sums are registered in ``pre`` and computed in an earlier
     projection; frames of any size share them). Centring changes none of the
     central moments (the integer combinations are shift-invariant exactly);
-    a power runs in bigint when ``SPAN * dmax^k`` fits, else in decimal(38,0).
+    a power runs in bigint when ``span * dmax^k`` fits (``span`` = most rows a
+    running sum covers: the bucket plus its halo), else in decimal(38,0).
     """
     dec = "decimal(38,0)"
     run = w.rowsBetween(Window.unboundedPreceding, 0)
@@ -56,7 +58,7 @@ def _power_sums(x: Column, w, name: str, center, dmax, rows: int, powers: int, p
     sums = []
     for k in range(1, powers + 1):
         cname = f"{base}_c{int(center)}_p{k}".replace("-", "m")
-        if dmax is not None and SPAN * float(dmax) ** k < LONG_MAX:
+        if dmax is not None and span * float(dmax) ** k < LONG_MAX:
             term = xl
             for _ in range(k - 1):
                 term = term * xl
@@ -72,14 +74,15 @@ def _power_sums(x: Column, w, name: str, center, dmax, rows: int, powers: int, p
     return frame(cnt_name), sums
 
 
-def exact_var_samp(x: Column, w, name: str, pre: dict, rng=None, rows: int = 20) -> Column:
+def exact_var_samp(x: Column, w, name: str, pre: dict, rng=None, rows: int = 20,
+                   span: int = SPAN) -> Column:
     """Sample variance of an integral column from exact power sums:
     n*sum(x^2) - sum(x)^2 without rounding, so the only rounding is the
     final division; NULL for a single-row frame. ``rng`` = (min, max) of the
     column (centring and the bigint-or-decimal choice)."""
     dec = "decimal(38,0)"
     center, dmax = _center(rng)
-    n, (s1, s2) = _power_sums(x, w, name, center, dmax, rows, 2, pre)
+    n, (s1, s2) = _power_sums(x, w, name, center, dmax, rows, 2, pre, span)
     m2 = (n.cast(dec) * s2 - s1 * s1).cast("double")
     return F.when(n > 1, m2 / (n * (n - 1)).cast("double"))
 
@@ -92,16 +95,17 @@ def _center(rng):
     return c, max(hi - c, c - lo)
 
 
-def _var(x: Column, w, rows: int, integral: bool, maxabs=None, name: str = "", pre=None) -> Column:
+def _var(x: Column, w, rows: int, integral: bool, maxabs=None, name: str = "", pre=None,
+         span: int = SPAN) -> Column:
     if not integral or pre is None:
         return F.var_samp(x).over(trailing(w, rows))
-    return exact_var_samp(x, w, name, pre, maxabs, rows)
+    return exact_var_samp(x, w, name, pre, maxabs, rows, span)
 
 
 def var_std_columns(w, col: str, rows: int = 5, integral: bool = False, maxabs=None,
-                    pre: dict | None = None) -> list[Column]:
+                    pre: dict | None = None, span: int = SPAN) -> list[Column]:
     x = F.col(f"`{col}`")
-    v = _var(x, w, rows, integral, maxabs, col, pre)
+    v = _var(x, w, rows, integral, maxabs, col, pre, span)
     return [_z(v).alias(f"{col}_variance"),
             _z(F.sqrt(v)).alias(f"{col}_std")]
 
@@ -110,7 +114,7 @@ EXACT_MOMENT_BOUND = 10_000_000   # |x - centre| bound for 4th-power sums in 38
 
 
 def exact_moments(x: Column, w, name: str, pre: dict, rng=None,
-                  rows: int = 10) -> tuple[Column, Column, Column]:
+                  rows: int = 10, span: int = SPAN) -> tuple[Column, Column, Column]:
     """Population skewness g1 and excess kurtosis g2 of an integral column
     from exact power sums of centred values; ``ok`` is false (the caller
     then uses Spark's moments) when the column is too wide for 38 digits.
@@ -123,7 +127,7 @@ def exact_moments(x: Column, w, name: str, pre: dict, rng=None,
     if dmax is None or dmax > EXACT_MOMENT_BOUND:
         zero = F.lit(0.0)
         return F.lit(False), zero, zero
-    n, (s1, s2, s3, s4) = _power_sums(x, w, name, center, dmax, rows, 4, pre)
+    n, (s1, s2, s3, s4) = _power_sums(x, w, name, center, dmax, rows, 4, pre, span)
     n = n.cast("decimal(38,0)")
     m2 = (n * s2 - s1 * s1).cast("double")
     m3 = (n * n * s3 - 3 * n * s1 * s2 + 2 * s1 * s1 * s1).cast("double")
@@ -135,7 +139,7 @@ def exact_moments(x: Column, w, name: str, pre: dict, rng=None,
 
 
 def skew_kurt_columns(w, col: str, rows: int = 10, integral: bool = False,
-                      maxabs=None, pre: dict | None = None) -> list[Column]:
+                      maxabs=None, pre: dict | None = None, span: int = SPAN) -> list[Column]:
     """Bias-corrected skewness (G1) and excess kurtosis (G2).
 
     Frames shorter than 3 (skewness) / 4 (kurtosis) rows give 0; a constant
@@ -148,7 +152,7 @@ def skew_kurt_columns(w, col: str, rows: int = 10, integral: bool = False,
     center, dmax = _center(maxabs) if integral else (0, None)
     if integral and pre is not None and dmax is not None and dmax <= EXACT_MOMENT_BOUND:
         # exact power sums only (decided at plan time from the column range)
-        _, g1, g2 = exact_moments(F.col(f"`{col}`"), w, col, pre, maxabs, rows)
+        _, g1, g2 = exact_moments(F.col(f"`{col}`"), w, col, pre, maxabs, rows, span)
     else:
         g1 = F.skewness(x).over(f)
         g2 = F.kurtosis(x).over(f)
@@ -160,7 +164,7 @@ def skew_kurt_columns(w, col: str, rows: int = 10, integral: bool = False,
 
 
 def quantile_columns(w, col: str, rows: int = 10, integral: bool = False,
-                     maxabs=None, pre: dict | None = None) -> list[Column]:
+                     maxabs=None, pre: dict | None = None, span: int = SPAN) -> list[Column]:
     x = F.col(f"`{col}`").cast("double")
     f = trailing(w, rows)
     q25 = F.percentile(x, 0.25).over(f)
@@ -170,13 +174,13 @@ def quantile_columns(w, col: str, rows: int = 10, integral: bool = False,
 
 
 def mean_std_columns(w, col: str, sizes=(5, 10, 20), integral: bool = False,
-                     maxabs=None, pre: dict | None = None) -> list[Column]:
+                     maxabs=None, pre: dict | None = None, span: int = SPAN) -> list[Column]:
     x = F.col(f"`{col}`")
     out = []
     for k in sizes:
         f = trailing(w, k)
         out += [_z(F.avg(x).over(f)).alias(f"{col}_rolling_mean_{k}"),
-                _z(F.sqrt(_var(x, w, k, integral, maxabs, col, pre))).alias(f"{col}_rolling_std_{k}")]
+                _z(F.sqrt(_var(x, w, k, integral, maxabs, col, pre, span))).alias(f"{col}_rolling_std_{k}")]
     return out
 
 
@@ -201,11 +205,11 @@ STAT_KINDS = {
 
 
 def _build_stats(cols, kinds, integral, maxabs):
-    def build(w):
+    def build(w, span=SPAN):
         pre, out = {}, []
         for c in cols:
             for k in kinds:
-                out += STAT_KINDS[k](w, c, integral=c in integral, maxabs=maxabs.get(c), pre=pre)
+                out += STAT_KINDS[k](w, c, integral=c in integral, maxabs=maxabs.get(c), pre=pre, span=span)
         return list(pre.values()), out
     return build
 

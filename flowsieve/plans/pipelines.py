@@ -52,13 +52,13 @@ def engineer_all_features(df: DataFrame, order_col: str, target: str = "label",
     integral = [c for c in integral_columns(indexed) if c in stat_cols]
     maxabs = integral_magnitudes(indexed, integral)
 
-    def build(w):
+    def build(w, span):
         pre, out = {}, []
         for c in stat_cols:
             for fn in (var_std_columns, skew_kurt_columns, quantile_columns):
-                out += fn(w, c, integral=c in integral, maxabs=maxabs.get(c), pre=pre)
+                out += fn(w, c, integral=c in integral, maxabs=maxabs.get(c), pre=pre, span=span)
         for c in roll_cols:
-            out += mean_std_columns(w, c, integral=c in integral, maxabs=maxabs.get(c), pre=pre)
+            out += mean_std_columns(w, c, integral=c in integral, maxabs=maxabs.get(c), pre=pre, span=span)
         return list(pre.values()), out
 
     out = halo_window(indexed, [], MAX_HALO, build, bucket_rows, total_rows=total).drop(IDX).fillna(0)
