@@ -1,0 +1,19 @@
+"""Intermediate tables in the folder the session names in spark.checkpoint.dir."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame
+
+from flowsieve.session import checkpoint_root
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write the rows as Parquet below the shared checkpoint folder and read
+    them back: lineage ends there, and a lost executor costs nothing already
+    written."""
+    spark = df.sparkSession
+    path = f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
