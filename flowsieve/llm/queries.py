@@ -5,19 +5,50 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from flowsieve.llm.exact_dedup import exact_duplicates
 from flowsieve.llm.minhash_tensor import NearDupConfig, near_duplicates
+from flowsieve.llm.mixing import MixConfig, mix_report
+from flowsieve.llm.packing_dp import PackConfig, pack_documents
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_report(_documents(spark, sf_dir), MixConfig())
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_documents(spark, sf_dir), PackConfig(_vocabulary("byte_bpe_50k.json")))
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir), NearDupConfig(shingle=4))
 
 
+def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_duplicates(_documents(spark, sf_dir))
+
+
 LLM_QUERIES = {
+    "op3_mixing": op3_mixing,
+    "op7_packing": op7_packing,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
+    "op9_exact_dedup": op9_exact_dedup,
 }
 
-LLM_ORACLE_SQL: dict[str, str] = {}
+LLM_ORACLE_SQL: dict[str, str] = {
+    "op9_exact_dedup": r"""
+        WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS body FROM documents),
+             g AS (SELECT body, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY body)
+        SELECT n.doc_id, g.keep_id, g.group_size, n.doc_id = g.keep_id AS kept, sha256(n.body) AS text_sha256
+        FROM n JOIN g USING (body)
+    """,
+}
