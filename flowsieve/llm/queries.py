@@ -6,9 +6,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from flowsieve.llm.exact_dedup import exact_duplicates
+from flowsieve.llm.lang_mixture import fit_languages, predict_languages
+from flowsieve.llm.line_rules import line_quality
 from flowsieve.llm.minhash_tensor import NearDupConfig, near_duplicates
 from flowsieve.llm.mixing import MixConfig, mix_report
 from flowsieve.llm.packing_dp import PackConfig, pack_documents
+from flowsieve.llm.quality_conv import fit_quality, score_quality
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,10 +24,19 @@ def _vocabulary(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_quality_conv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return score_quality(docs, fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(_documents(spark, sf_dir), MixConfig())
 
 
+def op4_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_quality(_documents(spark, sf_dir))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_documents(spark, sf_dir), PackConfig(_vocabulary("byte_bpe_50k.json")))
 
@@ -37,14 +49,57 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_documents(spark, sf_dir))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return predict_languages(docs, fit_languages(docs))
+
+
 LLM_QUERIES = {
+    "op1_quality_conv": op1_quality_conv,
     "op3_mixing": op3_mixing,
+    "op4_line_rules": op4_line_rules,
     "op7_packing": op7_packing,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_language_id": op10_language_id,
 }
 
 LLM_ORACLE_SQL: dict[str, str] = {
+    "op4_line_rules": r"""
+        WITH d AS (SELECT doc_id, coalesce(source, chr(1)) AS host, coalesce(text, '') AS t FROM documents),
+        words AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i
+                  FROM (SELECT doc_id, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d)),
+        grams AS (SELECT doc_id, i, w, lead(w, 1) OVER o AS w2, lead(w, 2) OVER o AS w3
+                  FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+        marked AS (SELECT doc_id, i, w3 IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, w, w2, w3) > 1 AS again
+                   FROM grams),
+        covered AS (SELECT doc_id, again OR coalesce(lag(again, 1) OVER o, false)
+                           OR coalesce(lag(again, 2) OVER o, false) AS c
+                    FROM marked WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+        per_words AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (c) AS n_repeat_words FROM covered GROUP BY doc_id),
+        raw AS (SELECT doc_id, host, t, unnest(string_split(t, chr(10))) AS line FROM d),
+        lines AS (SELECT doc_id, host, t, line,
+                         trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                              '[\x20\x09-\x0D]+', ' ', 'g')) AS norm,
+                         len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n
+                  FROM raw WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+        dups AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines GROUP BY doc_id),
+        per_line AS (SELECT host, norm, count(DISTINCT t) AS n_docs FROM lines GROUP BY host, norm),
+        per_host AS (SELECT host, count(DISTINCT t) AS host_docs FROM d GROUP BY host),
+        boilerplate AS (SELECT host, norm FROM per_line JOIN per_host USING (host)
+                        WHERE n_docs >= 10 AND n_docs * 100 > host_docs * 10),
+        removed AS (SELECT doc_id, sum(n)::BIGINT AS removed_words FROM lines JOIN boilerplate USING (host, norm) GROUP BY doc_id),
+        facts AS (SELECT doc_id, coalesce(n_words, 0) AS n_words,
+                         length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+                         length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+                         coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+                         coalesce(removed_words, 0) AS removed_words
+                  FROM d LEFT JOIN per_words USING (doc_id) LEFT JOIN dups USING (doc_id) LEFT JOIN removed USING (doc_id)),
+        judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM facts)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+               NOT base_failed AND 100 * (n_words - removed_words) >= 30 * n_words AS kept, removed_words
+        FROM judged
+    """,
     "op9_exact_dedup": r"""
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS body FROM documents),
              g AS (SELECT body, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY body)
