@@ -20,8 +20,8 @@ Every candidate is confirmed on the full shingle sets. Steps:
    time, so no link of a bucket is left out and no group is gathered whole;
 4. components over all confirmed links.
 
-Before sets are fetched, a pair must agree in half of its minhashes, which a
-pair at 0.80 misses with probability 3e-7.
+Before sets are fetched, a pair must agree in 33 of its 60 minhashes, which a
+pair at 0.80 misses with probability 3e-6.
 """
 
 from __future__ import annotations
@@ -38,6 +38,7 @@ from flowsieve.llm.components import connected_components
 from flowsieve.llm.store import stored
 
 SMALL_BUCKET = 4
+_TABLE = 0xFFFF  # bits of a key that hold its table's number
 
 
 @dataclass(frozen=True)
@@ -50,12 +51,19 @@ class NearDupConfig:
     bands: int = 20
     rows: int = 3
     seed: int = 20240229
-    block: int = 512
+    block: int = 4096
 
     @property
     def hashes(self) -> int:
         return self.bands * self.rows
 
+    @property
+    def least_agreeing(self) -> int:
+        """Minhashes that a pair at the least similarity agrees in, less 4.8
+        standard deviations (33 of 60 at 0.80)."""
+        p = self.percent / 100
+        return max(0, int(self.hashes * p - 4.8 * (self.hashes * p * (1 - p)) ** 0.5))
+
 
 def _multipliers(cfg: NearDupConfig) -> tuple[np.ndarray, np.ndarray]:
     salts = mix64(np.arange(1, 2 * cfg.hashes + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -142,6 +150,7 @@ def _table_keys(cfg: NearDupConfig):
             for s in range(0, len(ids), 512):
                 part = band[s:s + 512]
                 keys = mix64(part[:, a] + mix64(part[:, b] + tables))
+                keys = (keys & ~np.uint64(_TABLE)) | np.arange(len(a), dtype=np.uint64)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(ids[s:s + 512], len(a)))],
                     names=["key", "node"])
@@ -154,18 +163,23 @@ def _agree(cfg: NearDupConfig):
         for batch in batches:
             sa, sb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint32).reshape(-1, cfg.hashes)
                       for c in ("sig_a", "sig_b"))
-            keep = 2 * (sa == sb).sum(axis=1) >= cfg.hashes
+            keep = (sa == sb).sum(axis=1) >= cfg.least_agreeing
             yield batch.select(["a", "b"]).filter(pa.array(keep))
     return run
 
 
 def _crossing(cfg: NearDupConfig):
     """Pairs of one block of a bucket with another (or itself) that lie in
-    different components. Only a pair inside the bucket's largest component
-    can be skipped unseen: its ends are already joined."""
+    different components. A pair inside the bucket's largest component is
+    skipped unseen: its ends are already joined. A pair that meets in several
+    tables is given by the first of them only."""
+    table_of = np.zeros((cfg.bands, cfg.bands), dtype=np.int64)
+    table_of[np.triu_indices(cfg.bands, 1)] = np.arange(cfg.bands * (cfg.bands - 1) // 2)
+
     def run(pdf):
         import pandas as pd
 
+        table = int(pdf["key"].iloc[0]) & _TABLE
         sig = np.frombuffer(b"".join(pdf["sig"]), dtype=np.uint32).reshape(-1, cfg.hashes)
         node, root, blk, size = (pdf[c].to_numpy() for c in ("node", "root", "blk", "n_shingles"))
         big = pdf["big"].iloc[0]
@@ -175,9 +189,15 @@ def _crossing(cfg: NearDupConfig):
             for i in part:
                 j = other[(root[other] != root[i])
                           & (100 * np.minimum(size[other], size[i]) >= cfg.percent * np.maximum(size[other], size[i]))]
-                if len(j):
-                    j = j[2 * (sig[j] == sig[i]).sum(axis=1) >= cfg.hashes]
-                    out += [(min(node[i], node[k]), max(node[i], node[k])) for k in j]
+                if not len(j):
+                    continue
+                same = sig[j] == sig[i]
+                ok = same.sum(axis=1) >= cfg.least_agreeing
+                j, band = j[ok], same[ok].reshape(-1, cfg.bands, cfg.rows).all(axis=2)
+                first = band.argmax(axis=1)
+                band[np.arange(len(j)), first] = False
+                out += [(min(node[i], node[k]), max(node[i], node[k]))
+                        for k in j[table_of[first, band.argmax(axis=1)] == table]]
         return pd.DataFrame(sorted(set(out)), columns=["a", "b"]).astype("int64")
     return run
 
@@ -288,10 +308,13 @@ def _crossing_pairs(members: DataFrame, nodes: DataFrame, roots: DataFrame, cfg:
     big = (open_.groupBy("key", "root").count()
            .groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("big"), F.sum("count").alias("size")))
     rank = F.row_number().over(Window.partitionBy("key").orderBy("node")) - 1
-    placed = (open_.withColumn("blk", F.floor(rank / cfg.block).cast("long")).join(big, "key")
-              .withColumn("n_blocks", F.ceil(F.col("size") / cfg.block).cast("long"))
-              .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)))
-              .join(nodes, "node"))
-    grouped = placed.select("key", "node", "root", "n_shingles", "sig", "blk", "big",
-                            F.least("blk", "other").alias("x"), F.greatest("blk", "other").alias("y"))
+    placed = (open_.join(big, "key").withColumn("blk", F.floor(rank / cfg.block).cast("long")).join(nodes, "node")
+              .withColumn("last", F.floor((F.col("size") - 1) / cfg.block).cast("long")))
+    columns = ["key", "node", "root", "n_shingles", "sig", "blk", "big"]
+    whole = placed.where("last = 0").select(*columns, F.col("blk").alias("x"), F.col("blk").alias("y"))
+    cut = (placed.where("last > 0").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), "last")))
+           .select(*columns, F.least("blk", "other").alias("x"), F.greatest("blk", "other").alias("y")))
+    # as many tasks as the session shuffles into: the rows are few, the comparisons are not
+    tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    grouped = whole.unionByName(cut).repartition(tasks, "key", "x", "y")
     return grouped.groupBy("key", "x", "y").applyInPandas(_crossing(cfg), "a long, b long")
