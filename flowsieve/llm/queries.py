@@ -3,15 +3,18 @@ its production settings, to the whole table it is meant for."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flowsieve.llm.exact_dedup import exact_duplicates
 from flowsieve.llm.lang_mixture import fit_languages, predict_languages
+from flowsieve.llm.licenses import MARKERS, TEMPLATES, scan_licenses
 from flowsieve.llm.line_rules import line_quality
 from flowsieve.llm.minhash_tensor import NearDupConfig, near_duplicates
 from flowsieve.llm.mixing import MixConfig, mix_report
 from flowsieve.llm.packing_dp import PackConfig, pack_documents
 from flowsieve.llm.quality_conv import fit_quality, score_quality
+from flowsieve.llm.shard_table import assign_shards
+from flowsieve.llm.viterbi_count import token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +32,11 @@ def op1_quality_conv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def op2_shard_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id")
+    return assign_shards(docs, F.col("doc_id"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(_documents(spark, sf_dir), MixConfig())
 
@@ -37,6 +45,18 @@ def op4_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality(_documents(spark, sf_dir))
 
 
+def op5_viterbi_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_documents(spark, sf_dir), _vocabulary("piece_bpe_32k.model"))
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document's path is its source, its language, its id."""
+    path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.coalesce("lang", F.lit("unknown")),
+                       F.col("doc_id").cast("string"))
+    files = _documents(spark, sf_dir).select(F.col("doc_id").alias("id"), path.alias("path"), "text")
+    return scan_licenses(files).withColumnRenamed("id", "doc_id")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_documents(spark, sf_dir), PackConfig(_vocabulary("byte_bpe_50k.json")))
 
@@ -56,15 +76,54 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LLM_QUERIES = {
     "op1_quality_conv": op1_quality_conv,
+    "op2_shard_table": op2_shard_table,
     "op3_mixing": op3_mixing,
     "op4_line_rules": op4_line_rules,
+    "op5_viterbi_count": op5_viterbi_count,
+    "op6_license_scan": op6_license_scan,
     "op7_packing": op7_packing,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_language_id": op10_language_id,
 }
 
+_TEMPLATE_ROWS = ", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(TEMPLATES))
+
 LLM_ORACLE_SQL: dict[str, str] = {
+    "op6_license_scan": rf"""
+        WITH d AS (SELECT doc_id, coalesce(source, 'unknown') || '/' || coalesce(lang, 'unknown') AS dir,
+                          coalesce(source, 'unknown') AS top,
+                          translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+                   FROM documents),
+        h AS (SELECT doc_id, dir, regexp_extract_all(array_to_string(list_filter(string_split(t, chr(10)),
+                         lambda x: regexp_matches(x, '{MARKERS}')), chr(10)), '[a-z0-9]+') AS terms,
+                     len(regexp_extract_all(t, '[a-z0-9]+')) AS n_all
+              FROM d WHERE regexp_matches(t, '{MARKERS}')),
+        templates AS (SELECT * FROM (VALUES {_TEMPLATE_ROWS}) v(template, license, wording)),
+        tt AS (SELECT template, license, unnest(regexp_extract_all(translate(wording, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                      'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+')) AS term FROM templates),
+        t_tf AS (SELECT template, license, term, count(*) AS tf FROM tt GROUP BY ALL),
+        f_tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(terms) AS term FROM h) GROUP BY ALL),
+        idf AS (SELECT term, ln((SELECT count(*) FROM h)::DOUBLE / count(*) + (SELECT count(*) FROM templates)::DOUBLE / count(*)) + 1 AS idf
+                FROM (SELECT term FROM f_tf UNION ALL SELECT term FROM t_tf) GROUP BY term),
+        fw AS (SELECT doc_id, term, tf * idf AS w FROM f_tf JOIN idf USING (term)),
+        tw AS (SELECT template, license, term, tf * idf AS w FROM t_tf JOIN idf USING (term)),
+        fn AS (SELECT doc_id, sqrt(sum(w * w)) AS n FROM fw GROUP BY doc_id),
+        tn AS (SELECT template, sqrt(sum(w * w)) AS n FROM tw GROUP BY template),
+        dots AS (SELECT doc_id, template, license, sum(fw.w * tw.w) AS dot FROM fw JOIN tw USING (term) GROUP BY ALL),
+        scored AS (SELECT doc_id, license, round(dot / (fn.n * tn.n), 6) AS score FROM dots JOIN fn USING (doc_id) JOIN tn USING (template)),
+        own AS (SELECT doc_id, license, score FROM scored WHERE score >= 0.5
+                QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, license) = 1),
+        marked AS (SELECT own.*, h.dir, len(h.terms) * 100 >= h.n_all * 50 AS is_file FROM own JOIN h USING (doc_id)),
+        speaking AS (SELECT dir, license, score FROM marked WHERE is_file
+                     QUALIFY row_number() OVER (PARTITION BY dir ORDER BY score DESC, license) = 1)
+        SELECT d.doc_id, d.dir || '/' || d.doc_id AS path, coalesce(m.license, s.license) AS license,
+               CASE WHEN m.license IS NOT NULL THEN m.score ELSE s.score END AS score,
+               CASE WHEN m.is_file THEN 'file' WHEN m.license IS NOT NULL THEN 'header'
+                    WHEN s.license IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
+               CASE WHEN m.is_file THEN d.dir WHEN m.license IS NULL THEN s.dir END AS license_dir
+        FROM d LEFT JOIN marked m USING (doc_id) LEFT JOIN speaking s ON s.dir = d.dir
+    """,
     "op4_line_rules": r"""
         WITH d AS (SELECT doc_id, coalesce(source, chr(1)) AS host, coalesce(text, '') AS t FROM documents),
         words AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i
