@@ -61,3 +61,11 @@ def exact_duplicates(docs: DataFrame, salts: int = 16, digest: Callable[[Column]
     copy = F.row_number().over(Window.partitionBy("doc_id", "text_sha256").orderBy("keep_id"))
     return found.select("doc_id", "keep_id", "group_size",
                         (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (copy == 1)).alias("kept"), "text_sha256")
+
+
+def drop_exact_duplicates(docs: DataFrame, salts: int = 16) -> DataFrame:
+    """One row of each group of equal texts, all its columns."""
+    kept = exact_duplicates(docs, salts).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
+    marked = docs.withColumn("__sha", _sha256(collapsed(F.col("text"))))
+    same = marked["doc_id"].eqNullSafe(kept["__id"]) & (marked["__sha"] == kept["__sha"])
+    return marked.join(kept, same, "left_semi").dropDuplicates(["doc_id", "__sha"]).drop("__sha")

@@ -293,6 +293,12 @@ def near_duplicates(docs: DataFrame, cfg: NearDupConfig = NearDupConfig()) -> Da
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
 
 
+def drop_near_duplicates(docs: DataFrame, cfg: NearDupConfig = NearDupConfig()) -> DataFrame:
+    """The rows, all their columns, that stand for their group."""
+    dropped = near_duplicates(docs, cfg).where("not kept").select("doc_id").distinct()
+    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+
+
 def nodes_of(facts: DataFrame) -> DataFrame:
     """(digest, node): the smallest doc_id that has the set."""
     return facts.groupBy("d0", "d1", "n_shingles").agg(F.min("doc_id").alias("node"))

@@ -194,3 +194,12 @@ def score_quality(docs: DataFrame, model: ConvModel, cfg: ConvConfig = ConvConfi
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"),
                        F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def keep_quality(docs: DataFrame, model: ConvModel, cfg: ConvConfig = ConvConfig()) -> DataFrame:
+    """The rows, all their columns, whose text is predicted 1."""
+    def run(batches):
+        for rows, data, offs in blocks(batches, "text"):
+            yield rows.filter(pa.array(score_bytes(data, offs, model, cfg) >= cfg.threshold))
+
+    return docs.withColumn("text", F.col("text").cast("string")).mapInArrow(run, docs.schema)

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+import corpus_pipeline
 from flowsieve.llm.exact_dedup import exact_duplicates
 from flowsieve.llm.lang_mixture import fit_languages, predict_languages
 from flowsieve.llm.licenses import MARKERS, TEMPLATES, scan_licenses
@@ -85,6 +86,7 @@ LLM_QUERIES = {
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_language_id": op10_language_id,
+    "pipeline": corpus_pipeline.run,
 }
 
 _TEMPLATE_ROWS = ", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(TEMPLATES))
