@@ -65,13 +65,19 @@ def _padded(data: np.ndarray, offs: np.ndarray, cfg: ConvConfig) -> tuple[np.nda
     return out, first
 
 
-def _cells(x: np.ndarray, n_cells: int, model: ConvModel, cfg: ConvConfig) -> np.ndarray:
-    """Filter responses, (cells, positions in the cell, filters)."""
+def _cells(x: np.ndarray, first: np.ndarray, model: ConvModel, cfg: ConvConfig) -> np.ndarray:
+    """Filter responses, (cells, positions in the cell, filters). Windows that
+    reach past a document's last cell would read its neighbour: they are out."""
+    n_cells = int(first[-1])
     n = n_cells * cfg.hop
     acc = np.take(model.table[0], x[:n:cfg.stride], axis=0)
     for k in range(1, cfg.width):
         acc += np.take(model.table[k], x[k:k + n:cfg.stride], axis=0)
-    return acc.reshape(n_cells, cfg.hop // cfg.stride, cfg.filters)
+    acc = acc.reshape(n_cells, cfg.hop // cfg.stride, cfg.filters)
+    past = (cfg.width - 1) // cfg.stride
+    if past:
+        acc[first[1:] - 1, -past:] = -np.inf
+    return acc
 
 
 def _documents(cell: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -92,13 +98,13 @@ def _documents(cell: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndar
 def score_bytes(data: np.ndarray, offs: np.ndarray, model: ConvModel, cfg: ConvConfig) -> np.ndarray:
     """Probability of label 1 of each text."""
     x, first = _padded(data, offs, cfg)
-    cell = np.maximum(_cells(x, int(first[-1]), model, cfg).max(axis=1) + model.bias, 0)
+    cell = np.maximum(_cells(x, first, model, cfg).max(axis=1) + model.bias, 0)
     z = _documents(cell, first)[0] @ model.out + model.out_bias
     return 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -30, 30)))
 
 
 def _gradients(x, first, label, model: ConvModel, cfg: ConvConfig) -> list[np.ndarray]:
-    response = _cells(x, int(first[-1]), model, cfg)
+    response = _cells(x, first, model, cfg)
     top = response.argmax(axis=1)
     raw = np.take_along_axis(response, top[:, None, :], axis=1)[:, 0] + model.bias
     cell = np.maximum(raw, 0)
