@@ -49,7 +49,7 @@ def canonical_flows(raw: DataFrame, keep: list[str] = ()) -> DataFrame:
 
     Drops a record when a required field is missing, a present field does
     not cast, or either address is not an IPv4/IPv6 literal; absent optional
-    fields take their defaults.
+    fields take their defaults, an absent flow time the time of ingest.
     """
     names = {f for f in raw.columns}
     cols, oks = [F.col(k) for k in keep], []
@@ -57,8 +57,9 @@ def canonical_flows(raw: DataFrame, keep: list[str] = ()) -> DataFrame:
         tname = {"IntegerType()": "int", "LongType()": "bigint", "DoubleType()": "double"}.get(repr(dtype), None)
         raw_c = F.col(name) if name in names else F.lit(None)
         if name == "flow_ts":
-            cols.append(raw_c.cast("timestamp_ntz").alias(name) if name in names
-                        else F.lit(None).cast("timestamp_ntz").alias(name))
+            ts = raw_c.try_cast("timestamp_ntz")
+            oks.append(raw_c.isNull() | ts.isNotNull())
+            cols.append(F.coalesce(ts, F.current_timestamp().cast("timestamp_ntz")).alias(name))
             continue
         val, ok = _typed(raw_c, tname or "string")
         oks.append(ok)

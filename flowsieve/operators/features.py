@@ -17,9 +17,6 @@ from flowsieve.functions.columns import (finite_or_null, float_columns, integral
 from flowsieve.operators.ordering import ordered_window
 from flowsieve.operators.rolling import integral_magnitudes, mean_std_columns
 
-MAX_ONE_HOT_VALUES = 1024
-
-
 @dataclass
 class FeatureResult:
     frame: DataFrame
@@ -48,11 +45,8 @@ def extract_features(df: DataFrame, targets=("label", "binary_label", "original_
 
 
 def protocol_values(df: DataFrame, col: str = "protocol") -> list[str]:
-    """Distinct protocol values, sorted (a small aggregate; size checked)."""
-    rows = df.select(col).where(F.col(col).isNotNull()).distinct().limit(MAX_ONE_HOT_VALUES + 1).collect()
-    if len(rows) > MAX_ONE_HOT_VALUES:
-        raise ValueError(f"more than {MAX_ONE_HOT_VALUES} distinct values in {col}; pass them explicitly")
-    return sorted(r[0] for r in rows)
+    """Distinct protocol values, sorted: one row per output column."""
+    return sorted(r[0] for r in df.select(col).where(F.col(col).isNotNull()).distinct().collect())
 
 
 def flag_columns(df: DataFrame) -> list[str]:

@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from flowsieve.operators.ordering import dense_index
 from flowsieve.schema import BENIGN_LABELS
 
-MAX_CLASSES = 100_000
+EDGE_SPACE_RE = r"(?U)^\s+|\s+$"
+LITERAL_CLASSES = 1000   # above this many classes the index is joined, not written into the plan
 
 
 def normalized_label(c: Column) -> Column:
-    """str -> strip -> upper; a missing label reads as 'NAN'."""
-    return F.coalesce(F.upper(F.trim(c.cast("string"))), F.lit("NAN"))
+    """str -> strip (any white space) -> upper; a missing label reads as 'NAN'."""
+    return F.coalesce(F.upper(F.regexp_replace(c.cast("string"), EDGE_SPACE_RE, "")), F.lit("NAN"))
 
 
 def binary_label(norm: Column) -> Column:
@@ -28,11 +29,8 @@ class LabelFit:
 
 
 def fit_labels(df: DataFrame, target: str = "label") -> LabelFit:
-    """Sorted distinct normalised labels (a small aggregate, size-checked)."""
-    rows = (df.select(normalized_label(F.col(target)).alias("c")).distinct()
-            .limit(MAX_CLASSES + 1).collect())
-    if len(rows) > MAX_CLASSES:
-        raise ValueError("too many classes for a label index")
+    """Sorted distinct normalised labels: one row per class of the model."""
+    rows = df.select(normalized_label(F.col(target)).alias("c")).distinct().collect()
     return LabelFit(sorted(r["c"] for r in rows))
 
 
@@ -43,10 +41,16 @@ def encode_labels(df: DataFrame, target: str = "label", fit: LabelFit | None = N
         return df, LabelFit([])
     fit = fit or fit_labels(df, target)
     norm = normalized_label(F.col(target))
-    mapping = F.create_map(*[x for i, name in enumerate(fit.classes) for x in (F.lit(name), F.lit(i))])
     keep = [F.col(f"`{c}`") for c in df.columns if c not in (target, "binary_label", "original_label")]
+    if len(fit.classes) <= LITERAL_CLASSES:
+        mapping = F.create_map(*[x for i, name in enumerate(fit.classes) for x in (F.lit(name), F.lit(i))])
+        index = F.element_at(mapping, norm).cast("int")
+    else:
+        table = df.sparkSession.createDataFrame(list(enumerate(fit.classes)), "_class int, _norm string")
+        df = df.join(table, norm == F.col("_norm"), "left")
+        index = F.col("_class")
     out = df.select(*keep,
-                    F.element_at(mapping, norm).cast("int").alias(target),
+                    index.alias(target),
                     binary_label(norm).alias("binary_label"),
                     F.col(target).alias("original_label"))
     return out, fit
@@ -76,7 +80,8 @@ def draw_key(seed: int, key: Column) -> Column:
 def stratified_split(df: DataFrame, y: str = "binary_label", key: str = "flow_seq",
                      test_size: float = 0.2, seed: int = 42,
                      num_partitions: int | None = None) -> DataFrame:
-    """Exact per-class proportional split; adds ``is_test`` (boolean).
+    """Exact per-class proportional split; adds ``is_test`` (boolean). Rows
+    without a class are a class of their own; classes may be of any type.
 
     Rows are ranked inside their class by ``md5(seed:key)`` through a
     range-partitioned dense index, so a large class is spread over many tasks
@@ -87,10 +92,12 @@ def stratified_split(df: DataFrame, y: str = "binary_label", key: str = "flow_se
         raise ValueError("no rows to split")
     quotas = split_quotas(counts, test_size)
     spark = df.sparkSession
-    qdf = spark.createDataFrame([(k, int(v)) for k, v in quotas.items()], f"{y} long, _quota long")
+    key_type = df.schema[y].dataType.simpleString()
+    qdf = spark.createDataFrame([(k, int(v)) for k, v in quotas.items()], f"_class {key_type}, _quota long")
     ranked = dense_index(df.withColumn("_draw", draw_key(seed, F.col(key))),
                          [y, "_draw", key], num_partitions)
-    start = ranked.groupBy(y).agg(F.min("_idx").alias("_start"))   # one row per class
-    out = (ranked.join(F.broadcast(start), y).join(F.broadcast(qdf), y)
+    start = ranked.groupBy(F.col(y).alias("_class")).agg(F.min("_idx").alias("_start"))   # one row per class
+    per = start.join(qdf.withColumnRenamed("_class", "_c"), F.col("_class").eqNullSafe(F.col("_c"))).drop("_c")
+    out = (ranked.join(F.broadcast(per), F.col(y).eqNullSafe(F.col("_class")))
            .withColumn("is_test", (F.col("_idx") - F.col("_start")) < F.col("_quota")))
-    return out.drop("_draw", "_idx", "_start", "_quota")
+    return out.drop("_draw", "_idx", "_start", "_quota", "_class")

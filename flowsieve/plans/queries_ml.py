@@ -40,13 +40,13 @@ def q_anomaly_scores(spark, sf_dir):
 
 def q_feature_report(spark, sf_dir):
     df, feats = _features(spark, sf_dir)
-    out = ml.feature_report(df, feats, "binary_label", num_trees=50)
+    out = ml.feature_report(df, feats, "binary_label", num_trees=100)
     return out.select("feature", r6(F.col("rf_importance")).alias("rf_importance"),
                       r6(F.col("f_score")).alias("f_score"), "rf_rank", "f_rank",
                       "top_by_importance", "top_by_f_score")
 
 
-def q_train_score_eval(spark, sf_dir, kind: str = "mlp", max_iter: int = 50):
+def q_train_score_eval(spark, sf_dir, kind: str = "mlp", max_iter: int = 100):
     """Split -> train (scaler fitted on the training part) -> save -> load ->
     score the test part -> metrics rows (metric, value)."""
     df, feats = _features(spark, sf_dir)
@@ -70,7 +70,7 @@ def q_train_score_eval(spark, sf_dir, kind: str = "mlp", max_iter: int = 50):
     return a.unionByName(b)
 
 
-def q_loss_curve(spark, sf_dir, max_iter: int = 30):
+def q_loss_curve(spark, sf_dir, max_iter: int = 100):
     """Objective value per training iteration of the perceptron detector."""
     df, feats = _features(spark, sf_dir)
     model = ml.train_detector(df, feats, "binary_label", kind="mlp", max_iter=max_iter)

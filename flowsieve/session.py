@@ -7,7 +7,6 @@ setting gets a private temporary folder.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -46,7 +45,9 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 
 def _is_local(spark: SparkSession) -> bool:
-    return spark.sparkContext.master.startswith("local")
+    """One JVM on one machine (``local-cluster`` has executors of its own)."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -67,9 +68,6 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A new, unique sub-folder of the checkpoint root for one job."""
-    root = checkpoint_root(spark)
-    path = os.path.join(root, f"{name}-{uuid.uuid4().hex[:12]}")
-    if root.startswith("/") or root.startswith("file:"):
-        os.makedirs(path.replace("file:", ""), exist_ok=True)
-    return path
+    """The path of a new, unique sub-folder of the checkpoint root for one
+    job; whatever writes there creates it."""
+    return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"

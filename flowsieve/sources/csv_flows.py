@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowsieve.operators.clean import standardize_columns
@@ -81,6 +81,12 @@ def load_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).option("inferSchema", True).csv(path)
 
 
+def measure(text: Column) -> Column:
+    """A measure's number; missing, not numeric and NaN read 0."""
+    x = text.try_cast("double")
+    return F.when(x.isNull() | F.isnan(x), F.lit(0.0)).otherwise(x)
+
+
 def read_exporter_csv(spark: SparkSession, path: str, ts_header: str = "Timestamp") -> DataFrame:
     """Flow-exporter CSV -> canonical record.
 
@@ -95,7 +101,7 @@ def read_exporter_csv(spark: SparkSession, path: str, ts_header: str = "Timestam
     for header, name in CIC_HEADER_MAP.items():
         col = F.col(f"`{present[header]}`") if header in present else F.lit(None).cast("string")
         if name in CIC_NUMERIC:
-            out.append(F.coalesce(col.try_cast("double"), F.lit(0.0)).alias(name))
+            out.append(measure(col).alias(name))
         elif name in ("src_port", "dst_port"):
             out.append(F.coalesce(col.try_cast("double").try_cast("int"), F.lit(0)).alias(name))
         elif name in ("src_ip", "dst_ip"):

@@ -43,20 +43,19 @@ def f(i: int) -> Column:
     return F.get(F.col("_f"), i)
 
 
-def _int_field(i: int, default: int) -> tuple[Column, Column]:
-    """(value, ok): '-' gives ``default``; otherwise must be an integer."""
+def _int_field(i: int, default: int, dtype: str = "bigint") -> tuple[Column, Column]:
+    """(value, ok): '-' gives ``default``; otherwise must be an integer that
+    ``dtype`` holds."""
     raw = f(i)
-    ok = (raw == "-") | raw.rlike(INT_RE)
-    val = F.when(raw == "-", F.lit(default)).otherwise(raw.try_cast("bigint"))
-    return val, ok
+    val = F.when(raw == "-", F.lit(default).cast(dtype)).otherwise(raw.try_cast(dtype))
+    return val, ((raw == "-") | raw.rlike(INT_RE)) & val.isNotNull()
 
 
 def _timestamp(i: int = 0) -> tuple[Column, Column]:
     """Epoch seconds text -> timestamp (UTC wall clock), exact to the microsecond."""
     raw = f(i)
-    ok = raw.rlike(FLOAT_RE)
-    micros = (raw.try_cast("decimal(20,6)") * F.lit(1000000)).cast("bigint")
-    return F.timestamp_micros(micros).cast("timestamp_ntz"), ok
+    micros = (raw.try_cast("decimal(20,6)") * F.lit(1000000)).try_cast("bigint")
+    return F.timestamp_micros(micros).cast("timestamp_ntz"), raw.rlike(FLOAT_RE) & micros.isNotNull()
 
 
 def _constants(kind: str) -> list[Column]:
@@ -76,15 +75,15 @@ def parse_conn(lines: DataFrame, col: str = "value") -> DataFrame:
     base = _content_lines(lines, col).where(F.size("_f") >= ZEEK_MIN_FIELDS["conn"])
     ts, ts_ok = _timestamp()
     d = ZEEK_DEFAULT_PORT["conn"]
-    sport, sport_ok = _int_field(3, d)
-    dport, dport_ok = _int_field(5, d)
+    sport, sport_ok = _int_field(3, d, "int")
+    dport, dport_ok = _int_field(5, d, "int")
     pk = [_int_field(i, 0) for i in (9, 10, 11, 12)]
     dur_raw = f(8)
     dur_ok = (dur_raw == "-") | dur_raw.rlike(FLOAT_RE)
     dur = F.when(dur_raw == "-", F.lit(0.0)).otherwise(dur_raw.try_cast("double") * F.lit(1000000.0))
     stage = base.select(
-        "_f", ts.alias("flow_ts"), f(2).alias("src_ip"), sport.cast("int").alias("src_port"),
-        f(4).alias("dst_ip"), dport.cast("int").alias("dst_port"), f(6).alias("protocol"),
+        "_f", ts.alias("flow_ts"), f(2).alias("src_ip"), sport.alias("src_port"),
+        f(4).alias("dst_ip"), dport.alias("dst_port"), f(6).alias("protocol"),
         dur.alias("flow_duration"),
         pk[0][0].alias("total_fwd_packets"), pk[1][0].alias("total_backward_packets"),
         pk[2][0].alias("total_length_fwd_packets"), pk[3][0].alias("total_length_bwd_packets"),
@@ -113,9 +112,9 @@ def parse_conn(lines: DataFrame, col: str = "value") -> DataFrame:
 
 def _endpoint(kind: str):
     d = ZEEK_DEFAULT_PORT[kind]
-    sport, sok = _int_field(3, d)
-    dport, dok = _int_field(5, d)
-    return sport.cast("int"), dport.cast("int"), sok & dok
+    sport, sok = _int_field(3, d, "int")
+    dport, dok = _int_field(5, d, "int")
+    return sport, dport, sok & dok
 
 
 def parse_dns(lines: DataFrame, col: str = "value") -> DataFrame:
@@ -188,7 +187,7 @@ def parse_weird(lines: DataFrame, col: str = "value") -> DataFrame:
 
     def port(i):
         raw = f(i)
-        return F.when((raw != "-") & raw.rlike(DIGITS_RE), raw.try_cast("int")).otherwise(F.lit(0))
+        return F.coalesce(F.when(raw.rlike(DIGITS_RE), raw.try_cast("int")), F.lit(0))
 
     def addr(i):
         raw = f(i)
@@ -219,8 +218,10 @@ def read_zeek_dir(spark, path: str) -> DataFrame:
     for kind in ZEEK_LOG_KINDS:
         try:
             lines = spark.read.text(f"{path.rstrip('/')}/{kind}.log")
-        except AnalysisException:            # no log of this kind
-            continue
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+            continue                         # no log of this kind
         parsed = PARSERS[kind](lines)
         out = parsed if out is None else out.unionByName(parsed, allowMissingColumns=True)
     if out is None:
@@ -228,28 +229,24 @@ def read_zeek_dir(spark, path: str) -> DataFrame:
     return out
 
 
-def read_zeek_tsv(spark, paths, max_distinct_headers: int = 1000) -> DataFrame:
-    """Header-driven scan: each file's ``#fields`` line names its columns;
-    all values stay strings; files with different headers are unioned by
-    name (a missing column is NULL).
+def read_zeek_tsv(spark, paths) -> DataFrame:
+    """Header-driven scan: each file's ``#fields`` line names its columns (the
+    last one, where it has several); all values stay strings; files with
+    different headers are unioned by name (a missing column is NULL).
 
-    Only the per-file header table (one row per file) is brought to the
-    driver, to learn the output column names.
+    The distinct headers are brought to the driver, to learn the names of the
+    output columns; the header of each file is joined to its lines.
     """
-    raw = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("_file"))
+    raw = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("_file"),
+                                      F.col("_metadata.file_block_start").alias("_block"))
     headers = (raw.where(F.col("value").startswith("#fields"))
-               .select("_file", F.slice(F.split(F.regexp_replace("value", EDGE_WS_RE, ""), "\t", -1),
-                                        2, 100000).alias("_cols"))
-               .dropDuplicates(["_file"]))
-    distinct = headers.select("_cols").distinct().limit(max_distinct_headers + 1).collect()
-    if len(distinct) > max_distinct_headers:
-        raise ValueError("too many distinct #fields headers")
-    names = []
-    for r in distinct:
-        for c in r["_cols"]:
-            if c not in names:
-                names.append(c)
-    data = _content_lines(raw).join(F.broadcast(headers), "_file")  # one header row per file
+               .select("_file", F.split(F.regexp_replace("value", EDGE_WS_RE, ""), "\t", -1).alias("_all"),
+                       F.struct(F.col("_block"), F.monotonically_increasing_id()).alias("_at"))
+               .groupBy("_file").agg(F.max_by("_all", "_at").alias("_all"))
+               .select("_file", F.slice("_all", F.lit(2), F.size("_all")).alias("_cols")))
+    names = list(dict.fromkeys(c for r in headers.select("_cols").distinct().orderBy("_cols").collect()
+                               for c in r["_cols"]))
+    data = _content_lines(raw.drop("_block")).join(headers, "_file")
     cols = [F.get(F.col("_f"), F.array_position(F.col("_cols"), F.lit(n)).cast("int") - 1).alias(n)
             for n in names]
     return data.select(*cols, F.col("_file").alias("source_file"))

@@ -13,7 +13,12 @@ from pyspark.sql import types as T
 
 from flowsieve.schema import CIC_HEADER_MAP, ZEEK_LOG_KINDS
 from flowsieve.sources import zeek
-from flowsieve.sources.csv_flows import CIC_NUMERIC
+from flowsieve.sources.csv_flows import CIC_NUMERIC, measure
+
+
+# conn.log, conn.2024-01-01-00-00-00.log (rotated), conn.12:00:00-13:00:00.log.gz,
+# and a folder of that name with part files
+LOG_NAME_RE = r"(?:^|/)([A-Za-z0-9_]+)(?:\.[^/]*)?\.log(?:\.gz)?(?:/[^/]+)?$"
 
 
 def zeek_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
@@ -22,7 +27,7 @@ def zeek_stream(spark: SparkSession, path: str, max_files_per_trigger: int | Non
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     lines = reader.load(path).select("value", F.col("_metadata.file_path").alias("_path"))
-    kind_of = F.regexp_extract(F.col("_path"), r"([A-Za-z0-9_]+)\.log(/[^/]+)?$", 1)
+    kind_of = F.regexp_extract(F.col("_path"), LOG_NAME_RE, 1)
     out = None
     for kind in ZEEK_LOG_KINDS:
         parsed = zeek.PARSERS[kind](lines.where(kind_of == kind).select("value"))
@@ -42,7 +47,7 @@ def exporter_stream(spark: SparkSession, path: str, max_files_per_trigger: int |
     for header, name in CIC_HEADER_MAP.items():
         col = F.col(f"`{header}`")
         if name in CIC_NUMERIC:
-            cols.append(F.coalesce(col.try_cast("double"), F.lit(0.0)).alias(name))
+            cols.append(measure(col).alias(name))
         elif name in ("src_port", "dst_port"):
             cols.append(F.coalesce(col.try_cast("double").try_cast("int"), F.lit(0)).alias(name))
         elif name in ("src_ip", "dst_ip"):
