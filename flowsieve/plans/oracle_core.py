@@ -215,7 +215,11 @@ LABELS_CTE = """
           FROM lab JOIN cls USING (norm))
 """
 
-LABEL_ENCODE = _w(LABELS_CTE + """
+LABEL_ENCODE = _w(LABELS_CTE.replace(
+    "label AS original_label, upper(trim(label)) AS norm FROM flows",
+    "label AS original_label, upper(regexp_replace(label, '^\\s+|\\s+$', '', 'g')) AS norm FROM "
+    "(SELECT flow_seq, CASE WHEN flow_seq % 11 = 0 THEN label || chr(9) WHEN flow_seq % 13 = 0 "
+    "THEN ' ' || label || chr(13) || chr(10) ELSE label END AS label FROM flows)") + """
 SELECT flow_seq, label, binary_label, original_label FROM enc
 """)
 

@@ -14,6 +14,7 @@ from flowsieve.operators.clean import clean_dataset
 from flowsieve.operators.features import (extract_features, extract_flow_features, flag_columns,
                                           port_columns)
 from flowsieve.operators.labels import encode_labels, stratified_split
+from flowsieve.operators.ml import rf_feature_importance
 from flowsieve.operators.ordering import IDX, dense_index_with_total, halo_window
 from flowsieve.operators.rolling import (MAX_HALO, integral_magnitudes, mean_std_columns,
                                          quantile_columns, skew_kurt_columns, var_std_columns)
@@ -93,8 +94,11 @@ def adhoc_process(df: DataFrame, key: str = "flow_seq", clean: bool = True, feat
                   k: int = 5) -> Prepared:
     """Toggle-driven processing of an uploaded table: clean, dataset and flow
     features, labels, scaling, then keep the top-``k`` features by the
-    chosen score ('univariate' = ANOVA F, 'mutual_info') with the label
-    columns."""
+    chosen score ('univariate' = ANOVA F, 'mutual_info', 'importance' = random
+    forest), in column order, with the label columns."""
+    scorers = {"univariate": anova_f_scores, "mutual_info": mutual_info_scores, "importance": rf_feature_importance}
+    if select is not None and select not in scorers:
+        raise ValueError(f"unknown selection {select!r}; one of {sorted(scorers)}")
     out = clean_dataset(df) if clean else df
     feats = numeric_columns(out, exclude=[*TARGET_COLUMNS, key])
     if features:
@@ -108,9 +112,9 @@ def adhoc_process(df: DataFrame, key: str = "flow_seq", clean: bool = True, feat
         out, _ = normalize_features(out, feats)
     selected = feats
     if select and labels:
-        scorer = anova_f_scores if select == "univariate" else mutual_info_scores
-        ranked = scorer(out, feats, "binary_label").where(F.col("rank") <= k).collect()  # k rows
-        selected = [r["feature"] for r in sorted(ranked, key=lambda r: r["rank"])]
+        ranked = scorers[select](out, feats, "binary_label").where(F.col("rank") <= k).collect()  # k rows
+        best = {r["feature"] for r in ranked}
+        selected = [c for c in feats if c in best]
         keep = [key] + selected + [c for c in ("label", "binary_label", "original_label") if c in out.columns]
         out = out.select(*keep)
     return Prepared(out, selected)

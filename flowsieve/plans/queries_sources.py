@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from flowsieve.functions.columns import r6
@@ -19,6 +20,26 @@ def spread(spark, df):
     return df.repartition(spark.sparkContext.defaultParallelism)
 
 
+# Fields that no record may have: too wide for a port, too wide for any
+# integer, no number, an epoch beyond the timestamp range (fixed values).
+BAD_PORTS = ["4294967296", "12345678901234567890"]
+BAD_EPOCHS = ["garbage", "99999999999999.000000"]
+
+
+def with_bad_records(lines, kind):
+    """The rendered lines and copies of some with a field that must be refused
+    (an anomaly log reads a bad port as 0, so only its time is spoiled)."""
+    some = lines.where((F.col("flow_seq") % 97 == 5) & ~F.col("value").startswith("#")).select(
+        F.col("flow_seq"), F.split("value", "\t", -1).alias("f"))
+    spoiled = [(0, v) for v in BAD_EPOCHS] + ([(3, v) for v in BAD_PORTS] if kind != "weird" else [])
+    n = F.size("f")
+    for at, value in spoiled:
+        fields = F.concat(F.slice("f", F.lit(1), F.lit(at)), F.array(F.lit(value)),
+                          F.slice("f", F.lit(at + 2), F.greatest(n - at - 1, F.lit(0))))
+        lines = lines.unionByName(some.select("flow_seq", F.array_join(fields, "\t").alias("value")))
+    return lines
+
+
 def _present(df):
     return df.select(*[r6(F.col(c)).alias(c) if c in FLOAT_OUT else F.col(c) for c in df.columns])
 
@@ -27,7 +48,7 @@ def _parse_query(kind):
     def q(spark, sf_dir):
         # written as a log file and read back, as a sensor would leave it
         path = work_dir(spark, f"{kind}-log")
-        lines = RENDERERS[kind](flow_view(spark, sf_dir)).select("value")
+        lines = with_bad_records(RENDERERS[kind](flow_view(spark, sf_dir)), kind).select("value")
         spread(spark, lines).write.mode("overwrite").text(path)
         return _present(zeek.PARSERS[kind](spark.read.text(path)))
     q.__name__ = f"q_{kind}_parse"
@@ -62,9 +83,14 @@ def q_zeek_tsv_scan(spark, sf_dir):
     """Header-driven scan: conn lines under a ``#fields`` header naming the
     first 15 columns; every value stays text."""
     path = work_dir(spark, "zeek-tsv")
-    lines = RENDERERS["conn"](flow_view(spark, sf_dir)).select("value")
-    header = spark.createDataFrame([("#fields\t" + "\t".join(TSV_FIELDS),)], "value string")
-    header.unionByName(lines).coalesce(1).write.mode("overwrite").text(path)
+    lines = spread(spark, RENDERERS["conn"](flow_view(spark, sf_dir)).select("value"))
+    head = pa.RecordBatch.from_pydict({"value": ["#fields\t" + "\t".join(TSV_FIELDS)]})
+
+    def headed(batches):
+        yield head
+        yield from batches
+
+    lines.mapInArrow(headed, "value string").write.mode("overwrite").text(path)   # every file has its header
     return zeek.read_zeek_tsv(spark, path).drop("source_file")
 
 

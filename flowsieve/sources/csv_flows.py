@@ -1,8 +1,7 @@
 """Flow CSV sources: dataset files with separator/encoding sniffing, and
 flow-exporter CSVs mapped to the canonical record.
 
-Sniffing reads only the first line of the input. Values are read as text
-and cast per column, so ``inf``, ``-Infinity``, ``nan`` and ``1e3`` parse
+Values are read as text and cast per column, so ``inf``, ``-Infinity``, ``nan`` and ``1e3`` parse
 as numbers (a typed CSV schema would turn ``inf`` into NULL).
 """
 
@@ -28,22 +27,28 @@ def snake(name: str) -> str:
     return re.sub(r"[^0-9a-zA-Z]+", "_", name.strip()).strip("_").lower()
 
 
-SNIFF_LINES = 1000
+def sniff_files(spark: SparkSession, path: str) -> dict[tuple[str, str], list[str]]:
+    """Files of a path by (separator, encoding).
+
+    Each file is read whole: one line that is not valid UTF-8 makes the file
+    latin-1. The separator is the first that splits the file's first line into
+    more than one field. The driver gets one row per file.
+    """
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"),
+        F.struct(F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("n")).alias("at"))
+    files = lines.groupBy("file").agg(F.min_by("value", "at").alias("head"),
+                                      F.bool_and(F.is_valid_utf8("value")).alias("utf8")).collect()
+    out: dict[tuple[str, str], list[str]] = {}
+    for r in sorted(files, key=lambda r: r["file"]):
+        sep = next((s for s in SEPARATORS if s in r["head"]), SEPARATORS[-1])
+        out.setdefault((sep, ENCODINGS[0] if r["utf8"] else ENCODINGS[1]), []).append(r["file"])
+    return out
 
 
 def sniff_csv(spark: SparkSession, path: str) -> tuple[str, str]:
-    """(separator, encoding): the first separator that splits the header
-    into more than one field; latin-1 when the first ``SNIFF_LINES`` lines
-    are not valid UTF-8. Only that bounded prefix is read."""
-    head = spark.read.text(path).limit(SNIFF_LINES).collect()
-    if not head:
-        return ",", "utf-8"
-    line = head[0][0]
-    enc = "iso-8859-1" if any("�" in (r[0] or "") for r in head) else "utf-8"
-    for sep in SEPARATORS:
-        if len(line.split(sep)) > 1:
-            return sep, enc
-    return SEPARATORS[-1], enc
+    """(separator, encoding) of a file, or of the first file of a folder."""
+    return next(iter(sniff_files(spark, path)), (",", ENCODINGS[0]))
 
 
 def numeric_text_columns(df: DataFrame, cols: list[str] | None = None) -> list[str]:
@@ -63,8 +68,12 @@ def load_flow_csv(spark: SparkSession, path: str, numeric: list[str] | None = No
     """Dataset CSV: sniffed separator and encoding, header names trimmed and
     mapped to snake_case, numeric columns cast to double, standard names
     (label, flow_duration, packet counts) applied."""
-    sep, enc = sniff_csv(spark, path)
-    raw = spark.read.option("header", True).option("sep", sep).option("encoding", enc).csv(path)
+    raw = None
+    for (sep, enc), files in sniff_files(spark, path).items():
+        part = spark.read.option("header", True).option("sep", sep).option("encoding", enc).csv(files)
+        raw = part if raw is None else raw.unionByName(part, allowMissingColumns=True)
+    if raw is None:
+        raw = spark.read.option("header", True).csv(path)
     names = {}
     for c in raw.columns:
         h = c.strip() if trim_headers else c
