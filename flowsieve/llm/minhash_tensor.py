@@ -16,8 +16,9 @@ Every candidate is confirmed on the full shingle sets. Steps:
    four nodes yield all their pairs, larger ones the pairs with their smallest
    node; the confirmed links are joined into components;
 3. larger buckets whose nodes are still in different components compare every
-   pair that crosses components, a bounded block of nodes against another at a
-   time, so no link of a bucket is left out and no group is gathered whole;
+   pair that crosses components, on the full sets and a bounded block of nodes
+   against another at a time, so no link of a bucket is left out and no group is
+   gathered whole;
 4. components over all confirmed links.
 
 Before sets are fetched, a pair must agree in 33 of its 60 minhashes, which a
@@ -38,20 +39,19 @@ from flowsieve.llm.components import connected_components
 from flowsieve.llm.store import stored
 
 SMALL_BUCKET = 4
-_TABLE = 0xFFFF  # bits of a key that hold its table's number
 
 
 @dataclass(frozen=True)
 class NearDupConfig:
-    """``percent``: least similarity in hundredths. ``block``: nodes of a large
-    bucket that one task compares with as many others at a time."""
+    """``percent``: least similarity in hundredths. ``block``: nodes of a family
+    that one task compares with as many others at a time."""
 
     shingle: int = 5
     percent: int = 80
     bands: int = 20
     rows: int = 3
     seed: int = 20240229
-    block: int = 4096
+    block: int = 512
 
     @property
     def hashes(self) -> int:
@@ -150,7 +150,6 @@ def _table_keys(cfg: NearDupConfig):
             for s in range(0, len(ids), 512):
                 part = band[s:s + 512]
                 keys = mix64(part[:, a] + mix64(part[:, b] + tables))
-                keys = (keys & ~np.uint64(_TABLE)) | np.arange(len(a), dtype=np.uint64)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(ids[s:s + 512], len(a)))],
                     names=["key", "node"])
@@ -169,19 +168,24 @@ def _agree(cfg: NearDupConfig):
 
 
 def _crossing(cfg: NearDupConfig):
-    """Pairs of one block of a bucket with another (or itself) that lie in
-    different components. A pair inside the bucket's largest component is
-    skipped unseen: its ends are already joined. A pair that meets in several
-    tables is given by the first of them only."""
-    table_of = np.zeros((cfg.bands, cfg.bands), dtype=np.int64)
-    table_of[np.triu_indices(cfg.bands, 1)] = np.arange(cfg.bands * (cfg.bands - 1) // 2)
-
+    """Links between one block of a family and another (or itself) that join
+    different components. Pairs within the family's largest component are
+    skipped unseen, and so are pairs that links of this task already join."""
     def run(pdf):
         import pandas as pd
 
-        table = int(pdf["key"].iloc[0]) & _TABLE
         sig = np.frombuffer(b"".join(pdf["sig"]), dtype=np.uint32).reshape(-1, cfg.hashes)
-        node, root, blk, size = (pdf[c].to_numpy() for c in ("node", "root", "blk", "n_shingles"))
+        node, root, blk = (pdf[c].to_numpy() for c in ("node", "root", "blk"))
+        size = pdf["set"].map(len).to_numpy() // 8
+        _, ids = np.unique(np.frombuffer(b"".join(pdf["set"]), dtype=np.uint64), return_inverse=True)
+        cut = np.concatenate(([0], np.cumsum(size)))
+        marked = np.zeros(int(ids.max()) + 1, dtype=bool)
+        parent: dict[int, int] = {}
+
+        def find(x):
+            while parent.get(x, x) != x:
+                x = parent[x]
+            return x
         big = pdf["big"].iloc[0]
         left, right = np.flatnonzero(blk == pdf["x"].iloc[0]), np.flatnonzero(blk == pdf["y"].iloc[0])
         out = []
@@ -189,16 +193,19 @@ def _crossing(cfg: NearDupConfig):
             for i in part:
                 j = other[(root[other] != root[i])
                           & (100 * np.minimum(size[other], size[i]) >= cfg.percent * np.maximum(size[other], size[i]))]
+                j = j[(sig[j] == sig[i]).sum(axis=1) >= cfg.least_agreeing] if len(j) else j
                 if not len(j):
                     continue
-                same = sig[j] == sig[i]
-                ok = same.sum(axis=1) >= cfg.least_agreeing
-                j, band = j[ok], same[ok].reshape(-1, cfg.bands, cfg.rows).all(axis=2)
-                first = band.argmax(axis=1)
-                band[np.arange(len(j)), first] = False
-                out += [(min(node[i], node[k]), max(node[i], node[k]))
-                        for k in j[table_of[first, band.argmax(axis=1)] == table]]
-        return pd.DataFrame(sorted(set(out)), columns=["a", "b"]).astype("int64")
+                marked[ids[cut[i]:cut[i + 1]]] = True
+                for k in j:
+                    a, b = find(root[i]), find(root[k])
+                    if a != b:
+                        both = int(marked[ids[cut[k]:cut[k + 1]]].sum())
+                        if 100 * both >= cfg.percent * (size[i] + size[k] - both):
+                            parent[max(a, b)] = min(a, b)
+                            out.append((min(node[i], node[k]), max(node[i], node[k])))
+                marked[ids[cut[i]:cut[i + 1]]] = False
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
     return run
 
 
@@ -279,8 +286,7 @@ def near_duplicates(docs: DataFrame, cfg: NearDupConfig = NearDupConfig()) -> Da
 
     links = stored(confirmed(pairs), "minhash-links")
     roots = connected_components(links, "a", "b")
-    crossing = _crossing_pairs(members, nodes, roots, cfg)
-    more = stored(confirmed(crossing.distinct()), "minhash-links")
+    more = stored(_crossing_links(members, nodes, sets, roots, cfg), "minhash-links")
     if more.head(1):
         roots = connected_components(links.unionByName(more), "a", "b")
 
@@ -304,23 +310,32 @@ def nodes_of(facts: DataFrame) -> DataFrame:
     return facts.groupBy("d0", "d1", "n_shingles").agg(F.min("doc_id").alias("node"))
 
 
-def _crossing_pairs(members: DataFrame, nodes: DataFrame, roots: DataFrame, cfg: NearDupConfig) -> DataFrame:
-    """Candidate pairs of large buckets whose ends are in different components."""
+def _crossing_links(members: DataFrame, nodes: DataFrame, sets: DataFrame, roots: DataFrame,
+                    cfg: NearDupConfig) -> DataFrame:
+    """Links that join components, among the nodes that meet in large buckets.
+
+    Buckets that overlap form a family, so that a pair that meets in many
+    tables is compared once and a node's set is sent once for each block of
+    its family, not once for each bucket.
+    """
     large = (members.where(f"size > {SMALL_BUCKET}").select("key", "node").join(roots, "node", "left")
              .withColumn("root", F.coalesce("root", "node")))
-    split = (large.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
-             .where("lo < hi").select("key"))
-    open_ = stored(large.join(split, "key"), "minhash-open")
-    big = (open_.groupBy("key", "root").count()
-           .groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("big"), F.sum("count").alias("size")))
-    rank = F.row_number().over(Window.partitionBy("key").orderBy("node")) - 1
-    placed = (open_.join(big, "key").withColumn("blk", F.floor(rank / cfg.block).cast("long")).join(nodes, "node")
-              .withColumn("last", F.floor((F.col("size") - 1) / cfg.block).cast("long")))
-    columns = ["key", "node", "root", "n_shingles", "sig", "blk", "big"]
-    whole = placed.where("last = 0").select(*columns, F.col("blk").alias("x"), F.col("blk").alias("y"))
-    cut = (placed.where("last > 0").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), "last")))
-           .select(*columns, F.least("blk", "other").alias("x"), F.greatest("blk", "other").alias("y")))
+    split = (large.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("node").alias("hub"))
+             .where("lo < hi").select("key", "hub"))
+    open_ = stored(large.join(split, "key").select("hub", "node", "root").distinct(), "minhash-open")
+    family = connected_components(open_, "hub", "node").withColumnRenamed("root", "family")
+    placed = (open_.select("node", "root").distinct().join(family, "node", "left")
+              .withColumn("family", F.coalesce("family", "node")))
+    big = (placed.groupBy("family", "root").count()
+           .groupBy("family").agg(F.max_by("root", F.struct("count", "root")).alias("big"), F.sum("count").alias("n")))
+    rank = F.row_number().over(Window.partitionBy("family").orderBy("node")) - 1
+    blocked = (placed.withColumn("blk", F.floor(rank / cfg.block).cast("long")).join(big, "family")
+               .withColumn("last", F.floor((F.col("n") - 1) / cfg.block).cast("long"))
+               .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), "last"))))
+    rows = blocked.join(nodes, "node").join(sets, "node").select(
+        "family", "node", "root", "sig", "set", "blk", "big",
+        F.least("blk", "other").alias("x"), F.greatest("blk", "other").alias("y"))
     # as many tasks as the session shuffles into: the rows are few, the comparisons are not
     tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    grouped = whole.unionByName(cut).repartition(tasks, "key", "x", "y")
-    return grouped.groupBy("key", "x", "y").applyInPandas(_crossing(cfg), "a long, b long")
+    return (rows.repartition(tasks, "family", "x", "y").groupBy("family", "x", "y")
+            .applyInPandas(_crossing(cfg), "a long, b long"))
