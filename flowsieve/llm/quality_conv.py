@@ -177,8 +177,11 @@ def fit_quality(docs: DataFrame, labels: DataFrame, cfg: ConvConfig = ConvConfig
     """Train on at most ``sample`` labelled rows, those of least hash, none of
     them held out. Null labels are left out; a null text is empty."""
     known = (labels.where("quality is not null").groupBy("doc_id").agg(F.min("quality").cast("double").alias("label")))
-    rows = (docs.where(~held_out()).select("doc_id", F.col("text").cast("string").alias("text")).join(known, "doc_id")
-            .orderBy(F.xxhash64("doc_id"), "doc_id").limit(cfg.sample).select("text", "label").toArrow())
+    # ids alone choose the sample; its size is a parameter, so it can be broadcast to the texts
+    chosen = (docs.where(~held_out()).select("doc_id").distinct().join(known, "doc_id")
+              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(cfg.sample))
+    rows = (docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+            .orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(cfg.sample).select("text", "label").toArrow())
     texts = [(t or "").encode() for t in rows.column("text").to_pylist()]
     return train(texts, rows.column("label").to_numpy(), cfg)
 
