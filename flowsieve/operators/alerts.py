@@ -15,6 +15,7 @@ from flowsieve.operators.ordering import running_totals
 from flowsieve.schema import SEVERITY_CUTS, SEVERITY_FLOOR
 
 MICROS = 1_000_000
+HALO_BUCKET_ROWS = 2_000_000   # rows of one (key, time bucket) that a task sorts in a window
 
 
 def severity(conf: Column) -> Column:
@@ -80,11 +81,13 @@ def make_alerts(scored: DataFrame, ts_col: str = "flow_ts", keep=("flow_seq",))
 def rate_limit(alerts: DataFrame, ts_col: str = "timestamp", cap: int = 100,
                window_seconds: int = 60, key_cols: list[str] | None = None,
                bucket_seconds: int | None = None, seq_col: str = "flow_seq",
-               method: str = "prefix") -> DataFrame:
+               method: str = "auto") -> DataFrame:
     """Add ``window_count`` (attempts in the trailing window, itself and
     same-instant attempts included) and ``passed`` = window_count <= cap.
 
-    ``method='prefix'`` (default) never needs a key's timeline in one task:
+    ``method='auto'`` (default) counts the rows of each (key, time bucket) and
+    takes ``halo`` unless one of them is too much for a task. Both give the same
+    rows. ``method='prefix'`` never needs a key's timeline in one task:
     with C(x) = attempts of the key at or before time x, the count is
     C(t) - C(t - window). Two probe rows per attempt (at t and t - window,
     ordered after attempts at the same instant) are interleaved with the
@@ -94,6 +97,12 @@ def rate_limit(alerts: DataFrame, ts_col: str = "timestamp", cap: int = 100,
     ``method='halo'`` evaluates a RANGE frame per (key, time bucket) with a
     one-window halo: cheaper, but one hot key-and-bucket is one task.
     """
+    if method == "auto":
+        bucket = F.floor(F.unix_micros(F.col(ts_col).cast("timestamp"))
+                         / (max(bucket_seconds or 10 * window_seconds, window_seconds) * MICROS))
+        most = (alerts.groupBy(*(key_cols or []), bucket.alias("_b")).agg(F.count(F.lit(1)).alias("n"))
+                .agg(F.max("n")).first()[0])
+        method = "halo" if (most or 0) <= HALO_BUCKET_ROWS else "prefix"
     if method == "halo":
         return _rate_limit_halo(alerts, ts_col, cap, window_seconds, key_cols, bucket_seconds)
     keys = list(key_cols or [])

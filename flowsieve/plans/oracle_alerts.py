@@ -107,7 +107,7 @@ ORACLE_ALERTS["stream_alerts"] = _w("""
                 count(*) OVER (ORDER BY epoch_us(timestamp) RANGE BETWEEN 21599999999 PRECEDING AND CURRENT ROW)
                   AS window_count
          FROM al)
-SELECT flow_seq, timestamp, least(window_count, 21) AS window_count, window_count <= 20 AS passed FROM rl""")
+SELECT flow_seq, timestamp, window_count, window_count <= 20 AS passed FROM rl""")
 ORACLE_ALERTS["stream_alert_minutes"] = ORACLE_ALERTS["alerts_per_minute"]
 ORACLE_ALERTS["stream_counters"] = _w("""
 , s AS (SELECT count(*) AS total_flows_processed, count(*) FILTER (WHERE prediction = 'MALICIOUS') AS malicious_flows,
@@ -129,4 +129,4 @@ ORACLE_ALERTS["stream_alerts_by_source"] = _w("""
                 count(*) OVER (PARTITION BY src_ip ORDER BY epoch_us(timestamp)
                                RANGE BETWEEN 604799999999 PRECEDING AND CURRENT ROW) AS window_count
          FROM al)
-SELECT flow_seq, src_ip, timestamp, least(window_count, 3) AS window_count, window_count <= 2 AS passed FROM rl""")
+SELECT flow_seq, src_ip, timestamp, window_count, window_count <= 2 AS passed FROM rl""")

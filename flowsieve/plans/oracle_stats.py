@@ -143,7 +143,7 @@ SELECT round(avg(-(y * ln(p) + (1 - y) * ln(1 - p))), 6) AS log_loss,
 FROM c""")
 
 INT_RE = "'^[+-]?[0-9]+$'"
-FLOW_VALIDATE = "WITH " + FLOWS_CTE + """
+VALID_CTE = "WITH " + FLOWS_CTE + """
 , raw AS (SELECT flow_seq,
             CASE WHEN flow_seq % 37 = 0 THEN '256.1.1.1' WHEN flow_seq % 41 = 0 THEN '1.2.3'
                  WHEN flow_seq % 43 = 0 THEN '::1' WHEN flow_seq % 47 = 0 THEN ''
@@ -157,6 +157,7 @@ FLOW_VALIDATE = "WITH " + FLOWS_CTE + """
                  ELSE CAST(CAST(flow_duration AS BIGINT) AS VARCHAR) END AS flow_duration,
             CAST(total_fwd_packets AS VARCHAR) AS total_fwd_packets,
             CAST(total_backward_packets AS VARCHAR) AS total_backward_packets
+          , flow_ts, fwd_psh_flags + fwd_urg_flags AS flags
           FROM flows)
 , ok AS (SELECT * FROM raw
          WHERE src_ip IS NOT NULL AND dst_ip IS NOT NULL AND src_port IS NOT NULL AND dst_port IS NOT NULL
@@ -166,12 +167,26 @@ FLOW_VALIDATE = "WITH " + FLOWS_CTE + """
            AND regexp_matches(total_backward_packets, """ + INT_RE + """)
            AND (regexp_matches(src_ip, '""" + IPV4_RE + """') OR regexp_matches(src_ip, '""" + IPV6_RE + """'))
            AND (regexp_matches(dst_ip, '""" + IPV4_RE + """') OR regexp_matches(dst_ip, '""" + IPV6_RE + """')))
+"""
+
+FLOW_VALIDATE = VALID_CTE + """
 SELECT flow_seq, src_ip, dst_ip, CAST(src_port AS INTEGER) AS src_port, CAST(dst_port AS INTEGER) AS dst_port,
        coalesce(protocol, 'TCP') AS protocol,
        round(coalesce(TRY_CAST(flow_duration AS DOUBLE), 0.0), 6) AS flow_duration,
        CAST(total_fwd_packets AS BIGINT) AS total_fwd_packets,
        CAST(total_backward_packets AS BIGINT) AS total_backward_packets, 'real_traffic' AS source
-FROM ok"""
+FROM ok WHERE flow_seq % 101 <> 0 AND flow_seq % 113 <> 0"""
+
+LIVE_CHAIN = VALID_CTE + """
+, scored AS (SELECT *, 1.0::DOUBLE / (1.0 + exp(-(least(CAST(total_fwd_packets AS DOUBLE)
+                           / (CAST(total_backward_packets AS DOUBLE) + 1), 6.0) * 0.8 + flags * 0.9 - 2.2))) AS p FROM ok)
+, limited AS (SELECT *, count(*) OVER (PARTITION BY src_ip ORDER BY epoch_us(flow_ts)
+                              RANGE BETWEEN 172799999999 PRECEDING AND CURRENT ROW) AS window_count
+              FROM scored WHERE p > 0.7)
+SELECT flow_seq, flow_ts AS timestamp, src_ip, round(p, 6) AS confidence,
+       CASE WHEN p >= 0.9 THEN 'CRITICAL' WHEN p >= 0.8 THEN 'HIGH' WHEN p >= 0.7 THEN 'MEDIUM' ELSE 'LOW' END AS severity,
+       window_count, window_count <= 3 AS passed
+FROM limited"""
 
 WCOLS = ["flow_duration", "total_fwd_packets", "total_backward_packets", "total_length_fwd_packets",
          "total_length_bwd_packets"]
@@ -191,5 +206,6 @@ ORACLE_STATS = {
     "roc_auc": ROC_AUC,
     "log_loss": LOG_LOSS,
     "flow_validate": FLOW_VALIDATE,
+    "stream_live_chain": LIVE_CHAIN,
     "feature_width_fit": FEATURE_WIDTH,
 }

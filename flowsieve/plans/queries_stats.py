@@ -112,7 +112,10 @@ def raw_records(spark, sf_dir):
 
 
 def q_flow_validate(spark, sf_dir):
-    out = canonical_flows(raw_records(spark, sf_dir), keep=["flow_seq"])
+    q = F.col("flow_seq")
+    raw = raw_records(spark, sf_dir).withColumn("flow_ts", F.when(q % 101 == 0, "garbage").otherwise(
+        F.col("flow_ts").cast("string"))).withColumn("dst_port", F.when(q % 113 == 0, "4294967296").otherwise(F.col("dst_port")))
+    out = canonical_flows(raw, keep=["flow_seq"])
     return out.select("flow_seq", "src_ip", "dst_ip", "src_port", "dst_port", "protocol",
                       r6(F.col("flow_duration")).alias("flow_duration"), "total_fwd_packets",
                       "total_backward_packets", "source")

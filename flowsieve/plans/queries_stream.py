@@ -1,7 +1,7 @@
 """Registered streaming queries. Each writes scored flows derived from
-``events`` as three time-ordered parquet files, runs a Structured Streaming
-query over them with one file per trigger (state carried across triggers),
-waits for it, and returns the sink table. The oracle is the batch twin."""
+``events`` as parquet files in three time ranges, oldest first, runs a
+Structured Streaming query over them in several triggers, waits for it, and
+returns the sink table. The oracle is the batch twin."""
 
 from __future__ import annotations
 
@@ -16,27 +16,26 @@ from flowsieve.streaming import sinks
 from flowsieve.streaming.sources import flow_stream
 
 SPLITS = ["2024-01-11", "2024-01-21"]
+FILES_PER_RANGE = 4
 
 
-def write_stream_input(spark, sf_dir) -> tuple[str, object]:
-    """Scored flows as three parquet files, oldest time range written first."""
+def write_stream_input(spark, sf_dir, flows=None) -> tuple[str, object]:
+    """Flows (scored ones by default) in three time ranges; rows without a time
+    go with the oldest."""
     root = work_dir(spark, "stream-input")
-    sc = scored_flows(spark, sf_dir)
+    sc = scored_flows(spark, sf_dir) if flows is None else flows
     ts = F.col("flow_ts")
-    bounds = [None, *SPLITS, None]
+    part = F.when(ts >= F.lit(SPLITS[1]).cast("timestamp_ntz"), 2).when(
+        ts >= F.lit(SPLITS[0]).cast("timestamp_ntz"), 1).otherwise(0)
     for i in range(3):
-        cond = F.lit(True)
-        if bounds[i]:
-            cond = cond & (ts >= F.lit(bounds[i]).cast("timestamp_ntz"))
-        if bounds[i + 1]:
-            cond = cond & (ts < F.lit(bounds[i + 1]).cast("timestamp_ntz"))
-        sc.where(cond).coalesce(1).write.mode("overwrite").parquet(f"{root}/part{i}")
+        sc.where(part == i).repartition(FILES_PER_RANGE).write.mode("overwrite").parquet(f"{root}/part{i}")
     return root, sc.schema
 
 
 def _stream(spark, sf_dir):
     root, schema = write_stream_input(spark, sf_dir)
-    stream = flow_stream(spark, "parquet", f"{root}/part*/*.parquet", schema=schema, max_files_per_trigger=1)
+    stream = flow_stream(spark, "parquet", f"{root}/part*/*.parquet", schema=schema,
+                         max_files_per_trigger=FILES_PER_RANGE)
     return al.score_flows(stream, "score", 0.7)
 
 
@@ -46,13 +45,21 @@ def _run(query):
         raise RuntimeError(str(query.exception()))
 
 
+def _limited(spark, sf_dir, name, **limits):
+    attempts, out, ck = (work_dir(spark, f"{name}-{x}") for x in ("attempts", "out", "ckpt"))
+    _run(sa.rate_limit_query(al.make_alerts(_stream(spark, sf_dir)), attempts, out, ck, **limits))
+    return sinks.latest_snapshot(spark, out, ["flow_seq"])
+
+
 def q_stream_alerts(spark, sf_dir):
-    scored = _stream(spark, sf_dir)
-    limited = sa.rate_limit_stream(al.make_alerts(scored), "timestamp", "flow_seq", cap=20,
-                                   window_seconds=6 * 3600)
-    out, ck = work_dir(spark, "stream-alerts"), work_dir(spark, "stream-alerts-ckpt")
-    _run(sinks.append_table(limited, out, ck))
-    return spark.read.parquet(out).select("flow_seq", "timestamp", "window_count", "passed")
+    return _limited(spark, sf_dir, "stream-alerts", cap=20, window_seconds=6 * 3600).select(
+        "flow_seq", "timestamp", "window_count", "passed")
+
+
+def q_stream_alerts_by_source(spark, sf_dir):
+    """Streaming limiter keyed by source address."""
+    return _limited(spark, sf_dir, "stream-alerts-src", cap=2, window_seconds=7 * 86400, key_cols=["src_ip"]).select(
+        "flow_seq", "src_ip", "timestamp", "window_count", "passed")
 
 
 def q_stream_counters(spark, sf_dir):
@@ -69,17 +76,6 @@ def q_stream_counters(spark, sf_dir):
 
 
 def q_stream_alert_minutes(spark, sf_dir):
-    windows = sa.minute_windows_stream(al.make_alerts(_stream(spark, sf_dir)))
     out, ck = work_dir(spark, "stream-minutes"), work_dir(spark, "stream-minutes-ckpt")
-    _run(sinks.snapshot_per_batch(windows, out, ck))
-    return sinks.latest_snapshot(spark, out, ["minute"]).select("minute", "n_alerts")
-
-
-def q_stream_alerts_by_source(spark, sf_dir):
-    """Streaming limiter keyed by source address (state per key)."""
-    scored = _stream(spark, sf_dir)
-    limited = sa.rate_limit_stream(al.make_alerts(scored), "timestamp", "flow_seq", cap=2,
-                                   window_seconds=7 * 86400, key_cols=["src_ip"])
-    out, ck = work_dir(spark, "stream-alerts-src"), work_dir(spark, "stream-alerts-src-ckpt")
-    _run(sinks.append_table(limited, out, ck))
-    return spark.read.parquet(out).select("flow_seq", "src_ip", "timestamp", "window_count", "passed")
+    _run(sa.minute_counts_query(al.make_alerts(_stream(spark, sf_dir)), out, ck))
+    return sa.minute_counts(spark, out)

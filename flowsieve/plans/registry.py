@@ -96,6 +96,7 @@ def _queries() -> dict:
         "process_pipeline": qp.q_process_pipeline,
         "engineer_all": qp.q_engineer_all,
         "stream_scoring": qp.q_stream_scoring,
+        "stream_live_chain": qp.q_stream_live_chain,
     }
 
 

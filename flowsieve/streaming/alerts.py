@@ -1,81 +1,60 @@
-"""Streaming alert operators: stateful rate limiter, running counters,
-per-minute windows, stream cleaning.
-
-The rate limiter keeps, per key, the timestamps of the most recent
-``cap + 1`` attempts inside the window: enough to decide "more than cap
-attempts in the trailing window" exactly, with bounded state. Within a
-micro-batch attempts are taken in (time, sequence) order and same-instant
-attempts are counted together, as in the batch form
-(``operators.alerts.rate_limit``); the two agree when data arrive in time
-order across triggers.
+"""Streaming alert operators: rate limiter, running counters, per-minute
+counts, stream cleaning.
+
+Nothing that arrives late is lost. The limiter keeps its attempts in a table
+and, for each micro-batch, decides again every attempt that the new ones can
+touch, with the batch limiter; readers take the newest decision of an attempt
+(``sinks.latest_snapshot``). So the result equals the batch form for any number
+of rows per key, any order inside a trigger and any lateness. Every batch
+writes its own ``batch_id=`` folder, so a replayed batch replaces itself.
 """
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
+
+from flowsieve.operators.alerts import rate_limit
+from flowsieve.streaming.sinks import history_of, write_batch
 
 MICROS = 1_000_000
 
 
-def _limiter(cap: int, win_us: int, out_cols: list[str]):
-    def fn(key, pdfs, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        old = np.array(state.get[0] if state.exists else [], dtype=np.int64)
-        for pdf in pdfs:
-            if pdf.empty:
-                continue
-            pdf = pdf.sort_values(["_ts_us", "_seq"], kind="mergesort")
-            t = pdf["_ts_us"].to_numpy(dtype=np.int64)
-            lo = t - win_us                                   # window is (t - W, t]
-            in_batch = np.searchsorted(t, t, "right") - np.searchsorted(t, lo, "right")
-            old_sorted = np.sort(old)
-            in_state = (np.searchsorted(old_sorted, t, "right")
-                        - np.searchsorted(old_sorted, lo, "right"))
-            count = in_batch + in_state
-            out = pdf[out_cols].copy()
-            # exact up to cap + 1, which is all the decision needs
-            out["window_count"] = np.minimum(count, cap + 1).astype(np.int64)
-            out["passed"] = count <= cap
-            merged = np.concatenate([old_sorted, t])
-            newest = merged.max()
-            keep = merged[merged > newest - win_us]
-            old = np.sort(keep)[-(cap + 1):]
-            yield out
-        state.update((old.tolist(),))
-        if len(old):
-            expiry = int(old.max() // 1000) + win_us // 1000 + 1
-            state.setTimeoutTimestamp(max(expiry, state.getCurrentWatermarkMs() + 1))
-    return fn
-
-
-def rate_limit_stream(alerts: DataFrame, ts_col: str = "timestamp", seq_col: str = "flow_seq",
-                      cap: int = 100, window_seconds: int = 60, key_cols: list[str] | None = None,
-                      watermark: str | None = None) -> DataFrame:
-    """Streaming twin of the batch limiter: adds ``passed`` and
-    ``window_count`` = min(attempts in the trailing window, cap + 1)."""
-    win_us = window_seconds * MICROS
+def rate_limit_query(alerts: DataFrame, attempts: str, out: str, checkpoint: str, ts_col: str = "timestamp",
+                     seq_col: str = "flow_seq", cap: int = 100, window_seconds: int = 60,
+                     key_cols: list[str] | None = None, trigger: dict | None = None):
+    """Streaming twin of ``operators.alerts.rate_limit``: writes alerts with
+    ``window_count`` and ``passed`` to ``out``, a snapshot per micro-batch.
+
+    ``attempts`` holds all attempts by day. A new attempt in the time slice s
+    (one window long) can change attempts of its key in s and s + 1, and those
+    count attempts back to s - 1: only these slices are read, from their days.
+    """
     keys = list(key_cols or [])
-    ts_ltz = F.col(ts_col).cast("timestamp")
-    staged = alerts.withColumn("_ts_us", F.unix_micros(ts_ltz)).withColumn("_seq", F.col(seq_col)) \
-                   .withColumn("_event_time", ts_ltz)
-    staged = staged.withWatermark("_event_time", watermark or f"{window_seconds} seconds")
-    if not keys:                                     # one global limiter
-        staged = staged.withColumn("_all", F.lit(0))
-    group = keys if keys else ["_all"]
-    out_cols = [c for c in alerts.columns]
-    fields = [f for f in staged.schema.fields if f.name in out_cols]
-    out_schema = T.StructType(fields + [T.StructField("window_count", T.LongType()),
-                                        T.StructField("passed", T.BooleanType())])
-    state_schema = "ts array<bigint>"
-    return staged.groupBy(*group).applyInPandasWithState(
-        _limiter(cap, win_us, out_cols), out_schema, state_schema, "append",
-        GroupStateTimeout.EventTimeTimeout)
+    slice_of = F.floor(F.unix_micros(F.col(ts_col).cast("timestamp")) / (window_seconds * MICROS)).cast("long")
+
+    def same(left: DataFrame, right: DataFrame):
+        return [left[c].eqNullSafe(right[c]) for c in [*keys, "_slice"]]
+
+    def decide(batch: DataFrame, batch_id: int) -> None:
+        columns = batch.columns
+        staged = batch.withColumn("_slice", slice_of).withColumn("_day", F.to_date(ts_col))
+        write_batch(staged, attempts, batch_id, ["_day"])
+        seen = history_of(batch.sparkSession, attempts, batch_id)
+        new = seen.where(F.col("batch_id") == batch_id).select(*keys, "_slice").distinct()
+        touched = new.withColumn("_slice", F.explode(F.array("_slice", F.col("_slice") + 1))).distinct()
+        needed = touched.withColumn("_slice", F.explode(F.array(F.col("_slice") - 1, "_slice"))).distinct()
+        start, end = (F.to_date(F.timestamp_micros((F.col("_slice") + i) * window_seconds * MICROS)) for i in (0, 1))
+        days = needed.select("_slice").distinct().select(F.explode(F.sequence(start, end)).alias("d")).distinct()
+        days = [r["d"] for r in days.collect()]                   # the days a batch touches
+        context = seen.where(F.col("_day").isin(days) | F.col("_day").isNull())
+        context = context.join(needed, same(context, needed), "left_semi")
+        decided = rate_limit(context, ts_col, cap, window_seconds, keys or None, seq_col=seq_col)
+        decided = decided.join(touched, same(decided, touched), "left_semi")
+        write_batch(decided.select(*columns, "window_count", "passed"), out, batch_id)
+
+    return (alerts.writeStream.foreachBatch(decide).option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or {"availableNow": True})).start())
 
 
 def counters_stream(scored: DataFrame) -> DataFrame:
@@ -85,26 +64,40 @@ def counters_stream(scored: DataFrame) -> DataFrame:
                       F.count_if(F.col("alert")).alias("alerts_generated"))
 
 
-def minute_windows_stream(alerts: DataFrame, ts_col: str = "timestamp", watermark: str = "10 minutes") -> DataFrame:
-    """Tumbling one-minute alert counts with a watermark bounding the state."""
+def minute_counts_query(alerts: DataFrame, out: str, checkpoint: str, ts_col: str = "timestamp",
+                        trigger: dict | None = None):
+    """Alerts per minute without state: each micro-batch writes its own counts
+    and ``minute_counts`` adds them, so late alerts still count."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        write_batch(batch.groupBy(F.date_trunc("minute", ts_col).cast("timestamp_ntz").alias("minute"))
+                    .agg(F.count(F.lit(1)).alias("n_alerts")), out, batch_id)
+
+    return (alerts.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or {"availableNow": True})).start())
+
+
+def minute_counts(spark, out: str) -> DataFrame:
+    return spark.read.parquet(out).groupBy("minute").agg(F.sum("n_alerts").alias("n_alerts"))
+
+
+def minute_windows_stream(alerts: DataFrame, ts_col: str = "timestamp", watermark: str | None = None) -> DataFrame:
+    """Tumbling one-minute alert counts as a stateful aggregate. A watermark
+    bounds the state and gives up later alerts; without one nothing is lost."""
     ts = F.col(ts_col).cast("timestamp")
-    return (alerts.withColumn("_event_time", ts).withWatermark("_event_time", watermark)
-            .groupBy(F.window("_event_time", "1 minute").alias("w"))
+    timed = alerts.withColumn("_event_time", ts)
+    if watermark:
+        timed = timed.withWatermark("_event_time", watermark)
+    return (timed.groupBy(F.window("_event_time", "1 minute").alias("w"))
             .agg(F.count(F.lit(1)).alias("n_alerts"))
             .select(F.col("w.start").cast("timestamp_ntz").alias("minute"), "n_alerts"))
 
 
-def clean_stream(flows: DataFrame, medians: dict, key_cols: list[str], ts_col: str = "flow_ts",
-                 watermark: str = "10 minutes") -> DataFrame:
-    """Stream cleaning with medians frozen at training time and
-    de-duplication of repeated records within the watermark."""
-    ts = F.col(ts_col).cast("timestamp")
-    out = flows.withColumn("_event_time", ts).withWatermark("_event_time", watermark)
+def clean_stream(flows: DataFrame, medians: dict) -> DataFrame:
+    """Stream cleaning with medians frozen at training time; repeated records
+    are left out where the rows are written (``sinks.append_new_rows``)."""
+    out = flows
     for c, m in medians.items():
         x = F.col(c)
         out = out.withColumn(c, F.when(x.isNull() | F.isnan(x) | x.isin(float("inf"), float("-inf")),
                                        F.lit(m)).otherwise(x))
-    return out.dropDuplicatesWithinWatermark(key_cols).drop("_event_time")
-
-
-__all__ = ["rate_limit_stream", "counters_stream", "minute_windows_stream", "clean_stream"]
+    return out

@@ -14,11 +14,43 @@ def append_table(stream: DataFrame, path: str, checkpoint: str, trigger: dict |
     return w.trigger(**(trigger or {"availableNow": True})).start()
 
 
+def write_batch(rows: DataFrame, path: str, batch_id: int, partition_cols: list[str] = ()) -> None:
+    """Write a micro-batch's rows to its own ``batch_id=`` folder; a replayed
+    batch replaces what it wrote before."""
+    rows.write.mode("overwrite").partitionBy(*partition_cols).parquet(f"{path}/batch_id={batch_id}")
+
+
+def history_of(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
+    """What the batches up to ``batch_id`` wrote."""
+    return spark.read.parquet(path).where(F.col("batch_id") <= batch_id)
+
+
+def append_new_rows(stream: DataFrame, path: str, checkpoint: str, key_cols: list[str], ts_col: str,
+                    transform=None, trigger: dict | None = None):
+    """Append the rows whose key no earlier row had, at any lateness.
+
+    Rows are kept by day and a batch looks for earlier keys in its own days
+    only (a repeated record has the same time). ``transform`` is applied to the
+    new rows before they are written; it must keep ``key_cols`` and ``ts_col``.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.dropDuplicates(key_cols).withColumn("_day", F.to_date(ts_col))
+        if batch_id > 0:
+            days = [r["_day"] for r in rows.select("_day").distinct().collect()]     # the days a batch touches
+            old = history_of(rows.sparkSession, path, batch_id - 1)
+            old = old.where(F.col("_day").isin(days) | F.col("_day").isNull()).select(*key_cols)
+            rows = rows.join(old, [rows[c].eqNullSafe(old[c]) for c in key_cols], "left_anti")
+        write_batch(transform(rows) if transform else rows, path, batch_id, ["_day"])
+
+    return (stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or {"availableNow": True})).start())
+
+
 def snapshot_per_batch(stream: DataFrame, path: str, checkpoint: str, trigger: dict | None = None):
-    """Write each micro-batch's (updated) rows with its ``batch_id`` — one
-    metrics snapshot per processed batch; readers take the latest per key."""
+    """Write each micro-batch's (updated) rows as one metrics snapshot with its
+    time; readers take the latest per key."""
     def write(batch: DataFrame, batch_id: int):
-        batch.withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode("append").parquet(path)
+        write_batch(batch.withColumn("snapshot_time", F.current_timestamp().cast("timestamp_ntz")), path, batch_id)
 
     return (stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .outputMode("update").trigger(**(trigger or {"availableNow": True})).start())

@@ -10,7 +10,7 @@ from flowsieve.operators.alerts import rate_limit
 from flowsieve.operators.labels import split_quotas, stratified_split
 from flowsieve.operators.scale import normalize_features
 from flowsieve.streaming import sinks
-from flowsieve.streaming.alerts import rate_limit_stream
+from flowsieve.streaming.alerts import rate_limit_query
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -46,13 +46,76 @@ def test_stream_limiter_matches_batch(spark, tmpdir_path):
         part.coalesce(1).write.parquet(os.path.join(tmpdir_path, "in", f"p{i}"))
     stream = (spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1)
               .parquet(os.path.join(tmpdir_path, "in", "p*", "*.parquet")))
-    out = os.path.join(tmpdir_path, "out")
-    q = sinks.append_table(rate_limit_stream(stream, cap=5, window_seconds=600), out,
-                           os.path.join(tmpdir_path, "ck"))
-    q.awaitTermination()
-    got = {r.flow_seq: r.passed for r in spark.read.parquet(out).collect()}
-    want = {r.flow_seq: r.passed for r in rate_limit(df, cap=5, window_seconds=600).collect()}
-    assert got == want and 0 < sum(got.values()) < len(got)
+    got = _limit_stream(spark, stream, tmpdir_path, cap=5, window_seconds=600)
+    want = _decisions(rate_limit(df, cap=5, window_seconds=600))
+    assert got == want and 0 < sum(p for _, p in got.values()) < len(got)
+
+
+def _decisions(df):
+    return {r.flow_seq: (r.window_count, r.passed) for r in df.collect()}
+
+
+def _limit_stream(spark, stream, folder, **limits):
+    attempts, out, ck = (os.path.join(folder, x) for x in ("attempts", "out", "ck"))
+    rate_limit_query(stream, attempts, out, ck, **limits).awaitTermination()
+    return _decisions(sinks.latest_snapshot(spark, out, ["flow_seq"]))
+
+
+def test_stream_limiter_with_many_unsorted_rows_per_key(spark, tmpdir_path):
+    """30,000 shuffled alerts of two keys in one trigger, in one file."""
+    rng = np.random.default_rng(5)
+    n = 30_000
+    offs = rng.uniform(0, 4 * 3600, n).round(2)
+    rows = [(i, "ab"[i % 3 == 0], T0 + dt.timedelta(seconds=float(s))) for i, s in enumerate(offs)]
+    df = spark.createDataFrame(rows, "flow_seq long, src_ip string, timestamp timestamp_ntz")
+    src = os.path.join(tmpdir_path, "in")
+    df.coalesce(1).write.parquet(src)
+    stream = spark.readStream.schema(df.schema).parquet(src)
+    limits = dict(cap=100, window_seconds=60, key_cols=["src_ip"])
+    got = _limit_stream(spark, stream, tmpdir_path, **limits)
+    want = _decisions(rate_limit(df, **limits))
+    assert got == want and 0 < sum(p for _, p in got.values()) < n
+
+
+def test_stream_limiter_with_a_late_file(spark, tmpdir_path):
+    """The oldest alerts arrive last; every decision ends as in batch."""
+    rng = np.random.default_rng(6)
+    offs = np.sort(rng.uniform(0, 3600, 300))
+    df = _alerts(spark, [float(x) for x in offs])
+    src = os.path.join(tmpdir_path, "in")
+    parts = ["flow_seq % 3 = 0", "flow_seq % 3 = 1", "flow_seq % 3 = 2"]
+    schema, limits = df.schema, dict(cap=6, window_seconds=120)
+    got = None
+    for i, cond in enumerate(reversed(parts)):
+        df.where(cond).coalesce(1).write.parquet(os.path.join(src, f"p{i}"))
+        stream = spark.readStream.schema(schema).parquet(os.path.join(src, "p*", "*.parquet"))
+        got = _limit_stream(spark, stream, tmpdir_path, **limits)     # resumes from its checkpoint
+    assert got == _decisions(rate_limit(df, **limits))
+
+
+def test_replayed_snapshot_replaces_itself(spark, tmpdir_path):
+    path = os.path.join(tmpdir_path, "snap")
+    for _ in range(2):
+        sinks.write_batch(spark.createDataFrame([(1,)], "n int"), path, 0)
+    assert sinks.latest_snapshot(spark, path).count() == 1
+
+
+def test_append_new_rows_keeps_late_rows_once(spark, tmpdir_path):
+    src, out, ck = (os.path.join(tmpdir_path, x) for x in ("src", "out", "ck"))
+    df = _alerts(spark, [0, 86400 * 3, 10, 10 + 86400 * 3])
+    for i, ids in enumerate([(1, 3), (1, 0), (0, 2, 2)]):              # late rows, repeats across and inside triggers
+        part = df.where(F.col("flow_seq").isin(*ids))
+        part = part.unionByName(df.where(F.col("flow_seq") == 2)) if i == 2 else part
+        part.coalesce(1).write.parquet(os.path.join(src, f"p{i}"))
+        stream = spark.readStream.schema(df.schema).parquet(os.path.join(src, "p*", "*.parquet"))
+        sinks.append_new_rows(stream, out, ck, ["flow_seq"], "timestamp").awaitTermination()
+    assert sorted(r.flow_seq for r in spark.read.parquet(out).collect()) == [0, 1, 2, 3]
+
+
+def test_split_keeps_rows_without_a_class(spark):
+    df = spark.createDataFrame([(i, None if i % 7 == 0 else "xy"[i % 2]) for i in range(70)], "k long, y string")
+    out = stratified_split(df, "y", "k", 0.2, 1)
+    assert out.count() == 70 and out.where("y is null and is_test").count() == 2
 
 
 def test_stream_restart_reads_new_files_once(spark, tmpdir_path):
