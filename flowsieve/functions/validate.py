@@ -25,16 +25,21 @@ IPV6_RE = ("^(" + "|".join([
     f":((:{H}){{1,7}}|:)",
 ]) + ")$")
 INT_RE = r"^[+-]?[0-9]+$"
+NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double")
 
 
 def valid_ip(c: Column) -> Column:
     return F.coalesce(c.rlike(IPV4_RE) | c.rlike(IPV6_RE), F.lit(False))
 
 
-def _typed(raw: Column, spark_type: str) -> tuple[Column, Column]:
-    """(value, ok) for a text field: NULL stays NULL (default applied later);
-    non-NULL text must cast (integers must be written as integers)."""
+def _typed(raw: Column, spark_type: str, text: bool = True) -> tuple[Column, Column]:
+    """(value, ok) of a field: NULL stays NULL (default applied later); text
+    must cast (integers must be written as integers), a number is cut to an
+    integer and must fit."""
     txt = raw.cast("string")
+    if not text and spark_type in ("int", "bigint"):
+        val = raw.try_cast(spark_type)
+        return val, raw.isNull() | val.isNotNull()
     if spark_type in ("int", "bigint"):
         ok = txt.isNull() | txt.rlike(INT_RE)
         return txt.try_cast(spark_type), ok
@@ -51,7 +56,8 @@ def canonical_flows(raw: DataFrame, keep: list[str] = ()) -> DataFrame:
     not cast, or either address is not an IPv4/IPv6 literal; absent optional
     fields take their defaults, an absent flow time the time of ingest.
     """
-    names = {f for f in raw.columns}
+    types = dict(raw.dtypes)
+    names = set(types)
     cols, oks = [F.col(k) for k in keep], []
     for name, dtype, default in FLOW_FIELDS:
         tname = {"IntegerType()": "int", "LongType()": "bigint", "DoubleType()": "double"}.get(repr(dtype), None)
@@ -61,7 +67,7 @@ def canonical_flows(raw: DataFrame, keep: list[str] = ()) -> DataFrame:
             oks.append(raw_c.isNull() | ts.isNotNull())
             cols.append(F.coalesce(ts, F.current_timestamp().cast("timestamp_ntz")).alias(name))
             continue
-        val, ok = _typed(raw_c, tname or "string")
+        val, ok = _typed(raw_c, tname or "string", types.get(name) not in NUMBERS)
         oks.append(ok)
         if name in REQUIRED_FIELDS:
             oks.append(val.isNotNull())

@@ -1,8 +1,9 @@
-"""Streaming flow sources bound by name (file sources with checkpointed offsets).
+"""Streaming flow sources bound by name.
 
-Files are read exactly once per checkpoint; a restarted query resumes from
-its checkpoint. Growing files are not re-read by the file source, so sensors
-are expected to rotate files into the watched folder.
+``zeek`` and ``cicflowmeter`` read files that are complete when they appear,
+each once per checkpoint; ``zeek_tail`` and ``cicflowmeter_tail`` follow files
+that grow (byte offsets, ``streaming.tail``). All of them can give validated
+canonical records (``canonical=True``): one schema, bad records dropped.
 """
 
 from __future__ import annotations
@@ -13,7 +14,9 @@ from pyspark.sql import types as T
 
 from flowsieve.schema import CIC_HEADER_MAP, ZEEK_LOG_KINDS
 from flowsieve.sources import zeek
+from flowsieve.functions.validate import canonical_flows
 from flowsieve.sources.csv_flows import CIC_NUMERIC, measure
+from flowsieve.streaming.tail import tail_lines
 
 
 # conn.log, conn.2024-01-01-00-00-00.log (rotated), conn.12:00:00-13:00:00.log.gz,
@@ -22,11 +25,19 @@ LOG_NAME_RE = r"(?:^|/)([A-Za-z0-9_]+)(?:\.[^/]*)?\.log(?:\.gz)?(?:/[^/]+)?$"
 
 
 def zeek_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    """Tail a folder of rotated Zeek logs; dispatch on the file name."""
+    """A folder of rotated Zeek logs; dispatch on the file name."""
     reader = spark.readStream.format("text")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    lines = reader.load(path).select("value", F.col("_metadata.file_path").alias("_path"))
+    return _zeek_records(reader.load(path).select("value", F.col("_metadata.file_path").alias("_path")))
+
+
+def zeek_tail(spark: SparkSession, path: str) -> DataFrame:
+    """Zeek logs that sensors are still writing."""
+    return _zeek_records(tail_lines(spark, path).withColumnRenamed("path", "_path"))
+
+
+def _zeek_records(lines: DataFrame) -> DataFrame:
     kind_of = F.regexp_extract(F.col("_path"), LOG_NAME_RE, 1)
     out = None
     for kind in ZEEK_LOG_KINDS:
@@ -42,7 +53,23 @@ def exporter_stream(spark: SparkSession, path: str, max_files_per_trigger: int |
     reader = spark.readStream.schema(schema).option("header", True)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    raw = reader.csv(path)
+    return _exporter_records(reader.csv(path), ts_header)
+
+
+def exporter_tail(spark: SparkSession, path: str, ts_header: str = "Timestamp",
+                  headers: list[str] | None = None) -> DataFrame:
+    """Flow-exporter CSV files that are still written. ``headers`` names their
+    columns in order (all of them, by default); header lines are left out."""
+    names = headers or [ts_header, *CIC_HEADER_MAP]
+    wanted = [ts_header, *CIC_HEADER_MAP]
+    fields = F.from_csv("value", ", ".join(f"c{i} string" for i in range(len(names))))
+    rows = tail_lines(spark, path).where(~F.col("value").startswith(names[0] + ",") & (F.trim("value") != ""))
+    rows = rows.select(fields.alias("f")).select(*[
+        (F.col(f"f.c{names.index(h)}") if h in names else F.lit(None).cast("string")).alias(h) for h in wanted])
+    return _exporter_records(rows, ts_header)
+
+
+def _exporter_records(raw: DataFrame, ts_header: str) -> DataFrame:
     cols = []
     for header, name in CIC_HEADER_MAP.items():
         col = F.col(f"`{header}`")
@@ -67,14 +94,21 @@ def parquet_stream(spark: SparkSession, path: str, schema: T.StructType,
 
 
 def flow_stream(spark: SparkSession, source_type: str, path: str, schema: T.StructType | None = None,
-                max_files_per_trigger: int | None = None) -> DataFrame:
-    """Streaming DataFrame of flow records from a named source type."""
+                max_files_per_trigger: int | None = None, canonical: bool = False) -> DataFrame:
+    """Streaming DataFrame of flow records from a named source type, as the
+    source gives them or (``canonical``) validated and in one schema."""
     if source_type == "zeek":
-        return zeek_stream(spark, path, max_files_per_trigger)
-    if source_type == "cicflowmeter":
-        return exporter_stream(spark, path, max_files_per_trigger)
-    if source_type == "parquet":
+        flows = zeek_stream(spark, path, max_files_per_trigger)
+    elif source_type == "zeek_tail":
+        flows = zeek_tail(spark, path)
+    elif source_type == "cicflowmeter":
+        flows = exporter_stream(spark, path, max_files_per_trigger)
+    elif source_type == "cicflowmeter_tail":
+        flows = exporter_tail(spark, path)
+    elif source_type == "parquet":
         if schema is None:
             raise ValueError("a parquet flow stream needs a schema")
-        return parquet_stream(spark, path, schema, max_files_per_trigger)
-    raise ValueError(f"unknown traffic source {source_type!r}")
+        flows = parquet_stream(spark, path, schema, max_files_per_trigger)
+    else:
+        raise ValueError(f"unknown traffic source {source_type!r}")
+    return canonical_flows(flows) if canonical else flows
