@@ -23,6 +23,8 @@ def _z(c: Column) -> Column:
 
 
 LONG_MAX = 9_000_000_000_000_000_000     # below 2^63, margin for sums
+MAX_FRAME = MAX_HALO + 1
+DECIMAL_MAX = 9e37                       # below 10^38, margin for sums
 SPAN = 2 * MAX_BUCKET_ROWS               # rows a running sum can cover (bucket + halo)
 
 
@@ -97,8 +99,11 @@ def _center(rng):
 
 def _var(x: Column, w, rows: int, integral: bool, maxabs=None, name: str = "", pre=None,
          span: int = SPAN) -> Column:
-    if not integral or pre is None:
-        return F.var_samp(x).over(trailing(w, rows))
+    dmax = _center(maxabs)[1]
+    too_wide = dmax is not None and MAX_FRAME * span * float(dmax) ** 2 >= DECIMAL_MAX
+    if not integral or pre is None or too_wide:
+        # doubles, and integers whose exact power sums pass 38 digits
+        return F.var_samp(x.cast("double")).over(trailing(w, rows))
     return exact_var_samp(x, w, name, pre, maxabs, rows, span)
 
 
@@ -165,10 +170,19 @@ def skew_kurt_columns(w, col: str, rows: int = 10, integral: bool = False,
 
 def quantile_columns(w, col: str, rows: int = 10, integral: bool = False,
                      maxabs=None, pre: dict | None = None, span: int = SPAN) -> list[Column]:
-    x = F.col(f"`{col}`").cast("double")
-    f = trailing(w, rows)
-    q25 = F.percentile(x, 0.25).over(f)
-    q75 = F.percentile(x, 0.75).over(f)
+    """Interpolated quartiles of the frame's values, sorted once per row."""
+    name = f"_run_{_safe(col)}_sorted{rows}"
+    values = F.array_sort(F.collect_list(F.col(f"`{col}`").cast("double")).over(trailing(w, rows)))
+    if pre is not None:
+        pre.setdefault(name, values.alias(name))
+        values = F.col(name)
+
+    def quantile(q):
+        at = (F.size(values) - 1) * F.lit(q)
+        low = F.get(values, F.floor(at).cast("int"))
+        high = F.get(values, F.ceil(at).cast("int"))
+        return F.when(F.size(values) > 0, low + (high - low) * (at - F.floor(at)))
+    q25, q75 = quantile(0.25), quantile(0.75)
     return [_z(q25).alias(f"{col}_q25"), _z(q75).alias(f"{col}_q75"),
             _z(q75 - q25).alias(f"{col}_iqr")]
 

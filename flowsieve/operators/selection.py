@@ -1,9 +1,8 @@
 """Feature statistics and selection: variance ranking, interactions, ANOVA F,
 binned mutual information.
 
-Per-feature statistics are computed in long format (feature, class, value)
-so one grouped aggregate serves any number of columns, with partial
-aggregation before the shuffle.
+Statistics of all columns come from one wide aggregate over the rows; only its
+few result rows are turned into long format.
 """
 
 from __future__ import annotations
@@ -66,9 +65,14 @@ def anova_f_scores(df: DataFrame, cols: list[str], y: str) -> DataFrame:
     """One-way ANOVA F per feature: (SSB/(k-1)) / (SSW/(n-k)), from one
     grouped aggregate of (feature, class). Columns: feature, f_score, rank
     (1 = best; ties by name)."""
-    long = melt(df, cols, [y]).where(F.col("value").isNotNull())
-    g = long.groupBy("feature", y).agg(F.count(F.lit(1)).alias("n_g"), F.avg("value").alias("mean_g"),
-                                       F.var_pop("value").alias("var_g"))
+    aggs = []
+    for i, c in enumerate(cols):
+        x = F.col(f"`{c}`").cast("double")
+        aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.var_pop(x).alias(f"v{i}")]
+    per_class = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"n{i}").alias("n_g"), F.col(f"m{i}").alias("mean_g"),
+                                   F.col(f"v{i}").alias("var_g")) for i, c in enumerate(cols)])
+    g = (df.groupBy(y).agg(*aggs).select(y, F.explode(per_class).alias("s"))      # one row per class and feature
+         .select("s.feature", y, "s.n_g", "s.mean_g", "s.var_g").where("n_g > 0"))
     wf = Window.partitionBy("feature")               # one group per feature: k class rows
     g = g.select("*", F.sum("n_g").over(wf).alias("n"),
                  (F.sum(F.col("n_g") * F.col("mean_g")).over(wf) / F.sum("n_g").over(wf)).alias("mean"),
@@ -87,12 +91,19 @@ def anova_f_scores(df: DataFrame, cols: list[str], y: str) -> DataFrame:
 def mutual_info_scores(df: DataFrame, cols: list[str], y: str, bins: int = 10) -> DataFrame:
     """Plug-in mutual information (nats) between each equal-width-binned
     feature and the class. Columns: feature, mi, rank."""
-    long = melt(df, cols, [y]).where(F.col("value").isNotNull() & ~F.isnan("value"))
-    rng = long.groupBy("feature").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-    width = (F.col("hi") - F.col("lo")) / bins
-    b = F.when(width == 0, F.lit(0)).otherwise(
-        F.least(F.floor((F.col("value") - F.col("lo")) / width), F.lit(bins - 1))).cast("int")
-    binned = long.join(F.broadcast(rng), "feature").select("feature", y, b.alias("bin"))  # one row per feature
+    values = [F.nullif(F.col(f"`{c}`").cast("double"), F.lit(float("nan"))) for c in cols]
+    rng = df.agg(*[f(x).alias(f"{f.__name__}{i}") for i, x in enumerate(values) for f in (F.min, F.max)]).first()
+    pairs = []
+    for i, (c, x) in enumerate(zip(cols, values)):
+        lo, hi = rng[f"min{i}"], rng[f"max{i}"]
+        if lo is None:
+            continue
+        width = (hi - lo) / bins
+        b = F.lit(0) if width == 0 else F.least(F.floor((x - F.lit(lo)) / F.lit(width)), F.lit(bins - 1))
+        pairs.append(F.when(x.isNotNull(), F.struct(F.lit(c).alias("feature"), b.cast("int").alias("bin"))))
+    if not pairs:
+        return df.sparkSession.createDataFrame([], "feature string, mi double, rank int")
+    binned = df.select(y, F.explode(F.array_compact(F.array(*pairs))).alias("p")).select("p.feature", y, "p.bin")
     joint = binned.groupBy("feature", "bin", y).agg(F.count(F.lit(1)).alias("n_by"))
     wf = Window.partitionBy("feature")
     wb = Window.partitionBy("feature", "bin")

@@ -38,8 +38,15 @@ PROCESS_PIPELINE = "WITH " + FLOWS_CTE + """
                                        ORDER BY md5('42:' || CAST(CAST(flow_seq AS DOUBLE) AS VARCHAR)),
                                                 CAST(flow_seq AS DOUBLE)) AS rn
              FROM enc)
-, split AS (SELECT r.binary_label, r.rn <= q.quota AS is_test FROM ranked r JOIN quota q USING (binary_label))
-SELECT binary_label, is_test, count(*) AS n_rows, 0.0::DOUBLE AS train_mean, 1.0::DOUBLE AS train_std
-FROM split GROUP BY 1, 2"""
+, split AS (SELECT r.flow_seq, r.binary_label, r.rn <= q.quota AS is_test FROM ranked r JOIN quota q USING (binary_label))
+, x AS (SELECT split.*, CAST(flow_duration AS DOUBLE) AS a, CAST(total_fwd_packets AS DOUBLE) AS b,
+               CAST(total_fwd_packets AS DOUBLE) / (total_backward_packets + 1) AS c,
+               CAST(total_length_fwd_packets + total_length_bwd_packets AS DOUBLE) AS d
+        FROM split JOIN flows USING (flow_seq))
+, fit AS (SELECT avg(a) AS am, stddev_pop(a) AS asd, avg(b) AS bm, stddev_pop(b) AS bsd, avg(c) AS cm, stddev_pop(c) AS csd,
+                 avg(d) AS dm, stddev_pop(d) AS dsd FROM x WHERE NOT is_test)
+SELECT flow_seq, binary_label, is_test, round((a - am) / asd, 6) AS flow_duration, round((b - bm) / bsd, 6) AS total_fwd_packets,
+       round((c - cm) / csd, 6) AS fwd_bwd_packet_ratio, round((d - dm) / dsd, 6) AS total_bytes
+FROM x, fit"""
 
 ORACLE_PIPELINES = {"adhoc_process": ADHOC, "process_pipeline": PROCESS_PIPELINE}
