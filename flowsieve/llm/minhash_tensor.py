@@ -171,13 +171,13 @@ def _crossing(cfg: NearDupConfig):
     """Links between one block of a family and another (or itself) that join
     different components. Pairs within the family's largest component are
     skipped unseen, and so are pairs that links of this task already join."""
-    def run(pdf):
-        import pandas as pd
-
-        sig = np.frombuffer(b"".join(pdf["sig"]), dtype=np.uint32).reshape(-1, cfg.hashes)
-        node, root, blk = (pdf[c].to_numpy() for c in ("node", "root", "blk"))
-        size = pdf["set"].map(len).to_numpy() // 8
-        _, ids = np.unique(np.frombuffer(b"".join(pdf["set"]), dtype=np.uint64), return_inverse=True)
+    def run(table: pa.Table) -> pa.Table:
+        sets = table.column("set").to_pylist()
+        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), dtype=np.uint32).reshape(-1, cfg.hashes)
+        node, root, blk = (table.column(c).to_numpy() for c in ("node", "root", "blk"))
+        big, x, y = (table.column(c)[0].as_py() for c in ("big", "x", "y"))
+        size = np.array([len(s) // 8 for s in sets])
+        _, ids = np.unique(np.frombuffer(b"".join(sets), dtype=np.uint64), return_inverse=True)
         cut = np.concatenate(([0], np.cumsum(size)))
         marked = np.zeros(int(ids.max()) + 1, dtype=bool)
         parent: dict[int, int] = {}
@@ -186,8 +186,7 @@ def _crossing(cfg: NearDupConfig):
             while parent.get(x, x) != x:
                 x = parent[x]
             return x
-        big = pdf["big"].iloc[0]
-        left, right = np.flatnonzero(blk == pdf["x"].iloc[0]), np.flatnonzero(blk == pdf["y"].iloc[0])
+        left, right = np.flatnonzero(blk == x), np.flatnonzero(blk == y)
         out = []
         for part, other in ((left[root[left] != big], right), (left[root[left] == big], right[root[right] != big])):
             for i in part:
@@ -205,7 +204,7 @@ def _crossing(cfg: NearDupConfig):
                             parent[max(a, b)] = min(a, b)
                             out.append((min(node[i], node[k]), max(node[i], node[k])))
                 marked[ids[cut[i]:cut[i + 1]]] = False
-        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+        return pa.table({c: pa.array([int(p[i]) for p in out], pa.int64()) for i, c in enumerate("ab")})
     return run
 
 
@@ -338,4 +337,4 @@ def _crossing_links(members: DataFrame, nodes: DataFrame, sets: DataFrame, roots
     # as many tasks as the session shuffles into: the rows are few, the comparisons are not
     tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (rows.repartition(tasks, "family", "x", "y").groupBy("family", "x", "y")
-            .applyInPandas(_crossing(cfg), "a long, b long"))
+            .applyInArrow(_crossing(cfg), "a long, b long"))
