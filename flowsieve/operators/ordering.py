@@ -8,9 +8,10 @@ here keep order-dependent work parallel at any size:
                  after a per-partition sort) and adds the row count of all
                  earlier partitions. The only driver data is one count per
                  partition. Range bounds are sampled anew by every job, so the
-                 tagged rows are checkpointed once (to the session's shared
-                 checkpoint folder) and both the count and the numbering read
-                 that copy; a lost executor re-reads it instead of re-sampling.
+                 tagged rows are written once (as Parquet, below the session's
+                 shared checkpoint folder) and both the count and the numbering
+                 read that copy; a lost executor re-reads it instead of
+                 re-sampling, and later passes read the columns they need.
 ``halo_window``  cuts the indexed rows into buckets of ``bucket_rows`` and
                  copies the last ``halo`` rows of each bucket into the next,
                  so a trailing ROWS frame of up to ``halo + 1`` rows can be
@@ -26,7 +27,7 @@ import inspect
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowsieve.session import checkpoint_root
+from flowsieve.session import written
 
 IDX = "_idx"
 _LOCAL_BITS = 33
@@ -54,8 +55,7 @@ def dense_index_with_total(df: DataFrame, order_cols: list, num_partitions: int
     cols = [F.col(c) if isinstance(c, str) else c for c in order_cols]
     ranged = df.repartitionByRange(n_parts, *cols).sortWithinPartitions(*cols)
     mono = F.monotonically_increasing_id()
-    checkpoint_root(df.sparkSession)
-    tagged = ranged.withColumn("_mono", mono).checkpoint(eager=True)
+    tagged = written(ranged.withColumn("_mono", mono), "ordered")
     pid = F.shiftright(F.col("_mono"), _LOCAL_BITS)
     counts = (tagged.groupBy(pid.alias("_pid")).agg(F.count(F.lit(1)).alias("_n"))
               .collect())                     # one row per range partition

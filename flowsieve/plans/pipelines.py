@@ -22,6 +22,7 @@ from flowsieve.operators.stats import exact_medians
 from flowsieve.operators.scale import normalize_features
 from flowsieve.operators.selection import anova_f_scores, create_interaction_features, mutual_info_scores
 from flowsieve.schema import TARGET_COLUMNS
+from flowsieve.session import written
 
 
 @dataclass
@@ -66,7 +67,7 @@ def engineer_all_features(df: DataFrame, order_col: str, target: str = "label",
     out = extract_flow_features(out, flags=flag_columns(df), ports=port_columns(df)).frame
     # the variance ranking and the final projection both need every window
     # column: materialise them once in the shared checkpoint folder
-    out = out.checkpoint(eager=True)
+    out = written(out, "engineered")
     feats = numeric_columns(out, exclude=[target, *TARGET_COLUMNS, order_col])
     out, pairs = create_interaction_features(out, feats)
     new = [c for c in out.columns if c not in df.columns]

@@ -67,7 +67,28 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
+_made: list[str] = []
+
+
+def written(df, name: str):
+    """The rows, written once as Parquet below the checkpoint folder and read
+    from there: lineage ends, later passes read only the columns they need."""
+    path = work_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release_work_dirs(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this application. Call it when no
+    DataFrame that reads them is needed any more."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    while _made:
+        path = hadoop.Path(_made.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
     """The path of a new, unique sub-folder of the checkpoint root for one
     job; whatever writes there creates it."""
-    return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    _made.append(f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}")
+    return _made[-1]
