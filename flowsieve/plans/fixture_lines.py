@@ -1,4 +1,4 @@
-"""Sensor text rendered from the flow view (test inputs that grow with ``events``).
+"""Fixture: sensor text rendered from the flow view, the input of the parser queries.
 
 Each renderer turns flow records into one tab-separated log line per flow in
 the field layout a Zeek log kind uses, with a deterministic sprinkling of

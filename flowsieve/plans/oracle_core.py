@@ -189,6 +189,20 @@ ROLLING_MEAN_STD = _rolling_sql(["mean_std"])
 ROLLING_BY_SOURCE = _rolling_sql(["var_std", "skew_kurt", "quantiles", "mean_std"], part=True)
 
 
+def _rolling_double_sql():
+    exprs = []
+    for c in ("iat_part", "fwd_part"):
+        exprs += [e.replace(_exact_var(c, _frame(5, False)), f"var_samp({c}) {_frame(5, False)}") for e in _var_std(c, False)]
+        exprs += _quantiles(c, False)
+        for k in (5, 10, 20):
+            w = _frame(k, False)
+            exprs += [f"round(coalesce(avg({c}) {w}, 0), 6) AS {c}_rolling_mean_{k}",
+                      f"round(coalesce(sqrt(var_samp({c}) {w}), 0), 6) AS {c}_rolling_std_{k}"]
+    return _w("\n, m AS (SELECT flow_seq, flow_iat_mean / 7.0::DOUBLE AS iat_part, "
+              "total_fwd_packets / 3.0::DOUBLE AS fwd_part FROM flows)\nSELECT flow_seq,\n       "
+              + ",\n       ".join(exprs) + "\nFROM m\n")
+
+
 def _stat_features_sql():
     cols = ["flow_duration", "total_fwd_packets"]
     exprs = []
@@ -255,6 +269,7 @@ ORACLE_CORE = {
     "rolling_quantiles": ROLLING_QUANTILES,
     "rolling_mean_std": ROLLING_MEAN_STD,
     "rolling_by_source": ROLLING_BY_SOURCE,
+    "rolling_double": _rolling_double_sql(),
     "statistical_features": STATISTICAL_FEATURES,
     "label_encode": LABEL_ENCODE,
     "label_distribution": LABEL_DISTRIBUTION,

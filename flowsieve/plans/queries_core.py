@@ -98,6 +98,14 @@ def q_rolling_mean_std(spark, sf_dir):
     return _rolling(spark, sf_dir, ("mean_std",))
 
 
+def q_rolling_double(spark, sf_dir):
+    """Windows over fractional doubles."""
+    fl = flow_view(spark, sf_dir).select("flow_seq", (F.col("flow_iat_mean") / 7.0).alias("iat_part"),
+                                         (F.col("total_fwd_packets") / 3.0).alias("fwd_part"))
+    out = rolling_features(fl, ["iat_part", "fwd_part"], "flow_seq", kinds=("var_std", "quantiles", "mean_std"))
+    return _round_all(out.drop("iat_part", "fwd_part"))
+
+
 def q_rolling_by_source(spark, sf_dir):
     return _rolling(spark, sf_dir, ("var_std", "skew_kurt", "quantiles", "mean_std"),
                     partition_cols=["src_ip"])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from flowsieve.functions.columns import r6
 from flowsieve.session import work_dir
 from flowsieve.sources import zeek
-from flowsieve.sources.sensor_text import RENDERERS
+from flowsieve.plans.fixture_lines import RENDERERS
 from flowsieve.sources.tables import flow_view
 
 FLOAT_OUT = ["flow_duration", "fwd_packet_length_mean", "fwd_packet_length_max",

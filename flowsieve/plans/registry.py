@@ -46,6 +46,7 @@ def _queries() -> dict:
         "rolling_quantiles": qc.q_rolling_quantiles,
         "rolling_mean_std": qc.q_rolling_mean_std,
         "rolling_by_source": qc.q_rolling_by_source,
+        "rolling_double": qc.q_rolling_double,
         "statistical_features": qc.q_statistical_features,
         "label_encode": qc.q_label_encode,
         "label_distribution": qc.q_label_distribution,
