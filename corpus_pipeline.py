@@ -29,8 +29,9 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each group of near-duplicate texts."""
-    return drop_near_duplicates(docs, NearDupConfig(shingle=4))
+    """The smallest doc_id of each group of near-duplicate texts (five-word
+    shingles, similarity 0.8)."""
+    return drop_near_duplicates(docs, NearDupConfig())
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
