@@ -14,7 +14,7 @@ from flowsieve.llm.minhash_tensor import NearDupConfig, drop_near_duplicates
 from flowsieve.llm.mixing import mixed_documents
 from flowsieve.llm.packing_dp import PackConfig, pack_documents
 from flowsieve.llm.quality_conv import fit_quality, keep_quality
-from flowsieve.llm.store import stored
+from flowsieve.session import written as stored
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

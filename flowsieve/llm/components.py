@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from flowsieve.llm.store import stored
+from flowsieve.session import written as stored
 
 
 def _state(edges: DataFrame) -> tuple:

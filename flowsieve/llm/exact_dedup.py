@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from flowsieve.llm.sql_text import collapsed
-from flowsieve.llm.store import stored
+from flowsieve.session import written as stored
 
 
 def _sha256(body: Column) -> Column:

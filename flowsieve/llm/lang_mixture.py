@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from flowsieve.llm.arrow_text import blocks, row_runs
+from flowsieve.llm.sql_text import held_out
 
 _FOLD = np.arange(256, dtype=np.uint32)
 _FOLD[65:91] += 32
@@ -67,11 +68,6 @@ def letter_trigrams(data: np.ndarray, offs: np.ndarray, bits: int) -> tuple[np.n
     return bucket, first, np.searchsorted(offs, at, side="right") - 1
 
 
-def held_out() -> F.Column:
-    """crc32 of the doc_id as text leaves no remainder by 5."""
-    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
-
-
 def fit_languages(docs: DataFrame, cfg: LangConfig = LangConfig()) -> LangModel:
     """Trigram model of each non-null lang, from rows that are not held out."""
     def count(batches):

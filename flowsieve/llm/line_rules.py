@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from flowsieve.llm.arrow_text import blocks, hash_words, mix64, row_runs, word_spans
-from flowsieve.llm.store import stored
+from flowsieve.session import written as stored
 
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[list(b"#*$%&|<>")] = True

@@ -36,7 +36,7 @@ from pyspark.sql.window import Window
 
 from flowsieve.llm.arrow_text import blocks, hash_words, mix64, row_runs, word_spans
 from flowsieve.llm.components import connected_components
-from flowsieve.llm.store import stored
+from flowsieve.session import written as stored
 
 SMALL_BUCKET = 4
 

@@ -21,7 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from flowsieve.llm.arrow_text import blocks, text_bytes
+from flowsieve.llm.arrow_text import blocks
+from flowsieve.llm.sql_text import held_out
 
 
 @dataclass(frozen=True)
@@ -33,7 +34,7 @@ class ConvConfig:
     width: int = 6
     stride: int = 2
     hop: int = 128
-    sample: int = 2000
+    sample: int = 4000
     epochs: int = 12
     batch: int = 32
     rate: float = 0.02
@@ -168,11 +169,6 @@ def train(texts: list[bytes], labels: np.ndarray, cfg: ConvConfig) -> ConvModel:
     return model
 
 
-def held_out() -> F.Column:
-    """crc32 of the doc_id as text leaves no remainder by 5."""
-    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
-
-
 def fit_quality(docs: DataFrame, labels: DataFrame, cfg: ConvConfig = ConvConfig()) -> ConvModel:
     """Train on at most ``sample`` labelled rows, those of least hash, none of
     them held out. Null labels are left out; a null text is empty."""
