@@ -103,8 +103,7 @@ def halo_window(indexed: DataFrame, partition_cols: list[str], halo: int,
     own = F.floor(idx / bucket_rows).cast("long")
     is_tail = (idx % bucket_rows) >= (bucket_rows - halo)
     copies = F.when(is_tail, F.array(own, own + 1)).otherwise(F.array(own))
-    spread = (indexed.withColumn("_own", own)
-              .withColumn("_bucket", F.explode(copies)))
+    spread = indexed.select("*", own.alias("_own"), F.explode(copies).alias("_bucket"))
     w = Window.partitionBy("_bucket", *partition_cols).orderBy(idx_col)
     # builders that take a second argument learn the most rows a partition
     # holds (bucket plus halo), e.g. to size exact running sums
@@ -112,9 +111,10 @@ def halo_window(indexed: DataFrame, partition_cols: list[str], halo: int,
     built = build(w, bucket_rows + halo) if takes_span else build(w)
     pre, cols = built if isinstance(built, tuple) else ([], built)
     staged = spread.select("*", *pre) if pre else spread
-    out = staged.select("*", *cols).where(F.col("_bucket") == F.col("_own"))
-    out = out.drop("_bucket", "_own")
-    return out.select(*[c for c in out.columns if not c.startswith("_run_")])
+    keep = [F.col(f"`{c}`") for c in indexed.columns]
+    # one projection: planning time grows with the number of window columns
+    return (staged.select(*keep, *cols, (F.col("_bucket") == F.col("_own")).alias("_mine"))
+            .where("_mine").drop("_mine"))
 
 
 def trailing(w: Window, rows: int) -> Window:

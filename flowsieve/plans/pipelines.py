@@ -63,11 +63,11 @@ def engineer_all_features(df: DataFrame, order_col: str, target: str = "label",
             out += mean_std_columns(w, c, integral=c in integral, maxabs=maxabs.get(c), pre=pre, span=span)
         return list(pre.values()), out
 
-    out = halo_window(indexed, [], MAX_HALO, build, bucket_rows, total_rows=total).drop(IDX).fillna(0)
-    out = extract_flow_features(out, flags=flag_columns(df), ports=port_columns(df)).frame
     # the variance ranking and the final projection both need every window
-    # column: materialise them once in the shared checkpoint folder
-    out = written(out, "engineered")
+    # column: write them once; what follows plans over a plain table
+    out = written(halo_window(indexed, [], MAX_HALO, build, bucket_rows, total_rows=total), "engineered")
+    out = out.drop(IDX).fillna(0)
+    out = extract_flow_features(out, flags=flag_columns(df), ports=port_columns(df)).frame
     feats = numeric_columns(out, exclude=[target, *TARGET_COLUMNS, order_col])
     out, pairs = create_interaction_features(out, feats)
     new = [c for c in out.columns if c not in df.columns]
