@@ -3,8 +3,9 @@
 ``exact_medians`` gives the exact, interpolated median of many columns
 without gathering any column into one task: an approximate quantile sketch
 brackets the median ranks, then only the values inside the bracket are
-counted by distinct value. The bracket holds about ``4 n / accuracy`` rows,
-so the final per-column step is bounded no matter how large the table is.
+counted by distinct value. The bracket holds about ``6 n / accuracy`` rows; while
+that is more than ``INSIDE_ROWS``, the values inside are bracketed again, so the
+final per-column step is bounded no matter how large the table is.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from flowsieve.functions.columns import finite_or_null, is_float
 
 DEFAULT_ACCURACY = 100_000
+INSIDE_ROWS = 1_000_000   # values of one column that the last step may rank in one task
 
 
 @dataclass
@@ -33,8 +35,43 @@ def _as_double_clean(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.select(*out)
 
 
+def _narrowed(clean: DataFrame, bracket: dict, n: dict, accuracy: int, limit: int) -> dict:
+    """Brackets whose values inside are at most ``limit`` rows, where ties allow it.
+
+    A bracket is replaced by a sketch of the values inside it as long as the
+    counted ranks show that the new one still holds both middle values.
+    """
+    eps = 3.0 / accuracy
+    open_ = [c for c in bracket if n[c] > 0]
+    kept = dict(bracket)
+    inside: dict = {}
+    while open_:
+        aggs = []
+        for i, c in enumerate(open_):
+            lo, hi = bracket[c]
+            aggs += [F.count_if(F.col(c) < F.lit(lo)).alias(f"b{i}"),
+                     F.count_if((F.col(c) >= F.lit(lo)) & (F.col(c) <= F.lit(hi))).alias(f"i{i}")]
+        row = clean.agg(*aggs).first()
+        nxt = {}
+        for i, c in enumerate(open_):
+            below, held, (lo, hi) = row[f"b{i}"], row[f"i{i}"], bracket[c]
+            k1, k2 = (n[c] - 1) // 2, n[c] // 2
+            if not (below <= k1 and k2 < below + held) or held >= inside.get(c, n[c] + 1):
+                continue                      # keep the last bracket that held the middle
+            kept[c], inside[c] = (lo, hi), held
+            if held > limit and lo < hi:
+                nxt[c] = [min(1.0, max(0.0, (k - below + 0.5) / held + d)) for k, d in ((k1, -eps), (k2, eps))]
+        if not nxt:
+            break
+        row = clean.agg(*[F.percentile_approx(F.when((F.col(c) >= F.lit(kept[c][0])) & (F.col(c) <= F.lit(kept[c][1])), F.col(c)),
+                                              p, accuracy).alias(f"p{i}") for i, (c, p) in enumerate(nxt.items())]).first()
+        bracket = {c: row[f"p{i}"] for i, c in enumerate(nxt)}
+        open_ = list(nxt)
+    return kept
+
+
 def exact_medians(df: DataFrame, cols: list[str], only_with_missing: bool = False,
-                  accuracy: int = DEFAULT_ACCURACY) -> MedianFit:
+                  accuracy: int = DEFAULT_ACCURACY, inside_rows: int = INSIDE_ROWS) -> MedianFit:
     """Exact medians (NaN and +-Inf ignored) of ``cols`` in two passes.
 
     With ``only_with_missing`` the second pass runs only for columns that
@@ -73,7 +110,10 @@ def exact_medians(df: DataFrame, cols: list[str], only_with_missing: bool = Fals
     if not todo:
         return MedianFit(medians, miss)
 
-    # Pass 2: rows below the bracket are only counted; rows inside are
+    if any(6 * n[c] > inside_rows * accuracy for c in todo):
+        bracket = _narrowed(clean, {c: tuple(bracket[c]) for c in todo}, n, accuracy, inside_rows)
+
+    # Last pass: rows below the bracket are only counted; rows inside are
     # counted per distinct value.
     parts = []
     for i, c in enumerate(todo):
