@@ -38,6 +38,13 @@ def q_adhoc_process(spark, sf_dir):
     return long.select("flow_seq", "binary_label", "feature", r6(F.col("value")).alias("value"))
 
 
+def q_adhoc_features(spark, sf_dir):
+    """The same over all columns, with dataset and flow features on."""
+    res = pl.adhoc_process(flow_view(spark, sf_dir))
+    long = melt(res.frame, res.features, ["flow_seq", "binary_label"])
+    return long.select("flow_seq", "binary_label", "feature", r6(F.col("value")).alias("value"))
+
+
 def q_process_pipeline(spark, sf_dir):
     """Dataset CSV -> clean -> features -> labels -> split -> scaler fitted on
     the training part; the scaled rows of both parts."""

@@ -94,6 +94,7 @@ def _queries() -> dict:
         "stream_counters": qr.q_stream_counters,
         "stream_alert_minutes": qr.q_stream_alert_minutes,
         "adhoc_process": qp.q_adhoc_process,
+        "adhoc_features": qp.q_adhoc_features,
         "process_pipeline": qp.q_process_pipeline,
         "engineer_all": qp.q_engineer_all,
         "stream_scoring": qp.q_stream_scoring,
