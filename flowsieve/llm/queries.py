@@ -161,6 +161,23 @@ LLM_ORACLE_SQL: dict[str, str] = {
                NOT base_failed AND 100 * (n_words - removed_words) >= 30 * n_words AS kept, removed_words
         FROM judged
     """,
+    "op8_minhash_near_dedup": r"""
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                     ELSE list_distinct(list_transform(range(1, len(w) - 2),
+                              lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3])) END AS shingles FROM d),
+        n AS (SELECT doc_id, len(shingles) AS n_shingles FROM s),
+        t AS (SELECT doc_id, unnest(shingles) AS shingle FROM s),
+        p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM t a JOIN t b USING (shingle)
+              WHERE a.doc_id < b.doc_id GROUP BY ALL),
+        l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y
+              WHERE 100 * common >= 80 * (a.n_shingles + b.n_shingles - common)),
+        e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+        r AS (SELECT doc_id, doc_id AS seen FROM d UNION SELECT r.doc_id, e.y FROM r JOIN e ON e.x = r.seen)
+        SELECT doc_id, n_shingles, min(seen) AS component_id, min(seen) = doc_id AS kept
+        FROM r JOIN n USING (doc_id) GROUP BY doc_id, n_shingles
+    """,
     "op9_exact_dedup": r"""
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS body FROM documents),
              g AS (SELECT body, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY body)
