@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
 BLOCK_BYTES = 1 << 18
 
@@ -25,6 +26,20 @@ _PLAIN = np.arange(256, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15
 
 
+# Spark's defaults send 10,000 texts or 64 MB to a Python worker at a time, and keep
+# as much off the heap of each executor; a few MB are as fast.
+_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"),
+          "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8388608b")}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let the session send texts in small Arrow batches, unless its owner set
+    their size."""
+    for key, (default, smaller) in _BATCH.items():
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, smaller)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (two multiply-xorshift rounds)."""
     x = x ^ (x >> np.uint64(31))

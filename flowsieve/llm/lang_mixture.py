@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from flowsieve.llm.arrow_text import blocks, row_runs
+from flowsieve.llm.arrow_text import blocks, row_runs, small_batches
 from flowsieve.llm.sql_text import held_out
 
 _FOLD = np.arange(256, dtype=np.uint32)
@@ -85,6 +85,7 @@ def fit_languages(docs: DataFrame, cfg: LangConfig = LangConfig()) -> LangModel:
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), pa.array(at), pa.array(got[at].astype(np.int64))],
                                              names=["lang", "bucket", "n"])
 
+    small_batches(docs.sparkSession)
     rows = docs.where(~held_out() & F.col("lang").isNotNull()).select(
         F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     table = rows.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(
@@ -163,6 +164,7 @@ def predict_languages(docs: DataFrame, model: LangModel, cfg: LangConfig = LangC
     languages. Ties go to the first language by name. An empty table gives an
     empty one.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.log_p))
 
     def run(batches):

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from flowsieve.llm.arrow_text import blocks, hash_words, mix64, row_runs, word_spans
+from flowsieve.llm.arrow_text import blocks, hash_words, mix64, row_runs, small_batches, word_spans
 from flowsieve.session import written as stored
 
 _SYMBOL = np.zeros(256, dtype=bool)
@@ -129,6 +129,7 @@ def line_quality(docs: DataFrame, cfg: LineConfig = LineConfig(), host: str = "s
     are counted as one document and each get a result; an empty table gives an
     empty one.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                        F.coalesce(F.col(host).cast("string"), F.lit("\0")).alias("host"),
                        F.col("text").cast("string").alias("text"))

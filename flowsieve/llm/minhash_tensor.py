@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from flowsieve.llm.arrow_text import blocks, hash_words, mix64, row_runs, word_spans
+from flowsieve.llm.arrow_text import blocks, hash_words, mix64, row_runs, small_batches, word_spans
 from flowsieve.llm.components import connected_components
 from flowsieve.session import written as stored
 
@@ -245,6 +245,7 @@ def near_duplicates(docs: DataFrame, cfg: NearDupConfig = NearDupConfig()) -> Da
     doc_id has component_id null and is kept. Rows that repeat a doc_id count
     as that document in every link. An empty table gives an empty table.
     """
+    small_batches(docs.sparkSession)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     facts = stored(base.mapInArrow(_signatures(cfg), "doc_id long, n_shingles long, d0 long, d1 long, sig binary"),
                    "minhash-sig")

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from flowsieve.llm.arrow_text import blocks
+from flowsieve.llm.arrow_text import blocks, small_batches
 
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
@@ -217,5 +217,6 @@ def pack_documents(docs: DataFrame, cfg: PackConfig) -> DataFrame:
     doc_ids are packed first. sequence_id is unique over the table; an empty
     table gives an empty one.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return rows.sortWithinPartitions("doc_id", "text").mapInArrow(_pack(cfg), SCHEMA)

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from flowsieve.llm.arrow_text import blocks
+from flowsieve.llm.arrow_text import blocks, small_batches
 from flowsieve.llm.sql_text import held_out
 
 
@@ -196,6 +196,7 @@ def score_quality(docs: DataFrame, model: ConvModel, cfg: ConvConfig = ConvConfi
                  pa.array((p >= cfg.threshold).astype(np.int32))],
                 names=["doc_id", "held_out", "score", "predicted"])
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"),
                        F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
@@ -207,4 +208,5 @@ def keep_quality(docs: DataFrame, model: ConvModel, cfg: ConvConfig = ConvConfig
         for rows, data, offs in blocks(batches, "text"):
             yield rows.filter(pa.array(score_bytes(data, offs, model, cfg) >= cfg.threshold))
 
+    small_batches(docs.sparkSession)
     return docs.withColumn("text", F.col("text").cast("string")).mapInArrow(run, docs.schema)

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from flowsieve.llm.arrow_text import blocks
+from flowsieve.llm.arrow_text import blocks, small_batches
 
 SPACE = "▁"
 
@@ -139,5 +139,6 @@ def token_counts(docs: DataFrame, vocabulary_path: str) -> DataFrame:
                          dtype=np.int64)
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(n)], names=["doc_id", "n_tokens"])
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_tokens long")
