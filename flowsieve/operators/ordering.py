@@ -103,7 +103,10 @@ def halo_window(indexed: DataFrame, partition_cols: list[str], halo: int,
     own = F.floor(idx / bucket_rows).cast("long")
     is_tail = (idx % bucket_rows) >= (bucket_rows - halo)
     copies = F.when(is_tail, F.array(own, own + 1)).otherwise(F.array(own))
-    spread = indexed.select("*", own.alias("_own"), F.explode(copies).alias("_bucket"))
+    # an explicit count: the rows are few bytes but many window columns, which
+    # adaptive coalescing by size would put into one task
+    spread = (indexed.select("*", own.alias("_own"), F.explode(copies).alias("_bucket"))
+              .repartition(_num_partitions(indexed, None), "_bucket"))
     w = Window.partitionBy("_bucket", *partition_cols).orderBy(idx_col)
     # builders that take a second argument learn the most rows a partition
     # holds (bucket plus halo), e.g. to size exact running sums
