@@ -22,12 +22,15 @@ only padding a partition adds is that of its last window.
 
 Token ids are computed with the byte-level vocabulary of a tokenizers file
 (merge ranks are its ids), in one encoder per task. The strings of special
-tokens in a text are ordinary text.
+tokens in a text are ordinary text. The encoder's pattern gives up on a run of
+about a million white-space characters, so long runs are cut out before it (see
+``text_ids``).
 """
 
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections import deque
 from dataclasses import dataclass
@@ -41,6 +44,11 @@ from flowsieve.llm.arrow_text import blocks, small_batches
 
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
+#: White space of the pattern's \s (Python's own also has \x1c to \x1f), and the
+#: length of a run from which it is cut out of its text.
+_WHITE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+_RUN = 1 << 16
+
 
 @dataclass(frozen=True)
 class PackConfig:
@@ -86,6 +94,27 @@ def load_encoder(path: str):
     return encoder, ends, opens
 
 
+def text_ids(encoder, text: str) -> list[int]:
+    """Ids of a text of any content.
+
+    The pattern takes a run of white space before other text without its last
+    character (``\\s+(?!\\S)``), at the end of the text whole, as one piece. No
+    other piece reaches into the run or looks past it, and nothing looks back,
+    so a long run's piece is encoded by itself and the pattern sees the rest. A
+    run of 2 * _RUN - 1 or more holds an aligned stretch of _RUN.
+    """
+    if not any(text[i:i + _RUN].isspace() for i in range(0, len(text) - _RUN + 1, _RUN)):
+        return encoder.encode_ordinary(text)
+    ids, at = [], 0
+    for run in _WHITE.finditer(text):
+        if run.end() - run.start() >= _RUN:
+            stop = run.end() if run.end() == len(text) else run.end() - 1
+            ids += encoder.encode_ordinary(text[at:run.start()])
+            ids += encoder._encode_single_piece(text[run.start():stop])
+            at = stop
+    return ids + encoder.encode_ordinary(text[at:])
+
+
 def cut_points(ids: np.ndarray, doc_ends: np.ndarray, ends: np.ndarray, opens: np.ndarray,
                cfg: PackConfig) -> tuple[np.ndarray, np.ndarray]:
     """Ascending positions where the stream may be cut, with their penalties."""
@@ -200,7 +229,7 @@ def _pack(cfg: PackConfig):
             raw, out = data.tobytes(), []
             for i, doc_id in enumerate(rows.column("doc_id").to_pylist()):
                 text = raw[offs[i]:offs[i + 1]].decode("utf-8", "replace")
-                stream.add(doc_id, np.array([*encoder.encode_ordinary(text), cfg.end_id], dtype=np.uint32))
+                stream.add(doc_id, np.array([*text_ids(encoder, text), cfg.end_id], dtype=np.uint32))
                 if stream.size >= cfg.horizon:
                     out += stream.solve(last=False)
             yield _table(out)

@@ -193,3 +193,21 @@ def test_packing_of_odd_rows(spark, odd_docs, no_docs):
 def test_special_token_text_is_ordinary(spark):
     docs = spark.createDataFrame([(1, "a <|endoftext|> b")], "doc_id long, text string")
     check_pieces(docs, pack_documents(docs, PackConfig(VOCABULARY)))
+
+
+def test_packing_of_long_white_space(spark):
+    texts = [" " * 2_000_000, "a" + "\n" * 1_100_000, " \n" * 600_000 + "b", "a. " + "　\t" * 600_000 + " c  d" + " " * 70_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    check_pieces(docs, pack_documents(docs, PackConfig(VOCABULARY)))
+
+
+def test_white_space_runs_are_cut_exactly(monkeypatch):
+    from flowsieve.llm import packing_dp
+
+    monkeypatch.setattr(packing_dp, "_RUN", 4)
+    encoder, tok = load_encoder(VOCABULARY)[0], Tokenizer.from_file(VOCABULARY)
+    rng = np.random.default_rng(3)
+    parts = [" ", " ", "\n", "\t", "\r\n", "　", "\xa0", "\x85", "\x1c", "a", "Word", "9", "!", "'s", "é", "日"]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts) * int(rng.integers(1, 12)) for _ in range(int(rng.integers(1, 8))))
+        assert packing_dp.text_ids(encoder, text) == tok.encode(text, add_special_tokens=False).ids
