@@ -43,7 +43,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents' token ids in sequences."""
     import public_tokenizers
 
-    return pack_documents(docs, PackConfig(str(public_tokenizers.path("byte_bpe_50k.json"))))
+    return pack_documents(docs, PackConfig(str(public_tokenizers.path("byte_bpe_50k.json")), added=True))
 
 
 STAGES = [

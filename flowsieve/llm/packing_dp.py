@@ -21,10 +21,11 @@ task holds a bounded number of tokens besides its longest document, and the
 only padding a partition adds is that of its last window.
 
 Token ids are computed with the byte-level vocabulary of a tokenizers file
-(merge ranks are its ids), in one encoder per task. The strings of special
-tokens in a text are ordinary text. The encoder's pattern gives up on a run of
-about a million white-space characters, so long runs are cut out before it (see
-``text_ids``).
+(merge ranks are its ids), in one encoder per task. With ``added`` a text that
+holds the string of one of the file's added tokens has that token's id there, as
+in ``tokenizers``; without it such strings are ordinary text. The encoder's
+pattern gives up on a run of about a million white-space characters, so long
+runs are cut out before it (see ``text_ids``).
 """
 
 from __future__ import annotations
@@ -53,8 +54,8 @@ _RUN = 1 << 16
 @dataclass(frozen=True)
 class PackConfig:
     """Tokens a sequence, the closing id, penalties (in tokens of padding) of a
-    cut at a sentence and inside one, the longest uncut run, and the tokens
-    solved at a time."""
+    cut at a sentence and inside one, the longest uncut run, the tokens solved
+    at a time, and whether added tokens are found in texts."""
 
     tokenizer: str
     length: int = 1024
@@ -63,6 +64,7 @@ class PackConfig:
     inside: float = 8.0
     stride: int = 64
     horizon: int = 1 << 18
+    added: bool = False
 
 
 def _byte_chars() -> dict[str, int]:
@@ -75,6 +77,16 @@ def _byte_chars() -> dict[str, int]:
     return chars
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """Ids of the file's added tokens by the string they stand for."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    for t in spec["added_tokens"]:
+        if t["single_word"] or t["lstrip"] or t["rstrip"] or (t["normalized"] and spec["normalizer"]):
+            raise ValueError(f"added token {t['content']!r} of {path} is not matched as it is written")
+    return {t["content"]: t["id"] for t in spec["added_tokens"] if t["content"]}
+
+
 def load_encoder(path: str):
     """(encoder, ends, opens): a text encoder and, by id, whether a sentence can
     end after the token and begin with it."""
@@ -87,7 +99,8 @@ def load_encoder(path: str):
     special = {t["content"] for t in spec["added_tokens"]}
     raw = {bytes(chars[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
     encoder = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=raw, special_tokens={})
-    ends, opens = np.zeros(max(raw.values()) + 2, dtype=bool), np.zeros(max(raw.values()) + 2, dtype=bool)
+    n = max([*raw.values(), *(t["id"] for t in spec["added_tokens"])]) + 2
+    ends, opens = np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)
     for token, i in raw.items():
         ends[i] = token.rstrip(b"\"')]").endswith((b".", b"!", b"?")) or b"\n" in token
         opens[i] = token[:1] in (b" ", b"\n")
@@ -115,6 +128,22 @@ def text_ids(encoder, text: str) -> list[int]:
     return ids + encoder.encode_ordinary(text[at:])
 
 
+def added_pattern(added: dict[str, int]) -> re.Pattern | None:
+    """Finds the strings of added tokens, at one place the longest."""
+    return re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
+
+
+def ids_with_added(encoder, text: str, added: dict[str, int], find: re.Pattern | None) -> list[int]:
+    """Ids of a text, with those of added tokens where their strings stand; the
+    parts between are encoded each by itself."""
+    ids, at = [], 0
+    for m in find.finditer(text) if find else ():
+        ids += text_ids(encoder, text[at:m.start()])
+        ids.append(added[m.group()])
+        at = m.end()
+    return ids + text_ids(encoder, text[at:]) if at else text_ids(encoder, text)
+
+
 def cut_points(ids: np.ndarray, doc_ends: np.ndarray, ends: np.ndarray, opens: np.ndarray,
                cfg: PackConfig) -> tuple[np.ndarray, np.ndarray]:
     """Ascending positions where the stream may be cut, with their penalties."""
@@ -224,12 +253,14 @@ def _table(rows: list[tuple]) -> pa.RecordBatch:
 def _pack(cfg: PackConfig):
     def run(batches):
         encoder, ends, opens = load_encoder(cfg.tokenizer)
+        added = added_tokens(cfg.tokenizer) if cfg.added else {}
+        find = added_pattern(added)
         stream = _Stream(cfg, ends, opens, TaskContext.get().partitionId() << 40)
         for rows, data, offs in blocks(batches, "text"):
             raw, out = data.tobytes(), []
             for i, doc_id in enumerate(rows.column("doc_id").to_pylist()):
                 text = raw[offs[i]:offs[i + 1]].decode("utf-8", "replace")
-                stream.add(doc_id, np.array([*text_ids(encoder, text), cfg.end_id], dtype=np.uint32))
+                stream.add(doc_id, np.array([*ids_with_added(encoder, text, added, find), cfg.end_id], dtype=np.uint32))
                 if stream.size >= cfg.horizon:
                     out += stream.solve(last=False)
             yield _table(out)

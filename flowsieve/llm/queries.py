@@ -59,7 +59,7 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(_documents(spark, sf_dir), PackConfig(_vocabulary("byte_bpe_50k.json")))
+    return pack_documents(_documents(spark, sf_dir), PackConfig(_vocabulary("byte_bpe_50k.json"), added=True))
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -211,3 +211,26 @@ def test_white_space_runs_are_cut_exactly(monkeypatch):
     for _ in range(3000):
         text = "".join(rng.choice(parts) * int(rng.integers(1, 12)) for _ in range(int(rng.integers(1, 8))))
         assert packing_dp.text_ids(encoder, text) == tok.encode(text, add_special_tokens=False).ids
+
+
+def test_queries_find_added_tokens(spark, tmp_path):
+    import corpus_pipeline
+    from flowsieve.llm.queries import op7_packing
+
+    mark = "<|endoftext|>"
+    texts = ["a <|endoftext|> b", mark, mark * 3, f"x{mark}", f"{mark}  y", f"<|endoftext{mark}|>", "a  " + mark + "\n\n'" + mark + "s",
+             "plain words <|end|>", None, "", "a " + " " * 200_000 + mark + " " * 200_000 + "b", "w. " * 5000 + mark + " V"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    tok = Tokenizer.from_file(VOCABULARY)
+    want = {i: np.array(tok.encode(t or "", add_special_tokens=False).ids + [0], dtype="<u4") for i, t in enumerate(texts)}
+    assert want[0].tolist() == [64, 220, 50256, 275, 0]
+    for rows in (op7_packing(spark, str(tmp_path)).collect(), corpus_pipeline.packing(spark, docs, "").collect()):
+        assert {r.doc_id for r in rows} == set(want)
+        for doc, ids in want.items():
+            at = 0
+            for r in sorted((r for r in rows if r.doc_id == doc), key=lambda r: r.start):
+                assert r.start == at and r.doc_tokens == len(ids)
+                assert r.ids_crc32 == zlib.crc32(ids[at:at + r.length].tobytes())
+                at += r.length
+            assert at == len(ids)
