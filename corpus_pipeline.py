@@ -35,8 +35,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The words the mix takes: a row per document and pass over its source."""
-    return mixed_documents(docs)
+    """The words the mix takes: a row per document and pass over its source;
+    rows without a doc_id are documents too."""
+    return mixed_documents(docs, nulls=True)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -273,24 +273,31 @@ def near_duplicates(docs: DataFrame, cfg: NearDupConfig = NearDupConfig()) -> Da
     pairs = stored(agreeing.select("a", "b", "sig_a", "sig_b").mapInArrow(_agree(cfg), "a long, b long"),
                    "minhash-pairs")
 
-    # sets of the nodes that any comparison can need, made once
+    # sets of the nodes that any comparison can need, made once; texts that share a
+    # doc_id all keep theirs
     wanted = (members.where(f"size > {SMALL_BUCKET}").select("node")
               .unionByName(pairs.select(F.explode(F.array("a", "b")).alias("node"))).distinct())
     sets = stored(wanted.join(base, wanted["node"] == base["doc_id"])
                   .select("node", "text").mapInArrow(_sets(cfg), "node long, set binary")
-                  .dropDuplicates(["node"]), "minhash-sets")
+                  .where("octet_length(set) > 0").dropDuplicates(["node", "set"]), "minhash-sets")
 
     def confirmed(candidates: DataFrame) -> DataFrame:
         return _with_both(candidates, sets, ["set"]).select("a", "b", "set_a", "set_b").mapInArrow(
             _confirm(cfg), "a long, b long")
 
-    links = stored(confirmed(pairs), "minhash-links")
+    to_node = usable.join(nodes_of(usable), ["d0", "d1", "n_shingles"]).select("doc_id", "node")
+    found = confirmed(pairs)
+    repeated = usable.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if repeated.head(1):
+        own = to_node.join(repeated, "doc_id").distinct()
+        low = own.groupBy("doc_id").agg(F.min("node").alias("a"))
+        found = found.unionByName(own.join(low, "doc_id").where("a < node").select("a", F.col("node").alias("b")))
+    links = stored(found, "minhash-links")
     roots = connected_components(links, "a", "b")
     more = stored(_crossing_links(members, nodes, sets, roots, cfg), "minhash-links")
     if more.head(1):
         roots = connected_components(links.unionByName(more), "a", "b")
 
-    to_node = usable.join(nodes_of(usable), ["d0", "d1", "n_shingles"]).select("doc_id", "node")
     label = (to_node.join(roots, "node", "left")
              .select("doc_id", F.coalesce("root", "node").alias("root"))
              .groupBy("doc_id").agg(F.min("root").alias("root")))

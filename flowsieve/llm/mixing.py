@@ -77,16 +77,16 @@ def source_targets(facts: DataFrame, cfg: MixConfig) -> DataFrame:
 
 
 def _positions(facts: DataFrame, sources: DataFrame, n_rows: int, cfg: MixConfig) -> DataFrame:
-    """(doc_id, sid, size, start): the document's first word in its source."""
+    """(row, doc_id, sid, size, start): the document's first word in its source."""
     chunks = max(1, -(-n_rows // cfg.chunk_rows))
     keyed = (facts.join(sources.select(F.col("source").alias("name"), "sid"), F.col("source").eqNullSafe(F.col("name")))
-             .select("doc_id", "sid", "size", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).alias("chunk")))
-    inside = Window.partitionBy("sid", "chunk").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+             .select("row", "doc_id", "digest", "sid", "size", F.pmod(F.xxhash64("doc_id", "digest"), F.lit(chunks)).alias("chunk")))
+    inside = Window.partitionBy("sid", "chunk").orderBy("doc_id", "digest", "size", "row").rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy("sid").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     chunk_start = (keyed.groupBy("sid", "chunk").agg(F.sum("size").alias("words"))
                    .select("sid", "chunk", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("chunk_start")))
     return (keyed.withColumn("upto", F.sum("size").over(inside)).join(chunk_start, ["sid", "chunk"])
-            .select("doc_id", "sid", "size", (F.col("chunk_start") + F.col("upto") - F.col("size")).alias("start")))
+            .select("row", "doc_id", "sid", "size", (F.col("chunk_start") + F.col("upto") - F.col("size")).alias("start")))
 
 
 def _draws(spark, sources: DataFrame, n_sources: int, slots: int, cfg: MixConfig) -> DataFrame:
@@ -145,7 +145,7 @@ def permuted(index: Column, n: Column, keys: list[Column], cfg: MixConfig) -> Co
 
 @dataclass
 class Mix:
-    """``sources``: the source table; ``docs``: (doc_id, sid, size, start);
+    """``sources``: the source table; ``docs``: (row, doc_id, sid, size, start);
     ``taken``: (sid, block, shard, pass), a row for each slot."""
 
     sources: DataFrame
@@ -154,12 +154,16 @@ class Mix:
     taken: DataFrame
 
 
-def plan_mix(docs: DataFrame, cfg: MixConfig = MixConfig()) -> Mix:
+def plan_mix(docs: DataFrame, cfg: MixConfig = MixConfig(), row: Column | None = None) -> Mix:
     """Draw the mix. Needs doc_id, source and text; null text has no words and
     a null source is a source of its own, last in order. Rows that repeat a
-    doc_id are documents of their own."""
+    doc_id, or have none, are documents of their own, in the order of a digest
+    of source and text; only rows equal in all three can change places between
+    runs. ``row`` names the input rows (numbered here where it is not given)."""
     spark = docs.sparkSession
-    facts = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
+    row = F.monotonically_increasing_id() if row is None else row
+    facts = stored(docs.select(row.alias("row"), F.xxhash64(F.col("source").cast("string"), F.col("text").cast("string")).alias("digest"),
+                               F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
                                word_count(F.col("text")).alias("size")), "mix-sizes")
     n_rows = facts.count()
     sources = stored(source_targets(facts, cfg), "mix-sources")
@@ -193,37 +197,31 @@ def mix_report(docs: DataFrame, cfg: MixConfig = MixConfig()) -> DataFrame:
     mix = plan_mix(docs, cfg)
     times = mix.taken.groupBy("sid", "block").agg(F.count("*").alias("times"))
     per_doc = (_pieces(mix, cfg).join(times, ["sid", "block"], "left")
-               .groupBy("doc_id", "sid", "start", "size")
+               .groupBy("row", "doc_id", "sid", "size")
                .agg(F.sum(F.coalesce(F.col("times") * (F.col("high") - F.col("low")), F.lit(0))).alias("taken")))
-    return (_one_row_each(per_doc, mix).join(small(mix.sources.select("sid", "source_size", "target"), mix.n_sources), "sid")
+    return (per_doc.join(small(mix.sources.select("sid", "source_size", "target"), mix.n_sources), "sid")
             .select("doc_id", "size", "source_size", "target", "taken"))
 
 
-def _one_row_each(per_doc: DataFrame, mix: Mix) -> DataFrame:
-    """Rows without words share a start: give each repeat of such a doc_id its
-    row back."""
-    n = mix.docs.where("size = 0").groupBy("doc_id", "sid", "start").agg(F.count("*").alias("copies"))
-    return (per_doc.join(n.withColumn("size", F.lit(0).cast("long")), ["doc_id", "sid", "start", "size"], "left")
-            .withColumn("copies", F.explode(F.sequence(F.lit(1).cast("long"), F.coalesce("copies", F.lit(1).cast("long"))))))
-
-
-def mixed_documents(docs: DataFrame, cfg: MixConfig = MixConfig()) -> DataFrame:
-    """The mix as documents: a row per document and pass with the words that
+def mixed_documents(docs: DataFrame, cfg: MixConfig = MixConfig(), nulls: bool = False) -> DataFrame:
+    """The mix as documents: a row per input row and pass with the words that
     pass takes of it, in their order; all columns of the input, with text (and
     n_chars where there is one) those of the row. A document whose words are
     all taken keeps its exact text; documents of which nothing is taken, or
-    that have no words, have no row. A null doc_id takes no part. Repeated rows
-    of a doc_id count once.
+    that have no words, have no row. Rows that repeat a doc_id are documents of
+    their own, as in ``mix_report``; with ``nulls``, so are rows without one,
+    which else take no part.
     """
-    once = docs.where("doc_id is not null")
-    unique = once.select("doc_id", "source", "text").dropDuplicates(["doc_id"])
-    mix = plan_mix(unique if _repeats(once) else once, cfg)
+    # rows are numbered once, so that spans go back to the text they were computed for
+    rows = stored((docs if nulls else docs.where("doc_id is not null"))
+                  .withColumn("__row", F.monotonically_increasing_id()), "mix-rows")
+    mix = plan_mix(rows, cfg, F.col("__row"))
     parts = (_pieces(mix, cfg).join(mix.taken, ["sid", "block"])
-             .groupBy("doc_id", "sid", "start", "size", "pass")
+             .groupBy("row", "size", "pass")
              .agg(F.sort_array(F.collect_list(F.struct("low", "high"))).alias("__parts"),
                   F.sum(F.col("high") - F.col("low")).alias("__words"))
-             .select(F.col("doc_id").alias("__doc"), "pass", "__parts", "__words", F.col("size").alias("__size")))
-    joined = once.join(parts, F.col("doc_id") == F.col("__doc")).dropDuplicates(["doc_id", "pass"])
+             .select(F.col("row").alias("__row"), F.col("pass").alias("__pass"), "__parts", "__words", F.col("size").alias("__size")))
+    joined = rows.join(parts, "__row")
     words = F.array(F.regexp_extract_all(F.col("text"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)))
     cut = F.transform(words, lambda w: F.array_join(F.flatten(F.transform(
         "__parts", lambda p: F.slice(w, (p["low"] + 1).cast("int"), (p["high"] - p["low"]).cast("int")))), ""))
@@ -233,7 +231,3 @@ def mixed_documents(docs: DataFrame, cfg: MixConfig = MixConfig()) -> DataFrame:
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
-
-
-def _repeats(docs: DataFrame) -> bool:
-    return bool(docs.groupBy("doc_id").count().where("count > 1").head(1))

@@ -143,3 +143,23 @@ def test_rerun_agrees(spark):
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
     assert exact(exact_duplicates(docs)) == exact(exact_duplicates(docs.repartition(7)))
     assert result(near_duplicates(docs)) == result(M.near_duplicates(docs.repartition(7)))
+
+
+def test_near_duplicates_of_every_text_of_an_id(spark):
+    def prose(tag, changed=None):
+        words = [f"{tag}{j}" for j in range(120)]
+        if changed is not None:
+            words[changed] = "other"
+        return " ".join(words)
+
+    rows = [(2, prose("b")), (1, prose("c")), (9, prose("d"))]
+    for i in range(6):  # ids with two texts, each a near copy of another id's; and with no text
+        rows += [(100 + i, prose(f"x{i}")), (100 + i, prose(f"y{i}")), (100 + i, None),
+                 (200 + i, prose(f"x{i}", 3)), (300 + i, prose(f"y{i}", 119)), (400 + i, None)]
+    rows += [(7, prose("b")), (7, prose("e")), (8, prose("e"))]  # 8 reaches 2 by way of 7
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in near_duplicates(docs, NearDupConfig()).collect()}
+    want = {1: 1, 2: 2, 9: 9, 7: 2, 8: 2}
+    for i in range(6):
+        want |= {100 + i: 100 + i, 200 + i: 100 + i, 300 + i: 100 + i, 400 + i: 400 + i}
+    assert got == want

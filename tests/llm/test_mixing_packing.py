@@ -234,3 +234,30 @@ def test_queries_find_added_tokens(spark, tmp_path):
                 assert r.ids_crc32 == zlib.crc32(ids[at:at + r.length].tobytes())
                 at += r.length
             assert at == len(ids)
+
+
+def test_no_row_is_dropped_for_its_id(spark):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(11)
+    ids = [None, None, None, 4, 4, 4, 4, 5, 5, 6]
+    texts = [" ".join(f"r{i}w{j}" for j in range(int(rng.integers(200, 900)))) for i in range(len(ids))]
+    texts[9] = texts[0]  # a text of its own id, and of none
+    texts[6] = texts[5]  # a copy: same id, source, text
+    sources = ["a", "b", "a", "a", "b", "a", "a", "b", "b", "a"]
+    docs = spark.createDataFrame(list(zip(ids, texts, sources)), "doc_id long, text string, source string").repartition(4)
+    key = {(d, t, s) for d, t, s in zip(ids, texts, sources)}
+    report = defaultdict(int)
+    for r in mix_report(docs).collect():
+        report[(r.doc_id, r["size"])] += r.taken
+    mixed = corpus_pipeline.mixing(spark, docs, "").collect()
+    words = defaultdict(int)
+    for r in mixed:
+        mine = r.text.split()
+        whole = [t for d, t, s in key if (d, s) == (r.doc_id, r.source) and set(mine) <= set(t.split())]
+        assert len(whole) == 1  # no words of another row of that id
+        words[(r.doc_id, len(whole[0].split()))] += len(mine)
+    assert dict(words) == {k: n for k, n in report.items() if n}
+    assert sum(words.values()) == pytest.approx(1.5 * sum(len(t.split()) for t in texts), abs=3 * 64)
+    again = corpus_pipeline.mixing(spark, docs.repartition(3), "").collect()
+    assert sorted(map(str, again)) == sorted(map(str, mixed))
