@@ -10,12 +10,15 @@ from flowsieve.llm.exact_dedup import exact_duplicates
 from flowsieve.llm.lang_mixture import fit_languages, predict_languages
 from flowsieve.llm.licenses import MARKERS, TEMPLATES, scan_licenses
 from flowsieve.llm.line_rules import line_quality
+from flowsieve.llm.merkle_midstate import manifest, tampered_leaf
 from flowsieve.llm.minhash_tensor import NearDupConfig, near_duplicates
 from flowsieve.llm.mixing import MixConfig, mix_report
 from flowsieve.llm.packing_dp import PackConfig, pack_documents
 from flowsieve.llm.quality_conv import fit_quality, score_quality
 from flowsieve.llm.shard_table import assign_shards
 from flowsieve.llm.viterbi_count import token_counts
+from flowsieve.llm.warc_members import archive_report
+from flowsieve.llm.whitening import whiten
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,6 +78,19 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_languages(docs, fit_languages(docs))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_report(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest(_documents(spark, sf_dir), tampered_leaf())
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whitened = whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return whitened.withColumn("deviation", F.col("deviation").cast("long"))
+
+
 LLM_QUERIES = {
     "op1_quality_conv": op1_quality_conv,
     "op2_shard_table": op2_shard_table,
@@ -86,12 +102,66 @@ LLM_QUERIES = {
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_language_id": op10_language_id,
+    "op11_warc": op11_warc,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_whitening": op13_whitening,
     "pipeline": corpus_pipeline.run,
 }
 
 _TEMPLATE_ROWS = ", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(TEMPLATES))
 
+
+
+def _merkle_sql(levels: int = 6) -> str:
+    """Trees of up to 8 ** levels leaves a language: a level is a grouping of the
+    nodes by eights, and each leaf is folded level by level with its run."""
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+    def leaf(text: str) -> str:
+        return "sha256(" + " || ".join(f"coalesce(strlen({f}::VARCHAR) || ':' || {f}::VARCHAR, '-')" for f in (
+            "doc_id", "source", "lang", "n_chars", text)) + ")"
+
+    def climb(n: str, f: str, key: str, steps: int) -> list[str]:
+        out = []
+        for k in range(steps):
+            out.append(f"{n}{k + 1} AS (SELECT {key}, p // 8 AS p, CASE WHEN any_value(total) = 1 THEN any_value(d) ELSE "
+                       f"sha256(string_agg(d, '' ORDER BY p)) END AS d FROM (SELECT *, count(*) OVER (PARTITION BY {key}) AS total "
+                       f"FROM {n}{k}) GROUP BY {key}, p // 8)")
+            out.append(f"{f}{k + 1} AS (SELECT f.doc_id, any_value(f.{key}) AS {key}, any_value(f.p) // 8 AS p, "
+                       f"CASE WHEN any_value(r.total) = 1 THEN any_value(f.c) ELSE sha256(string_agg(CASE WHEN r.p = f.p THEN f.c ELSE r.d END, '' "
+                       f"ORDER BY r.p)) END AS c, any_value(f.proof) || coalesce(string_agg(CASE WHEN r.p <> f.p THEN r.d END, '' ORDER BY r.p), '') "
+                       f"AS proof, any_value(f.leaf) AS leaf, any_value(f.tree) AS tree FROM {f}{k} f JOIN (SELECT *, count(*) OVER (PARTITION BY {key}) AS total FROM {n}{k}) r "
+                       f"ON r.{key} = f.{key} AND r.p // 8 = f.p // 8 GROUP BY f.doc_id)")
+        return out
+    steps = [f"h AS (SELECT doc_id, lang, {leaf('text')} AS leaf, {leaf(low)} AS changed FROM documents)",
+             "g AS (SELECT lang, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree FROM (SELECT DISTINCT lang FROM h))",
+             "n0 AS (SELECT doc_id, tree, row_number() OVER (PARTITION BY tree ORDER BY doc_id) - 1 AS p, leaf AS d, changed "
+             "FROM h JOIN g ON h.lang IS NOT DISTINCT FROM g.lang)",
+             "tampered AS (SELECT doc_id, changed FROM n0 WHERE doc_id IN (SELECT doc_id FROM crc WHERE remainder = 0))",
+             "f0 AS (SELECT n0.doc_id, tree, p, coalesce(t.changed, d) AS c, '' AS proof, d AS leaf FROM n0 LEFT JOIN tampered t USING (doc_id))"]
+    steps += climb("n", "f", "tree", levels)
+    steps += ["m0 AS (SELECT 0 AS one, tree AS p, d FROM n%d)" % levels,
+              "e0 AS (SELECT doc_id, 0 AS one, tree AS p, c, proof, leaf, tree FROM f%d)" % levels]
+    steps += climb("m", "e", "one", levels)
+    # CRC-32 of the decimal doc_id, bit by bit
+    crc = ("bits AS (SELECT doc_id, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, len(doc_id::VARCHAR) + 1), "
+           "lambda i: ascii(substr(doc_id::VARCHAR, i::INTEGER, 1))::BIGINT)), lambda a, b: list_reduce(list_prepend(xor(a, b), "
+           "[0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, z: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)) AS c FROM documents), "
+           "crc AS (SELECT doc_id, xor(c, 4294967295) % 3 AS remainder FROM bits)")
+    return (f"WITH {crc}, " + ", ".join(steps) + f" SELECT e.doc_id, e.leaf, s.d AS subroot, r.d AS root, sha256(e.proof) AS proof_sha256, "
+            f"e.c AS folded_root, e.c = r.d AS verified FROM e{levels} e JOIN n{levels} s USING (tree), m{levels} r")
+
+
 LLM_ORACLE_SQL: dict[str, str] = {
+    "op11_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+             g AS (SELECT body, min(page_id) AS first_id FROM p GROUP BY body)
+        SELECT page_id, strlen(body)::BIGINT AS payload_bytes, sha256(body) AS payload_digest,
+               CASE WHEN strlen(body) >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN strlen(body) >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+        FROM p JOIN g USING (body)
+    """,
+    "op12_merkle_manifest": _merkle_sql(),
     "op6_license_scan": rf"""
         WITH d AS (SELECT doc_id, coalesce(source, 'unknown') || '/' || coalesce(lang, 'unknown') AS dir,
                           coalesce(source, 'unknown') AS top,
