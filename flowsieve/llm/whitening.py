@@ -77,11 +77,10 @@ def tridiagonal(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.nda
 
 def sturm_count(diag: np.ndarray, off2: np.ndarray, shift: np.ndarray, floor: float) -> np.ndarray:
     """How many eigenvalues lie below each shift: negative pivots of T - shift."""
-    q = diag[0] - shift
-    count = (q < 0).astype(np.int64)
-    for i in range(1, len(diag)):
-        q = np.where(np.abs(q) < floor, -floor, q)
-        q = diag[i] - shift - off2[i - 1] / q
+    count, q = np.zeros(len(shift), dtype=np.int64), None
+    for i in range(len(diag)):
+        q = diag[i] - shift - (off2[i - 1] / q if i else 0.0)
+        q = np.where(np.abs(q) < floor, -floor, q)  # a pivot of zero counts as negative
         count += q < 0
     return count
 
