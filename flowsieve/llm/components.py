@@ -3,14 +3,15 @@
 Each round points every node at the smallest neighbour it knows (large star,
 then small star); the edge count never grows, and a component of n nodes
 settles in O(log n) rounds in practice. Group minima are aggregated map-side
-before the shuffle and joined back, so a hub with very many edges is never
-gathered in one place.
+before the shuffle; a large star joins those of hubs with very many edges back
+from a broadcast, so such a hub is never gathered in one place.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from flowsieve.llm.hot_keys import look_up
 from flowsieve.session import written as stored
 
 
@@ -25,7 +26,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     if large:
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        out = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        out = look_up(both, low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         low = edges.groupBy("u").agg(F.min("v").alias("m"))
         out = edges.join(low, "u").select(F.explode(F.array(

@@ -15,12 +15,21 @@ Every candidate is confirmed on the full shingle sets. Steps:
 2. one shuffle of (key, node) orders each bucket by node. Buckets of up to
    four nodes yield all their pairs, larger ones the pairs with their smallest
    node; the confirmed links are joined into components;
-3. larger buckets whose nodes are still in different components compare every
-   pair that crosses components, on the full sets and a bounded block of nodes
-   against another at a time, so no link of a bucket is left out and no group is
-   gathered whole;
+3. larger buckets whose nodes are still in different components are joined into
+   families, and pairs of a family that cross components are compared on the full
+   sets, a bounded block of nodes against another at a time;
 4. components over all confirmed links.
 
+A family of more than a block is not compared pair by pair. Its centre is the
+set of shingles that more than half of its nodes have, and a node is known by
+what sets it apart from the centre. Two sets differ by what sets each apart,
+less twice what they share of that; so a link needs a number of shared
+deviations that follows from the two sets' own counts, exactly. Nodes so near
+the centre that they need none are linked at once. Of the others only those are
+compared that share one of their rarest deviations (as many as leave fewer than
+the number needed). Texts that have a template in common and the rest to
+themselves share no deviation, and are never compared however many they are.
+
 Before sets are fetched, a pair must agree in 33 of its 60 minhashes, which a
 pair at 0.80 misses with probability 3e-6.
 """
@@ -36,6 +45,7 @@ from pyspark.sql.window import Window
 
 from flowsieve.llm.arrow_text import blocks, hash_words, mix64, row_runs, small_batches, word_spans
 from flowsieve.llm.components import connected_components
+from flowsieve.llm.hot_keys import look_up
 from flowsieve.session import written as stored
 
 SMALL_BUCKET = 4
@@ -230,6 +240,37 @@ def _confirm(cfg: NearDupConfig):
     return run
 
 
+def _elements(column: str):
+    """(family, node, el) of each shingle in a binary column."""
+    def run(batches):
+        for batch in batches:
+            values = batch.column(column).to_pylist()
+            size = np.array([len(v) // 8 for v in values], dtype=np.int64)
+            at = pa.array(np.repeat(np.arange(len(values)), size))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("family").take(at), batch.column("node").take(at),
+                 pa.array(np.frombuffer(b"".join(values), dtype=np.int64))], names=["family", "node", "el"])
+    return run
+
+
+def _deviations(cfg: NearDupConfig):
+    """For each node of a part of a family the elements that it has and the
+    centre has not, or the other way round, and its excess: two nodes are linked
+    if and only if 2 * (100 + percent) times the deviations they share reaches
+    the sum of their excesses."""
+    def run(nodes: pa.Table, centre: pa.Table) -> pa.Table:
+        middle = np.sort(centre.column("el").to_numpy().astype(np.int64))
+        apart, excess = [], []
+        for v in nodes.column("set").to_pylist():
+            own = np.frombuffer(v, dtype=np.int64)
+            diff = np.setxor1d(own, middle, assume_unique=True)
+            apart.append(diff.tobytes())
+            excess.append((100 + cfg.percent) * len(diff) - (100 - cfg.percent) * len(own))
+        return pa.table({"family": nodes.column("family"), "node": nodes.column("node"), "root": nodes.column("root"),
+                         "item": nodes.column("item"), "apart": pa.array(apart, pa.binary()), "excess": pa.array(excess, pa.int64())})
+    return run
+
+
 def _with_both(pairs: DataFrame, side: DataFrame, columns: list[str]) -> DataFrame:
     for end in ("a", "b"):
         pairs = pairs.join(side.select(F.col("node").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in columns]), end)
@@ -285,7 +326,9 @@ def near_duplicates(docs: DataFrame, cfg: NearDupConfig = NearDupConfig()) -> Da
         return _with_both(candidates, sets, ["set"]).select("a", "b", "set_a", "set_b").mapInArrow(
             _confirm(cfg), "a long, b long")
 
-    to_node = usable.join(nodes_of(usable), ["d0", "d1", "n_shingles"]).select("doc_id", "node")
+    same = F.struct("d0", "d1", "n_shingles").alias("same")
+    lowest = usable.groupBy(same).agg(F.min("doc_id").alias("node"))
+    to_node = look_up(usable.select("doc_id", same), lowest, "same").select("doc_id", "node")
     found = confirmed(pairs)
     repeated = usable.groupBy("doc_id").count().where("count > 1").select("doc_id")
     if repeated.head(1):
@@ -307,42 +350,103 @@ def near_duplicates(docs: DataFrame, cfg: NearDupConfig = NearDupConfig()) -> Da
 
 
 def drop_near_duplicates(docs: DataFrame, cfg: NearDupConfig = NearDupConfig()) -> DataFrame:
-    """The rows, all their columns, that stand for their group."""
-    dropped = near_duplicates(docs, cfg).where("not kept").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
-
+    """The rows, all their columns, that stand for their group: those of its
+    smallest doc_id.
 
-def nodes_of(facts: DataFrame) -> DataFrame:
-    """(digest, node): the smallest doc_id that has the set."""
-    return facts.groupBy("d0", "d1", "n_shingles").agg(F.min("doc_id").alias("node"))
+    Null, empty and wordless texts are kept. Rows without a doc_id are compared
+    too, each as a document that comes behind all others. Rows that repeat a
+    doc_id stay or go together. Columns besides doc_id and text may have any
+    name. An empty table gives an empty table.
+    """
+    if not docs.where("doc_id is null").head(1):
+        dropped = near_duplicates(docs, cfg).where("not kept").select("doc_id").distinct()
+        return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    # ids for the rows that have none, behind the largest one
+    last = docs.agg(F.max(F.col("doc_id").cast("long"))).first()[0]
+    row = stored(docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("at")), "minhash-rows")
+    row = row.withColumn("doc_id", F.coalesce(F.col("row.doc_id").cast("long"), F.col("at") + F.lit((last or 0) + 1)))
+    dropped = near_duplicates(row.select("doc_id", F.col("row.text").alias("text")), cfg).where("not kept").select("doc_id").distinct()
+    return row.join(dropped, "doc_id", "left_anti").select("row.*")
 
 
 def _crossing_links(members: DataFrame, nodes: DataFrame, sets: DataFrame, roots: DataFrame,
                     cfg: NearDupConfig) -> DataFrame:
     """Links that join components, among the nodes that meet in large buckets.
 
-    Buckets that overlap form a family, so that a pair that meets in many
-    tables is compared once and a node's set is sent once for each block of
-    its family, not once for each bucket.
+    Buckets with the same smallest node are one; those with nodes of different
+    components join into families, so that a pair that meets in many tables is
+    compared once.
     """
-    large = (members.where(f"size > {SMALL_BUCKET}").select("key", "node").join(roots, "node", "left")
-             .withColumn("root", F.coalesce("root", "node")))
-    split = (large.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("node").alias("hub"))
-             .where("lo < hi").select("key", "hub"))
-    open_ = stored(large.join(split, "key").select("hub", "node", "root").distinct(), "minhash-open")
+    met = members.where(f"size > {SMALL_BUCKET}").select("hub", "node").distinct()
+    met = stored(met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "minhash-met")
+    split = (met.groupBy("hub").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+             .where("lo < hi").select("hub", F.lit(True).alias("open")))
+    open_ = stored(look_up(met, split, "hub").where("open").select("hub", "node", "root"), "minhash-open")
     family = connected_components(open_, "hub", "node").withColumnRenamed("root", "family")
     placed = (open_.select("node", "root").distinct().join(family, "node", "left")
               .withColumn("family", F.coalesce("family", "node")))
-    big = (placed.groupBy("family", "root").count()
-           .groupBy("family").agg(F.max_by("root", F.struct("count", "root")).alias("big"), F.sum("count").alias("n")))
-    rank = F.row_number().over(Window.partitionBy("family").orderBy("node")) - 1
-    blocked = (placed.withColumn("blk", F.floor(rank / cfg.block).cast("long")).join(big, "family")
-               .withColumn("last", F.floor((F.col("n") - 1) / cfg.block).cast("long"))
-               .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), "last"))))
-    rows = blocked.join(nodes, "node").join(sets, "node").select(
-        "family", "node", "root", "sig", "set", "blk", "big",
-        F.least("blk", "other").alias("x"), F.greatest("blk", "other").alias("y"))
+    sizes = stored(placed.groupBy("family").agg(F.count("*").alias("n")), "minhash-families")
+    placed = stored(look_up(placed, sizes, "family").join(sets, "node").select("family", "n", "node", "root", "set"),
+                    "minhash-placed")
+    cells = placed.where(F.col("n") <= cfg.block).select(F.col("family").alias("cell"), "node", "root")
+    links = None
+    if placed.where(F.col("n") > cfg.block).head(1):
+        shared, links = _deviating(placed.where(F.col("n") > cfg.block), cfg)
+        cells = cells.unionByName(shared)
+    cells = stored(cells, "minhash-cells")
+
+    big = (cells.groupBy("cell", "root").count()
+           .groupBy("cell").agg(F.max_by("root", F.struct("count", "root")).alias("big"), F.sum("count").alias("m"),
+                                F.count("*").alias("roots")).where("roots > 1").drop("roots"))
+    parts = F.ceil(F.col("m") / cfg.block).cast("long")
+    blocked = (look_up(cells, big, "cell").where("big is not null")
+               .withColumn("blk", F.pmod(F.xxhash64("node", "cell"), parts))
+               .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))))
+    rows = (blocked.select("cell", "node", "root", "blk", "big", F.least("blk", "other").alias("x"),
+                           F.greatest("blk", "other").alias("y")).distinct()
+            .join(nodes.select("node", "sig"), "node").join(sets, "node"))
     # as many tasks as the session shuffles into: the rows are few, the comparisons are not
     tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return (rows.repartition(tasks, "family", "x", "y").groupBy("family", "x", "y")
-            .applyInArrow(_crossing(cfg), "a long, b long"))
+    found = (rows.repartition(tasks, "cell", "x", "y").groupBy("cell", "x", "y")
+             .applyInArrow(_crossing(cfg), "a long, b long"))
+    return found if links is None else found.unionByName(links)
+
+
+def _deviating(placed: DataFrame, cfg: NearDupConfig) -> tuple[DataFrame, DataFrame]:
+    """For families (family, n, node, root, set) of more than a block: the nodes
+    to compare (cell, node, root), a cell being a deviation they share, and the
+    links (a, b) of the nodes that are so near the centre that they need share
+    none."""
+    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / cfg.block).cast("long"))
+    # a doc_id with several texts has several sets
+    rows = placed.withColumn("part", part).withColumn("item", F.xxhash64("node", "set"))
+    centre = (placed.select("family", "node", "set").mapInArrow(_elements("set"), "family long, node long, el long")
+              .groupBy("family", "el").agg(F.count("*").alias("has")))
+    families = placed.select("family", "n").distinct()
+    centre = stored(centre.join(families, "family").where("has * 2 > n").select("family", "el", "n"), "minhash-centre")
+    parts = centre.select("family", "el", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / cfg.block).cast("long") - 1))
+                          .alias("part"))
+    keys = ["family", "part"]
+    apart = stored(rows.select(*keys, "node", "root", "item", "set").groupBy(*keys).cogroup(parts.groupBy(*keys)).applyInArrow(
+        _deviations(cfg), "family long, node long, root long, item long, apart binary, excess long"), "minhash-apart")
+
+    least = apart.groupBy("family").agg(F.min(F.struct("excess", "node", "root")).alias("mid"))
+    apart = look_up(apart, least, "family").withColumn(
+        "need", F.ceil((F.col("excess") + F.col("mid.excess")) / (2 * (100 + cfg.percent))).cast("long"))
+    near = F.col("need") <= 0
+    apart = stored(apart.withColumn("root", F.when(near, F.col("mid.root")).otherwise(F.col("root"))), "minhash-apart")
+    links = (apart.where(near).where(F.col("node") != F.col("mid.node"))
+             .select(F.least("node", "mid.node").alias("a"), F.greatest("node", "mid.node").alias("b")))
+
+    cell = F.xxhash64("family", "el")
+    each = stored(apart.select("family", F.col("item").alias("node"), "apart")
+                  .mapInArrow(_elements("apart"), "family long, node long, el long")
+                  .select(F.col("node").alias("item"), cell.alias("cell")), "minhash-deviations")
+    often = each.groupBy("cell").agg(F.count("*").alias("often")).where("often > 1")
+    each = look_up(each, often, "cell").where("often is not null")
+    own = Window.partitionBy("item")
+    each = (each.join(apart.select("item", "node", "root", "need"), "item")
+            .withColumn("all", F.count("*").over(own))
+            .withColumn("rank", F.row_number().over(own.orderBy("often", "cell")))
+            .where("rank <= `all` - greatest(need, 1) + 1"))
+    return each.select("cell", "node", "root"), links

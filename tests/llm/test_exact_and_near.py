@@ -163,3 +163,56 @@ def test_near_duplicates_of_every_text_of_an_id(spark):
     for i in range(6):
         want |= {100 + i: 100 + i, 200 + i: 100 + i, 300 + i: 100 + i, 400 + i: 400 + i}
     assert got == want
+
+
+def family(rng, n, words, edits, tag):
+    """Copies of one text, each with its own words in random places."""
+    base = [f"{tag}{j}" for j in range(words)]
+    out = []
+    for i in range(n):
+        text = list(base)
+        for at in rng.sample(range(words), rng.choice(edits)):
+            text[at] = f"{tag}x{rng.randrange(40)}" if rng.random() < 0.3 else f"{tag}y{i}z{at}"
+        out.append(" ".join(text))
+    return out
+
+
+@pytest.mark.parametrize("percent", [70, 80, 90])
+def test_families_beyond_a_block(spark, percent):
+    """Members near and far from the centre of their family, whose links
+    run through few of the pairs."""
+    rng = random.Random(percent)
+    texts = family(rng, 90, 60, [1, 2, 3], "a") + family(rng, 90, 60, [2, 3, 4], "b") + family(rng, 60, 40, [1, 2], "c")
+    texts += [t + " " + " ".join(f"own{i}t{j}" for j in range(14)) for i, t in enumerate(family(rng, 60, 60, [0], "d"))]
+    rng.shuffle(texts)
+    rows = list(enumerate(texts)) + [(5, texts[7]), (11, texts[100] + " more")]  # ids with two texts
+    docs = spark.createDataFrame([r for r in rows[:len(texts)]], "doc_id long, text string")
+    cfg = NearDupConfig(shingle=4, percent=percent, block=8)
+    assert result(near_duplicates(docs, cfg)) == brute_near(rows[:len(texts)], 4, percent)
+
+
+def test_a_large_group_below_the_threshold_is_not_compared_in_pairs(spark, monkeypatch):
+    """Texts that share 87 % of their words with all others, so that each pair's
+    similarity is 0.76: every pair meets in tables, none is a link."""
+    n = 20_000
+    template = " ".join(f"t{j}" for j in range(104))
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit(template + " "), F.array_join(F.transform(
+        F.sequence(F.lit(0), F.lit(15)), lambda j: F.concat(F.lit("o"), F.col("id"), F.lit("q"), j)), " ")).alias("text"))
+    seen = []
+    plain = M._deviating
+
+    def counted(placed, cfg):
+        cells, links = plain(placed, cfg)
+        seen.append((placed.count(), cells.count(), links.count()))
+        return cells, links
+    monkeypatch.setattr(M, "_deviating", counted)
+    got = near_duplicates(docs, NearDupConfig())
+    assert got.where("component_id = doc_id and kept").count() == n
+    assert not seen or seen[0][1:] == (0, 0)
+
+
+def test_rows_without_an_id_are_compared_when_dropped(spark):
+    text = " ".join(f"w{j}" for j in range(100))
+    rows = [(None, text + " a"), (None, text), (3, text + " b"), (None, None), (None, "other words"), (4, None)]
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, at long")
+    assert sorted(r["at"] for r in drop_near_duplicates(docs).collect()) == [2, 3, 4, 5]
