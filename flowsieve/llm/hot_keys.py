@@ -22,12 +22,15 @@ def look_up(rows: DataFrame, table: DataFrame, key: str, share: int = 1000, coun
 
     Rows of hot keys take theirs from a broadcast of fewer than ``share`` rows
     where they lie; the others are shuffled, no key of them holding more than
-    one in ``share`` of the rows. A null key finds nothing.
+    one in ``share`` of the rows. Null keys find nothing and are not shuffled.
     """
     hot = hot_keys(rows if counted is None else counted, key, share)
+    known = rows.where(F.col(key).isNotNull())
+    none = rows.where(F.col(key).isNull()).select(
+        "*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in table.schema if f.name != key])
     if hot is None:
-        return rows.join(table, key, "left")
+        return known.join(table, key, "left").unionByName(none)
     hot = F.broadcast(hot)
-    cold = rows.join(hot, key, "left_anti").join(table.join(hot, key, "left_anti"), key, "left")
-    return cold.unionByName(rows.join(hot, key, "left_semi").join(
-        F.broadcast(table.join(hot, key, "left_semi")), key, "left"))
+    cold = known.join(hot, key, "left_anti").join(table.join(hot, key, "left_anti"), key, "left")
+    return cold.unionByName(known.join(hot, key, "left_semi").join(
+        F.broadcast(table.join(hot, key, "left_semi")), key, "left")).unionByName(none)

@@ -7,13 +7,13 @@ record can be read without inflating all before it.
 
 ``normalise`` mends that. Each file is inflated once, as a stream, by one task;
 a parser cuts the stream into records by their Content-Length, and each record
-is deflated as a gzip member of its own. The members of a file and their
-offsets are one table; from it come the new archives and, beside them, a
-sidecar index (offset and length of each record). The text writer puts a
-separator behind every row: here that is an empty gzip member, so an archive
-is a valid gzip file of record members.
+is deflated as a gzip member of its own. The same task counts the bytes, so one
+pass writes the new archive and, beside it, a sidecar index: a line of JSON a
+record with the offset and length of its member, a gzip member each as well.
+The text writer puts a separator behind every row: here that is an empty gzip
+member, so both are valid gzip files.
 
-``read_archives`` reads records by the index: it seeks to each offset, inflates
+``read_archives`` reads records by the index: it goes to each offset, inflates
 that member alone and checks it against what the index says.
 
 All files are written by Spark's writers below a folder of any file system
@@ -23,7 +23,9 @@ archive, whose size ``records_per_file`` bounds.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
+import json
 import zlib
 from dataclasses import dataclass
 
@@ -176,11 +178,8 @@ def member(record: bytes, level: int = 6) -> bytes:
     return deflate.compress(record) + deflate.flush()
 
 
-INDEX = ("archive string, seq long, position long, length long, record_length long, record_type string, record_id string, "
-         "refers_to_id string, page_id long, target_uri string, payload_digest string")
-_COLUMNS = [c.split()[0] for c in INDEX.split(", ")]
-_TYPES = {"string": pa.string(), "long": pa.int64()}
-_FIELDS = [pa.field(c.split()[0], _TYPES[c.split()[1]]) for c in INDEX.split(", ")] + [pa.field("member", pa.binary())]
+INDEX = ["position", "length", "record_length", "record_type", "record_id", "refers_to_id", "page_id", "target_uri",
+         "payload_digest"]
 
 
 def _angled(value: str | None) -> str | None:
@@ -188,11 +187,13 @@ def _angled(value: str | None) -> str | None:
 
 
 def _members(cfg: WarcConfig):
+    fields = pa.schema([("kind", pa.string()), ("archive", pa.string()), ("seq", pa.int64()), ("value", pa.binary())])
+
     def run(batches):
         at, seq, position, parser, rows, held = None, 0, 0, None, [], 0
 
         def emit():
-            return pa.RecordBatch.from_pylist(rows, schema=pa.schema(_FIELDS))
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), fields)], schema=fields)
         for batch in batches:
             for path, chunk in zip(batch.column("path"), batch.column("chunk")):
                 path = path.as_py()
@@ -200,15 +201,17 @@ def _members(cfg: WarcConfig):
                     if parser:
                         parser.close()
                     at, seq, position, parser = path, 0, 0, RecordParser()
+                    name = at.rsplit("/", 1)[-1].split(".")[0]
                 for h, record in parser.feed(chunk.as_py() + b"\r\n\r\n"):
                     packed = member(record, cfg.level)
                     page = h.get("x-page-id")
-                    rows.append(dict(zip(_COLUMNS, (
-                        at.rsplit("/", 1)[-1].split(".")[0], seq, position, len(packed), len(record), h.get("warc-type"),
-                        _angled(h.get("warc-record-id")), _angled(h.get("warc-refers-to")), int(page) if page else None,
-                        h.get("warc-target-uri"), (h.get("warc-payload-digest") or "").removeprefix("sha256:") or None)),
-                        member=packed))
-                    seq, position, held = seq + 1, position + len(packed) + len(EMPTY_MEMBER), held + len(packed)
+                    entry = dict(zip(INDEX, (
+                        position, len(packed), len(record), h.get("warc-type"), _angled(h.get("warc-record-id")),
+                        _angled(h.get("warc-refers-to")), int(page) if page else None, h.get("warc-target-uri"),
+                        (h.get("warc-payload-digest") or "").removeprefix("sha256:") or None)))
+                    line = member(json.dumps(entry).encode() + b"\n", cfg.level)
+                    rows += [("archives", name, seq, packed), ("index", name, seq, line)]
+                    seq, position, held = seq + 1, position + len(packed) + len(EMPTY_MEMBER), held + len(packed) + len(line)
                     if held >= cfg.batch_bytes:
                         yield emit()
                         rows, held = [], 0
@@ -222,22 +225,20 @@ def _members(cfg: WarcConfig):
 def normalise(spark: SparkSession, source: str, target: str, cfg: WarcConfig = WarcConfig()) -> None:
     """Rewrite the gzip WARC files in folder ``source`` with a member a record.
 
-    Writes ``target/archives`` (a folder ``archive=<name>`` a file) and
-    ``target/index`` (JSON lines, likewise). A gzip file cannot be split, so a
-    task reads a file from its start to its end; one that ends inside a record,
-    or whose records do not end where they say, fails the job with its name.
+    Writes ``target/kind=archives/archive=<name>`` and
+    ``target/kind=index/archive=<name>``, a file each for every file of the
+    source. A gzip file cannot be split, so a task reads a file from its start
+    to its end; one that ends inside a record, or whose records do not end where
+    they say, fails the job with the record's headers.
     """
     small_batches(spark)
     chunks = (spark.read.option("lineSep", END).text(source)
               .select(col("_metadata.file_path").alias("path"), col("value").cast("binary").alias("chunk")))
-    rows = stored(chunks.mapInArrow(_members(cfg), INDEX + ", member binary"), "warc-members")
-    # all members of an archive in one task, in their order
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(tasks, "archive").sortWithinPartitions("archive", "seq")
-    (dealt.select("archive", col("member").cast("string").alias("value")).write.partitionBy("archive")
-     .option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin-1")).text(f"{target}/archives"))
-    (rows.drop("member").repartition(tasks, "archive").sortWithinPartitions("archive", "seq")
-     .write.partitionBy("archive").json(f"{target}/index"))
+    rows = chunks.mapInArrow(_members(cfg), "kind string, archive string, seq long, value binary")
+    # a task has all rows of its files; the sort keeps their order in the writer
+    (rows.sortWithinPartitions("kind", "archive", "seq").select("kind", "archive", col("value").cast("string").alias("value"))
+     .write.partitionBy("kind", "archive").option("encoding", "ISO-8859-1")
+     .option("lineSep", EMPTY_MEMBER.decode("latin-1")).text(target))
 
 
 def inflate_member(archive: bytes, position: int, length: int) -> bytes:
@@ -249,65 +250,86 @@ def inflate_member(archive: bytes, position: int, length: int) -> bytes:
     return out
 
 
+def index_entries(sidecar: bytes) -> list[dict]:
+    """The index's entries, in the order of the archive."""
+    return [json.loads(line) for line in gzip.decompress(sidecar).splitlines()]
+
+
 _READ = ("page_id long, record_type string, record_id string, refers_to_id string, target_uri string, "
          "payload_bytes long, payload_digest string, payload binary")
 
 
-def _read(keep_payload: bool):
-    names = [c.split()[0] for c in _READ.split(", ")]
+def _read(keep_payload: bool, batch_bytes: int):
+    kinds = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
+    fields = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in _READ.split(", ")])
+
+    def batch_of(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), fields)], schema=fields)
 
     def run(batches):
         for batch in batches:
-            for content, entries in zip(batch.column("content"), batch.column("entries")):
-                content, rows = memoryview(content.as_buffer()), []
-                for e in entries.as_py():
+            for content, sidecar in zip(batch.column("content"), batch.column("sidecar")):
+                content, rows, held = memoryview(content.as_buffer()), [], 0
+                for e in index_entries(sidecar.as_py()):
                     record = inflate_member(content, e["position"], e["length"])
                     headers, whole = next(RecordParser().feed(record))
                     if len(whole) != e["record_length"] or _angled(headers.get("warc-record-id")) != e["record_id"]:
                         raise ValueError(f"the index does not fit the archive: {e}")
                     block = record[record.index(b"\r\n\r\n") + 4:-4]
-                    payload = block[block.index(b"\r\n\r\n") + 4:]
+                    payload = block[block.index(b"\r\n\r\n") + 4:] if b"\r\n\r\n" in block else block
                     full = headers.get("warc-type") != "revisit"
                     rows.append((e["page_id"], headers.get("warc-type"), e["record_id"], _angled(headers.get("warc-refers-to")),
                                  headers.get("warc-target-uri"), len(payload) if full else None,
                                  hashlib.sha256(payload).hexdigest() if full else e["payload_digest"],
                                  payload if full and keep_payload else None))
-                schema = pa.schema([pa.field(c.split()[0], {"binary": pa.binary()}.get(c.split()[1]) or _TYPES[c.split()[1]])
-                                    for c in _READ.split(", ")])
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)] if rows else
-                                                 [pa.array([], f.type) for f in schema], names=names)
+                    held += len(payload) if keep_payload else 0
+                    if held >= batch_bytes or len(rows) >= 10_000:
+                        yield batch_of(rows)
+                        rows, held = [], 0
+                if rows:
+                    yield batch_of(rows)
     return run
 
 
-def read_archives(spark: SparkSession, target: str, payloads: bool = True) -> DataFrame:
+def read_archives(spark: SparkSession, target: str, payloads: bool = True, cfg: WarcConfig = WarcConfig()) -> DataFrame:
     """Records of normalised archives, each inflated from its own member at the
     offset that the index gives: page_id, record_type, record_id, refers_to_id,
     target_uri, payload_bytes, payload_digest (SHA-256 of the payload as read;
-    of a revisit, which has none, as its header says), payload."""
-    index = spark.read.schema(INDEX).json(f"{target}/index")
-    entries = index.groupBy("archive").agg(F.sort_array(F.collect_list(F.struct(
-        "position", "length", "record_length", "record_id", "page_id", "payload_digest"))).alias("entries"))
-    files = (spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true")
-             .load(f"{target}/archives")
-             .select(F.regexp_extract("path", "archive=([^/]*)/", 1).alias("archive"), "content"))
-    return files.join(entries, "archive").select("content", "entries").mapInArrow(_read(payloads), _READ)
+    of a revisit, which has none, as its header says), payload. The payload is
+    the record's block behind the first empty line (of an HTTP message, its body)."""
+    files = spark.read.format("binaryFile").load(target)
+    if "kind" not in files.columns:  # no record was written
+        return spark.createDataFrame([], _READ)
+    name = F.regexp_extract("path", "archive=([^/]*)/", 1).alias("archive")
+    archives = files.where("kind = 'archives'").select(name, "content")
+    sidecars = files.where("kind = 'index'").select(name, col("content").alias("sidecar"))
+    return archives.join(sidecars, "archive").select("content", "sidecar").mapInArrow(_read(payloads, cfg.batch_bytes), _READ)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def archive_report(pages: DataFrame, cfg: WarcConfig = WarcConfig(), folder: str | None = None) -> DataFrame:
+def archive_report(pages: DataFrame, cfg: WarcConfig = WarcConfig(), folder: str | None = None,
+                   keep_raw: bool = False) -> DataFrame:
     """Write the pages as WARC, normalise the archives, read them back: page_id,
     payload_bytes, payload_digest, record_type, refers_to (the response's
     page_id) of each record.
 
     Needs page_id, url and html; other columns are not read. What nulls, short
     payloads and equal rows do is said at ``page_records``; rows that repeat
-    page_id and html are records of their own. The files stay below ``folder``
-    (of the session's checkpoint folder unless given). An empty table writes
-    no record and gives an empty table.
+    page_id and html are records of their own. The normalised files stay below
+    ``folder`` (of the session's checkpoint folder unless given), the gzip
+    streams they replace only if ``keep_raw``. An empty table writes no record
+    and gives an empty table.
     """
     spark = pages.sparkSession
     folder = folder or work_dir(spark, "warc")
     write_archives(pages, f"{folder}/raw", cfg)
     normalise(spark, f"{folder}/raw", f"{folder}/normalised", cfg)
+    if not keep_raw:
+        _delete(spark, f"{folder}/raw")
     read = stored(read_archives(spark, f"{folder}/normalised", payloads=False).drop("payload"), "warc-read")
     responses = (read.where("record_type = 'response'").groupBy(col("record_id").alias("refers_to_id"))
                  .agg(F.min("page_id").alias("refers_to"), F.min("payload_bytes").alias("full_bytes"),

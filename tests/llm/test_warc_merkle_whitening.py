@@ -65,11 +65,11 @@ def plain_warc(rows):
 @pytest.mark.parametrize("per_file", [3, 2000])
 def test_warc_of_odd_pages(spark, per_file, tmp_path):
     pages = odd_pages(spark)
-    got = WM.archive_report(pages, WM.WarcConfig(records_per_file=per_file, batch_bytes=500), str(tmp_path))
+    got = WM.archive_report(pages, WM.WarcConfig(records_per_file=per_file, batch_bytes=500), str(tmp_path), keep_raw=True)
     assert by_text(map(tuple, got.collect())) == plain_warc(pages.collect())
     # the archives are what any gzip reader inflates, a member a record
     total = 0
-    for path in glob.glob(f"{tmp_path}/normalised/archives/*/part-*"):
+    for path in glob.glob(f"{tmp_path}/normalised/kind=archives/*/part-*"):
         data, records = open(path, "rb").read(), 0
         whole, rest = b"", data
         while rest:
@@ -79,6 +79,10 @@ def test_warc_of_odd_pages(spark, per_file, tmp_path):
             assert not one or (one.startswith(b"WARC/1.1\r\n") and one.endswith(b"\r\n\r\n"))
             whole, rest = whole + one, d.unused_data
         assert gzip.decompress(data) == whole and records <= per_file
+        index, = glob.glob(path.rsplit("/", 1)[0].replace("kind=archives", "kind=index") + "/part-*")
+        entries = WM.index_entries(open(index, "rb").read())
+        assert len(entries) == records
+        assert b"".join(WM.inflate_member(data, e["position"], e["length"]) for e in entries) == whole
         total += records
     assert total == pages.count()
     raw = b"".join(gzip.open(p).read() for p in glob.glob(f"{tmp_path}/raw/*.gz"))
