@@ -3,11 +3,18 @@
 Each language is a distribution over letter trigrams (bytes, A-Z folded, with
 word ends), hashed to ``buckets``. A document is a mixture of languages: each
 of its words comes from one of them, with the likelihood of its trigrams.
-Expectation-maximisation over the words estimates the proportions; the language
-set is the one of largest penalised likelihood: sets of the leading one to
-``most`` languages are compared, and each further language must gain
-``penalty`` times the logarithm of the number of words. The prediction is the
-largest language of the set.
+Expectation-maximisation over the words estimates the proportions within a set
+of languages; the set is the one of largest penalised likelihood, where each
+further language must gain ``penalty`` times the logarithm of the number of
+words. The prediction is the largest language of the set.
+
+The likelihood is concave in the proportions, so the gradient bounds how much
+any proportions could still gain: expectation-maximisation runs until that
+bound is below ``tolerance``. The same bound closes the search exactly: no set
+is likelier than all languages together, so sets stop growing when even that
+value, less the cost of their size, is below the best set found. Of each size
+all sets are tried if they are at most ``exhaustive`` (any of up to eight
+languages), else those that differ by one language from the best sets so far.
 
 Trigram counts are taken over all labelled training rows, summed per task and
 then per (language, bucket); the model's size is languages times buckets.
@@ -16,6 +23,8 @@ then per (language, bucket); the model's size is languages times buckets.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +44,9 @@ _LETTER[128:] = True
 class LangConfig:
     bits: int = 15
     smoothing: float = 0.5
-    steps: int = 8
-    most: int = 3
     penalty: float = 4.0
+    tolerance: float = 0.05
+    exhaustive: int = 70
 
 
 @dataclass
@@ -98,60 +107,85 @@ def fit_languages(docs: DataFrame, cfg: LangConfig = LangConfig()) -> LangModel:
     return LangModel(languages, np.log(n / n.sum(axis=0)).astype(np.float32) if languages else n.astype(np.float32))
 
 
-def _log_likelihood(ll: np.ndarray, log_pi: np.ndarray, begin: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(new proportions, log likelihood) of each row, by one step of EM."""
-    z = ll + log_pi[row]
-    top = z.max(axis=1, keepdims=True)
-    np.exp(z - top, out=z)
-    total = z.sum(axis=1, keepdims=True)
-    value = np.add.reduceat((np.log(total) + top)[:, 0].astype(np.float64), begin)
-    z /= total
-    words = np.diff(np.append(begin, len(ll)))[:, None]
-    return np.add.reduceat(z, begin, axis=0) / words, value
+def fit_proportions(p: np.ndarray, begin: np.ndarray, pi: np.ndarray, tolerance: float,
+                    enough: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(proportions, log likelihood, most it could still gain) of each row, by
+    expectation-maximisation from ``pi``; a proportion of zero stays zero.
 
-
-def _em(ll, pi, begin, row, steps):
-    for _ in range(steps):
-        pi, value = _log_likelihood(ll, np.log(np.maximum(pi, 1e-12)), begin, row)
-    return pi, value
+    p: likelihood of each word in each language, relative to its largest; begin:
+    first word of each row. A row is done when the possible gain is at most the
+    tolerance, or when its likelihood with that gain stays below ``enough``.
+    """
+    words = np.diff(np.append(begin, len(p)))
+    pi, value, gain = pi.copy(), np.full(len(begin), -np.inf), np.full(len(begin), np.inf)
+    live, q, at, n = np.arange(len(begin)), p, begin, words.astype(np.float64)
+    step = 0
+    while len(live):
+        now = pi[live]
+        mix = np.einsum("wk,wk->w", q, np.repeat(now, n.astype(np.int64), axis=0))
+        slope = np.add.reduceat(q / mix[:, None], at, axis=0)
+        # languages outside the set (proportion zero) cannot gain
+        gain[live] = np.where(now > 0, slope, 0.0).max(axis=1) - n
+        if step % 4 == 0 or step > 200:
+            value[live] = np.add.reduceat(np.log(mix), at)
+            done = gain[live] <= tolerance
+            if enough is not None:
+                done |= value[live] + gain[live] < enough[live]
+            if done.any():
+                keep = ~done
+                some = np.repeat(keep, n.astype(np.int64))
+                q, live, n, now, slope = q[some], live[keep], n[keep], now[keep], slope[keep]
+                at = np.concatenate(([0], np.cumsum(n.astype(np.int64))[:-1])) if len(n) else at[:0]
+        pi[live] = now * slope / n[:, None]
+        step += 1
+    return pi, value, gain
+
+
+def _next_sets(size: int, k: int, best: set[tuple[int, ...]], cfg: LangConfig) -> list[tuple[int, ...]]:
+    if comb(k, size) <= cfg.exhaustive:
+        return list(combinations(range(k), size))
+    grown = {tuple(sorted((*s, j))) for s in best for j in range(k) if j not in s}
+    swapped = {tuple(sorted(set(s) - {i} | {j})) for s in grown for i in s for j in range(k) if j not in s} if size < 4 else set()
+    return sorted(grown | swapped)
 
 
 def mixtures(ll: np.ndarray, begin: np.ndarray, cfg: LangConfig) -> tuple[np.ndarray, np.ndarray]:
     """(proportions over the chosen set, score) of each row. ll: log likelihood
     of each word in each language; begin: first word of each row."""
     n, k = len(begin), ll.shape[1]
+    ll = ll.astype(np.float64)
     words = np.diff(np.append(begin, len(ll)))
-    row = np.repeat(np.arange(n), words)
-    alone = np.add.reduceat(ll.astype(np.float64), begin, axis=0)
+    top = ll.max(axis=1, keepdims=True)
+    base = np.add.reduceat(top[:, 0], begin)
+    alone = np.add.reduceat(ll, begin, axis=0) - base[:, None]
     best = alone.argmax(axis=1)
     pi = np.zeros((n, k))
     pi[np.arange(n), best] = 1.0
-    sure = 1 / np.exp(alone - alone.max(axis=1, keepdims=True)).sum(axis=1)
-    score = sure.copy()
-    if k > 1:
-        full, value = _em(ll, np.full((n, k), 1 / k, dtype=np.float32), begin, row, cfg.steps)
-        cost = cfg.penalty * np.log(np.maximum(words, 2))
-        top = alone.max(axis=1)
-        # a subset is never likelier than the whole set: most rows end here
-        open_ = np.flatnonzero(value - top > cost)
-        chosen = top[open_].copy()
-        order = np.argsort(-full[open_], axis=1)
-        picked = np.isin(row, open_)
-        sub_row = np.searchsorted(open_, row[picked])
-        sub_begin = row_runs(sub_row)[1]
-        for size in range(2, min(cfg.most, k) + 1):
-            if not len(open_):
-                break
-            some = np.zeros((len(open_), k), dtype=np.float32)
-            take = order[:, :size]
-            some[np.arange(len(open_))[:, None], take] = np.maximum(np.take_along_axis(full[open_], take, axis=1), 1e-6)
-            some /= some.sum(axis=1, keepdims=True)
-            some, got = _em(ll[picked], some, sub_begin, sub_row, cfg.steps)
-            got = got - (size - 1) * cost[open_]
-            better = got > chosen
-            chosen[better] = got[better]
-            pi[open_[better]] = some[better]
-            score[open_[better]] = some[better].max(axis=1)
+    score = 1 / np.exp(alone - alone.max(axis=1, keepdims=True)).sum(axis=1)
+    if k == 1:
+        return pi, score
+    p = np.maximum(np.exp(ll - top), 1e-300)
+    cost = cfg.penalty * np.log(np.maximum(words, 2))
+    chosen = alone.max(axis=1)
+    # all languages at once: what no set can exceed; most rows end here
+    start = 0.9 * pi + 0.1 / k
+    _, value, gain = fit_proportions(p, begin, start, cfg.tolerance, enough=chosen + cost)
+    ceiling = value + gain
+    for i in np.flatnonzero(ceiling - cost >= chosen):
+        mine = p[begin[i]:begin[i] + words[i]]
+        sets, size = {(int(best[i]),)}, 2
+        while size <= k and ceiling[i] - (size - 1) * cost[i] > chosen[i]:
+            tried = {}
+            for s in _next_sets(size, k, sets, cfg):
+                first = np.full((1, size), 1 / size)
+                found, got, _ = fit_proportions(mine[:, s], np.zeros(1, dtype=np.int64), first, cfg.tolerance)
+                tried[s] = got[0]
+                if got[0] - (size - 1) * cost[i] > chosen[i]:
+                    chosen[i] = got[0] - (size - 1) * cost[i]
+                    pi[i] = 0.0
+                    pi[i, s] = found[0]
+                    score[i] = found[0].max()
+            sets, size = set(sorted(tried, key=lambda s: -tried[s])[:4]), size + 1
     return pi, score
 
 
@@ -183,7 +217,7 @@ def predict_languages(docs: DataFrame, model: LangModel, cfg: LangConfig = LangC
                         continue
                     order = np.argsort(-pi[i], kind="stable")
                     pred[doc], score[doc] = languages[order[0]], min(1.0, sure[i])
-                    chosen[doc] = [languages[j] for j in order if pi[i, j] > 0.01]
+                    chosen[doc] = [languages[j] for j in order if pi[i, j] > 0]
             yield pa.RecordBatch.from_arrays(
                 [rows.column("doc_id"), rows.column("held_out"), pa.array(pred), pa.array(score),
                  pa.array(chosen, pa.list_(pa.string()))],

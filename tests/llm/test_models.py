@@ -1,5 +1,6 @@
 """Quality network, line rules, language mixtures: brute force and held-out rows."""
 
+import itertools
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -196,11 +197,63 @@ def test_mixed_documents_get_both_languages(spark, languages):
 def test_em_reaches_the_likeliest_proportions():
     rng = np.random.default_rng(2)
     ll = np.log(rng.dirichlet([1, 1], 400)).astype(np.float32)
-    pi, value = L._em(ll, np.full((1, 2), 0.5, dtype=np.float32), np.array([0]), np.zeros(400, dtype=int), 200)
+    pi, value, gain = L.fit_proportions(np.exp(ll).astype(float), np.array([0]), np.full((1, 2), 0.5), 1e-6)
+    assert 0 <= gain[0] <= 1e-6
     grid = [(np.log(np.exp(ll) @ [p, 1 - p]).sum(), p) for p in np.linspace(0.001, 0.999, 999)]
     assert pi[0, 0] == pytest.approx(max(grid)[1], abs=0.01) and value[0] == pytest.approx(max(grid)[0], abs=0.05)
 
 
+def best_set(ll, cfg):
+    """All sets, each fitted to the end."""
+    p, cost, out = np.exp(ll), cfg.penalty * np.log(max(len(ll), 2)), []
+    for size in range(1, ll.shape[1] + 1):
+        for s in itertools.combinations(range(ll.shape[1]), size):
+            pi = np.full(size, 1 / size)
+            for _ in range(3000):
+                pi = (p[:, s] * pi / (p[:, s] @ pi)[:, None]).mean(axis=0)
+            out.append((np.log(p[:, s] @ pi).sum() - (size - 1) * cost, s))
+    return max(out)
+
+
+@pytest.mark.parametrize("k", [2, 4, 6])
+def test_language_sets_equal_a_search_of_all_sets(k):
+    """Words of languages that overlap, in shares from none to all."""
+    rng = np.random.default_rng(k)
+    cfg, rows = L.LangConfig(), []
+    for trial in range(14):
+        models = rng.dirichlet(np.full(30, [0.2, 1.0][trial % 2]), k)
+        true = rng.permutation(k)[:1 + trial % k]
+        share = rng.dirichlet(np.full(len(true), 3.0))
+        words = rng.choice(30, size=int(rng.choice([3, 40, 400])), p=share @ models[true])
+        rows.append(np.log(models[:, words].T + 1e-9))
+    begin = np.concatenate(([0], np.cumsum([len(r) for r in rows])[:-1]))
+    pi, score = L.mixtures(np.concatenate(rows), begin, cfg)
+    sizes = set()
+    for r, found in zip(rows, pi):
+        value, s = best_set(r, cfg)
+        mine = np.log(np.exp(r) @ found).sum() - ((found > 0).sum() - 1) * cfg.penalty * np.log(max(len(r), 2))
+        assert mine >= value - cfg.tolerance and (found > 0).sum() == len(s)
+        sizes.add(len(s))
+    assert len(sizes) >= min(k, 3) and (score > 0).all() and (score <= 1 + 1e-9).all()
+
+
+def test_two_true_languages_among_many_similar_ones():
+    rng = np.random.default_rng(4)
+    shared = rng.dirichlet(np.full(60, 1.0))
+    models = 0.7 * shared + 0.3 * rng.dirichlet(np.full(60, 0.3), 40)
+    words = np.concatenate([rng.choice(60, 400, p=models[3]), rng.choice(60, 400, p=models[17])])
+    pi, _ = L.mixtures(np.log(models[:, words].T), np.array([0]), L.LangConfig())
+    assert list(np.flatnonzero(pi[0])) == [3, 17]
+
+
+def test_a_text_in_every_learned_language(spark, languages):
+    docs, model = languages
+    long = {r.lang: r.text for r in docs.where("n_chars between 2500 and 3500").collect()}
+    everything = "\n".join(long[x] for x in model.languages)
+    got = L.predict_languages(spark.createDataFrame([(1, everything)], "doc_id long, text string"), model).first()
+    assert sorted(got.languages) == model.languages
+
+
 def test_languages_of_odd_rows(spark, languages, odd_docs, no_docs):
     model = languages[1]
     got = L.predict_languages(odd_docs, model).collect()
