@@ -64,8 +64,14 @@ def exact_duplicates(docs: DataFrame, salts: int = 16, digest: Callable[[Column]
 
 
 def drop_exact_duplicates(docs: DataFrame, salts: int = 16) -> DataFrame:
-    """One row of each group of equal texts, all its columns."""
-    kept = exact_duplicates(docs, salts).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    marked = docs.withColumn("__sha", _sha256(collapsed(F.col("text"))))
-    same = marked["doc_id"].eqNullSafe(kept["__id"]) & (marked["__sha"] == kept["__sha"])
-    return marked.join(kept, same, "left_semi").dropDuplicates(["doc_id", "__sha"]).drop("__sha")
+    """One row of each group of equal texts, all its columns: that of the
+    smallest doc_id. Null and empty texts are equal. A group without any doc_id
+    keeps one of its rows, and of rows that repeat the winning doc_id and text
+    one stays. Columns besides doc_id and text may have any name. An empty
+    table gives an empty table."""
+    kept = exact_duplicates(docs, salts).where("kept").select("doc_id", "text_sha256")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+                       F.col("doc_id").cast("long").alias("doc_id"), _sha256(collapsed(F.col("text"))).alias("sha"))
+    same = rows["doc_id"].eqNullSafe(kept["doc_id"]) & (rows["sha"] == kept["text_sha256"])
+    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", "sha"]).select(
+        *[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

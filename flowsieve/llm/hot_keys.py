@@ -16,15 +16,17 @@ def hot_keys(rows: DataFrame, key: str, share: int = 1000) -> DataFrame | None:
     return rows.sparkSession.createDataFrame(found, rows.select(key).schema) if found else None
 
 
-def look_up(rows: DataFrame, table: DataFrame, key: str, share: int = 1000, counted: DataFrame | None = None) -> DataFrame:
+def look_up(rows: DataFrame, table: DataFrame, key: str, share: int = 1000, counted: DataFrame | None = None,
+            hot: DataFrame | None = None) -> DataFrame:
     """Left join of ``rows`` with ``table``, which has at most one row a key.
-    ``counted``: a cheaper table with the same keys as often, to count them in.
+    ``counted``: a cheaper table with the same keys as often, to count them in;
+    ``hot``: the hot keys, where the caller knows them.
 
     Rows of hot keys take theirs from a broadcast of fewer than ``share`` rows
     where they lie; the others are shuffled, no key of them holding more than
     one in ``share`` of the rows. Null keys find nothing and are not shuffled.
     """
-    hot = hot_keys(rows if counted is None else counted, key, share)
+    hot = hot_keys(rows if counted is None else counted, key, share) if hot is None else hot
     known = rows.where(F.col(key).isNotNull())
     none = rows.where(F.col(key).isNull()).select(
         "*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in table.schema if f.name != key])

@@ -3,14 +3,20 @@
 One pass over the texts gives each document its counts and its distinct lines,
 as 64-bit hashes of the normalised line (words, A-Z folded, one space apart).
 For every (host, line) the distinct documents are counted, exact copies of a
-text as one. A line is boilerplate of its host if it stands in at least
-``min_docs`` of them and in more than ``host_percent`` of the host's. Those
-lines are removed; a document that keeps less than ``left_percent`` of its
-words is depleted and rejected, as is one that fails the base rules.
+text as one. A line is boilerplate of its host if more than ``most_docs`` of
+them hold it, whatever the host's size, or at least ``min_docs`` and more than
+``host_percent`` of the host's. Those lines are removed; a document that keeps
+less than ``left_percent`` of its words is depleted and rejected, as is one that
+fails the base rules.
+
+Copies of a text are not counted apart: a page that is copied a thousand times
+would else lose all its lines, and the one copy that deduplication keeps would
+go with the others.
 
 Distinct documents are counted in two steps, by (host, line, text) and then by
 (host, line) with map-side sums, so a line that a third of all rows share is
-never gathered in one task.
+never gathered in one task; the lines look their verdict up in the same way,
+those of very frequent lines from a broadcast.
 """
 
 from __future__ import annotations
@@ -23,6 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from flowsieve.llm.arrow_text import blocks, hash_words, mix64, row_runs, small_batches, word_spans
+from flowsieve.llm.hot_keys import look_up
 from flowsieve.session import written as stored
 
 _SYMBOL = np.zeros(256, dtype=bool)
@@ -37,6 +44,7 @@ class LineConfig:
     repeat_percent: int = 50
     min_docs: int = 10
     host_percent: int = 10
+    most_docs: int = 100
     left_percent: int = 30
 
 
@@ -138,10 +146,15 @@ def line_quality(docs: DataFrame, cfg: LineConfig = LineConfig(), host: str = "s
         "row", "host", "digest", F.col("l.lines").alias("line"), F.col("l.line_words").alias("words"))
     per_line = lines.groupBy("host", "line").agg(F.count_distinct("digest").alias("n_docs"))
     per_host = facts.groupBy("host").agg(F.count_distinct("digest").alias("host_docs"))
-    boilerplate = (per_line.where(F.col("n_docs") >= cfg.min_docs).join(per_host, "host")
-                   .where(F.col("n_docs") * 100 > F.col("host_docs") * cfg.host_percent).select("host", "line"))
-    removed = (lines.select("row", "host", "line", "words").join(boilerplate, ["host", "line"])
-               .groupBy("row").agg(F.sum("words").alias("removed_words")))
+    often = look_up(stored(per_line.where(F.col("n_docs") >= min(cfg.min_docs, cfg.most_docs + 1)), "line-often"), per_host, "host")
+    key = F.struct("host", "line").alias("key")
+    boilerplate = stored(often.where((F.col("n_docs") > cfg.most_docs) | (F.col("n_docs") >= cfg.min_docs) & (
+        F.col("n_docs") * 100 > F.col("host_docs") * cfg.host_percent)).select(key, "n_docs"), "line-boilerplate")
+    # a line of more than a thousandth of all lines: fewer than a thousand of them
+    total = facts.agg(F.coalesce(F.sum(F.size("lines")), F.lit(0))).first()[0]
+    removed = (look_up(lines.select("row", key, "words"), boilerplate, "key",
+                       hot=boilerplate.where(F.col("n_docs") * 1000 > total).select("key"))
+               .where("n_docs is not null").groupBy("row").agg(F.sum("words").alias("removed_words")))
     failed = (F.col("n_words") < cfg.min_words) | (
         F.col("n_repeat_words") * 100 > F.col("n_words") * cfg.repeat_percent)
     left = (F.col("n_words") - F.col("removed_words")) * 100 >= F.col("n_words") * cfg.left_percent

@@ -363,7 +363,7 @@ def drop_near_duplicates(docs: DataFrame, cfg: NearDupConfig = NearDupConfig())
         return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
     # ids for the rows that have none, behind the largest one
     last = docs.agg(F.max(F.col("doc_id").cast("long"))).first()[0]
-    row = stored(docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("at")), "minhash-rows")
+    row = stored(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("at")), "minhash-rows")
     row = row.withColumn("doc_id", F.coalesce(F.col("row.doc_id").cast("long"), F.col("at") + F.lit((last or 0) + 1)))
     dropped = near_duplicates(row.select("doc_id", F.col("row.text").alias("text")), cfg).where("not kept").select("doc_id").distinct()
     return row.join(dropped, "doc_id", "left_anti").select("row.*")

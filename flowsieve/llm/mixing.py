@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from flowsieve.llm.sql_text import small, word_count
+from flowsieve.operators.ordering import running_totals
 from flowsieve.session import written as stored
 
 
@@ -115,9 +116,9 @@ def _settled(draws: DataFrame, sources: DataFrame) -> DataFrame:
             .withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
             .withColumn("own", F.greatest(F.lit(0), F.least("n", F.col("quota") - F.col("first")))))
     own = runs.where("own > 0").select("sid", "shard", "first", F.col("own").alias("n"))
-    numbered = Window.orderBy("shard", "sid").rowsBetween(Window.unboundedPreceding, -1)
-    freed = (runs.where("n > own").withColumn("extra", F.col("n") - F.col("own"))
-             .withColumn("at", F.coalesce(F.sum("extra").over(numbered), F.lit(0)))
+    over = runs.where("n > own").select("shard", "sid", (F.col("n") - F.col("own")).alias("extra"))
+    freed = (running_totals(over, ["shard", "sid"], {"upto": F.col("extra")})
+             .withColumn("at", F.col("upto") - F.col("extra"))
              .select("shard", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("extra") - 1)).alias("e")))
     drawn = draws.groupBy("sid").agg(F.sum("n").alias("drawn"))
     lacking = (sources.select("sid", "quota").join(drawn, "sid", "left")
@@ -171,7 +172,9 @@ def plan_mix(docs: DataFrame, cfg: MixConfig = MixConfig(), row: Column | None =
     placed = stored(_positions(facts, small(sources, n_sources), n_rows, cfg), "mix-positions")
     draws = stored(_draws(spark, sources, n_sources, slots, cfg), "mix-draws")
     runs = stored(_settled(draws, sources), "mix-runs")
-    each = (runs.withColumn("q", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)))
+    # a run has up to a shard's slots: few rows, which are spread before they become slots
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    each = (runs.repartition(tasks, "sid", "first").withColumn("q", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)))
             .join(small(sources.select("sid", "n_blocks"), n_sources), "sid")
             .withColumn("pass", F.floor(F.col("q") / F.col("n_blocks")).cast("long"))
             .withColumn("i", F.pmod("q", "n_blocks")))
@@ -203,31 +206,29 @@ def mix_report(docs: DataFrame, cfg: MixConfig = MixConfig()) -> DataFrame:
             .select("doc_id", "size", "source_size", "target", "taken"))
 
 
-def mixed_documents(docs: DataFrame, cfg: MixConfig = MixConfig(), nulls: bool = False) -> DataFrame:
+def mixed_documents(docs: DataFrame, cfg: MixConfig = MixConfig()) -> DataFrame:
     """The mix as documents: a row per input row and pass with the words that
     pass takes of it, in their order; all columns of the input, with text (and
     n_chars where there is one) those of the row. A document whose words are
     all taken keeps its exact text; documents of which nothing is taken, or
-    that have no words, have no row. Rows that repeat a doc_id are documents of
-    their own, as in ``mix_report``; with ``nulls``, so are rows without one,
-    which else take no part.
+    that have no words (null and empty texts), have no row. Rows that repeat a
+    doc_id, or have none, are documents of their own, as in ``mix_report``.
+    Columns besides doc_id, source and text may have any name. An empty table
+    gives an empty table.
     """
     # rows are numbered once, so that spans go back to the text they were computed for
-    rows = stored((docs if nulls else docs.where("doc_id is not null"))
-                  .withColumn("__row", F.monotonically_increasing_id()), "mix-rows")
-    mix = plan_mix(rows, cfg, F.col("__row"))
+    rows = stored(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"),
+                              F.monotonically_increasing_id().alias("row")), "mix-rows")
+    mix = plan_mix(rows.select("row", *[F.col(f"doc.{c}").alias(c) for c in ("doc_id", "source", "text")]), cfg, F.col("row"))
     parts = (_pieces(mix, cfg).join(mix.taken, ["sid", "block"])
              .groupBy("row", "size", "pass")
-             .agg(F.sort_array(F.collect_list(F.struct("low", "high"))).alias("__parts"),
-                  F.sum(F.col("high") - F.col("low")).alias("__words"))
-             .select(F.col("row").alias("__row"), F.col("pass").alias("__pass"), "__parts", "__words", F.col("size").alias("__size")))
-    joined = rows.join(parts, "__row")
-    words = F.array(F.regexp_extract_all(F.col("text"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)))
+             .agg(F.sort_array(F.collect_list(F.struct("low", "high"))).alias("parts"),
+                  F.sum(F.col("high") - F.col("low")).alias("words")))
+    words = F.array(F.regexp_extract_all(F.col("doc.text"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)))
     cut = F.transform(words, lambda w: F.array_join(F.flatten(F.transform(
-        "__parts", lambda p: F.slice(w, (p["low"] + 1).cast("int"), (p["high"] - p["low"]).cast("int")))), ""))
-    text = F.when(F.col("__words") == F.col("__size"), F.col("text")).otherwise(
+        "parts", lambda p: F.slice(w, (p["low"] + 1).cast("int"), (p["high"] - p["low"]).cast("int")))), ""))
+    text = F.when(F.col("words") == F.col("size"), F.col("doc.text")).otherwise(
         F.regexp_replace(F.get(cut, 0), r"^[\x20\x09-\x0D]+", ""))
-    out = joined.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    out = rows.join(parts, "row").select("doc", text.alias("taken"))
+    new = {"text": F.col("taken"), "n_chars": F.length("taken")}
+    return out.select(*[(new[c].cast(docs.schema[c].dataType) if c in new else F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])

@@ -21,10 +21,9 @@ task holds a bounded number of tokens besides its longest document, and the
 only padding a partition adds is that of its last window.
 
 Token ids are computed with the byte-level vocabulary of a tokenizers file
-(merge ranks are its ids), in one encoder per task. With ``added`` a text that
-holds the string of one of the file's added tokens has that token's id there, as
-in ``tokenizers``; without it such strings are ordinary text. The encoder's
-pattern gives up on a run of about a million white-space characters, so long
+(merge ranks are its ids), in one encoder per task. A text that holds
+the string of one of the file's added tokens has that token's id there, as in
+``tokenizers``. The encoder's pattern gives up on a run of about a million white-space characters, so long
 runs are cut out before it (see ``text_ids``).
 """
 
@@ -54,8 +53,8 @@ _RUN = 1 << 16
 @dataclass(frozen=True)
 class PackConfig:
     """Tokens a sequence, the closing id, penalties (in tokens of padding) of a
-    cut at a sentence and inside one, the longest uncut run, the tokens solved
-    at a time, and whether added tokens are found in texts."""
+    cut at a sentence and inside one, the longest uncut run, and the tokens
+    solved at a time."""
 
     tokenizer: str
     length: int = 1024
@@ -64,7 +63,6 @@ class PackConfig:
     inside: float = 8.0
     stride: int = 64
     horizon: int = 1 << 18
-    added: bool = False
 
 
 def _byte_chars() -> dict[str, int]:
@@ -253,7 +251,7 @@ def _table(rows: list[tuple]) -> pa.RecordBatch:
 def _pack(cfg: PackConfig):
     def run(batches):
         encoder, ends, opens = load_encoder(cfg.tokenizer)
-        added = added_tokens(cfg.tokenizer) if cfg.added else {}
+        added = added_tokens(cfg.tokenizer)
         find = added_pattern(added)
         stream = _Stream(cfg, ends, opens, TaskContext.get().partitionId() << 40)
         for rows, data, offs in blocks(batches, "text"):

@@ -203,7 +203,10 @@ def score_quality(docs: DataFrame, model: ConvModel, cfg: ConvConfig = ConvConfi
 
 
 def keep_quality(docs: DataFrame, model: ConvModel, cfg: ConvConfig = ConvConfig()) -> DataFrame:
-    """The rows, all their columns, whose text is predicted 1."""
+    """The rows, all their columns, whose text is predicted 1. Null and empty
+    texts have the score of an empty text; rows without a doc_id are judged like
+    others, repeated rows alike. Columns besides text may have any name and hold
+    nulls. An empty table gives an empty table."""
     def run(batches):
         for rows, data, offs in blocks(batches, "text"):
             yield rows.filter(pa.array(score_bytes(data, offs, model, cfg) >= cfg.threshold))

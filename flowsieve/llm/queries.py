@@ -62,7 +62,7 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(_documents(spark, sf_dir), PackConfig(_vocabulary("byte_bpe_50k.json"), added=True))
+    return pack_documents(_documents(spark, sf_dir), PackConfig(_vocabulary("byte_bpe_50k.json")))
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -218,7 +218,7 @@ LLM_ORACLE_SQL: dict[str, str] = {
         per_line AS (SELECT host, norm, count(DISTINCT t) AS n_docs FROM lines GROUP BY host, norm),
         per_host AS (SELECT host, count(DISTINCT t) AS host_docs FROM d GROUP BY host),
         boilerplate AS (SELECT host, norm FROM per_line JOIN per_host USING (host)
-                        WHERE n_docs >= 10 AND n_docs * 100 > host_docs * 10),
+                        WHERE n_docs > 100 OR n_docs >= 10 AND n_docs * 100 > host_docs * 10),
         removed AS (SELECT doc_id, sum(n)::BIGINT AS removed_words FROM lines JOIN boilerplate USING (host, norm) GROUP BY doc_id),
         facts AS (SELECT doc_id, coalesce(n_words, 0) AS n_words,
                          length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,

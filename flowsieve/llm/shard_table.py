@@ -65,8 +65,10 @@ def assign_shards(rows: DataFrame, key: Column, cfg: ShardConfig = ShardConfig()
     repartition by it.
     """
     spark = rows.sparkSession
-    table = spark.createDataFrame([(i, cfg.shards[s]) for i, s in enumerate(fill_table(cfg).tolist())],
-                                  "__slot long, __shard string")
-    placed = rows.withColumn("slot", F.pmod(F.xxhash64(key.cast("string")), F.lit(cfg.slots)))
-    found = placed.join(F.broadcast(table), placed["slot"] == table["__slot"], "left")
-    return found.withColumn("shard", F.col("__shard")).drop("__slot", "__shard")
+    table = spark.createDataFrame([(i, cfg.shards[s]) for i, s in enumerate(fill_table(cfg).tolist())], "at long, name string")
+    placed = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"),
+                         F.pmod(F.xxhash64(key.cast("string")), F.lit(cfg.slots)).alias("at"))
+    found = placed.join(F.broadcast(table), "at", "left")
+    new = {"slot": F.col("at"), "shard": F.col("name")}
+    names = [*rows.columns, *[c for c in new if c not in rows.columns]]
+    return found.select(*[(new[c] if c in new else F.col(f"row.`{c}`")).alias(c) for c in names])

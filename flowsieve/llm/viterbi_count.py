@@ -12,12 +12,16 @@ best score and the piece count; no path is kept. The rules are those of the
 * neighbouring unknowns fuse; a fused run that is itself a piece is one token,
   otherwise it counts its bytes if the vocabulary has all byte pieces, else one.
 
-Words start at spaces, with the space written as U+2581 and one put before the
-text. Counts of words are remembered within a task, in a bounded table.
+Spaces are written as the marker U+2581, and one is put before the text. The
+text is cut before each marker that follows another character: no piece spans
+such a place (a vocabulary that has one is not cut). Runs of markers stay whole,
+as there are pieces of several. Counts of the parts are remembered within a
+task, in a bounded table.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,6 +31,7 @@ from pyspark.sql import DataFrame, functions as F
 from flowsieve.llm.arrow_text import blocks, small_batches
 
 SPACE = "▁"
+_PART = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
 @dataclass(frozen=True)
@@ -57,6 +62,8 @@ class WordCounter(dict):
         self.bytes = all(f"<0x{b:02X}>" in self.known for b in range(256))
         # a newline is then always one unknown of one byte, and nothing spans it
         self.lines = self.bytes and all("\n" not in p and s == int(s) for p, s in vocabulary.pieces)
+        # parts end before a marker behind another character
+        self.parts = SPACE in self.known and not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.known)
         self.unknown_score = min((s for _, s in vocabulary.pieces), default=0.0) - 10.0
         self.automaton = ahocorasick.Automaton()
         for i, (piece, score) in enumerate(vocabulary.pieces):
@@ -112,15 +119,13 @@ def count_tokens(text: str, counter: WordCounter) -> int:
     """Tokens of a text; an empty text has none."""
     if not text:
         return 0
-    lines = text.replace(" ", SPACE).split("\n") if counter.lines else [text.replace(" ", SPACE)]
+    text = text.replace(" ", SPACE)
+    if not text.startswith(SPACE):
+        text = SPACE + text
+    lines = text.split("\n") if counter.lines else [text]
     total = len(lines) - 1
-    for i, line in enumerate(lines):
-        head, *words = line.split(SPACE)
-        if i == 0 and not (head == "" and words):
-            words.insert(0, head)  # the marker put before the text, unless it begins with one
-        elif head:
-            total += counter[head]
-        total += sum(map(counter.__getitem__, [SPACE + w for w in words]))
+    for line in lines:
+        total += sum(map(counter.__getitem__, _PART.findall(line) if counter.parts else [line] if line else []))
     return total
 
 

@@ -123,6 +123,10 @@ def test_exact_duplicates_of_odd_rows(spark, odd_docs, no_docs):
     kept = drop_exact_duplicates(odd_docs)
     assert kept.columns == odd_docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == sorted(r[0] for r in brute_exact(rows) if r[3])
+    names = ["__sha", "__id", "sha", "row", "digest", "text_sha256", "body", "salt", "keep_id"]
+    clash = drop_exact_duplicates(odd_docs.select("doc_id", "text", *[F.lit(c).alias(c) for c in names]))
+    assert clash.columns == ["doc_id", "text", *names] and clash.count() == kept.count()
+    assert all([r[c] for c in names] == names for r in clash.collect())
 
 
 @pytest.mark.parametrize("salts", [1, 16])

@@ -1,11 +1,13 @@
 """Mixing totals and packing round trips."""
 
+import struct
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -74,7 +76,67 @@ def test_mix_of_odd_rows(spark, odd_docs, no_docs):
     assert mix_report(no_docs).count() == 0 and mixed_documents(no_docs).count() == 0
     mixed = mixed_documents(odd_docs)
     assert mixed.columns == odd_docs.columns
-    assert not {0, 1, 2, None} & {r.doc_id for r in mixed.collect()}
+    assert not {0, 1, 2} & {r.doc_id for r in mixed.collect()} and {None, 7} <= {r.doc_id for r in mixed.collect()}
+    clash = odd_docs.select("doc_id", "text", "source", *[F.lit(1).alias(c) for c in (
+        "row", "doc", "__row", "__parts", "parts", "pass", "size", "sid", "block", "digest", "taken", "words", "low")])
+    out = mixed_documents(clash)
+    assert out.columns == clash.columns and out.where("row = 1 and __parts = 1 and pass = 1 and words = 1").count() == out.count() > 0
+
+
+def spark_hash(*values):
+    """xxhash64 of ints, longs (as (value,)) and strings, null skipped."""
+    h = 42
+    for v in values:
+        if v is not None:
+            raw = v.encode() if isinstance(v, str) else struct.pack("<q", v[0]) if isinstance(v, tuple) else struct.pack("<i", v)
+            h = xxhash.xxh64_intdigest(raw, h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def replayed(rows, cfg):
+    """{doc_id: words taken}: the draw slot by slot and the permutations index by
+    index, over documents laid end to end word by word."""
+    sizes = defaultdict(int)
+    for r in rows:
+        sizes[r.source] += len((r.text or "").split())
+    names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    target = brute_targets(sizes, cfg.weights, cfg.total, cfg.cap)
+    blocks = [-(-sizes[s] // cfg.block) for s in names]
+    quota = [min(int(target[s] * b / sizes[s] + 0.5), int(cfg.cap * b)) for s, b in zip(names, blocks)]
+    slots, owner = sum(quota), [i for i, q in enumerate(quota) for _ in range(q)]
+    drawn = defaultdict(int)
+    for slot in range(slots):
+        drawn[slot // cfg.shard, owner[spark_hash(cfg.seed, (slot,)) % slots]] += 1
+    got, freed = [0] * len(names), 0
+    for (_, sid), n in sorted(drawn.items()):
+        own = min(n, quota[sid] - got[sid])
+        got[sid], freed = got[sid] + own, freed + n - own
+    assert freed == sum(q - g for q, g in zip(quota, got))  # what is over goes to those that lack
+    chunks = max(1, -(-len(rows) // cfg.chunk_rows))
+    words = {i: [] for i in range(len(names))}
+    for i, s in enumerate(names):
+        mine = [(spark_hash((r.doc_id,), (spark_hash(s, r.text),)) % chunks, r.doc_id, len(r.text.split())) for r in rows if r.source == s]
+        for _, doc, n in sorted(mine):
+            words[i] += [doc] * n
+    taken = defaultdict(int)
+    for sid, q in enumerate(quota):
+        n = blocks[sid]
+        for slot in range(q):
+            turn, i = slot // n, slot % n
+            for r in range(cfg.rounds):
+                k = spark_hash(cfg.seed, r, sid, (turn,)) % n
+                j = (k - i) % n
+                i = j if spark_hash(cfg.seed + 1, r, (max(i, j),), sid, (turn,)) & 1 else i
+            for doc in words[sid][i * cfg.block:(i + 1) * cfg.block]:
+                taken[doc] += 1
+    return taken
+
+
+def test_taken_words_equal_a_replay_of_the_draw(spark):
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    cfg = MixConfig(shard=64, chunk_rows=50)
+    want = replayed(docs.collect(), cfg)
+    assert {r.doc_id: r.taken for r in mix_report(docs, cfg).collect() if r.taken} == dict(want)
 
 
 def test_mixed_documents_hold_the_words_of_the_report(spark):
@@ -137,7 +199,6 @@ def test_cuts_lie_at_documents_and_sentences():
 
 def check_pieces(docs, pieces, length=1024):
     tok = Tokenizer.from_file(VOCABULARY)
-    tok.encode_special_tokens = True
     want = defaultdict(list)
     for r in docs.collect():
         ids = np.array(tok.encode(r.text or "", add_special_tokens=False).ids + [0], dtype="<u4")

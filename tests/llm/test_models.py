@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 from odd_rows import no_docs, odd_docs  # noqa: F401
@@ -119,8 +120,8 @@ def brute_lines(rows, cfg):
             docs_of[host, x].add(t)
     for key, host, _ in rows:
         n, *_, rep = out[key]
-        gone = sum(c for x, c in lines_of[key].items() if len(docs_of[host, x]) >= cfg.min_docs
-                   and len(docs_of[host, x]) * 100 > len(host_docs[host]) * cfg.host_percent)
+        gone = sum(c for x, c in lines_of[key].items() if len(docs_of[host, x]) > cfg.most_docs
+                   or len(docs_of[host, x]) >= cfg.min_docs and len(docs_of[host, x]) * 100 > len(host_docs[host]) * cfg.host_percent)
         bad = n < cfg.min_words or 100 * rep > cfg.repeat_percent * n
         out[key] += [bad, not bad and 100 * (n - gone) >= cfg.left_percent * n, gone]
     return out
@@ -129,7 +130,8 @@ def brute_lines(rows, cfg):
 FIELDS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words")
 
 
-@pytest.mark.parametrize("cfg", [LineConfig(), LineConfig(min_words=5, min_docs=2, host_percent=1, left_percent=60)])
+@pytest.mark.parametrize("cfg", [LineConfig(), LineConfig(min_words=5, min_docs=2, host_percent=1, left_percent=60),
+                                 LineConfig(most_docs=1, left_percent=90)])
 def test_line_rules(spark, cfg):
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
     want = brute_lines([(r.doc_id, r.source, r.text) for r in docs.collect()], cfg)
@@ -146,6 +148,19 @@ def test_depleted_documents_are_rejected(spark):
     assert got == {i: (False, i >= 12) for i in range(24)}
 
 
+@pytest.mark.parametrize("n", [300, 3000])
+def test_a_passage_is_boilerplate_on_a_host_of_any_size(spark, n):
+    """101 documents of a host share a passage, at 34 % and at 3 % of the host;
+    exact copies of a text are one document."""
+    passage = " ".join(f"p{j}" for j in range(70))
+    own = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(59)), lambda j: F.concat(F.lit("w"), F.col("id"), F.lit("x"), j)), " ")
+    few = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda j: F.concat(F.lit("v"), F.col("id"), F.lit("x"), j)), " ")
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("h").alias("source"), F.when(
+        F.col("id") < 101, F.concat(F.lit(passage + "\n"), few)).when(F.col("id") < 250, F.lit(" ".join(f"c{j}" for j in range(60)))).otherwise(own).alias("text"))
+    got = {r.doc_id: (r.kept, r.removed_words) for r in line_quality(docs).collect()}
+    assert got == {i: (False, 70) if i < 101 else (True, 0) for i in range(n)}
+
+
 def test_line_rules_of_odd_rows(spark, odd_docs, no_docs):
     got = line_quality(odd_docs).collect()
     want = brute_lines([(i, r.source, r.text) for i, r in enumerate(odd_docs.collect())], LineConfig())

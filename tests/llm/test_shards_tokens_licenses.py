@@ -60,16 +60,19 @@ def test_placement(spark, odd_docs, no_docs):
     assert assign_shards(no_docs, F.col("doc_id")).count() == 0
     clash = odd_docs.withColumnRenamed("lang", "shard").withColumnRenamed("key", "slot")
     assert assign_shards(clash, F.col("doc_id")).columns == clash.columns
+    names = ["__slot", "__shard", "at", "name", "row"]
+    got = assign_shards(odd_docs.select("doc_id", *[F.lit(c).alias(c) for c in names]), F.col("doc_id"))
+    assert got.columns == ["doc_id", *names, "slot", "shard"] and all([r[c] for c in names] == names for r in got.collect())
 
 
 def reference(vocabulary):
     t = Tokenizer(models.Unigram(list(vocabulary.pieces), vocabulary.unknown, byte_fallback=True))
-    t.pre_tokenizer = pre_tokenizers.Metaspace(replacement=SPACE, prepend_scheme="always", split=True)
+    t.pre_tokenizer = pre_tokenizers.Metaspace(replacement=SPACE, prepend_scheme="always", split=False)
     return lambda text: len(t.encode(text, add_special_tokens=False).ids)
 
 
 ODD = ["", " ", "  a", "a  b", "\n\n", "\n a\nb ", "日本語 テスト", "<unk> x <unk><unk>", "a<0x0A>b </s>", "é́ ▁a", "😀😀 x😀",
-       "\t\ta\tb", "a" * 300, "▁", " ▁ ", "a\n▁\n", "xyz😀q\n😀"]
+       "\t\ta\tb", "a" * 300, "▁", " ▁ ", "a\n▁\n", "xyz😀q\n😀", "a    b", "        return x", "def f():\n        return  x\n\n    y", " " * 40, "a" + " " * 33, "\n    \n  "]
 
 
 def test_counts_match_the_tokenizer(spark, odd_docs, no_docs):
@@ -90,12 +93,13 @@ def test_ties_and_unknowns(with_bytes):
     import itertools
 
     pieces = [("<unk>", 0.0), ("a", -1.0), ("aa", -2.0), ("b", -1.0), ("ab", -2.0), ("aab", -3.0), ("xx", -2.5), (SPACE, -1.0),
-              (SPACE + "a", -2.0), ("ba", -1.5)]
+              (SPACE + "a", -2.0), ("ba", -1.5),
+              (SPACE * 2, -1.5), (SPACE * 3 + "a", -3.5)]
     if with_bytes:
         pieces += [(f"<0x{b:02X}>", -5.0) for b in range(256)]
     vocabulary = UnigramVocabulary(tuple(pieces), 0)
     t = Tokenizer(models.Unigram(pieces, 0, byte_fallback=with_bytes))
-    t.pre_tokenizer = pre_tokenizers.Metaspace(replacement=SPACE, prepend_scheme="always", split=True)
+    t.pre_tokenizer = pre_tokenizers.Metaspace(replacement=SPACE, prepend_scheme="always", split=False)
     counter = WordCounter(vocabulary)
     for n in range(1, 7):
         for chars in itertools.product("abx ", repeat=n):
@@ -130,7 +134,7 @@ def test_licenses_of_odd_rows(spark, odd_docs, no_docs):
 
 def test_registered_queries():
     ops = [k for k in E.queries() if k.startswith("op") and k[2].isdigit()]
-    assert sorted(int(k[2:].split("_")[0]) for k in ops) == list(range(1, 11)) and "pipeline" in E.queries()
+    assert sorted(int(k[2:].split("_")[0]) for k in ops) == list(range(1, 14)) and "pipeline" in E.queries()
 
 
 def test_pipeline_stages(spark):
