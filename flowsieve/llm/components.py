@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from flowsieve.llm.hot_keys import look_up
+from flowsieve.llm.hot_keys import hot_of, look_up
 from flowsieve.session import written as stored
 
 
@@ -20,13 +20,13 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.shiftright(h, 24)), F.min(h), F.max(h)).first())
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """edges: u > v. Large star links the larger neighbours of each node to
+def _star(edges: DataFrame, large: bool, total: int = 0) -> DataFrame:
+    """edges: u > v, ``total`` of them. Large star links the larger neighbours of each node to
     its minimum, small star the smaller ones and the node itself."""
     if large:
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        out = look_up(both, low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
+        out = look_up(both, low.drop("n"), "u", hot=hot_of(low, "u", "n", 2 * total)).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         low = edges.groupBy("u").agg(F.min("v").alias("m"))
         out = edges.join(low, "u").select(F.explode(F.array(
@@ -45,7 +45,7 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
                  .distinct(), "cc")
     state = _state(cur)
     while state[0]:
-        cur = stored(_star(_star(cur, large=True), large=False), "cc")
+        cur = stored(_star(_star(cur, large=True, total=state[0]), large=False), "cc")
         new = _state(cur)
         if new == state:
             break

@@ -5,34 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 
-def hot_keys(rows: DataFrame, key: str, share: int = 1000) -> DataFrame | None:
-    """The non-null keys that hold more than one in ``share`` of the rows (so
-    fewer than ``share`` keys), as a table of one column; None without any.
-
-    Counts are aggregated map-side; only the hot keys come to the driver."""
+def hot_keys(rows: DataFrame, key: str, share: int = 1000) -> list[int]:
+    """Hashes of the non-null keys that hold more than one in ``share`` of the
+    rows, so fewer than ``share`` numbers. Counts are aggregated map-side."""
     total = rows.count()
     counts = rows.where(F.col(key).isNotNull()).groupBy(key).count()
-    found = counts.where(F.col("count") * share > total).where("count > 1").select(key).collect()
-    return rows.sparkSession.createDataFrame(found, rows.select(key).schema) if found else None
+    return [r[0] for r in counts.where(F.col("count") * share > total).where("count > 1").select(F.xxhash64(key)).collect()]
+
+
+def hot_of(table: DataFrame, key: str, n: str, total: int, share: int = 1000) -> list[int]:
+    """The same from a table that has the rows of each key in column ``n``."""
+    return [r[0] for r in table.where((F.col(n) * share > total) & (F.col(n) > 1)).select(F.xxhash64(key)).collect()]
 
 
 def look_up(rows: DataFrame, table: DataFrame, key: str, share: int = 1000, counted: DataFrame | None = None,
-            hot: DataFrame | None = None) -> DataFrame:
+            hot: list[int] | None = None) -> DataFrame:
     """Left join of ``rows`` with ``table``, which has at most one row a key.
     ``counted``: a cheaper table with the same keys as often, to count them in;
-    ``hot``: the hot keys, where the caller knows them.
+    ``hot``: hashes of the hot keys, where the caller knows them.
 
     Rows of hot keys take theirs from a broadcast of fewer than ``share`` rows
     where they lie; the others are shuffled, no key of them holding more than
-    one in ``share`` of the rows. Null keys find nothing and are not shuffled.
+    one in ``share`` of the rows. (Keys are told apart by their hash, in both
+    tables alike; a key whose hash is that of a hot one is merely broadcast
+    too.) Null keys find nothing and are not shuffled.
     """
     hot = hot_keys(rows if counted is None else counted, key, share) if hot is None else hot
     known = rows.where(F.col(key).isNotNull())
     none = rows.where(F.col(key).isNull()).select(
         "*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in table.schema if f.name != key])
-    if hot is None:
+    if not hot:
         return known.join(table, key, "left").unionByName(none)
-    hot = F.broadcast(hot)
-    cold = known.join(hot, key, "left_anti").join(table.join(hot, key, "left_anti"), key, "left")
-    return cold.unionByName(known.join(hot, key, "left_semi").join(
-        F.broadcast(table.join(hot, key, "left_semi")), key, "left")).unionByName(none)
+    is_hot = F.xxhash64(key).isin(hot)
+    cold = known.where(~is_hot).join(table.where(~is_hot), key, "left")
+    return cold.unionByName(known.where(is_hot).join(F.broadcast(table.where(is_hot)), key, "left")).unionByName(none)

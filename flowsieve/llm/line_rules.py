@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from flowsieve.llm.arrow_text import blocks, hash_words, mix64, row_runs, small_batches, word_spans
-from flowsieve.llm.hot_keys import look_up
+from flowsieve.llm.hot_keys import hot_of, look_up
 from flowsieve.session import written as stored
 
 _SYMBOL = np.zeros(256, dtype=bool)
@@ -150,10 +150,9 @@ def line_quality(docs: DataFrame, cfg: LineConfig = LineConfig(), host: str = "s
     key = F.struct("host", "line").alias("key")
     boilerplate = stored(often.where((F.col("n_docs") > cfg.most_docs) | (F.col("n_docs") >= cfg.min_docs) & (
         F.col("n_docs") * 100 > F.col("host_docs") * cfg.host_percent)).select(key, "n_docs"), "line-boilerplate")
-    # a line of more than a thousandth of all lines: fewer than a thousand of them
     total = facts.agg(F.coalesce(F.sum(F.size("lines")), F.lit(0))).first()[0]
     removed = (look_up(lines.select("row", key, "words"), boilerplate, "key",
-                       hot=boilerplate.where(F.col("n_docs") * 1000 > total).select("key"))
+                       hot=hot_of(boilerplate, "key", "n_docs", total))
                .where("n_docs is not null").groupBy("row").agg(F.sum("words").alias("removed_words")))
     failed = (F.col("n_words") < cfg.min_words) | (
         F.col("n_repeat_words") * 100 > F.col("n_words") * cfg.repeat_percent)

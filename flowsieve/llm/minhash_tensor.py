@@ -45,7 +45,7 @@ from pyspark.sql.window import Window
 
 from flowsieve.llm.arrow_text import blocks, hash_words, mix64, row_runs, small_batches, word_spans
 from flowsieve.llm.components import connected_components
-from flowsieve.llm.hot_keys import look_up
+from flowsieve.llm.hot_keys import hot_of, look_up
 from flowsieve.session import written as stored
 
 SMALL_BUCKET = 4
@@ -246,10 +246,15 @@ def _elements(column: str):
         for batch in batches:
             values = batch.column(column).to_pylist()
             size = np.array([len(v) // 8 for v in values], dtype=np.int64)
-            at = pa.array(np.repeat(np.arange(len(values)), size))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("family").take(at), batch.column("node").take(at),
-                 pa.array(np.frombuffer(b"".join(values), dtype=np.int64))], names=["family", "node", "el"])
+            upto = np.concatenate(([0], np.cumsum(size)))
+            a = 0
+            while a < len(values):  # a quarter of a million elements at a time, or one set
+                b = max(a + 1, int(np.searchsorted(upto, upto[a] + (1 << 18), side="right")) - 1)
+                at = pa.array(np.repeat(np.arange(a, b), size[a:b]))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("family").take(at), batch.column("node").take(at),
+                     pa.array(np.frombuffer(b"".join(values[a:b]), dtype=np.int64))], names=["family", "node", "el"])
+                a = b
     return run
 
 
@@ -327,8 +332,9 @@ def near_duplicates(docs: DataFrame, cfg: NearDupConfig = NearDupConfig()) -> Da
             _confirm(cfg), "a long, b long")
 
     same = F.struct("d0", "d1", "n_shingles").alias("same")
-    lowest = usable.groupBy(same).agg(F.min("doc_id").alias("node"))
-    to_node = look_up(usable.select("doc_id", same), lowest, "same").select("doc_id", "node")
+    lowest = usable.groupBy(same).agg(F.min("doc_id").alias("node"), F.count("*").alias("n"))
+    to_node = look_up(usable.select("doc_id", same), lowest.drop("n"), "same",
+                      hot=hot_of(lowest, "same", "n", usable.count())).select("doc_id", "node")
     found = confirmed(pairs)
     repeated = usable.groupBy("doc_id").count().where("count > 1").select("doc_id")
     if repeated.head(1):
@@ -379,14 +385,15 @@ def _crossing_links(members: DataFrame, nodes: DataFrame, sets: DataFrame, roots
     """
     met = members.where(f"size > {SMALL_BUCKET}").select("hub", "node").distinct()
     met = stored(met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "minhash-met")
-    split = (met.groupBy("hub").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
-             .where("lo < hi").select("hub", F.lit(True).alias("open")))
-    open_ = stored(look_up(met, split, "hub").where("open").select("hub", "node", "root"), "minhash-open")
+    split = stored(met.groupBy("hub").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m"))
+                   .where("lo < hi").select("hub", "m"), "minhash-split")
+    open_ = stored(look_up(met, split, "hub", hot=hot_of(split, "hub", "m", met.count())).where("m is not null").select("hub", "node", "root"), "minhash-open")
     family = connected_components(open_, "hub", "node").withColumnRenamed("root", "family")
     placed = (open_.select("node", "root").distinct().join(family, "node", "left")
               .withColumn("family", F.coalesce("family", "node")))
     sizes = stored(placed.groupBy("family").agg(F.count("*").alias("n")), "minhash-families")
-    placed = stored(look_up(placed, sizes, "family").join(sets, "node").select("family", "n", "node", "root", "set"),
+    all_placed = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    placed = stored(look_up(placed, sizes, "family", hot=hot_of(sizes, "family", "n", all_placed)).join(sets, "node").select("family", "n", "node", "root", "set"),
                     "minhash-placed")
     cells = placed.where(F.col("n") <= cfg.block).select(F.col("family").alias("cell"), "node", "root")
     links = None
@@ -395,11 +402,11 @@ def _crossing_links(members: DataFrame, nodes: DataFrame, sets: DataFrame, roots
         cells = cells.unionByName(shared)
     cells = stored(cells, "minhash-cells")
 
-    big = (cells.groupBy("cell", "root").count()
+    big = stored(cells.groupBy("cell", "root").count()
            .groupBy("cell").agg(F.max_by("root", F.struct("count", "root")).alias("big"), F.sum("count").alias("m"),
-                                F.count("*").alias("roots")).where("roots > 1").drop("roots"))
+                                F.count("*").alias("roots")).where("roots > 1").drop("roots"), "minhash-big")
     parts = F.ceil(F.col("m") / cfg.block).cast("long")
-    blocked = (look_up(cells, big, "cell").where("big is not null")
+    blocked = (look_up(cells, big, "cell", hot=hot_of(big, "cell", "m", cells.count())).where("big is not null")
                .withColumn("blk", F.pmod(F.xxhash64("node", "cell"), parts))
                .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))))
     rows = (blocked.select("cell", "node", "root", "blk", "big", F.least("blk", "other").alias("x"),
@@ -431,7 +438,7 @@ def _deviating(placed: DataFrame, cfg: NearDupConfig) -> tuple[DataFrame, DataFr
         _deviations(cfg), "family long, node long, root long, item long, apart binary, excess long"), "minhash-apart")
 
     least = apart.groupBy("family").agg(F.min(F.struct("excess", "node", "root")).alias("mid"))
-    apart = look_up(apart, least, "family").withColumn(
+    apart = look_up(apart, least, "family", hot=hot_of(families, "family", "n", apart.count())).withColumn(
         "need", F.ceil((F.col("excess") + F.col("mid.excess")) / (2 * (100 + cfg.percent))).cast("long"))
     near = F.col("need") <= 0
     apart = stored(apart.withColumn("root", F.when(near, F.col("mid.root")).otherwise(F.col("root"))), "minhash-apart")
@@ -442,8 +449,8 @@ def _deviating(placed: DataFrame, cfg: NearDupConfig) -> tuple[DataFrame, DataFr
     each = stored(apart.select("family", F.col("item").alias("node"), "apart")
                   .mapInArrow(_elements("apart"), "family long, node long, el long")
                   .select(F.col("node").alias("item"), cell.alias("cell")), "minhash-deviations")
-    often = each.groupBy("cell").agg(F.count("*").alias("often")).where("often > 1")
-    each = look_up(each, often, "cell").where("often is not null")
+    often = stored(each.groupBy("cell").agg(F.count("*").alias("often")).where("often > 1"), "minhash-often")
+    each = look_up(each, often, "cell", hot=hot_of(often, "cell", "often", each.count())).where("often is not null")
     own = Window.partitionBy("item")
     each = (each.join(apart.select("item", "node", "root", "need"), "item")
             .withColumn("all", F.count("*").over(own))
