@@ -77,6 +77,39 @@ MUTUAL_INFO = _w("""
 SELECT feature, round(mi, 6) AS mi, CAST(row_number() OVER (ORDER BY round(mi, 6) DESC, feature) AS INTEGER) AS rank
 FROM mi""")
 
+def _psi(x: str) -> str:
+    z, i = f"({x} + 6.0)", f"(1.0 / (({x} + 6.0) * ({x} + 6.0)))"
+    series = f"ln({z}) - 0.5 / {z} - {i} * (1.0/12 - {i} * (1.0/120 - {i} * (1.0/252 - {i} * (1.0/240 - {i} * (1.0/132)))))"
+    return f"({series}" + "".join(f" - 1.0 / ({x} + {s}.0)" for s in range(6)) + ")"
+
+
+def _near(k: int) -> str:
+    return ", ".join(f"{{'d': abs({f}(value, {j}) OVER w - value), 'c': {f}(n, {j}) OVER w}}" for f in ("lag", "lead") for j in range(1, k + 1))
+
+
+# distance to the third nearest row of the class, rows of the column inside it
+NEIGHBOR_INFO = _w(f"""
+, cells AS (SELECT feature, binary_label AS y, value, count(*) AS n FROM long
+            WHERE value IS NOT NULL AND NOT isnan(value) AND abs(value) < 'inf'::DOUBLE GROUP BY 1, 2, 3)
+, classed AS (SELECT *, sum(n) OVER (PARTITION BY feature, y) AS n_y FROM cells)
+, near AS (SELECT feature, y, value, n, n_y, least(3, n_y - 1) AS k,
+                  list_sort(list_filter([{{'d': 0.0::DOUBLE, 'c': n - 1}}, {_near(3)}], lambda s: s.d IS NOT NULL)) AS found
+           FROM classed WHERE n_y > 1 WINDOW w AS (PARTITION BY feature, y ORDER BY value))
+, points AS (SELECT *, list_min(list_transform(list_filter(range(1, len(found) + 1),
+                    lambda i: list_sum(list_transform(found[1:i], lambda s: s.c)) >= k), lambda i: found[i].d)) AS r,
+                    row_number() OVER (ORDER BY feature, y, value) AS id FROM near)
+, ends AS (SELECT feature, value AS place, 1 AS tag, 0 AS sign, id, n AS held FROM points
+           UNION ALL SELECT feature, value - r, CASE WHEN r = 0 THEN 0 ELSE 2 END, -1, id, 0 FROM points
+           UNION ALL SELECT feature, value + r, CASE WHEN r = 0 THEN 2 ELSE 0 END, 1, id, 0 FROM points)
+, upto AS (SELECT *, sum(held) OVER (PARTITION BY feature ORDER BY place, tag) AS seen FROM ends)
+, within AS (SELECT id, CAST(sum(sign * seen) AS DOUBLE) AS m FROM upto WHERE sign <> 0 GROUP BY id)
+, terms AS (SELECT feature, CAST(n AS DOUBLE) AS n, CAST(k AS DOUBLE) AS k, CAST(n_y AS DOUBLE) AS n_y, m
+            FROM points JOIN within USING (id))
+, mi AS (SELECT feature, sum(n) AS total, sum(n * ({_psi('k')} - {_psi('n_y')} - {_psi('m')})) AS s FROM terms GROUP BY 1)
+, scored AS (SELECT feature, greatest(0.0, {_psi('total')} + s / total) AS mi FROM mi)
+SELECT feature, round(mi, 6) AS mi, CAST(row_number() OVER (ORDER BY round(mi, 6) DESC, feature) AS INTEGER) AS rank
+FROM scored""")
+
 DIRTY = """
 , dirty0 AS (SELECT * REPLACE (CASE WHEN flow_seq % 97 = 0 THEN NULL
                                     WHEN flow_seq % 101 = 0 THEN 'inf'::DOUBLE
@@ -200,6 +233,7 @@ ORACLE_STATS = {
     "interaction_features": INTERACTIONS,
     "anova_f_scores": ANOVA,
     "mutual_info_scores": MUTUAL_INFO,
+    "mutual_info_neighbors": NEIGHBOR_INFO,
     "missing_report": MISSING_REPORT,
     "confusion_matrix": CONFUSION,
     "classification_report": REPORT,

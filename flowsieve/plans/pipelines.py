@@ -15,6 +15,7 @@ from flowsieve.operators.features import (extract_features, extract_flow_feature
                                           port_columns)
 from flowsieve.operators.labels import encode_labels, stratified_split
 from flowsieve.operators.ml import rf_feature_importance
+from flowsieve.operators.neighbors import neighbor_mutual_info
 from flowsieve.operators.ordering import IDX, dense_index_with_total, halo_window
 from flowsieve.operators.rolling import (MAX_HALO, integral_magnitudes, mean_std_columns,
                                          quantile_columns, skew_kurt_columns, var_std_columns)
@@ -95,9 +96,10 @@ def adhoc_process(df: DataFrame, key: str = "flow_seq", clean: bool = True, feat
                   k: int = 5) -> Prepared:
     """Toggle-driven processing of an uploaded table: clean, dataset and flow
     features, labels, scaling, then keep the top-``k`` features by the
-    chosen score ('univariate' = ANOVA F, 'mutual_info', 'importance' = random
-    forest), in column order, with the label columns."""
-    scorers = {"univariate": anova_f_scores, "mutual_info": mutual_info_scores, "importance": rf_feature_importance}
+    chosen score ('univariate' = ANOVA F, 'mutual_info' = binned, 'neighbors' =
+    nearest-neighbour mutual information, 'importance' = random forest), in column order, with the label columns."""
+    scorers = {"univariate": anova_f_scores, "mutual_info": mutual_info_scores, "neighbors": neighbor_mutual_info,
+               "importance": rf_feature_importance}
     if select is not None and select not in scorers:
         raise ValueError(f"unknown selection {select!r}; one of {sorted(scorers)}")
     out = clean_dataset(df) if clean else df

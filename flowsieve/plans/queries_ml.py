@@ -11,9 +11,13 @@ from pyspark.sql import functions as F
 from flowsieve.functions.columns import r6
 from flowsieve.operators import evaluate as ev
 from flowsieve.operators import ml
+from flowsieve.operators.alerts import score_flows
+from flowsieve.operators.dense_net import TrainConfig
+from flowsieve.operators.detector import FlowDetector, train_flow_detector, train_reconstruction
+from flowsieve.operators.labels import binary_label, normalized_label, stratified_split
 from flowsieve.plans.queries_stats import _features
-from flowsieve.session import work_dir
-from flowsieve.operators.labels import stratified_split
+from flowsieve.session import work_dir, written
+from flowsieve.sources.tables import flow_view
 from flowsieve.operators.scale import normalize_features
 
 
@@ -58,7 +62,11 @@ def q_train_score_eval(spark, sf_dir, kind: str = "mlp", max_iter: int = 100):
     ml.save_model(model, path)
     loaded = ml.load_model(path)
     scored = ml.predict_batch(loaded, test.select("flow_seq", "binary_label", *feats))
-    scored = scored.withColumn("y", F.col("binary_label"))
+    return _metrics(scored.withColumn("y", F.col("binary_label")))
+
+
+def _metrics(scored):
+    """(metric, value) of rows with y and prob."""
     ll = ev.log_loss_accuracy(scored, "y", "prob")
     auc = ev.roc_auc(scored, "y", "prob")
     a = ll.select(F.explode(F.array(
@@ -77,3 +85,47 @@ def q_loss_curve(spark, sf_dir, max_iter: int = 100):
     hist = ml.training_history(model)
     return spark.createDataFrame([(i + 1, float(v)) for i, v in enumerate(hist)],
                                  "iteration int, loss double")
+
+
+def _raw_split(spark, sf_dir):
+    """Raw flows with a stratified test mark; what is derived comes later."""
+    flows = flow_view(spark, sf_dir).drop("score")
+    marked = flows.withColumn("_y", binary_label(normalized_label(F.col("label"))))
+    split = written(stratified_split(marked, "_y", "flow_seq", 0.2, 42).drop("_y"), "detector-split")
+    return split.where(~F.col("is_test")).drop("is_test"), split.where("is_test").drop("is_test")
+
+
+DETECTOR_TRAINING = TrainConfig(epochs=20, steps=16, learning_rate=6e-3)
+
+
+def q_dense_detector(spark, sf_dir):
+    """The dense detector on raw flows: train, save, load, score the test part
+    as it came, metrics rows (metric, value)."""
+    train, test = _raw_split(spark, sf_dir)
+    path = work_dir(spark, "dense-detector")
+    train_flow_detector(train, cfg=DETECTOR_TRAINING).save(spark, path)
+    scored = FlowDetector.load(spark, path).score(test)
+    return _metrics(scored.select("prob", binary_label(normalized_label(F.col("label"))).alias("y")))
+
+
+def q_dense_scores(spark, sf_dir):
+    """Probability, alert and severity of every raw flow by a saved detector."""
+    train, _ = _raw_split(spark, sf_dir)
+    path = work_dir(spark, "dense-detector")
+    train_flow_detector(train, cfg=DETECTOR_TRAINING).save(spark, path)
+    scored = FlowDetector.load(spark, path).score(flow_view(spark, sf_dir).drop("score"))
+    return score_flows(scored.select("flow_seq", "prob"), "prob", 0.7)
+
+
+def q_dense_history(spark, sf_dir):
+    """Loss, validation loss and learning rate of each epoch."""
+    train, _ = _raw_split(spark, sf_dir)
+    return train_flow_detector(train, cfg=DETECTOR_TRAINING).history(spark)
+
+
+def q_reconstruction_scores(spark, sf_dir):
+    """Reconstruction error of every flow by an encoder and decoder trained on
+    all of them without labels."""
+    flows = flow_view(spark, sf_dir).drop("score")
+    detector = train_reconstruction(flows, code=4, wide=(32, 16), dropout=0.0, cfg=DETECTOR_TRAINING)
+    return detector.score(flows, "reconstruction_error").select("flow_seq", "reconstruction_error")

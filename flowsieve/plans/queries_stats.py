@@ -10,6 +10,7 @@ from flowsieve.functions.validate import canonical_flows, fit_width
 from flowsieve.operators import evaluate as ev
 from flowsieve.operators.features import extract_features
 from flowsieve.operators.labels import binary_label, normalized_label
+from flowsieve.operators.neighbors import neighbor_mutual_info
 from flowsieve.operators.scale import normalize_features
 from flowsieve.operators.selection import (anova_f_scores, create_interaction_features, melt,
                                            mutual_info_scores)
@@ -50,6 +51,13 @@ def q_mutual_info_scores(spark, sf_dir):
     return out.select("feature", r6(F.col("mi")).alias("mi"), "rank")
 
 
+def q_mutual_info_neighbors(spark, sf_dir):
+    """Nearest-neighbour estimate (k = 3) of every feature with the class."""
+    df, feats = _features(spark, sf_dir)
+    out = neighbor_mutual_info(df, feats, "binary_label", k=3)
+    return out.select("feature", r6(F.col("mi")).alias("mi"), "rank")
+
+
 def q_missing_report(spark, sf_dir):
     df = dirty_flows(spark, sf_dir)
     floats = {f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "float")}

@@ -74,6 +74,7 @@ def _queries() -> dict:
         "interaction_features": qt.q_interaction_features,
         "anova_f_scores": qt.q_anova_f_scores,
         "mutual_info_scores": qt.q_mutual_info_scores,
+        "mutual_info_neighbors": qt.q_mutual_info_neighbors,
         "missing_report": qt.q_missing_report,
         "confusion_matrix": qt.q_confusion_matrix,
         "classification_report": qt.q_classification_report,
@@ -89,6 +90,10 @@ def _queries() -> dict:
         "feature_report": qm.q_feature_report,
         "train_score_eval": qm.q_train_score_eval,
         "loss_curve": qm.q_loss_curve,
+        "dense_detector": qm.q_dense_detector,
+        "dense_scores": qm.q_dense_scores,
+        "dense_history": qm.q_dense_history,
+        "reconstruction_scores": qm.q_reconstruction_scores,
         "stream_alerts": qr.q_stream_alerts,
         "stream_alerts_by_source": qr.q_stream_alerts_by_source,
         "stream_counters": qr.q_stream_counters,
