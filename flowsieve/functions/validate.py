@@ -49,35 +49,52 @@ def _typed(raw: Column, spark_type: str, text: bool = True) -> tuple[Column, Col
     return txt, F.lit(True)
 
 
-def canonical_flows(raw: DataFrame, keep: list[str] = ()) -> DataFrame:
-    """Canonical flow records from a frame of (mostly text) fields.
-
-    Drops a record when a required field is missing, a present field does
-    not cast, or either address is not an IPv4/IPv6 literal; absent optional
-    fields take their defaults, an absent flow time the time of ingest.
-    """
-    types = dict(raw.dtypes)
-    names = set(types)
-    cols, oks = [F.col(k) for k in keep], []
+def _fields(raw: DataFrame) -> list[tuple]:
+    """(name, value with its default, [(reason, holds)]) of each canonical field."""
+    types, out = dict(raw.dtypes), []
     for name, dtype, default in FLOW_FIELDS:
         tname = {"IntegerType()": "int", "LongType()": "bigint", "DoubleType()": "double"}.get(repr(dtype), None)
-        raw_c = F.col(name) if name in names else F.lit(None)
+        raw_c = F.col(name) if name in types else F.lit(None)
         if name == "flow_ts":
             ts = raw_c.try_cast("timestamp_ntz")
-            oks.append(raw_c.isNull() | ts.isNotNull())
-            cols.append(F.coalesce(ts, F.current_timestamp().cast("timestamp_ntz")).alias(name))
+            out.append((name, F.coalesce(ts, F.current_timestamp().cast("timestamp_ntz")),
+                        [(f"bad {name}", raw_c.isNull() | ts.isNotNull())]))
             continue
         val, ok = _typed(raw_c, tname or "string", types.get(name) not in NUMBERS)
-        oks.append(ok)
+        rules = [(f"missing {name}", raw_c.isNotNull())] if name in REQUIRED_FIELDS else []
+        rules.append((f"bad {name}", ok))
         if name in REQUIRED_FIELDS:
-            oks.append(val.isNotNull())
+            rules.append((f"bad {name}", val.isNotNull()))
         if default is not None:
             val = F.coalesce(val, F.lit(default).cast(tname or "string"))
-        cols.append(val.alias(name))
-    cond = oks[0]
-    for o in oks[1:]:
-        cond = cond & o
-    out = raw.select(*cols, F.coalesce(cond, F.lit(False)).alias("_ok"))
+        out.append((name, val, rules))
+    return out
+
+
+def record_problem(raw: DataFrame) -> Column:
+    """The first reason to reject a raw record, null for a good one: 'missing
+    <field>' for a required field, 'bad <field>' for one that does not cast,
+    then 'bad address src_ip' and 'bad address dst_ip'."""
+    rules = [rule for _, _, found in _fields(raw) for rule in found]
+    rules += [(f"bad address {c}", valid_ip(F.col(c)) if c in raw.columns else F.lit(False)) for c in ("src_ip", "dst_ip")]
+    return F.coalesce(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(reason)) for reason, ok in rules])
+
+
+def canonical_flows(raw: DataFrame, keep: list[str] = ()) -> DataFrame:
+    """Canonical flow records from a frame of (mostly text) fields.
+
+    Drops a record when a required field is missing, a present field does
+    not cast, or either address is not an IPv4/IPv6 literal (``record_problem``
+    says which); absent optional fields take their defaults, an absent flow time
+    the time of ingest.
+    """
+    fields = _fields(raw)
+    cond = None
+    for _, _, rules in fields:
+        for _, ok in rules:
+            cond = ok if cond is None else cond & ok
+    out = raw.select(*[F.col(k) for k in keep], *[val.alias(name) for name, val, _ in fields],
+                     F.coalesce(cond, F.lit(False)).alias("_ok"))
     return out.where(F.col("_ok") & valid_ip(F.col("src_ip")) & valid_ip(F.col("dst_ip"))).drop("_ok")
 
 

@@ -130,3 +130,21 @@ ORACLE_ALERTS["stream_alerts_by_source"] = _w("""
                                RANGE BETWEEN 604799999999 PRECEDING AND CURRENT ROW) AS window_count
          FROM al)
 SELECT flow_seq, src_ip, timestamp, window_count, window_count <= 2 AS passed FROM rl""")
+
+ORACLE_ALERTS["stream_alerts_keyed"] = _w("""
+, rl AS (SELECT flow_seq, src_ip,
+                count(*) OVER (PARTITION BY src_ip ORDER BY epoch_us(timestamp)
+                               RANGE BETWEEN 604799999999 PRECEDING AND CURRENT ROW) AS window_count
+         FROM al)
+SELECT flow_seq, src_ip, least(window_count, 3) AS window_count, window_count <= 2 AS passed FROM rl""")
+ORACLE_ALERTS["stream_counter_snapshot"] = _w("""
+, s AS (SELECT count(*) AS total_flows_processed, count(*) FILTER (WHERE prediction = 'MALICIOUS') AS malicious_flows,
+               count(*) FILTER (WHERE alert) AS alerts_generated FROM pred)
+SELECT total_flows_processed, malicious_flows, total_flows_processed - malicious_flows AS benign_flows,
+       alerts_generated, 'real_traffic' AS data_source,
+       round(100.0::DOUBLE * malicious_flows / greatest(total_flows_processed, 1), 6) AS detection_rate,
+       round(100.0::DOUBLE * alerts_generated / greatest(total_flows_processed, 1), 6) AS alert_rate
+FROM s""")
+ORACLE_ALERTS["alert_queue_drain"] = _w("""
+SELECT flow_seq, timestamp, CAST((row_number() OVER (ORDER BY timestamp NULLS FIRST, flow_seq) - 1) // 1000 + 1 AS INTEGER) AS drain
+FROM al""")

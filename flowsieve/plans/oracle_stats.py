@@ -210,6 +210,18 @@ SELECT flow_seq, src_ip, dst_ip, CAST(src_port AS INTEGER) AS src_port, CAST(dst
        CAST(total_backward_packets AS BIGINT) AS total_backward_packets, 'real_traffic' AS source
 FROM ok WHERE flow_seq % 101 <> 0 AND flow_seq % 113 <> 0"""
 
+def _ip_sql(c: str) -> str:
+    return f"(regexp_matches({c}, '{IPV4_RE}') OR regexp_matches({c}, '{IPV6_RE}'))"
+
+
+STREAM_REJECTS = VALID_CTE + f"""
+SELECT flow_seq, CASE WHEN src_ip IS NULL THEN 'missing src_ip' WHEN dst_ip IS NULL THEN 'missing dst_ip'
+       WHEN src_port IS NULL THEN 'missing src_port' WHEN NOT regexp_matches(src_port, {INT_RE}) THEN 'bad src_port'
+       WHEN dst_port IS NULL THEN 'missing dst_port' WHEN NOT regexp_matches(dst_port, {INT_RE}) THEN 'bad dst_port'
+       WHEN flow_duration IS NOT NULL AND TRY_CAST(flow_duration AS DOUBLE) IS NULL THEN 'bad flow_duration'
+       WHEN NOT {_ip_sql('src_ip')} THEN 'bad address src_ip' WHEN NOT {_ip_sql('dst_ip')} THEN 'bad address dst_ip' END AS reject_reason
+FROM raw"""
+
 LIVE_CHAIN = VALID_CTE + """
 , scored AS (SELECT *, 1.0::DOUBLE / (1.0 + exp(-(least(CAST(total_fwd_packets AS DOUBLE)
                            / (CAST(total_backward_packets AS DOUBLE) + 1), 6.0) * 0.8 + flags * 0.9 - 2.2))) AS p FROM ok)
@@ -241,5 +253,6 @@ ORACLE_STATS = {
     "log_loss": LOG_LOSS,
     "flow_validate": FLOW_VALIDATE,
     "stream_live_chain": LIVE_CHAIN,
+    "stream_rejects": STREAM_REJECTS,
     "feature_width_fit": FEATURE_WIDTH,
 }

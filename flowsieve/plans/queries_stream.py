@@ -12,7 +12,10 @@ from flowsieve.operators import alerts as al
 from flowsieve.session import work_dir
 from flowsieve.sources.tables import scored_flows
 from flowsieve.streaming import alerts as sa
-from flowsieve.streaming import sinks
+from flowsieve.plans.queries_stats import raw_records
+from flowsieve.streaming import routing, sinks
+from flowsieve.streaming.keyed import limit_by_key
+from flowsieve.streaming.queue import AlertQueue, enqueue
 from flowsieve.streaming.sources import flow_stream
 
 SPLITS = ["2024-01-11", "2024-01-21"]
@@ -79,3 +82,49 @@ def q_stream_alert_minutes(spark, sf_dir):
     out, ck = work_dir(spark, "stream-minutes"), work_dir(spark, "stream-minutes-ckpt")
     _run(sa.minute_counts_query(al.make_alerts(_stream(spark, sf_dir)), out, ck))
     return sa.minute_counts(spark, out)
+
+
+def q_stream_alerts_keyed(spark, sf_dir):
+    """Limiter with keyed state over a stream in time order; counts stop one
+    above the cap."""
+    alerts = al.make_alerts(_stream(spark, sf_dir))
+    limited = limit_by_key(alerts, ["src_ip"], cap=2, window_seconds=7 * 86400, watermark="1 minute")
+    out, ck = work_dir(spark, "stream-keyed"), work_dir(spark, "stream-keyed-ckpt")
+    _run(sinks.append_table(limited, out, ck))
+    return spark.read.parquet(out).select("flow_seq", "src_ip", "window_count", "passed")
+
+
+def q_stream_rejects(spark, sf_dir):
+    """Every raw record of a stream with its reason to be rejected, if any."""
+    root, schema = write_stream_input(spark, sf_dir, raw_records(spark, sf_dir))
+    stream = flow_stream(spark, "parquet", f"{root}/part*/*.parquet", schema=schema, max_files_per_trigger=FILES_PER_RANGE)
+    out, ck = work_dir(spark, "stream-routed"), work_dir(spark, "stream-routed-ckpt")
+    _run(routing.route_records(stream, out, ck))
+    good = routing.accepted_flows(spark, out, ["flow_seq"]).select("flow_seq", F.lit(None).cast("string").alias("reject_reason"))
+    return good.unionByName(routing.rejected_records(spark, out).select("flow_seq", "reject_reason"))
+
+
+def q_stream_counter_snapshot(spark, sf_dir):
+    """Totals observed while scored flows are written, batch after batch."""
+    out, ck = work_dir(spark, "stream-counted"), work_dir(spark, "stream-counted-ckpt")
+    _run(routing.counted_alerts(_stream(spark, sf_dir), out, ck, "real_traffic"))
+    snapshot = routing.counter_snapshot(spark, out)
+    return snapshot.select("total_flows_processed", "malicious_flows", "benign_flows", "alerts_generated", "data_source",
+                           *[r6(F.col(c)).alias(c) for c in ("detection_rate", "alert_rate")])
+
+
+DRAIN_ROWS = 1000
+
+
+def q_alert_queue_drain(spark, sf_dir):
+    """All alerts of a stream as a consumer takes them, a bounded drain after
+    the other, each committed: the drain that an alert comes in."""
+    queue, ck = work_dir(spark, "alert-queue"), work_dir(spark, "alert-queue-ckpt")
+    _run(enqueue(al.make_alerts(_stream(spark, sf_dir)), queue, ck))
+    consumer, taken = AlertQueue(spark, queue), work_dir(spark, "alert-drains")
+    while True:
+        drained = consumer.take(DRAIN_ROWS)
+        if not drained.rows.head(1):
+            return spark.read.parquet(taken)
+        drained.rows.select("flow_seq", "timestamp", F.lit(drained.number).alias("drain")).write.mode("append").parquet(taken)
+        drained.commit()

@@ -98,6 +98,10 @@ def _queries() -> dict:
         "stream_alerts_by_source": qr.q_stream_alerts_by_source,
         "stream_counters": qr.q_stream_counters,
         "stream_alert_minutes": qr.q_stream_alert_minutes,
+        "stream_alerts_keyed": qr.q_stream_alerts_keyed,
+        "stream_rejects": qr.q_stream_rejects,
+        "stream_counter_snapshot": qr.q_stream_counter_snapshot,
+        "alert_queue_drain": qr.q_alert_queue_drain,
         "adhoc_process": qp.q_adhoc_process,
         "adhoc_features": qp.q_adhoc_features,
         "process_pipeline": qp.q_process_pipeline,
