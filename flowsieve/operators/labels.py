@@ -98,6 +98,7 @@ def stratified_split(df: DataFrame, y: str = "binary_label", key: str = "flow_se
                          [y, "_draw", key], num_partitions)
     start = ranked.groupBy(F.col(y).alias("_class")).agg(F.min("_idx").alias("_start"))   # one row per class
     per = start.join(qdf.withColumnRenamed("_class", "_c"), F.col("_class").eqNullSafe(F.col("_c"))).drop("_c")
-    out = (ranked.join(F.broadcast(per), F.col(y).eqNullSafe(F.col("_class")))
+    per = F.broadcast(per) if len(quotas) <= LITERAL_CLASSES else per
+    out = (ranked.join(per, F.col(y).eqNullSafe(F.col("_class")))
            .withColumn("is_test", (F.col("_idx") - F.col("_start")) < F.col("_quota")))
     return out.drop("_draw", "_idx", "_start", "_quota", "_class")

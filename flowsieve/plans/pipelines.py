@@ -82,7 +82,8 @@ def process_pipeline(df: DataFrame, key: str = "flow_seq", test_size: float = 0.
     ``fit_scope='train'`` fits the scaler on the training rows only;
     ``'all'`` fits on every row before the split.
     """
-    clean = clean_dataset(df)
+    # every fit step reads the cleaned rows: they are made once
+    clean = written(clean_dataset(df), "cleaned")
     res = extract_features(clean, exclude=[key])
     enc, labels = encode_labels(res.frame)
     split = stratified_split(enc, "binary_label", key, test_size, seed)
@@ -102,7 +103,7 @@ def adhoc_process(df: DataFrame, key: str = "flow_seq", clean: bool = True, feat
                "importance": rf_feature_importance}
     if select is not None and select not in scorers:
         raise ValueError(f"unknown selection {select!r}; one of {sorted(scorers)}")
-    out = clean_dataset(df) if clean else df
+    out = written(clean_dataset(df), "cleaned") if clean else df
     feats = numeric_columns(out, exclude=[*TARGET_COLUMNS, key])
     if features:
         base = extract_features(out, exclude=[key]).frame

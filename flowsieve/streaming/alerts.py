@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowsieve.operators.alerts import rate_limit
-from flowsieve.streaming.sinks import history_of, write_batch
+from flowsieve.streaming.sinks import day_rows, write_batch, write_by_day
 
 MICROS = 1_000_000
 
@@ -39,15 +39,16 @@ def rate_limit_query(alerts: DataFrame, attempts: str, out: str, checkpoint: str
     def decide(batch: DataFrame, batch_id: int) -> None:
         columns = batch.columns
         staged = batch.withColumn("_slice", slice_of).withColumn("_day", F.to_date(ts_col))
-        write_batch(staged, attempts, batch_id, ["_day"])
-        seen = history_of(batch.sparkSession, attempts, batch_id)
-        new = seen.where(F.col("batch_id") == batch_id).select(*keys, "_slice").distinct()
+        write_by_day(staged, attempts, batch_id)
+        new = staged.select(*keys, "_slice").distinct()
         touched = new.withColumn("_slice", F.explode(F.array("_slice", F.col("_slice") + 1))).distinct()
         needed = touched.withColumn("_slice", F.explode(F.array(F.col("_slice") - 1, "_slice"))).distinct()
         start, end = (F.to_date(F.timestamp_micros((F.col("_slice") + i) * window_seconds * MICROS)) for i in (0, 1))
         days = needed.select("_slice").distinct().select(F.explode(F.sequence(start, end)).alias("d")).distinct()
         days = [r["d"] for r in days.collect()]                   # the days a batch touches
-        context = seen.where(F.col("_day").isin(days) | F.col("_day").isNull())
+        context = day_rows(batch.sparkSession, attempts, [*days, None], batch_id)
+        if context is None:
+            return
         context = context.join(needed, same(context, needed), "left_semi")
         decided = rate_limit(context, ts_col, cap, window_seconds, keys or None, seq_col=seq_col)
         decided = decided.join(touched, same(decided, touched), "left_semi")

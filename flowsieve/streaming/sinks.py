@@ -20,27 +20,44 @@ def write_batch(rows: DataFrame, path: str, batch_id: int, partition_cols: list[
     rows.write.mode("overwrite").partitionBy(*partition_cols).parquet(f"{path}/batch_id={batch_id}")
 
 
-def history_of(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
-    """What the batches up to ``batch_id`` wrote."""
-    return spark.read.parquet(path).where(F.col("batch_id") <= batch_id)
+def write_by_day(rows: DataFrame, path: str, batch_id: int) -> None:
+    """Write a micro-batch's rows by their ``_day``, and below a day by batch; a
+    replayed batch replaces what it wrote before."""
+    (rows.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("_day", "batch_id").parquet(path))
+
+
+def day_rows(spark: SparkSession, path: str, days: list, batch_id: int) -> DataFrame | None:
+    """What the batches up to ``batch_id`` wrote for some days (None: rows
+    without a time); None if nothing. Folders of other days are not listed, so
+    the cost of a micro-batch follows the days it touches, not the stream's age."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    folders = []
+    for day in days:
+        folder = hadoop.Path(f"{path}/_day={'__HIVE_DEFAULT_PARTITION__' if day is None else day}")
+        if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+            folders.append(folder.toString())
+    if not folders:
+        return None
+    return spark.read.option("basePath", path).parquet(*folders).where(F.col("batch_id") <= batch_id)
 
 
 def append_new_rows(stream: DataFrame, path: str, checkpoint: str, key_cols: list[str], ts_col: str,
                     transform=None, trigger: dict | None = None):
     """Append the rows whose key no earlier row had, at any lateness.
 
-    Rows are kept by day and a batch looks for earlier keys in its own days
-    only (a repeated record has the same time). ``transform`` is applied to the
+    Rows are kept by day and a batch reads its own days only, to look for
+    earlier keys (a repeated record has the same time). ``transform`` is applied to the
     new rows before they are written; it must keep ``key_cols`` and ``ts_col``.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         rows = batch.dropDuplicates(key_cols).withColumn("_day", F.to_date(ts_col))
-        if batch_id > 0:
-            days = [r["_day"] for r in rows.select("_day").distinct().collect()]     # the days a batch touches
-            old = history_of(rows.sparkSession, path, batch_id - 1)
-            old = old.where(F.col("_day").isin(days) | F.col("_day").isNull()).select(*key_cols)
+        days = [r["_day"] for r in rows.select("_day").distinct().collect()]     # the days a batch touches
+        old = day_rows(rows.sparkSession, path, days, batch_id - 1)
+        if old is not None:
+            old = old.select(*key_cols)
             rows = rows.join(old, [rows[c].eqNullSafe(old[c]) for c in key_cols], "left_anti")
-        write_batch(transform(rows) if transform else rows, path, batch_id, ["_day"])
+        write_by_day(transform(rows) if transform else rows, path, batch_id)
 
     return (stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())
