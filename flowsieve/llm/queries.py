@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 import corpus_pipeline
 from flowsieve.llm.exact_dedup import exact_duplicates
 from flowsieve.llm.lang_mixture import fit_languages, predict_languages
-from flowsieve.llm.licenses import MARKERS, TEMPLATES, scan_licenses
+from flowsieve.llm.licenses import LICENCES, MARKERS, NOTICES, scan_licenses
 from flowsieve.llm.line_rules import line_quality
 from flowsieve.llm.merkle_midstate import manifest, tampered_leaf
 from flowsieve.llm.minhash_tensor import NearDupConfig, near_duplicates
@@ -108,7 +108,13 @@ LLM_QUERIES = {
     "pipeline": corpus_pipeline.run,
 }
 
-_TEMPLATE_ROWS = ", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(TEMPLATES))
+_TEMPLATE_ROWS = ", ".join(f"({i}, '{kind}', '{name}', '{text}')" for i, (kind, name, text) in enumerate(
+    [("notice", *t) for t in NOTICES] + [("licence", *t) for t in LICENCES]))
+
+
+def _sql_pairs(words: str) -> str:
+    return (f"list_concat({words}, CASE WHEN len({words}) > 1 THEN list_transform(range(1, len({words})), "
+            f"lambda i: {words}[i] || ' ' || {words}[i + 1]) ELSE [] END)")
 
 
 
@@ -167,26 +173,36 @@ LLM_ORACLE_SQL: dict[str, str] = {
                           coalesce(source, 'unknown') AS top,
                           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
                    FROM documents),
-        h AS (SELECT doc_id, dir, regexp_extract_all(array_to_string(list_filter(string_split(t, chr(10)),
-                         lambda x: regexp_matches(x, '{MARKERS}')), chr(10)), '[a-z0-9]+') AS terms,
-                     len(regexp_extract_all(t, '[a-z0-9]+')) AS n_all
+        h AS (SELECT doc_id, dir, regexp_extract_all(t, '[a-z0-9]+') AS words,
+                     list_filter(string_split(regexp_replace(regexp_replace(t, '\n[\x20\x09\r]*\n', chr(1), 'g'),
+                         '([.!?])[\x20\x09-\x0D]+', '\1' || chr(1), 'g'), chr(1)), lambda x: regexp_matches(x, '{MARKERS}')) AS sentences,
+                     list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{MARKERS}')) AS lines
               FROM d WHERE regexp_matches(t, '{MARKERS}')),
-        templates AS (SELECT * FROM (VALUES {_TEMPLATE_ROWS}) v(template, license, wording)),
-        tt AS (SELECT template, license, unnest(regexp_extract_all(translate(wording, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
-                      'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+')) AS term FROM templates),
-        t_tf AS (SELECT template, license, term, count(*) AS tf FROM tt GROUP BY ALL),
-        f_tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(terms) AS term FROM h) GROUP BY ALL),
-        idf AS (SELECT term, ln((SELECT count(*) FROM h)::DOUBLE / count(*) + (SELECT count(*) FROM templates)::DOUBLE / count(*)) + 1 AS idf
-                FROM (SELECT term FROM f_tf UNION ALL SELECT term FROM t_tf) GROUP BY term),
-        fw AS (SELECT doc_id, term, tf * idf AS w FROM f_tf JOIN idf USING (term)),
-        tw AS (SELECT template, license, term, tf * idf AS w FROM t_tf JOIN idf USING (term)),
-        fn AS (SELECT doc_id, sqrt(sum(w * w)) AS n FROM fw GROUP BY doc_id),
+        units AS (SELECT doc_id, 'notice' AS kind, regexp_extract_all(unit, '[a-z0-9]+') AS words
+                  FROM (SELECT doc_id, unnest(list_distinct(list_concat(sentences, lines))) AS unit FROM h)
+                  UNION ALL SELECT doc_id, 'licence', words FROM h WHERE len(words) <= 2000),
+        texts AS (SELECT row_number() OVER () AS unit, * FROM (SELECT DISTINCT kind, words FROM units)),
+        templates AS (SELECT * FROM (VALUES {_TEMPLATE_ROWS}) v(template, kind, license, wording)),
+        tw0 AS (SELECT template, kind, license, regexp_extract_all(translate(wording, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                       'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+') AS words FROM templates),
+        t_tf AS (SELECT template, kind, license, term, count(*) AS tf FROM (
+                   SELECT template, kind, license, unnest({_sql_pairs('words')}) AS term FROM tw0) GROUP BY ALL),
+        idf AS (SELECT term, ln((1.0 + (SELECT count(*) FROM templates)) / (count(*) + 1)) + 1 AS idf FROM t_tf GROUP BY term),
+        u_tf AS (SELECT unit, kind, term, count(*) AS tf FROM (
+                   SELECT unit, kind, unnest({_sql_pairs('words')}) AS term FROM texts) GROUP BY ALL),
+        uw AS (SELECT unit, kind, term, tf * coalesce(idf, ln(1.0 + (SELECT count(*) FROM templates)) + 1) AS w FROM u_tf LEFT JOIN idf USING (term)),
+        tw AS (SELECT template, kind, license, term, tf * idf AS w FROM t_tf JOIN idf USING (term)),
+        un AS (SELECT unit, sqrt(sum(w * w)) AS n FROM uw GROUP BY unit),
         tn AS (SELECT template, sqrt(sum(w * w)) AS n FROM tw GROUP BY template),
-        dots AS (SELECT doc_id, template, license, sum(fw.w * tw.w) AS dot FROM fw JOIN tw USING (term) GROUP BY ALL),
-        scored AS (SELECT doc_id, license, round(dot / (fn.n * tn.n), 6) AS score FROM dots JOIN fn USING (doc_id) JOIN tn USING (template)),
-        own AS (SELECT doc_id, license, score FROM scored WHERE score >= 0.5
-                QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, license) = 1),
-        marked AS (SELECT own.*, h.dir, len(h.terms) * 100 >= h.n_all * 50 AS is_file FROM own JOIN h USING (doc_id)),
+        dots AS (SELECT unit, kind, template, license, sum(uw.w * tw.w) AS dot FROM uw JOIN tw USING (kind, term) GROUP BY ALL),
+        scored AS (SELECT unit, kind, license, round(dot / (un.n * tn.n), 6) AS score FROM dots JOIN un USING (unit) JOIN tn USING (template)),
+        own AS (SELECT doc_id, license, score, kind FROM units JOIN texts USING (kind, words) JOIN scored USING (unit, kind)
+                WHERE score >= CASE WHEN kind = 'licence' THEN 0.7 ELSE 0.6 END
+                QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY kind, score DESC, license) = 1),
+        marked AS (SELECT own.doc_id, own.license, own.score, h.dir, own.kind = 'licence'
+                          OR least(len(regexp_extract_all(array_to_string(sentences, chr(10)), '[a-z0-9]+')),
+                                   len(regexp_extract_all(array_to_string(lines, chr(10)), '[a-z0-9]+'))) * 100 >= len(h.words) * 50 AS is_file
+                   FROM own JOIN h USING (doc_id)),
         speaking AS (SELECT dir, license, score FROM marked WHERE is_file
                      QUALIFY row_number() OVER (PARTITION BY dir ORDER BY score DESC, license) = 1)
         SELECT d.doc_id, d.dir || '/' || d.doc_id AS path, coalesce(m.license, s.license) AS license,

@@ -10,7 +10,7 @@ import __spark_entry__ as E
 import corpus_pipeline
 from conftest import SF_SMALL
 from odd_rows import no_docs, odd_docs  # noqa: F401
-from flowsieve.llm.licenses import scan_licenses
+from flowsieve.llm.licenses import LICENCES, NOTICES, scan_licenses
 from flowsieve.llm.shard_table import ShardConfig, _number, assign_shards, fill_table
 from flowsieve.llm.sql_text import word_count
 from flowsieve.llm.viterbi_count import SPACE, UnigramVocabulary, WordCounter, count_tokens, load_vocabulary, token_counts
@@ -125,6 +125,49 @@ def test_inheritance_from_the_nearest_directory(spark):
                   7: (None, "none", None), 8: ("MIT", "inherited", "r")}
 
 
+def wrapped(text, width=70, mark=""):
+    import textwrap
+
+    return "\n".join(mark + line for line in textwrap.wrap(text, width))
+
+
+MIT_FILE = ("The MIT License (MIT)\n\nCopyright (c) 2019 Somebody Else\n\n" + "\n\n".join(
+    wrapped(part) for part in dict(LICENCES)["MIT"].replace(": The above", ":|The above").replace(". THE SOFTWARE", ".|THE SOFTWARE").split("|")))
+PROSE = "the river ran on and the quiet town slept under a wide dark sky while nobody watched "
+LICENSE_CASES = {
+    "mit file": (MIT_FILE, ("MIT", "file")),
+    "bsd-2 file": ("Copyright (c) 2001, A. Author\nAll rights reserved.\n\n" + wrapped(dict(LICENCES)["BSD-2-Clause"]), ("BSD-2-Clause", "file")),
+    "bsd-3 file": ("Copyright (c) 2001, A. Author\n\n" + wrapped(dict(LICENCES)["BSD-3-Clause"]), ("BSD-3-Clause", "file")),
+    "isc file": ("ISC License\n\nCopyright (c) 2004\n\n" + wrapped(dict(LICENCES)["ISC"]), ("ISC", "file")),
+    "gpl-2 header": (wrapped([t for n, t in NOTICES if n == "GPL-2.0"][1], 60, " * ") + "\n\nint main() {}\n" + PROSE * 9, ("GPL-2.0", "header")),
+    "gpl-3 header": (wrapped([t for n, t in NOTICES if n == "GPL-3.0"][1], 50, "# ") + "\n\nimport os\n" + PROSE * 9, ("GPL-3.0", "header")),
+    "agpl": ("This work is licensed under the GNU Affero General Public License, version 3. " + PROSE * 5, ("AGPL-3.0", "header")),
+    "lgpl-2.1": (PROSE + ". This work is licensed under the GNU Lesser General Public License, version 2.1. " + PROSE * 5, ("LGPL-2.1", "header")),
+    "gpl-2 one line": (PROSE + ". This work is licensed under the GNU General Public License, version 2. " + PROSE * 5, ("GPL-2.0", "header")),
+    "cc by": (PROSE * 3 + "\nLicensed under CC BY 4.0.\n" + PROSE, ("CC-BY-4.0", "header")),
+    "cc by-sa": (PROSE * 3 + "\nThis work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.\n" + PROSE, ("CC-BY-SA-4.0", "header")),
+    "cc by-nc": (PROSE * 3 + ". Licensed under CC BY-NC 4.0. " + PROSE, ("CC-BY-NC-4.0", "header")),
+    "apache header": ("/*\n" + wrapped([t for n, t in NOTICES if n == "Apache-2.0"][1], 60, " * ") + "\n */\ncode code\n" + PROSE * 8, ("Apache-2.0", "header")),
+    "spdx": ("// SPDX-License-Identifier: MPL-2.0\n" + PROSE * 4, ("MPL-2.0", "header")),
+    "embedded": (PROSE * 2 + ". Released under the MIT License. " + PROSE * 2, ("MIT", "header")),
+    "no licence": ("Copyright law is a subject that many people discuss at length in the evening. " + PROSE * 3, (None, "none")),
+    "drives": ("She lost her driving license on the way home, and a copyright notice fell from the book. " + PROSE, (None, "none")),
+}
+
+
+def test_licences_and_their_near_misses(spark):
+    rows = [(i, f"p{i}/x", text) for i, (text, _) in enumerate(LICENSE_CASES.values())]
+    got = {r.id: (r.license, r.origin) for r in scan_licenses(spark.createDataFrame(rows, "id long, path string, text string")).collect()}
+    assert {name: got[i] for i, name in enumerate(LICENSE_CASES)} == {name: want for name, (_, want) in LICENSE_CASES.items()}
+
+
+def test_scores_do_not_depend_on_the_corpus(spark):
+    rows = [(i, f"p{i}/x", text) for i, (text, _) in enumerate(LICENSE_CASES.values())]
+    df = spark.createDataFrame(rows, "id long, path string, text string")
+    alone = {r.id: r.score for r in scan_licenses(df.where("id = 4")).collect()}
+    assert alone[4] == {r.id: r.score for r in scan_licenses(df).collect()}[4]
+
+
 def test_licenses_of_odd_rows(spark, odd_docs, no_docs):
     def files(d):
         return d.select(F.col("doc_id").alias("id"), F.col("source").alias("path"), "text", "score")
