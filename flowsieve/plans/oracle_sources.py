@@ -243,6 +243,7 @@ SELECT {cols} FROM t""")
 
 ORACLE_SOURCES = {
     "conn_parse": parse_sql("conn"),
+    "conn_header_parse": parse_sql("conn"),
     "dns_parse": parse_sql("dns"),
     "http_parse": parse_sql("http"),
     "ssl_parse": parse_sql("ssl"),

@@ -97,3 +97,24 @@ def q_zeek_tsv_scan(spark, sf_dir):
 # Column names of the conn layout (fixed values).
 TSV_FIELDS = ["ts", "uid", "id.orig_h", "id.orig_p", "id.resp_h", "id.resp_p", "proto", "service",
               "duration", "orig_pkts", "resp_pkts", "orig_bytes", "resp_bytes", "conn_state", "local_orig"]
+
+
+def q_conn_header_parse(spark, sf_dir):
+    """Typed connection records from files whose ``#fields`` line changes half
+    way: the second half of each file has its fields in another order."""
+    lines = with_bad_records(RENDERERS["conn"](flow_view(spark, sf_dir)).select("flow_seq", "value"), "conn")
+    turned = TSV_FIELDS[::-1]
+    parts = F.split("value", "\t", -1)
+    # lines that are short or no records keep their order, and are refused in either
+    swapped = F.when(F.size(parts) == len(TSV_FIELDS), F.array_join(F.reverse(parts), "\t")).otherwise(F.col("value"))
+    half = F.col("flow_seq") % 2
+    files = spark.sparkContext.defaultParallelism
+    body = lines.select((F.xxhash64("flow_seq") % files).alias("_file"), (half + 1).alias("_part"), F.lit(1).alias("_line"),
+                        F.when(half == 0, F.col("value")).otherwise(swapped).alias("value"))
+    heads = spark.range(-files, files).select(F.col("id").alias("_file"), F.explode(F.array(*[
+        F.struct(F.lit(i + 1).alias("_part"), F.lit(0).alias("_line"), F.lit("\t".join(["#fields", *names])).alias("value"))
+        for i, names in enumerate((TSV_FIELDS, turned))])).alias("h")).select("_file", "h.*")
+    path = work_dir(spark, "conn-headers")
+    (body.withColumn("_part", F.col("_part").cast("int")).unionByName(heads).repartition(files, "_file")
+     .sortWithinPartitions("_file", "_part", "_line").select("value").write.text(path))
+    return _present(zeek.read_zeek_log(spark, path, "conn"))

@@ -57,6 +57,7 @@ def _queries() -> dict:
         "ssl_parse": qs.q_ssl_parse,
         "weird_parse": qs.q_weird_parse,
         "zeek_union": qs.q_zeek_union,
+        "conn_header_parse": qs.q_conn_header_parse,
         "zeek_tsv_scan": qs.q_zeek_tsv_scan,
         "score_to_alerts": qa.q_score_to_alerts,
         "alert_rate_limited": qa.q_alert_rate_limited,

@@ -207,10 +207,63 @@ PARSERS = {"conn": parse_conn, "dns": parse_dns, "http": parse_http, "ssl": pars
            "weird": parse_weird}
 
 
+# Where the parsers expect the fields that a header names.
+_ENDS = {0: "ts", 1: "uid", 2: "id.orig_h", 3: "id.orig_p", 4: "id.resp_h", 5: "id.resp_p"}
+HEADER_FIELDS = {
+    "conn": _ENDS | {6: "proto", 7: "service", 8: "duration", 9: "orig_pkts", 10: "resp_pkts", 11: "orig_bytes",
+                     12: "resp_bytes", 13: "conn_state", 14: "local_orig"},
+    "dns": _ENDS | {6: "proto", 9: "query", 13: "qtype_name", 15: "rcode_name"},
+    "http": _ENDS | {7: "method", 8: "host", 9: "uri", 12: "status_code"},
+    "ssl": _ENDS | {6: "version", 9: "server_name"},
+    "weird": _ENDS | {6: "name"},
+}
+MANY_FILES = 100_000
+
+
+def header_lines(spark, paths, kind: str) -> DataFrame:
+    """The content lines of sensor logs in the order of fields that the parser
+    of their kind expects (column ``value``).
+
+    A ``#fields`` line holds for the lines behind it in its file, up to the next
+    one; a line before any header, or in a file without one, stays as it is. A
+    field that a header does not name reads as ``-``; a line with fewer fields
+    than its header is dropped. Lines are placed by file, byte range of the split
+    and order inside it, so a header in one split of a large file reaches the
+    lines of the others.
+    """
+    at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    raw = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("_file"), at.alias("_at"))
+    named = raw.where(F.col("value").startswith("#fields")).select(
+        "_file", "_at", F.split(F.regexp_replace("value", EDGE_WS_RE, ""), "\t", -1).alias("_all"))
+    headers = (named.select("_file", F.struct("_at", F.slice("_all", F.lit(2), F.size("_all")).alias("names")).alias("h"))
+               .groupBy("_file").agg(F.sort_array(F.collect_list("h")).alias("_headers")))   # the headers of a file
+    if headers.limit(MANY_FILES + 1).count() <= MANY_FILES:
+        headers = F.broadcast(headers)
+    lines = _content_lines(raw).join(headers, "_file", "left")
+    valid = F.filter("_headers", lambda h: h["_at"] < F.col("_at"))
+    names = F.when(F.size(valid) > 0, F.element_at(valid, -1)["names"])
+    places = HEADER_FIELDS[kind]
+    width = max(ZEEK_MIN_FIELDS[kind], max(places) + 1)
+
+    def field(i: int) -> Column:
+        if i not in places:
+            return F.lit("-")
+        found = F.array_position(F.col("_names"), F.lit(places[i])).cast("int")
+        return F.coalesce(F.when(found > 0, F.get(F.col("_f"), found - 1)), F.lit("-"))
+    placed = lines.withColumn("_names", names).where(F.col("_names").isNull() | (F.size("_f") >= F.size("_names")))
+    ordered = F.array(*[field(i) for i in range(width)])
+    return placed.select(F.array_join(F.when(F.col("_names").isNull(), F.col("_f")).otherwise(ordered), "\t").alias("value"))
+
+
+def read_zeek_log(spark, paths, kind: str) -> DataFrame:
+    """Flow records of one kind of sensor log, by its headers where it has them."""
+    return PARSERS[kind](header_lines(spark, paths, kind))
+
+
 def read_zeek_dir(spark, path: str) -> DataFrame:
     """Parse the five known kinds of a log folder (a file ``conn.log`` or a
-    folder ``conn.log/`` of part files, ...), ignore other kinds, union by
-    name. Each kind reads only its own path; absent kinds are skipped.
+    folder ``conn.log/`` of part files, ...) by position, ignore other kinds,
+    union by name. Each kind reads only its own path; absent kinds are skipped.
     """
     from pyspark.errors import AnalysisException
 
