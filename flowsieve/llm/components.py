@@ -26,7 +26,7 @@ def _star(edges: DataFrame, large: bool, total: int = 0) -> DataFrame:
     if large:
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
-        out = look_up(both, low.drop("n"), "u", hot=hot_of(low, "u", "n", 2 * total)).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        out = look_up(both, low.drop("n"), "u", hot=hot_of(low, "u", "n", 2 * total), nulls=False).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         low = edges.groupBy("u").agg(F.min("v").alias("m"))
         out = edges.join(low, "u").select(F.explode(F.array(

@@ -19,10 +19,11 @@ def hot_of(table: DataFrame, key: str, n: str, total: int, share: int = 1000) ->
 
 
 def look_up(rows: DataFrame, table: DataFrame, key: str, share: int = 1000, counted: DataFrame | None = None,
-            hot: list[int] | None = None) -> DataFrame:
+            hot: list[int] | None = None, nulls: bool = True) -> DataFrame:
     """Left join of ``rows`` with ``table``, which has at most one row a key.
     ``counted``: a cheaper table with the same keys as often, to count them in;
-    ``hot``: hashes of the hot keys, where the caller knows them.
+    ``hot``: hashes of the hot keys, where the caller knows them; ``nulls``:
+    whether the key can be null at all.
 
     Rows of hot keys take theirs from a broadcast of fewer than ``share`` rows
     where they lie; the others are shuffled, no key of them holding more than
@@ -31,11 +32,14 @@ def look_up(rows: DataFrame, table: DataFrame, key: str, share: int = 1000, coun
     too.) Null keys find nothing and are not shuffled.
     """
     hot = hot_keys(rows if counted is None else counted, key, share) if hot is None else hot
-    known = rows.where(F.col(key).isNotNull())
-    none = rows.where(F.col(key).isNull()).select(
-        "*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in table.schema if f.name != key])
-    if not hot:
-        return known.join(table, key, "left").unionByName(none)
     is_hot = F.xxhash64(key).isin(hot)
-    cold = known.where(~is_hot).join(table.where(~is_hot), key, "left")
-    return cold.unionByName(known.where(is_hot).join(F.broadcast(table.where(is_hot)), key, "left")).unionByName(none)
+    known = rows.where(F.col(key).isNotNull()) if nulls else rows
+    if not hot:
+        found = known.join(table, key, "left")
+    else:
+        found = known.where(~is_hot).join(table.where(~is_hot), key, "left").unionByName(
+            known.where(is_hot).join(F.broadcast(table.where(is_hot)), key, "left"))
+    if not nulls:
+        return found
+    return found.unionByName(rows.where(F.col(key).isNull()).select(
+        "*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in table.schema if f.name != key]))

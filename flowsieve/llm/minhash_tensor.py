@@ -334,7 +334,7 @@ def near_duplicates(docs: DataFrame, cfg: NearDupConfig = NearDupConfig()) -> Da
     same = F.struct("d0", "d1", "n_shingles").alias("same")
     lowest = usable.groupBy(same).agg(F.min("doc_id").alias("node"), F.count("*").alias("n"))
     to_node = look_up(usable.select("doc_id", same), lowest.drop("n"), "same",
-                      hot=hot_of(lowest, "same", "n", usable.count())).select("doc_id", "node")
+                      hot=hot_of(lowest, "same", "n", usable.count()), nulls=False).select("doc_id", "node")
     found = confirmed(pairs)
     repeated = usable.groupBy("doc_id").count().where("count > 1").select("doc_id")
     if repeated.head(1):
@@ -387,13 +387,13 @@ def _crossing_links(members: DataFrame, nodes: DataFrame, sets: DataFrame, roots
     met = stored(met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "minhash-met")
     split = stored(met.groupBy("hub").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m"))
                    .where("lo < hi").select("hub", "m"), "minhash-split")
-    open_ = stored(look_up(met, split, "hub", hot=hot_of(split, "hub", "m", met.count())).where("m is not null").select("hub", "node", "root"), "minhash-open")
+    open_ = stored(look_up(met, split, "hub", hot=hot_of(split, "hub", "m", met.count()), nulls=False).where("m is not null").select("hub", "node", "root"), "minhash-open")
     family = connected_components(open_, "hub", "node").withColumnRenamed("root", "family")
     placed = (open_.select("node", "root").distinct().join(family, "node", "left")
               .withColumn("family", F.coalesce("family", "node")))
     sizes = stored(placed.groupBy("family").agg(F.count("*").alias("n")), "minhash-families")
     all_placed = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    placed = stored(look_up(placed, sizes, "family", hot=hot_of(sizes, "family", "n", all_placed)).join(sets, "node").select("family", "n", "node", "root", "set"),
+    placed = stored(look_up(placed, sizes, "family", hot=hot_of(sizes, "family", "n", all_placed), nulls=False).join(sets, "node").select("family", "n", "node", "root", "set"),
                     "minhash-placed")
     cells = placed.where(F.col("n") <= cfg.block).select(F.col("family").alias("cell"), "node", "root")
     links = None
@@ -406,7 +406,7 @@ def _crossing_links(members: DataFrame, nodes: DataFrame, sets: DataFrame, roots
            .groupBy("cell").agg(F.max_by("root", F.struct("count", "root")).alias("big"), F.sum("count").alias("m"),
                                 F.count("*").alias("roots")).where("roots > 1").drop("roots"), "minhash-big")
     parts = F.ceil(F.col("m") / cfg.block).cast("long")
-    blocked = (look_up(cells, big, "cell", hot=hot_of(big, "cell", "m", cells.count())).where("big is not null")
+    blocked = (look_up(cells, big, "cell", hot=hot_of(big, "cell", "m", cells.count()), nulls=False).where("big is not null")
                .withColumn("blk", F.pmod(F.xxhash64("node", "cell"), parts))
                .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))))
     rows = (blocked.select("cell", "node", "root", "blk", "big", F.least("blk", "other").alias("x"),
@@ -438,7 +438,7 @@ def _deviating(placed: DataFrame, cfg: NearDupConfig) -> tuple[DataFrame, DataFr
         _deviations(cfg), "family long, node long, root long, item long, apart binary, excess long"), "minhash-apart")
 
     least = apart.groupBy("family").agg(F.min(F.struct("excess", "node", "root")).alias("mid"))
-    apart = look_up(apart, least, "family", hot=hot_of(families, "family", "n", apart.count())).withColumn(
+    apart = look_up(apart, least, "family", hot=hot_of(families, "family", "n", apart.count()), nulls=False).withColumn(
         "need", F.ceil((F.col("excess") + F.col("mid.excess")) / (2 * (100 + cfg.percent))).cast("long"))
     near = F.col("need") <= 0
     apart = stored(apart.withColumn("root", F.when(near, F.col("mid.root")).otherwise(F.col("root"))), "minhash-apart")
@@ -450,7 +450,7 @@ def _deviating(placed: DataFrame, cfg: NearDupConfig) -> tuple[DataFrame, DataFr
                   .mapInArrow(_elements("apart"), "family long, node long, el long")
                   .select(F.col("node").alias("item"), cell.alias("cell")), "minhash-deviations")
     often = stored(each.groupBy("cell").agg(F.count("*").alias("often")).where("often > 1"), "minhash-often")
-    each = look_up(each, often, "cell", hot=hot_of(often, "cell", "often", each.count())).where("often is not null")
+    each = look_up(each, often, "cell", hot=hot_of(often, "cell", "often", each.count()), nulls=False).where("often is not null")
     own = Window.partitionBy("item")
     each = (each.join(apart.select("item", "node", "root", "need"), "item")
             .withColumn("all", F.count("*").over(own))
