@@ -44,9 +44,16 @@ def extract_features(df: DataFrame, targets=("label", "binary_label", "original_
     return FeatureResult(out, feats, [w for w in wanted if w not in new])
 
 
+MOST_PROTOCOLS = 1000
+
+
 def protocol_values(df: DataFrame, col: str = "protocol") -> list[str]:
-    """Distinct protocol values, sorted: one row per output column."""
-    return sorted(r[0] for r in df.select(col).where(F.col(col).isNotNull()).distinct().collect())
+    """Distinct protocol values, sorted: one row per output column. A column of
+    more than ``MOST_PROTOCOLS`` values is no protocol and is refused."""
+    rows = df.select(col).where(F.col(col).isNotNull()).distinct().limit(MOST_PROTOCOLS + 1).collect()
+    if len(rows) > MOST_PROTOCOLS:
+        raise ValueError(f"column {col!r} has more than {MOST_PROTOCOLS} values, too many for a column each")
+    return sorted(r[0] for r in rows)
 
 
 def flag_columns(df: DataFrame) -> list[str]:

@@ -126,3 +126,10 @@ def test_last_header_of_a_file_counts(spark, tmpdir_path):
         fh.write("#fields\ta\tb\n#fields\tb\tc\n1\t2\n")
     df = zeek.read_zeek_tsv(spark, tmpdir_path)
     assert [(r.b, r.c) for r in df.collect()] == [("1", "2")]
+
+
+def test_too_many_protocols_are_refused(spark):
+    from flowsieve.operators.features import protocol_values
+
+    with pytest.raises(ValueError):
+        protocol_values(spark.range(1500).select(F.col("id").cast("string").alias("protocol")))
