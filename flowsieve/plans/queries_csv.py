@@ -35,9 +35,18 @@ def q_csv_sniff(spark, sf_dir):
     return df.select(*[r6(F.col(c)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
+def _rate(num, den):
+    """The quotient as an exporter writes it: infinite or NaN where the divisor is 0."""
+    none = F.when(num == 0, F.lit(float("nan"))).otherwise(F.signum(num.cast("double")) * F.lit(float("inf")))
+    return F.when(den == 0, none).otherwise(F.try_divide(num, den))
+
+
 def exporter_frame(spark, sf_dir):
     """The flow view in flow-exporter column names, some cells empty."""
-    fl = flow_view(spark, sf_dir)
+    return exporter_rows(flow_view(spark, sf_dir))
+
+
+def exporter_rows(fl):
     q = F.col("flow_seq")
     fwd, bwd = F.col("total_fwd_packets"), F.col("total_backward_packets")
     fwd_len, bwd_len = F.col("total_length_fwd_packets"), F.col("total_length_bwd_packets")
@@ -53,9 +62,9 @@ def exporter_frame(spark, sf_dir):
         fwd_len.alias("Total Length of Fwd Packets"), bwd_len.alias("Total Length of Bwd Packets"),
         (mean * 1.5).alias("Fwd Packet Length Max"), (mean * 0.5).alias("Fwd Packet Length Min"),
         mean.alias("Fwd Packet Length Mean"),
-        F.when(q % 17 == 0, F.lit("NaN")).otherwise(((fwd_len + bwd_len) * 1000000.0 / dur).cast("string"))
+        F.when(q % 17 == 0, F.lit("NaN")).otherwise(_rate((fwd_len + bwd_len) * 1000000.0, dur).cast("string"))
         .alias("Flow Bytes/s"),
-        ((fwd + bwd) * 1000000.0 / dur).alias("Flow Packets/s"),
+        _rate((fwd + bwd) * 1000000.0, dur).alias("Flow Packets/s"),
         F.col("flow_iat_mean").alias("Flow IAT Mean"),
         F.when(q % 13 == 0, F.lit(None)).otherwise(F.col("flow_iat_std")).alias("Flow IAT Std"),
         q.alias("Flow Seq"))
