@@ -129,22 +129,33 @@ def rate_limit(alerts: DataFrame, ts_col: str = "timestamp", cap: int = 100,
 
 def _rate_limit_halo(alerts: DataFrame, ts_col: str, cap: int, window_seconds: int,
                      key_cols: list[str] | None, bucket_seconds: int | None) -> DataFrame:
-    """RANGE-frame limiter per (key, time bucket); the last window of each
-    bucket is copied into the next."""
+    """Limiter per (key, time bucket); the last window of each bucket is copied
+    into the next. An attempt adds one at its time and takes it back a window
+    later, so a running sum is the window's count: the cost does not grow with
+    the attempts in a window, as that of a sliding frame does."""
     keys = list(key_cols or [])
     win_us = window_seconds * MICROS
     bucket_us = max(bucket_seconds or 10 * window_seconds, window_seconds) * MICROS
     ts_us = F.unix_micros(F.col(ts_col).cast("timestamp"))
     staged = alerts.withColumn("_ts_us", ts_us).withColumn("_own", F.floor(F.col("_ts_us") / bucket_us).cast("long"))
-    in_tail = F.col("_ts_us") > (F.col("_own") + 1) * bucket_us - win_us
-    spread = staged.withColumn("_bucket", F.explode(
-        F.when(in_tail, F.array(F.col("_own"), F.col("_own") + 1)).otherwise(F.array(F.col("_own")))))
-    w = (Window.partitionBy(*keys, "_bucket").orderBy("_ts_us")
-         .rangeBetween(-(win_us - 1), 0))
-    counted = spread.withColumn("window_count", F.count(F.lit(1)).over(w))
-    return (counted.where(F.col("_bucket") == F.col("_own"))
-            .withColumn("passed", F.col("window_count") <= cap)
-            .drop("_ts_us", "_own", "_bucket"))
+    t, own = F.col("_ts_us"), F.col("_own")
+
+    def mark(bucket, time, step, mine):
+        return F.struct(bucket.alias("bucket"), time.alias("time"), F.lit(step).cast("long").alias("step"), F.lit(mine).alias("mine"))
+
+    in_tail = t > (own + 1) * bucket_us - win_us
+    marks = F.when(in_tail, F.array(mark(own, t, 1, True), mark(own + 1, t, 1, False), mark(own + 1, t + win_us, -1, False))).otherwise(
+        F.array(mark(own, t, 1, True), mark(own, t + win_us, -1, False)))
+    spread = staged.where(own.isNotNull()).withColumn("_mark", F.explode(marks))
+    # of copies and withdrawals only key, place and step are needed
+    payload = [F.col(f"`{c}`") if c in keys else F.when(F.col("_mark.mine"), F.col(f"`{c}`")).alias(c) for c in alerts.columns]
+    spread = spread.select(*payload, F.col("_mark.bucket").alias("_bucket"), F.col("_mark.time").alias("_time"),
+                           F.col("_mark.step").alias("_step"), F.col("_mark.mine").alias("_mine"))
+    # a frame from the start up to the row's peers is one running sum
+    w = Window.partitionBy(*keys, "_bucket").orderBy("_time").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = spread.withColumn("window_count", F.sum("_step").over(w))
+    return (counted.where("_mine").withColumn("passed", F.col("window_count") <= cap)
+            .drop("_bucket", "_time", "_step", "_mine"))
 
 
 def severity_counts(alerts: DataFrame) -> DataFrame:

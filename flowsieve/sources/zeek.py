@@ -30,13 +30,19 @@ MEASURE_TYPES = {
 }
 
 
+def _once(c: Column) -> Column:
+    """The value, computed once a row: conditions on it are not pushed below it,
+    where each of its uses would be computed anew."""
+    return F.explode(F.array(c))
+
+
 def _content_lines(lines: DataFrame, col: str = "value") -> DataFrame:
     """Strip line ends; drop blank and ``#`` lines; split on tabs."""
     text = F.regexp_replace(F.col(col), EDGE_WS_RE, "")
     keep = [F.col(c) for c in lines.columns if c != col]
-    return (lines.select(*keep, text.alias("_line"))
+    return (lines.select(*keep, _once(text).alias("_line"))
             .where((F.length("_line") > 0) & ~F.col("_line").startswith("#"))
-            .select(*keep, F.split("_line", "\t", -1).alias("_f")))
+            .select(*keep, _once(F.split("_line", "\t", -1)).alias("_f")))
 
 
 def f(i: int) -> Column:
