@@ -20,14 +20,19 @@ def _s(c: Column) -> Column:
     return c.cast("string")
 
 
+def _seconds_text(us: Column) -> Column:
+    whole, rest = F.floor(us / 1000000).cast("bigint"), us % 1000000
+    # a format is read anew for every row: only negative and missing times need it
+    return (F.when(us >= 0, F.concat(_s(whole), F.lit("."), F.lpad(_s(rest), 6, "0")))
+            .otherwise(F.format_string("%d.%06d", whole, rest)))
+
+
 def epoch_text(ts: Column) -> Column:
-    us = F.unix_micros(ts.cast("timestamp"))
-    return F.format_string("%d.%06d", F.floor(us / 1000000).cast("bigint"), us % 1000000)
+    return _seconds_text(F.unix_micros(ts.cast("timestamp")))
 
 
 def micros_text(us: Column) -> Column:
-    us = us.cast("bigint")
-    return F.format_string("%d.%06d", F.floor(us / 1000000).cast("bigint"), us % 1000000)
+    return _seconds_text(us.cast("bigint"))
 
 
 def _finish(flows: DataFrame, fields: list[Column], short_keep: int) -> DataFrame:

@@ -6,10 +6,10 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from flowsieve.functions.columns import r6
-from flowsieve.session import work_dir
+from flowsieve.session import work_dir, written
 from flowsieve.sources import zeek
 from flowsieve.plans.fixture_lines import RENDERERS
-from flowsieve.sources.tables import flow_view
+from flowsieve.sources.tables import flows_from_events, read_table
 
 FLOAT_OUT = ["flow_duration", "fwd_packet_length_mean", "fwd_packet_length_max",
              "fwd_packet_length_min", "flow_bytes_s", "flow_packets_s", "flow_iat_mean", "flow_iat_std"]
@@ -20,6 +20,12 @@ def spread(spark, df):
     return df.repartition(spark.sparkContext.defaultParallelism)
 
 
+def spread_events(spark, sf_dir):
+    """The events dealt over the cores before a line is rendered: a row group of
+    the table holds a million rows, and one task would render them all."""
+    return spread(spark, read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value"))
+
+
 # Fields that no record may have: too wide for a port, too wide for any
 # integer, no number, an epoch beyond the timestamp range (fixed values).
 BAD_PORTS = ["4294967296", "12345678901234567890"]
@@ -29,15 +35,15 @@ BAD_EPOCHS = ["garbage", "99999999999999.000000"]
 def with_bad_records(lines, kind):
     """The rendered lines and copies of some with a field that must be refused
     (an anomaly log reads a bad port as 0, so only its time is spoiled)."""
-    some = lines.where((F.col("flow_seq") % 97 == 5) & ~F.col("value").startswith("#")).select(
-        F.col("flow_seq"), F.split("value", "\t", -1).alias("f"))
     spoiled = [(0, v) for v in BAD_EPOCHS] + ([(3, v) for v in BAD_PORTS] if kind != "weird" else [])
-    n = F.size("f")
-    for at, value in spoiled:
-        fields = F.concat(F.slice("f", F.lit(1), F.lit(at)), F.array(F.lit(value)),
-                          F.slice("f", F.lit(at + 2), F.greatest(n - at - 1, F.lit(0))))
-        lines = lines.unionByName(some.select("flow_seq", F.array_join(fields, "\t").alias("value")))
-    return lines
+    f = F.split("value", "\t", -1)
+    n = F.size(f)
+    bad = [F.array_join(F.concat(F.slice(f, F.lit(1), F.lit(at)), F.array(F.lit(value)),
+                                 F.slice(f, F.lit(at + 2), F.greatest(n - at - 1, F.lit(0)))), "\t")
+           for at, value in spoiled]
+    value = F.col("value")
+    some = (F.col("flow_seq") % 97 == 5) & ~value.startswith("#")
+    return lines.select("flow_seq", F.explode(F.when(some, F.array(value, *bad)).otherwise(F.array(value))).alias("value"))
 
 
 def _present(df):
@@ -48,8 +54,8 @@ def _parse_query(kind):
     def q(spark, sf_dir):
         # written as a log file and read back, as a sensor would leave it
         path = work_dir(spark, f"{kind}-log")
-        lines = with_bad_records(RENDERERS[kind](flow_view(spark, sf_dir)), kind).select("value")
-        spread(spark, lines).write.mode("overwrite").text(path)
+        lines = with_bad_records(RENDERERS[kind](flows_from_events(spread_events(spark, sf_dir))), kind)
+        lines.select("value").write.mode("overwrite").text(path)
         return _present(zeek.PARSERS[kind](spark.read.text(path)))
     q.__name__ = f"q_{kind}_parse"
     return q
@@ -65,9 +71,9 @@ q_weird_parse = _parse_query("weird")
 def write_zeek_folder(spark, sf_dir) -> str:
     """Write the five rendered logs (and one unknown kind) as a log folder."""
     path = work_dir(spark, "zeek-logs")
-    flows = flow_view(spark, sf_dir)
+    flows = flows_from_events(written(spread_events(spark, sf_dir), "spread-events"))   # dealt once for the six logs
     for kind, render in RENDERERS.items():
-        spread(spark, render(flows).select("value")).write.mode("overwrite").text(f"{path}/{kind}.log")
+        render(flows).select("value").write.mode("overwrite").text(f"{path}/{kind}.log")
     # a log kind without a parser is ignored by the folder scan
     (flows.select(F.concat(F.lit("F"), F.col("flow_seq").cast("string")).alias("value"))
      .write.mode("overwrite").text(f"{path}/files.log"))
@@ -83,7 +89,7 @@ def q_zeek_tsv_scan(spark, sf_dir):
     """Header-driven scan: conn lines under a ``#fields`` header naming the
     first 15 columns; every value stays text."""
     path = work_dir(spark, "zeek-tsv")
-    lines = spread(spark, RENDERERS["conn"](flow_view(spark, sf_dir)).select("value"))
+    lines = RENDERERS["conn"](flows_from_events(spread_events(spark, sf_dir))).select("value")
     head = pa.RecordBatch.from_pydict({"value": ["#fields\t" + "\t".join(TSV_FIELDS)]})
 
     def headed(batches):
@@ -102,13 +108,14 @@ TSV_FIELDS = ["ts", "uid", "id.orig_h", "id.orig_p", "id.resp_h", "id.resp_p", "
 def q_conn_header_parse(spark, sf_dir):
     """Typed connection records from files whose ``#fields`` line changes half
     way: the second half of each file has its fields in another order."""
-    lines = with_bad_records(RENDERERS["conn"](flow_view(spark, sf_dir)).select("flow_seq", "value"), "conn")
+    lines = with_bad_records(RENDERERS["conn"](flows_from_events(spread_events(spark, sf_dir))), "conn")
     turned = TSV_FIELDS[::-1]
     parts = F.split("value", "\t", -1)
     # lines that are short or no records keep their order, and are refused in either
     swapped = F.when(F.size(parts) == len(TSV_FIELDS), F.array_join(F.reverse(parts), "\t")).otherwise(F.col("value"))
     half = F.col("flow_seq") % 2
     files = spark.sparkContext.defaultParallelism
+    # one sort key: 0 and 2 for the headers, 1 and 3 for the lines behind them
     body = lines.select((F.xxhash64("flow_seq") % files).alias("_file"), (half + 1).alias("_part"), F.lit(1).alias("_line"),
                         F.when(half == 0, F.col("value")).otherwise(swapped).alias("value"))
     heads = spark.range(-files, files).select(F.col("id").alias("_file"), F.explode(F.array(*[
