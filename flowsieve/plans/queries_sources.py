@@ -116,12 +116,13 @@ def q_conn_header_parse(spark, sf_dir):
     half = F.col("flow_seq") % 2
     files = spark.sparkContext.defaultParallelism
     # one sort key: 0 and 2 for the headers, 1 and 3 for the lines behind them
-    body = lines.select((F.xxhash64("flow_seq") % files).alias("_file"), (half + 1).alias("_part"), F.lit(1).alias("_line"),
+    body = lines.select(F.pmod(F.xxhash64("flow_seq"), F.lit(files)).cast("int").alias("_file"),
+                        (half * 2 + 1).cast("int").alias("_at"),
                         F.when(half == 0, F.col("value")).otherwise(swapped).alias("value"))
-    heads = spark.range(-files, files).select(F.col("id").alias("_file"), F.explode(F.array(*[
-        F.struct(F.lit(i + 1).alias("_part"), F.lit(0).alias("_line"), F.lit("\t".join(["#fields", *names])).alias("value"))
+    heads = spark.range(files).select(F.col("id").cast("int").alias("_file"), F.explode(F.array(*[
+        F.struct(F.lit(i * 2).alias("_at"), F.lit("\t".join(["#fields", *names])).alias("value"))
         for i, names in enumerate((TSV_FIELDS, turned))])).alias("h")).select("_file", "h.*")
     path = work_dir(spark, "conn-headers")
-    (body.withColumn("_part", F.col("_part").cast("int")).unionByName(heads).repartition(files, "_file")
-     .sortWithinPartitions("_file", "_part", "_line").select("value").write.text(path))
+    (body.unionByName(heads).repartitionById(files, F.col("_file"))          # every task writes one file
+     .sortWithinPartitions("_at").select("value").write.text(path))
     return _present(zeek.read_zeek_log(spark, path, "conn"))

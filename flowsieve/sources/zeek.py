@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from flowsieve.schema import (HTTP_DURATION_US, HTTP_REQUEST_OVERHEAD, HTTP_RESPONSE_BYTES,
                               MEASURE_FIELDS, ZEEK_CONSTANTS, ZEEK_DEFAULT_PORT, ZEEK_LOG_KINDS,
                               ZEEK_MIN_FIELDS)
+from flowsieve.session import written
 
 INT_RE = r"^[+-]?[0-9]+$"
 DIGITS_RE = r"^[0-9]+$"
@@ -243,6 +244,7 @@ def header_lines(spark, paths, kind: str) -> DataFrame:
         "_file", "_at", F.split(F.regexp_replace("value", EDGE_WS_RE, ""), "\t", -1).alias("_all"))
     headers = (named.select("_file", F.struct("_at", F.slice("_all", F.lit(2), F.size("_all")).alias("names")).alias("h"))
                .groupBy("_file").agg(F.sort_array(F.collect_list("h")).alias("_headers")))   # the headers of a file
+    headers = written(headers, "headers")   # found once: the count and the join would each read every line for them
     if headers.limit(MANY_FILES + 1).count() <= MANY_FILES:
         headers = F.broadcast(headers)
     lines = _content_lines(raw).join(headers, "_file", "left")
