@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from flowsieve.functions import formulas as fx
 from flowsieve.functions.columns import (finite_or_null, float_columns, integral_columns,
                                          numeric_columns)
-from flowsieve.operators.ordering import ordered_window
-from flowsieve.operators.rolling import integral_magnitudes, mean_std_columns
+from flowsieve.operators.ordering import IDX, dense_index_with_total
+from flowsieve.operators.rolling import integral_magnitudes
+from flowsieve.operators.sliding import sliding_statistics
 
 @dataclass
 class FeatureResult:
@@ -101,15 +102,10 @@ def extract_temporal_features(df: DataFrame, timestamp_col: str | None, order_co
         rolling_cols = numeric_columns(df, exclude=["label", "binary_label", "original_label",
                                                     order_col])[:5]
     if rolling_cols:
-        integral = [c for c in integral_columns(out) if c in rolling_cols]
-        maxabs = integral_magnitudes(out, integral)
-
-        def build(w, span):
-            pre, cols = {}, []
-            for c in rolling_cols:
-                cols += mean_std_columns(w, c, integral=c in integral, maxabs=maxabs.get(c), pre=pre, span=span)
-            return list(pre.values()), cols
-        out = ordered_window(out, order_col, partition_cols, 19, build, bucket_rows)
+        part = list(partition_cols or [])
+        indexed, total = dense_index_with_total(out, part + [order_col])
+        ranges = integral_magnitudes(indexed, [c for c in integral_columns(out) if c in rolling_cols])
+        out = sliding_statistics(indexed, [("mean_std", c) for c in rolling_cols], part, ranges, bucket_rows, total).drop(IDX)
         new += [f"{c}_rolling_{s}_{k}" for c in rolling_cols for k in (5, 10, 20) for s in ("mean", "std")]
     out = out.fillna(0, subset=numeric_columns(out, exclude=[]))
     return FeatureResult(out, new)

@@ -83,6 +83,24 @@ def bucket_size(spark, total_rows: int, halo: int, max_rows: int = MAX_BUCKET_RO
     return int(max(8 * (halo + 1), min(max_rows, target)))
 
 
+def halo_rows(indexed: DataFrame, halo: int, bucket_rows: int | None = None, idx_col: str = IDX,
+              total_rows: int | None = None) -> DataFrame:
+    """The rows by ``_bucket`` of the dense index, each with copies of the
+    ``halo`` rows before it, whose ``_own`` bucket is another."""
+    if bucket_rows is None:
+        bucket_rows = bucket_size(indexed.sparkSession, total_rows or MAX_BUCKET_ROWS, halo)
+    if bucket_rows <= halo or bucket_rows > MAX_BUCKET_ROWS:
+        raise ValueError("bucket_rows must exceed the halo size and stay within MAX_BUCKET_ROWS")
+    idx = F.col(idx_col)
+    own = F.floor(idx / bucket_rows).cast("long")
+    is_tail = (idx % bucket_rows) >= (bucket_rows - halo)
+    copies = F.when(is_tail, F.array(own, own + 1)).otherwise(F.array(own))
+    # an explicit count: the rows are few bytes but many window columns, which
+    # adaptive coalescing by size would put into one task
+    return (indexed.select("*", own.alias("_own"), F.explode(copies).alias("_bucket"))
+            .repartition(_num_partitions(indexed, None), "_bucket"))
+
+
 def halo_window(indexed: DataFrame, partition_cols: list[str], halo: int,
                 build, bucket_rows: int | None = None, idx_col: str = IDX,
                 total_rows: int | None = None) -> DataFrame:
@@ -97,16 +115,7 @@ def halo_window(indexed: DataFrame, partition_cols: list[str], halo: int,
     """
     if bucket_rows is None:
         bucket_rows = bucket_size(indexed.sparkSession, total_rows or MAX_BUCKET_ROWS, halo)
-    if bucket_rows <= halo or bucket_rows > MAX_BUCKET_ROWS:
-        raise ValueError("bucket_rows must exceed the halo size and stay within MAX_BUCKET_ROWS")
-    idx = F.col(idx_col)
-    own = F.floor(idx / bucket_rows).cast("long")
-    is_tail = (idx % bucket_rows) >= (bucket_rows - halo)
-    copies = F.when(is_tail, F.array(own, own + 1)).otherwise(F.array(own))
-    # an explicit count: the rows are few bytes but many window columns, which
-    # adaptive coalescing by size would put into one task
-    spread = (indexed.select("*", own.alias("_own"), F.explode(copies).alias("_bucket"))
-              .repartition(_num_partitions(indexed, None), "_bucket"))
+    spread = halo_rows(indexed, halo, bucket_rows, idx_col)
     w = Window.partitionBy("_bucket", *partition_cols).orderBy(idx_col)
     # builders that take a second argument learn the most rows a partition
     # holds (bucket plus halo), e.g. to size exact running sums

@@ -1,206 +1,24 @@
 """Trailing row-count window features over an explicit order key.
 
 Frames are "this row and the k-1 rows before it" in ``order_col`` order
-(optionally within ``partition_cols``), with at least one row required.
-All frames share one window spec, so Spark sorts once per bucket.
+(optionally within ``partition_cols``), with at least one row required. The
+statistics are those of ``operators.sliding``, all in one pass.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowsieve.functions.columns import finite_or_null, float_columns, integral_columns
-from flowsieve.operators.ordering import (IDX, MAX_BUCKET_ROWS, dense_index_with_total, halo_window,
-                                          trailing)
+from flowsieve.operators.ordering import IDX, dense_index_with_total
+from flowsieve.operators.sliding import sliding_statistics
 from flowsieve.operators.stats import exact_medians
 
-MAX_HALO = 19   # the widest frame is 20 rows
-
-
-def _z(c: Column) -> Column:
-    return F.coalesce(c, F.lit(0.0))
-
-
-LONG_MAX = 9_000_000_000_000_000_000     # below 2^63, margin for sums
-MAX_FRAME = MAX_HALO + 1
-DECIMAL_MAX = 9e37                       # below 10^38, margin for sums
-SPAN = 2 * MAX_BUCKET_ROWS               # rows a running sum can cover (bucket + halo)
-
-
-def _safe(name: str) -> str:
-    return "".join(ch if ch.isalnum() else "_" for ch in name)
-
-
-def _power_sums(x: Column, w, name: str, center, dmax, rows: int, powers: int, pre: dict,
-                span: int = SPAN):
-    """Exact sums of (x - center)^k over the trailing ``rows``-row frame,
-    k = 1..powers, plus the non-null count; returns (n, [s1, ...]).
-
-    Each frame sum is a difference of running sums, running[i] -
-    running[i - rows], so every row costs a constant number of additions
-    (the running sums are registered in ``pre`` and computed in an earlier
-    projection; frames of any size share them). Centring changes none of the
-    central moments (the integer combinations are shift-invariant exactly);
-    a power runs in bigint when ``span * dmax^k`` fits (``span`` = most rows a
-    running sum covers: the bucket plus its halo), else in decimal(38,0).
-    """
-    dec = "decimal(38,0)"
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    base = f"_run_{_safe(name)}"
-    cnt_name = f"{base}_n"
-    pre.setdefault(cnt_name, F.count(x).over(run).alias(cnt_name))
-
-    def frame(col_name):
-        c = F.col(col_name)
-        return c - F.coalesce(F.lag(c, rows).over(w), F.lit(0).cast(c_type[col_name]))
-
-    c_type = {cnt_name: "bigint"}
-    xl = x.cast("bigint") - F.lit(int(center))
-    sums = []
-    for k in range(1, powers + 1):
-        cname = f"{base}_c{int(center)}_p{k}".replace("-", "m")
-        if dmax is not None and span * float(dmax) ** k < LONG_MAX:
-            term = xl
-            for _ in range(k - 1):
-                term = term * xl
-            c_type[cname] = "bigint"
-        else:
-            xd = xl.cast(dec)
-            term = xd
-            for _ in range(k - 1):
-                term = term * xd
-            c_type[cname] = dec
-        pre.setdefault(cname, F.sum(term).over(run).alias(cname))
-        sums.append(frame(cname).cast(dec))
-    return frame(cnt_name), sums
-
-
-def exact_var_samp(x: Column, w, name: str, pre: dict, rng=None, rows: int = 20,
-                   span: int = SPAN) -> Column:
-    """Sample variance of an integral column from exact power sums:
-    n*sum(x^2) - sum(x)^2 without rounding, so the only rounding is the
-    final division; NULL for a single-row frame. ``rng`` = (min, max) of the
-    column (centring and the bigint-or-decimal choice)."""
-    dec = "decimal(38,0)"
-    center, dmax = _center(rng)
-    n, (s1, s2) = _power_sums(x, w, name, center, dmax, rows, 2, pre, span)
-    m2 = (n.cast(dec) * s2 - s1 * s1).cast("double")
-    return F.when(n > 1, m2 / (n * (n - 1)).cast("double"))
-
-
-def _center(rng):
-    if not rng or rng[0] is None:
-        return 0, None
-    lo, hi = int(rng[0]), int(rng[1])
-    c = (lo + hi) // 2
-    return c, max(hi - c, c - lo)
-
-
-def _var(x: Column, w, rows: int, integral: bool, maxabs=None, name: str = "", pre=None,
-         span: int = SPAN) -> Column:
-    dmax = _center(maxabs)[1]
-    too_wide = dmax is not None and MAX_FRAME * span * float(dmax) ** 2 >= DECIMAL_MAX
-    if not integral or pre is None or too_wide:
-        # doubles, and integers whose exact power sums pass 38 digits
-        return F.var_samp(x.cast("double")).over(trailing(w, rows))
-    return exact_var_samp(x, w, name, pre, maxabs, rows, span)
-
-
-def var_std_columns(w, col: str, rows: int = 5, integral: bool = False, maxabs=None,
-                    pre: dict | None = None, span: int = SPAN) -> list[Column]:
-    x = F.col(f"`{col}`")
-    v = _var(x, w, rows, integral, maxabs, col, pre, span)
-    return [_z(v).alias(f"{col}_variance"),
-            _z(F.sqrt(v)).alias(f"{col}_std")]
-
-
-EXACT_MOMENT_BOUND = 10_000_000   # |x - centre| bound for 4th-power sums in 38 digits
-
-
-def exact_moments(x: Column, w, name: str, pre: dict, rng=None,
-                  rows: int = 10, span: int = SPAN) -> tuple[Column, Column, Column]:
-    """Population skewness g1 and excess kurtosis g2 of an integral column
-    from exact power sums of centred values; ``ok`` is false (the caller
-    then uses Spark's moments) when the column is too wide for 38 digits.
-
-    With s_k = sum(x^k): n^2 m2 = n s2 - s1^2, n^3 m3 = n^2 s3 - 3 n s1 s2 +
-    2 s1^3, n^4 m4 = n^3 s4 - 4 n^2 s1 s3 + 6 n s1^2 s2 - 3 s1^4.
-    """
-    center, dmax = _center(rng)
-    ok = F.lit(dmax is not None and dmax <= EXACT_MOMENT_BOUND)
-    if dmax is None or dmax > EXACT_MOMENT_BOUND:
-        zero = F.lit(0.0)
-        return F.lit(False), zero, zero
-    n, (s1, s2, s3, s4) = _power_sums(x, w, name, center, dmax, rows, 4, pre, span)
-    n = n.cast("decimal(38,0)")
-    m2 = (n * s2 - s1 * s1).cast("double")
-    m3 = (n * n * s3 - 3 * n * s1 * s2 + 2 * s1 * s1 * s1).cast("double")
-    m4 = (n * n * n * s4 - 4 * n * n * s1 * s3 + 6 * n * s1 * s1 * s2
-          - 3 * s1 * s1 * s1 * s1).cast("double")
-    g1 = m3 / (m2 * F.sqrt(m2))
-    g2 = m4 / (m2 * m2) - 3.0
-    return ok, g1, g2
-
-
-def skew_kurt_columns(w, col: str, rows: int = 10, integral: bool = False,
-                      maxabs=None, pre: dict | None = None, span: int = SPAN) -> list[Column]:
-    """Bias-corrected skewness (G1) and excess kurtosis (G2).
-
-    Frames shorter than 3 (skewness) / 4 (kurtosis) rows give 0; a constant
-    frame gives 0 and -3. Integral columns use exact power sums.
-    """
-    x = F.col(f"`{col}`").cast("double")
-    f = trailing(w, rows)
-    n = F.count(x).over(f).cast("double")
-    const = F.max(x).over(f) == F.min(x).over(f)
-    center, dmax = _center(maxabs) if integral else (0, None)
-    if integral and pre is not None and dmax is not None and dmax <= EXACT_MOMENT_BOUND:
-        # exact power sums only (decided at plan time from the column range)
-        _, g1, g2 = exact_moments(F.col(f"`{col}`"), w, col, pre, maxabs, rows, span)
-    else:
-        g1 = F.skewness(x).over(f)
-        g2 = F.kurtosis(x).over(f)
-    skew = (F.when(n < 3, 0.0).when(const, 0.0)
-            .otherwise(g1 * F.sqrt(n * (n - 1)) / (n - 2)))
-    kurt = (F.when(n < 4, 0.0).when(const, -3.0)
-            .otherwise((n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6)))
-    return [_z(skew).alias(f"{col}_skewness"), _z(kurt).alias(f"{col}_kurtosis")]
-
-
-def quantile_columns(w, col: str, rows: int = 10, integral: bool = False,
-                     maxabs=None, pre: dict | None = None, span: int = SPAN) -> list[Column]:
-    """Interpolated quartiles of the frame's values, sorted once per row."""
-    name = f"_run_{_safe(col)}_sorted{rows}"
-    values = F.array_sort(F.collect_list(F.col(f"`{col}`").cast("double")).over(trailing(w, rows)))
-    if pre is not None:
-        pre.setdefault(name, values.alias(name))
-        values = F.col(name)
-
-    def quantile(q):
-        at = (F.size(values) - 1) * F.lit(q)
-        low = F.get(values, F.floor(at).cast("int"))
-        high = F.get(values, F.ceil(at).cast("int"))
-        return F.when(F.size(values) > 0, low + (high - low) * (at - F.floor(at)))
-    q25, q75 = quantile(0.25), quantile(0.75)
-    return [_z(q25).alias(f"{col}_q25"), _z(q75).alias(f"{col}_q75"),
-            _z(q75 - q25).alias(f"{col}_iqr")]
-
-
-def mean_std_columns(w, col: str, sizes=(5, 10, 20), integral: bool = False,
-                     maxabs=None, pre: dict | None = None, span: int = SPAN) -> list[Column]:
-    x = F.col(f"`{col}`")
-    out = []
-    for k in sizes:
-        f = trailing(w, k)
-        out += [_z(F.avg(x).over(f)).alias(f"{col}_rolling_mean_{k}"),
-                _z(F.sqrt(_var(x, w, k, integral, maxabs, col, pre, span))).alias(f"{col}_rolling_std_{k}")]
-    return out
-
 
 def integral_magnitudes(df: DataFrame, cols: list[str]) -> dict:
     """(min, max) per integral column (one aggregate row): the centre and
-    width that decide whether exact window power sums fit in bigint."""
+    width that decide whether exact power sums fit in 64 bits."""
     if not cols:
         return {}
     aggs = []
@@ -210,24 +28,6 @@ def integral_magnitudes(df: DataFrame, cols: list[str]) -> dict:
     return {c: (row[f"lo{i}"], row[f"hi{i}"]) for i, c in enumerate(cols)}
 
 
-STAT_KINDS = {
-    "var_std": var_std_columns,
-    "skew_kurt": skew_kurt_columns,
-    "quantiles": quantile_columns,
-    "mean_std": mean_std_columns,
-}
-
-
-def _build_stats(cols, kinds, integral, maxabs):
-    def build(w, span=SPAN):
-        pre, out = {}, []
-        for c in cols:
-            for k in kinds:
-                out += STAT_KINDS[k](w, c, integral=c in integral, maxabs=maxabs.get(c), pre=pre, span=span)
-        return list(pre.values()), out
-    return build
-
-
 def rolling_features(df: DataFrame, cols: list[str], order_col: str,
                      kinds=("var_std", "skew_kurt", "quantiles"),
                      partition_cols: list[str] | None = None,
@@ -236,10 +36,8 @@ def rolling_features(df: DataFrame, cols: list[str], order_col: str,
     part = list(partition_cols or [])
     indexed, total = dense_index_with_total(df, part + [order_col])   # checkpointed once
     integral = [c for c in integral_columns(df) if c in cols]
-    maxabs = integral_magnitudes(indexed, integral)
-    out = halo_window(indexed, part, MAX_HALO, _build_stats(cols, kinds, integral, maxabs), bucket_rows,
-                      total_rows=total)
-    return out.drop(IDX)
+    ranges = integral_magnitudes(indexed, integral)
+    return sliding_statistics(indexed, [(k, c) for c in cols for k in kinds], part, ranges, bucket_rows, total).drop(IDX)
 
 
 def extract_statistical_features(df: DataFrame, cols: list[str], order_col: str,
@@ -261,7 +59,6 @@ def extract_statistical_features(df: DataFrame, cols: list[str], order_col: str,
     if fills:
         indexed = indexed.fillna(fills)
     integral = [c for c in integral_columns(indexed) if c in cols]
-    maxabs = integral_magnitudes(indexed, integral)
-    out = halo_window(indexed, part, MAX_HALO, _build_stats(cols, ("var_std", "skew_kurt", "quantiles"),
-                                                            integral, maxabs), bucket_rows, total_rows=total)
-    return out.drop(IDX).fillna(0)
+    ranges = integral_magnitudes(indexed, integral)
+    specs = [(k, c) for c in cols for k in ("var_std", "skew_kurt", "quantiles")]
+    return sliding_statistics(indexed, specs, part, ranges, bucket_rows, total).drop(IDX).fillna(0)

@@ -16,9 +16,9 @@ from flowsieve.operators.features import (extract_features, extract_flow_feature
 from flowsieve.operators.labels import encode_labels, stratified_split
 from flowsieve.operators.ml import rf_feature_importance
 from flowsieve.operators.neighbors import neighbor_mutual_info
-from flowsieve.operators.ordering import IDX, dense_index_with_total, halo_window
-from flowsieve.operators.rolling import (MAX_HALO, integral_magnitudes, mean_std_columns,
-                                         quantile_columns, skew_kurt_columns, var_std_columns)
+from flowsieve.operators.ordering import IDX, dense_index_with_total
+from flowsieve.operators.rolling import integral_magnitudes
+from flowsieve.operators.sliding import sliding_statistics
 from flowsieve.operators.stats import exact_medians
 from flowsieve.operators.scale import normalize_features
 from flowsieve.operators.selection import anova_f_scores, create_interaction_features, mutual_info_scores
@@ -53,20 +53,13 @@ def engineer_all_features(df: DataFrame, order_col: str, target: str = "label",
     if fills:
         indexed = indexed.fillna(fills)
     integral = [c for c in integral_columns(indexed) if c in stat_cols]
-    maxabs = integral_magnitudes(indexed, integral)
-
-    def build(w, span):
-        pre, out = {}, []
-        for c in stat_cols:
-            for fn in (var_std_columns, skew_kurt_columns, quantile_columns):
-                out += fn(w, c, integral=c in integral, maxabs=maxabs.get(c), pre=pre, span=span)
-        for c in roll_cols:
-            out += mean_std_columns(w, c, integral=c in integral, maxabs=maxabs.get(c), pre=pre, span=span)
-        return list(pre.values()), out
+    ranges = integral_magnitudes(indexed, integral)
 
+    specs = [(kind, c) for c in stat_cols for kind in ("var_std", "skew_kurt", "quantiles")]
+    specs += [("mean_std", c) for c in roll_cols]
     # the variance ranking and the final projection both need every window
     # column: write them once; what follows plans over a plain table
-    out = written(halo_window(indexed, [], MAX_HALO, build, bucket_rows, total_rows=total), "engineered")
+    out = written(sliding_statistics(indexed, specs, [], ranges, bucket_rows, total), "engineered")
     out = out.drop(IDX).fillna(0)
     out = extract_flow_features(out, flags=flag_columns(df), ports=port_columns(df)).frame
     feats = numeric_columns(out, exclude=[target, *TARGET_COLUMNS, order_col])
