@@ -297,8 +297,7 @@ def near_duplicates(docs: DataFrame, cfg: NearDupConfig = NearDupConfig()) -> Da
                    "minhash-sig")
     usable = facts.where("doc_id is not null and n_shingles > 0")
     nodes = stored(usable.groupBy("d0", "d1", "n_shingles")
-                   .agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig"))
-                   .select("node", "n_shingles", "sig"), "minhash-nodes")
+                   .agg(F.min("doc_id").alias("node"), F.count("*").alias("n"), F.first("sig").alias("sig")), "minhash-nodes")
 
     keys = nodes.select("node", "sig").mapInArrow(_table_keys(cfg), "key long, node long")
     bucket = Window.partitionBy("key")
@@ -332,7 +331,7 @@ def near_duplicates(docs: DataFrame, cfg: NearDupConfig = NearDupConfig()) -> Da
             _confirm(cfg), "a long, b long")
 
     same = F.struct("d0", "d1", "n_shingles").alias("same")
-    lowest = usable.groupBy(same).agg(F.min("doc_id").alias("node"), F.count("*").alias("n"))
+    lowest = nodes.select(same, "node", "n")
     to_node = look_up(usable.select("doc_id", same), lowest.drop("n"), "same",
                       hot=hot_of(lowest, "same", "n", usable.count()), nulls=False).select("doc_id", "node")
     found = confirmed(pairs)
@@ -345,7 +344,8 @@ def near_duplicates(docs: DataFrame, cfg: NearDupConfig = NearDupConfig()) -> Da
     roots = connected_components(links, "a", "b")
     more = stored(_crossing_links(members, nodes, sets, roots, cfg), "minhash-links")
     if more.head(1):
-        roots = connected_components(links.unionByName(more), "a", "b")
+        # the components found so far are stars; the new links join them
+        roots = connected_components(more.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))), "a", "b")
 
     label = (to_node.join(roots, "node", "left")
              .select("doc_id", F.coalesce("root", "node").alias("root"))
@@ -429,7 +429,7 @@ def _deviating(placed: DataFrame, cfg: NearDupConfig) -> tuple[DataFrame, DataFr
     rows = placed.withColumn("part", part).withColumn("item", F.xxhash64("node", "set"))
     centre = (placed.select("family", "node", "set").mapInArrow(_elements("set"), "family long, node long, el long")
               .groupBy("family", "el").agg(F.count("*").alias("has")))
-    families = placed.select("family", "n").distinct()
+    families = stored(placed.select("family", "n").distinct(), "minhash-large")
     centre = stored(centre.join(families, "family").where("has * 2 > n").select("family", "el", "n"), "minhash-centre")
     parts = centre.select("family", "el", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / cfg.block).cast("long") - 1))
                           .alias("part"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 from odd_rows import no_docs, odd_docs  # noqa: F401
-from flowsieve.llm import minhash_tensor as M
+from flowsieve.llm import components, minhash_tensor as M
 from flowsieve.llm.components import connected_components
 from flowsieve.llm.exact_dedup import drop_exact_duplicates, exact_duplicates
 from flowsieve.llm.minhash_tensor import NearDupConfig, drop_near_duplicates, near_duplicates
@@ -97,6 +97,50 @@ def test_components_of_a_path_and_a_star(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
 
 
+def test_components_of_random_graphs_hubs_and_repeated_edges(spark):
+    rng = random.Random(11)
+    edges = [(rng.randrange(900), rng.randrange(900)) for _ in range(700)]
+    # hubs that are the least, the largest and a middle node of their component, and a path through all of them
+    edges += [(1000, x) for x in range(1001, 1600)] + [(9000, x) for x in range(2000, 2600)] + [(3300, x) for x in range(3000, 3600)]
+    edges += [(1500, 9000), (2500, 3300), (3599, 4000)] + [(x, x + 1) for x in range(4000, 4050)]
+    edges += edges[:50] + [(y, x) for x, y in edges[50:90]]
+    assert len(edges) * 2 < 1000 * components.HUB and 599 > components.HUB
+    parent = {x: x for e in edges for x in e}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+    for x, y in edges:
+        x, y = sorted((find(x), find(y)))
+        parent[y] = x
+    got = connected_components(spark.createDataFrame(edges, "a long, b long").repartition(3), "a", "b").collect()
+    assert len(got) == len({r.node for r in got})
+    assert {r.node: r.root for r in got} == {x: find(x) for x in parent if find(x) != x}
+
+
+def jobs_of(spark, name, action):
+    sc = spark.sparkContext
+    sc.setJobGroup(name, name)
+    try:
+        out = action()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        sc.setLocalProperty("spark.job.description", None)
+    return out, len(sc.statusTracker().getJobIdsForGroup(name))
+
+
+def test_settled_components_take_no_round(spark):
+    """The driver's memory follows the jobs, each with as many tasks as the session shuffles into."""
+    stars = spark.createDataFrame([(i % 7, i) for i in range(7, 300)], "a long, b long")
+    got, jobs = jobs_of(spark, "settled", lambda: {r.node: r.root for r in connected_components(stars, "a", "b").collect()})
+    assert got == {i: i % 7 for i in range(7, 300)} and 0 < jobs <= 8
+    joined = stars.unionByName(spark.createDataFrame([(10, 11), (298, 13)], "a long, b long"))
+    got, jobs = jobs_of(spark, "joined", lambda: {r.node: r.root for r in connected_components(joined, "a", "b").collect()})
+    low = {i: 3 if i in (3, 4, 6) else i for i in range(7)}
+    assert got == {i: low[i % 7] for i in range(7, 300)} | {4: 3, 6: 3} and jobs <= 50
+
+
 def brute_exact(rows):
     groups = {}
     for i, t in rows:
